@@ -66,3 +66,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     (state tables, streaming checkpoints)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the per-session settings the operators rely on to a session made
+    elsewhere (the driver's, a notebook's): UTC wall time and a checkpoint dir."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
