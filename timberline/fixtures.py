@@ -116,3 +116,92 @@ def index_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search query vector: the row with vec_id 0 (one row)."""
     return vectors(spark, sf_dir).filter(F.col("log_id") == 0).select("embedding")
+
+
+# --- rendered raw lines ---------------------------------------------------------
+# These rebuild the text a host would have produced for each ``logs`` row so the
+# parsers can be checked against the row they came from. They only render text;
+# all parsing happens in timberline.sources.
+
+def _sev_index() -> "F.Column":
+    from timberline.schema import SEVERITY_ORDER
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col("severity")) - 1
+
+
+def journald_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """journald ``-o json`` lines for every log row (``.service`` units in
+    _SYSTEMD_UNIT, others in SYSLOG_IDENTIFIER), plus one truncated (invalid
+    JSON) line per error row and one line with an invalid timestamp per notice
+    row. Columns: value, seq."""
+    lg = logs(spark, sf_dir)
+    is_service = F.col("unit").endswith(".service")
+    obj = F.struct(
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("__REALTIME_TIMESTAMP"),
+        F.col("cursor").alias("__CURSOR"),
+        F.col("hostname").alias("_HOSTNAME"),
+        F.when(is_service, F.col("unit")).alias("_SYSTEMD_UNIT"),
+        F.when(~is_service, F.col("unit")).alias("SYSLOG_IDENTIFIER"),
+        _sev_index().cast("string").alias("PRIORITY"),
+        F.col("pid").cast("string").alias("_PID"),
+        F.col("message").alias("MESSAGE"))
+    good = lg.select(F.to_json(obj).alias("value"), (F.col("id") * 3).alias("seq"))
+    truncated = lg.filter(F.col("severity").isin("err", "crit", "emerg", "alert")).select(
+        F.substring(F.to_json(obj), 1, 30).alias("value"), (F.col("id") * 3 + 1).alias("seq"))
+    bad_ts = lg.filter(F.col("severity") == "notice").select(
+        F.to_json(obj.withField("__REALTIME_TIMESTAMP", F.lit("not-a-time"))).alias("value"),
+        (F.col("id") * 3 + 2).alias("seq"))
+    return good.unionByName(truncated).unionByName(bad_ts)
+
+
+def syslog_lines(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """RFC 3164 lines ``<pri>Mon dd HH:MM:SS host prog[pid]: msg`` (facility 1,
+    day space-padded, ``[pid]`` left out on warning rows, NULL unit rendered as
+    ``kernel``), plus one unparseable line per error row. Columns: value, seq."""
+    lg = logs(spark, sf_dir)
+    if where:
+        lg = lg.filter(where)
+    ts = F.col("ts")
+    pid_part = F.when(F.col("severity") == "warning", F.lit("")).otherwise(
+        F.concat(F.lit("["), F.col("pid").cast("string"), F.lit("]")))
+    line = F.concat(F.lit("<"), (F.lit(8) + _sev_index()).cast("string"), F.lit(">"),
+                    F.date_format(ts, "MMM"), F.lit(" "), F.lpad(F.dayofmonth(ts).cast("string"), 2, " "),
+                    F.lit(" "), F.date_format(ts, "HH:mm:ss"), F.lit(" "), F.col("hostname"), F.lit(" "),
+                    F.coalesce(F.col("unit"), F.lit("kernel")), pid_part, F.lit(": "), F.col("message"))
+    good = lg.select(line.alias("value"), (F.col("id") * 2).alias("seq"))
+    junk = lg.filter(F.col("severity") == "err").select(
+        F.concat(F.lit("garbage line "), F.col("message")).alias("value"), (F.col("id") * 2 + 1).alias("seq"))
+    return good.unionByName(junk)
+
+
+def container_lines(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """Container runtime lines ``<ts with 9-digit fraction>Z stdout|stderr msg``;
+    stderr for warning-or-worse rows; the container is named after the host.
+    Columns: container, value, seq."""
+    lg = logs(spark, sf_dir)
+    if where:
+        lg = lg.filter(where)
+    from timberline.functions import severity_rank
+    stream = F.when(severity_rank(F.col("severity")) <= 4, F.lit("stderr")).otherwise(F.lit("stdout"))
+    line = F.concat(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z "),
+                    stream, F.lit(" "), F.col("message"))
+    return lg.select(F.col("hostname").alias("container"), line.alias("value"), F.col("id").alias("seq"))
+
+
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with duplicates: every log row (seq = 2·id), again every row with
+    ``id % 4 = 0`` under another cursor (same content), and every row with
+    ``id % 4 = 1`` with another message under the same cursor (seq = 2·id + 1)."""
+    lg = logs(spark, sf_dir)
+    base = lg.withColumn("seq", F.col("id") * 2)
+    same_content = lg.filter(F.col("id") % 4 == 0).withColumn("cursor", F.concat("cursor", F.lit("-dup"))) \
+        .withColumn("seq", F.col("id") * 2 + 1)
+    same_cursor = lg.filter(F.col("id") % 4 == 1).withColumn("message", F.concat("message", F.lit(" (again)"))) \
+        .withColumn("seq", F.col("id") * 2 + 1)
+    return base.unionByName(same_content).unionByName(same_cursor).withColumnRenamed("source", "source_name")
+
+
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows already in the table before the batch: log rows with ``id % 10 = 0``
+    (as parsed rows, seq = 2·id)."""
+    return logs(spark, sf_dir).filter(F.col("id") % 10 == 0).withColumn("seq", F.col("id") * 2) \
+        .withColumnRenamed("source", "source_name")

@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
-from timberline.operators import anomaly, query
+from timberline.functions import with_fingerprint
+from timberline.operators import anomaly, ingest, query
+from timberline.sources import parsers
+from timberline.sources.registry import LogSource, read_all, read_source
 from timberline.params import AnomalyParams, Discover, LogQuery
 from timberline.session import prepare
 
@@ -44,6 +48,90 @@ def _anomaly(fn) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: fn(_logs(spark, sf), ANOMALY, AS_OF)
 
 
+PARSED_COLS = ["ts", "hostname", "unit", "severity", "pid", "message"]
+
+
+def parse_journald(spark, sf):
+    prepare(spark)
+    return parsers.parse_journald(fx.journald_lines(spark, sf)).select(*PARSED_COLS, "cursor")
+
+
+def parse_syslog(spark, sf):
+    prepare(spark)
+    return parsers.parse_syslog(fx.syslog_lines(spark, sf), year=2024).select(*PARSED_COLS)
+
+
+def parse_container(spark, sf):
+    prepare(spark)
+    return parsers.parse_container(fx.container_lines(spark, sf)).select(
+        "ts", "hostname", "unit", "severity", "message")
+
+
+def source_exclude_units(spark, sf):
+    prepare(spark)
+    src = LogSource("journal", "journald", config={"lines": fx.journald_lines(spark, sf),
+                                                   "exclude_units": ["systemd-*"]})
+    return read_source(spark, src, AS_OF, since_seconds=30 * DAY).select(*PARSED_COLS, "cursor", "source_name")
+
+
+def source_container_globs(spark, sf):
+    prepare(spark)
+    src = LogSource("apps", "container", config={"lines": fx.container_lines(spark, sf),
+                                                 "include_patterns": ["host[0-4]", "h*7"],
+                                                 "exclude_patterns": ["host[!0-3]"]})
+    return read_source(spark, src, AS_OF, since_seconds=30 * DAY).select("ts", "unit", "severity", "message")
+
+
+def log_fingerprint(spark, sf):
+    return with_fingerprint(_logs(spark, sf).withColumnRenamed("id", "event_id")).select(
+        "event_id", "fingerprint", "id")
+
+
+INGEST_COLS = ["id", "fingerprint", "cursor", "ts", "unit", "severity", "message"]
+
+
+def _stored(spark, sf):
+    return ingest.prepare_batch(fx.stored_rows(spark, sf))
+
+
+def ingest_dedup(spark, sf):
+    prepare(spark)
+    out = ingest.ingest_rows(fx.ingest_batch(spark, sf), _stored(spark, sf))
+    return out.select(*INGEST_COLS)
+
+
+def ingest_cursor_state(spark, sf):
+    prepare(spark)
+    prior = ingest.cursor_state(fx.stored_rows(spark, sf), None, "2024-01-15 00:00:00")
+    batch = fx.ingest_batch(spark, sf).filter(F.col("source_name") != "container")
+    return ingest.cursor_state(batch, prior, AS_OF)
+
+
+def ingest_all_counts(spark, sf):
+    prepare(spark)
+    sources = [
+        LogSource("journal", "journald", config={"lines": fx.journald_lines(spark, sf)}),
+        LogSource("syslog", "file", config={"lines": fx.syslog_lines(spark, sf, "source = 'file'"),
+                                            "year": 2024}),
+        LogSource("apps", "container", config={"lines": fx.container_lines(spark, sf, "source = 'container'")}),
+        LogSource("broken", "no-such-type"),
+        LogSource("disabled", "journald", enabled=False),
+    ]
+    parsed, _errors = read_all(spark, sources, AS_OF, since_seconds=30 * DAY, limit=None)
+    order = F.when(F.col("source_name") == "journal", 0).when(F.col("source_name") == "syslog", 1).otherwise(2)
+    parsed = parsed.withColumn("seq", order * F.lit(10 ** 12) + F.col("seq"))
+    inserted = ingest.ingest_rows(parsed, None)
+    return ingest.ingest_counts(parsed, inserted)
+
+
+def migrate_ids(spark, sf):
+    lg = _logs(spark, sf).withColumnRenamed("id", "event_id")
+    with_fp = with_fingerprint(lg).withColumn("id", F.lit(None).cast("long"))
+    # Rows of older versions may lack the fingerprint as well as the id.
+    pre = with_fp.withColumn("fingerprint", F.when(F.col("severity").isin("info", "debug"), F.col("fingerprint")))
+    return ingest.backfill_ids(pre).select("event_id", "id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -61,4 +149,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "anomaly_missing_logs": _anomaly(anomaly.missing_logs),
     "anomalies_all": _anomaly(anomaly.detect_anomalies),
     "anomaly_summary": _anomaly(anomaly.anomaly_summary),
+    # step 4: parsing and sources
+    "parse_journald": parse_journald,
+    "parse_syslog": parse_syslog,
+    "parse_container": parse_container,
+    "source_exclude_units": source_exclude_units,
+    "source_container_globs": source_container_globs,
+    "log_fingerprint": log_fingerprint,
+    # step 5: ingest
+    "ingest_dedup": ingest_dedup,
+    "ingest_cursor_state": ingest_cursor_state,
+    "ingest_all_counts": ingest_all_counts,
+    "migrate_ids": migrate_ids,
 }

@@ -44,6 +44,30 @@ ALL_ANOMALIES = """anomalies AS (
   UNION ALL SELECT 2, type, CAST(NULL AS VARCHAR), source, count, severity, description FROM volume
   UNION ALL SELECT 3, type, unit, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), severity, description FROM missing)"""
 
+TS_STR = ("CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') "
+          "ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END")
+FP = (f"sha256({TS_STR} || '|' || coalesce(hostname, 'None') || '|' || coalesce(unit, 'None') || '|' || "
+      "coalesce(severity, 'None') || '|' || coalesce(CAST(pid AS VARCHAR), 'None') || '|' || coalesce(message, 'None'))")
+
+
+def x2(fp: str) -> str:
+    u = f"CAST(('0x' || substr({fp}, 1, 16)) AS UBIGINT)"
+    return (f"CAST(CASE WHEN {u} >= 9223372036854775808 THEN CAST({u} AS HUGEINT) - 18446744073709551616 "
+            f"ELSE CAST({u} AS HUGEINT) END AS BIGINT)")
+
+
+BATCH = """batch AS (
+  SELECT id, ts, hostname, source AS source_name, unit, severity, pid, message, raw, cursor, id * 2 AS seq FROM logs
+  UNION ALL SELECT id, ts, hostname, source, unit, severity, pid, message, raw, cursor || '-dup', id * 2 + 1
+    FROM logs WHERE id % 4 = 0
+  UNION ALL SELECT id, ts, hostname, source, unit, severity, pid, message || ' (again)', raw, cursor, id * 2 + 1
+    FROM logs WHERE id % 4 = 1)"""
+FPB = f"fpb AS (SELECT * EXCLUDE (id), {FP} AS fingerprint FROM batch)"
+STORED = f"stored AS (SELECT *, {x2('fingerprint')} AS id FROM (SELECT *, {FP} AS fingerprint FROM logs WHERE id % 10 = 0))"
+DEDUP = """d1 AS (SELECT * FROM fpb QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY seq) = 1),
+d2 AS (SELECT * FROM d1 QUALIFY cursor IS NULL OR row_number() OVER (PARTITION BY cursor ORDER BY seq) = 1)"""
+RANK_LE4 = RANK + " <= 4"
+
 ORACLE: dict[str, str] = {
     "log_query_min_severity": _w(
         f"SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500", LOGS),
@@ -73,4 +97,35 @@ SELECT count(*) AS total_anomalies,
    FROM (SELECT kind_order, severity, description, count, coalesce(unit, source) AS k FROM anomalies
          WHERE kind_order < 3 ORDER BY kind_order, count DESC, k LIMIT 5)) AS recent_anomalies
 FROM anomalies WHERE kind_order < 3""", LOGS, SPIKES, VOLUME, MISSING, ALL_ANOMALIES),
+    "parse_journald": _w("SELECT ts, hostname, unit, severity, pid, message, cursor FROM logs", LOGS),
+    "parse_syslog": _w("SELECT date_trunc('second', ts) AS ts, hostname, coalesce(unit, 'kernel') AS unit, severity, "
+                       "CASE WHEN severity = 'warning' THEN NULL ELSE pid END AS pid, message FROM logs", LOGS),
+    "parse_container": _w("SELECT ts, 'localhost' AS hostname, hostname AS unit, "
+                          f"CASE WHEN {RANK_LE4} THEN 'warning' ELSE 'info' END AS severity, message FROM logs", LOGS),
+    "source_exclude_units": _w("SELECT ts, hostname, unit, severity, pid, message, cursor, 'journal' AS source_name "
+                               f"FROM logs WHERE ts >= {D30} AND coalesce(unit, '') NOT LIKE 'systemd-%'", LOGS),
+    "source_container_globs": _w(
+        f"SELECT ts, hostname AS unit, CASE WHEN {RANK_LE4} THEN 'warning' ELSE 'info' END AS severity, message "
+        f"FROM logs WHERE ts >= {D30} AND (regexp_full_match(hostname, 'host[0-4]') OR regexp_full_match(hostname, 'h.*7')) "
+        "AND NOT regexp_full_match(hostname, 'host[^0-3]')", LOGS),
+    "log_fingerprint": _w(f"SELECT id AS event_id, fp AS fingerprint, {x2('fp')} AS id FROM (SELECT *, {FP} AS fp FROM logs)",
+                          LOGS),
+    "ingest_dedup": _w(f"""SELECT {x2('fingerprint')} AS id, fingerprint, cursor, ts, unit, severity, message FROM d2
+WHERE fingerprint NOT IN (SELECT fingerprint FROM stored)
+  AND {x2('fingerprint')} NOT IN (SELECT id FROM stored)
+  AND (cursor IS NULL OR cursor NOT IN (SELECT cursor FROM stored WHERE cursor IS NOT NULL))""",
+                       LOGS, BATCH, FPB, STORED, DEDUP),
+    "ingest_cursor_state": _w("""SELECT coalesce(n.source, p.source) AS source, coalesce(n.c, p.c) AS cursor,
+  CASE WHEN n.c IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE p.u END AS updated_at
+FROM (SELECT source, arg_max(cursor, id * 2) AS c, TIMESTAMP '2024-01-15 00:00:00' AS u FROM logs
+      WHERE id % 10 = 0 AND cursor IS NOT NULL GROUP BY source) p
+FULL OUTER JOIN (SELECT source_name AS source, arg_max(cursor, seq) AS c FROM batch
+      WHERE source_name <> 'container' AND cursor IS NOT NULL GROUP BY source_name) n ON n.source = p.source""",
+                              LOGS, BATCH),
+    "ingest_all_counts": _w("""SELECT source_name, count(*) AS parsed_rows, count(*) AS inserted_rows FROM (
+  SELECT 'journal' AS source_name FROM logs WHERE ts >= TIMESTAMP '2024-01-01 00:00:00'
+  UNION ALL SELECT 'syslog' FROM logs WHERE source = 'file' AND date_trunc('second', ts) >= TIMESTAMP '2024-01-01 00:00:00'
+  UNION ALL SELECT 'apps' FROM logs WHERE source = 'container' AND ts >= TIMESTAMP '2024-01-01 00:00:00')
+GROUP BY source_name""", LOGS),
+    "migrate_ids": _w(f"SELECT id AS event_id, {x2(FP)} AS id FROM logs", LOGS),
 }
