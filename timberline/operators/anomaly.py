@@ -86,12 +86,14 @@ def anomaly_order() -> list[Column]:
             F.coalesce(F.col("unit"), F.col("source")).asc_nulls_last()]
 
 
-def anomaly_summary(logs: DataFrame, p: AnomalyParams, as_of, recent: int = 5) -> DataFrame:
-    """Totals over error spikes and high volume (missing_logs is not part of
-    the report's summary), plus the first ``recent`` descriptions in list order.
-
-    One row. The recent list is a top-k (TakeOrderedAndProject), so only
-    ``recent`` rows ever reach the final aggregate.
+def anomaly_summary_parts(logs: DataFrame, p: AnomalyParams, as_of, recent: int = 5) -> DataFrame:
+    """A8 as one row: totals over error spikes and high volume (missing_logs is
+    not part of the report's summary), counts per type and the first ``recent``
+    anomalies in list order as an array.
+
+    Join-free: the totals and the top-k (TakeOrderedAndProject, so only
+    ``recent`` rows reach the final step) are unioned and folded by one global
+    aggregate.
     """
     rows = error_spikes(logs, p, as_of).withColumn("kind_order", F.lit(1)).unionByName(
         high_volume(logs, p, as_of).withColumn("kind_order", F.lit(2)), allowMissingColumns=True)
@@ -101,13 +103,25 @@ def anomaly_summary(logs: DataFrame, p: AnomalyParams, as_of, recent: int = 5) -
         F.count_if(F.col("severity") == "medium").alias("medium_severity"),
         F.count_if(F.col("type") == "error_spike").alias("error_spike_count"),
         F.count_if(F.col("type") == "high_volume").alias("high_volume_count"))
-    top = rows.orderBy(*anomaly_order()).limit(recent).withColumn(
-        "_item", F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("description")))
-    top = top.select(F.lit(1).alias("_k"), "kind_order", "count",
-                     F.coalesce("unit", "source").alias("_key"), "_item")
-    recent_text = top.groupBy("_k").agg(F.expr(
-        "listagg(_item, '\\n') WITHIN GROUP (ORDER BY kind_order, count DESC, _key)"
-    ).alias("recent_anomalies"))
-    # Both sides are single-row aggregates; the join is on a constant key.
-    return (totals.withColumn("_k", F.lit(1))
-            .join(recent_text, "_k", "left").drop("_k"))
+    top = rows.orderBy(*anomaly_order()).limit(recent).select(F.struct(
+        F.col("kind_order").alias("_o1"), (F.lit(0) - F.col("count")).alias("_o2"),
+        F.coalesce("unit", "source").alias("_o3"),
+        F.col("type"), F.col("severity"), F.col("description")).alias("_a"))
+    top = top.agg(F.collect_list("_a").alias("_recent"))
+    parts = totals.unionByName(top, allowMissingColumns=True)
+    row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+    recent_sorted = F.sort_array(F.coalesce(F.col("_recent"), F.array()))
+    return row.select(
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in
+          ("total_anomalies", "high_severity", "medium_severity", "error_spike_count", "high_volume_count")],
+        F.transform(recent_sorted, lambda a: F.struct(a["type"].alias("type"), a["severity"].alias("severity"),
+                                                      a["description"].alias("description"))).alias("recent"))
+
+
+def anomaly_summary(logs: DataFrame, p: AnomalyParams, as_of, recent: int = 5) -> DataFrame:
+    """A8 flattened: recent anomalies rendered ``[severity] description``, one per line."""
+    s = anomaly_summary_parts(logs, p, as_of, recent)
+    return s.select("total_anomalies", "high_severity", "medium_severity", "error_spike_count",
+                    "high_volume_count",
+                    F.array_join(F.transform("recent", lambda a: F.concat(
+                        F.lit("["), a["severity"], F.lit("] "), a["description"])), "\n").alias("recent_anomalies"))

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
-from timberline.operators import anomaly, ingest, query
+from timberline.operators import alerts, anomaly, ingest, metrics, query, report
 from timberline.sources import parsers
 from timberline.sources.registry import LogSource, read_all, read_source
-from timberline.params import AnomalyParams, Discover, LogQuery
+from timberline.params import AlertQuery, AnomalyParams, Discover, LogQuery, MetricQuery
 from timberline.session import prepare
 
 AS_OF = fx.AS_OF
@@ -132,6 +132,71 @@ def migrate_ids(spark, sf):
     return ingest.backfill_ids(pre).select("event_id", "id")
 
 
+def _metrics(spark, sf):
+    prepare(spark)
+    return fx.metrics(spark, sf)
+
+
+def _alert_table(spark, sf):
+    """Alerts as stored by the monitor: threshold rules and hourly service snapshots."""
+    m = _metrics(spark, sf)
+    return alerts.store_alerts(alerts.threshold_alerts(m).unionByName(alerts.service_down(m, "hour")))
+
+
+def log_summary(spark, sf):
+    return report.log_summary(_logs(spark, sf), AS_OF, 30 * DAY)
+
+
+def _daily_report(spark, sf):
+    return report.daily_report(_logs(spark, sf), _metrics(spark, sf), _alert_table(spark, sf), AS_OF, 30 * DAY)
+
+
+def daily_report(spark, sf):
+    return report.report_scalars(_daily_report(spark, sf))
+
+
+def report_text(spark, sf):
+    return report.format_text(_daily_report(spark, sf))
+
+
+def report_html(spark, sf):
+    return report.format_html(_daily_report(spark, sf))
+
+
+def report_json(spark, sf):
+    return report.format_json(_daily_report(spark, sf))
+
+
+def metrics_query(spark, sf):
+    return metrics.query_metrics(_metrics(spark, sf), MetricQuery(metric_type="service", since=7 * DAY,
+                                                                  limit=1000), AS_OF)
+
+
+def metrics_query_latest(spark, sf):
+    return metrics.query_metrics(_metrics(spark, sf), MetricQuery(since=3 * DAY, limit=200), AS_OF)
+
+
+def metric_averages(spark, sf):
+    return metrics.metric_averages(_metrics(spark, sf), AS_OF, 30 * DAY)
+
+
+def threshold_alerts(spark, sf):
+    return alerts.store_alerts(alerts.threshold_alerts(_metrics(spark, sf)))
+
+
+def service_down(spark, sf):
+    return alerts.store_alerts(alerts.service_down(_metrics(spark, sf), "hour"))
+
+
+def alerts_query(spark, sf):
+    return alerts.query_alerts(_alert_table(spark, sf), AlertQuery(since=7 * DAY, severity="warning",
+                                                                   acknowledged=False), AS_OF)
+
+
+def health_summary(spark, sf):
+    return metrics.health_summary(_metrics(spark, sf), _alert_table(spark, sf), AS_OF, 30 * DAY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -161,4 +226,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_cursor_state": ingest_cursor_state,
     "ingest_all_counts": ingest_all_counts,
     "migrate_ids": migrate_ids,
+    # step 6: reports
+    "log_summary": log_summary,
+    "daily_report": daily_report,
+    "report_text": report_text,
+    "report_html": report_html,
+    "report_json": report_json,
+    # step 7: metrics and alerts
+    "metrics_query": metrics_query,
+    "metrics_query_latest": metrics_query_latest,
+    "metric_averages": metric_averages,
+    "threshold_alerts": threshold_alerts,
+    "service_down": service_down,
+    "alerts_query": alerts_query,
+    "health_summary": health_summary,
 }

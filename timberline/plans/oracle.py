@@ -44,8 +44,12 @@ ALL_ANOMALIES = """anomalies AS (
   UNION ALL SELECT 2, type, CAST(NULL AS VARCHAR), source, count, severity, description FROM volume
   UNION ALL SELECT 3, type, unit, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), severity, description FROM missing)"""
 
-TS_STR = ("CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') "
-          "ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END")
+def ts_str(c: str) -> str:
+    return (f"CASE WHEN strftime({c}, '%f') = '000000' THEN strftime({c}, '%Y-%m-%d %H:%M:%S') "
+            f"ELSE strftime({c}, '%Y-%m-%d %H:%M:%S.%f') END")
+
+
+TS_STR = ts_str("ts")
 FP = (f"sha256({TS_STR} || '|' || coalesce(hostname, 'None') || '|' || coalesce(unit, 'None') || '|' || "
       "coalesce(severity, 'None') || '|' || coalesce(CAST(pid AS VARCHAR), 'None') || '|' || coalesce(message, 'None'))")
 
@@ -68,6 +72,68 @@ DEDUP = """d1 AS (SELECT * FROM fpb QUALIFY row_number() OVER (PARTITION BY fing
 d2 AS (SELECT * FROM d1 QUALIFY cursor IS NULL OR row_number() OVER (PARTITION BY cursor ORDER BY seq) = 1)"""
 RANK_LE4 = RANK + " <= 4"
 
+METRICS = f"metrics AS ({fx.METRICS_SQL})"
+
+
+def jfield(f: str) -> str:
+    return f"CASE WHEN json_valid(metric_data) THEN json_extract_string(metric_data, '$.{f}') END"
+
+
+MVAL = ("CASE metric_type WHEN 'cpu' THEN TRY_CAST(" + jfield("cpu_percent") + " AS DOUBLE) "
+        "WHEN 'memory' THEN TRY_CAST(" + jfield("memory_percent") + " AS DOUBLE) "
+        "WHEN 'disk' THEN TRY_CAST(" + jfield("percent") + " AS DOUBLE) "
+        "WHEN 'uptime' THEN TRY_CAST(" + jfield("uptime_seconds") + " AS DOUBLE) END")
+ALERTS_T = f"""alerts_t AS (
+  SELECT timestamp, 'high_' || metric_type AS alert_type, 'warning' AS severity,
+    CASE metric_type WHEN 'cpu' THEN 'High CPU usage: ' || {jfield('cpu_percent')} || '%'
+      WHEN 'memory' THEN 'High memory usage: ' || {jfield('memory_percent')} || '%'
+      ELSE 'High disk usage on ' || coalesce({jfield('mountpoint')}, 'None') || ': ' || {jfield('percent')} || '%' END AS message,
+    metric_data
+  FROM metrics WHERE metric_type IN ('cpu', 'memory', 'disk') AND coalesce(TRY_CAST(CASE metric_type
+    WHEN 'cpu' THEN {jfield('cpu_percent')} WHEN 'memory' THEN {jfield('memory_percent')}
+    ELSE {jfield('percent')} END AS DOUBLE), 0) > 90)"""
+ALERTS_S = f"""svc AS (
+  SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS timestamp,
+    regexp_replace({jfield('service_name')}, '\\.service$', '') AS name
+  FROM metrics WHERE metric_type IN ('service', 'services') AND json_valid(metric_data)),
+alerts_s AS (
+  SELECT s.timestamp, 'service_down' AS alert_type, 'critical' AS severity,
+    'Critical service ' || c.name || ' is not running' AS message, CAST(json_object('service', c.name) AS VARCHAR) AS metric_data
+  FROM (SELECT DISTINCT timestamp FROM svc) s, (VALUES ('sshd'), ('systemd'), ('dbus')) c(name)
+  WHERE NOT EXISTS (SELECT 1 FROM svc WHERE svc.timestamp = s.timestamp AND svc.name = c.name))"""
+
+
+def stored_alerts(src: str) -> str:
+    aid = x2(f"sha256({ts_str('timestamp')} || '|' || alert_type || '|' || message)")
+    return (f"SELECT {aid} AS id, timestamp, alert_type, severity, message, metric_data, false AS acknowledged, "
+            f"CAST(NULL AS TIMESTAMP) AS acknowledged_at FROM {src}")
+
+
+ALERT_TABLE = f"alert_table AS ({stored_alerts('alerts_t')} UNION ALL {stored_alerts('alerts_s')})"
+HEALTH = f"""health AS (
+  SELECT CASE WHEN count(*) = 0 THEN 'no_data' ELSE 'ok' END AS status,
+    coalesce(round(avg(CASE WHEN metric_type = 'cpu' THEN v END), 2), 0.0) AS cpu_average,
+    coalesce(round(avg(CASE WHEN metric_type = 'memory' THEN v END), 2), 0.0) AS memory_average,
+    coalesce(round(avg(CASE WHEN metric_type = 'disk' THEN v END), 2), 0.0) AS disk_average,
+    (SELECT count(*) FROM alert_table WHERE timestamp >= {D30}) AS active_alerts,
+    (SELECT string_agg('[' || severity || '] ' || message, chr(10) ORDER BY timestamp DESC, alert_type, message)
+     FROM (SELECT * FROM alert_table WHERE timestamp >= {D30}
+           ORDER BY timestamp DESC, alert_type, message LIMIT 5)) AS recent_alerts
+  FROM (SELECT *, {MVAL} AS v FROM metrics WHERE timestamp >= {D30}))"""
+W30 = f"w AS (SELECT * FROM logs WHERE ts >= {D30})"
+LOG_SUMMARY = """sev AS (SELECT severity AS k, count(*) AS c FROM w GROUP BY severity),
+unit_top AS (SELECT unit AS k, count(*) AS c FROM w GROUP BY unit ORDER BY c DESC, k ASC NULLS LAST LIMIT 10),
+src_top AS (SELECT source AS k, count(*) AS c FROM w GROUP BY source ORDER BY c DESC, k ASC NULLS LAST LIMIT 5),
+log_summary AS (
+  SELECT t.total_logs, CAST(e.error_count AS BIGINT) AS error_count,
+    CASE WHEN t.total_logs > 0 THEN round(CAST(e.error_count AS DOUBLE) / t.total_logs * 100.0, 2) ELSE 0.0 END AS error_rate,
+    720 AS period_hours,
+    (SELECT string_agg(coalesce(k, 'None') || ': ' || c, ', ' ORDER BY c DESC, k ASC NULLS LAST) FROM sev) AS severity_distribution,
+    (SELECT string_agg(coalesce(k, 'None') || ': ' || c, ', ' ORDER BY c DESC, k ASC NULLS LAST) FROM unit_top) AS top_units,
+    (SELECT string_agg(coalesce(k, 'None') || ': ' || c, ', ' ORDER BY c DESC, k ASC NULLS LAST) FROM src_top) AS top_sources
+  FROM (SELECT count(*) AS total_logs FROM w) t,
+       (SELECT coalesce(sum(c), 0) AS error_count FROM sev WHERE k IN ('err', 'crit', 'emerg')) e)"""
+
 ORACLE: dict[str, str] = {
     "log_query_min_severity": _w(
         f"SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500", LOGS),
@@ -128,4 +194,33 @@ FULL OUTER JOIN (SELECT source_name AS source, arg_max(cursor, seq) AS c FROM ba
   UNION ALL SELECT 'apps' FROM logs WHERE source = 'container' AND ts >= TIMESTAMP '2024-01-01 00:00:00')
 GROUP BY source_name""", LOGS),
     "migrate_ids": _w(f"SELECT id AS event_id, {x2(FP)} AS id FROM logs", LOGS),
+    "log_summary": _w("SELECT * FROM log_summary", LOGS, W30, LOG_SUMMARY),
+    "daily_report": _w("""SELECT 'daily_20240131' AS report_id, 720 AS period_hours, l.total_logs, l.error_count,
+  l.error_rate, h.status AS health_status, h.cpu_average, h.memory_average, h.disk_average, h.active_alerts,
+  a.total_anomalies, a.high_severity,
+  concat_ws(chr(10),
+    CASE WHEN l.error_rate > 5 THEN 'High error rate detected: ' || l.error_rate || '%. Review system logs for issues.' END,
+    CASE WHEN h.status <> 'no_data' AND h.cpu_average > 80 THEN 'High CPU usage detected. Consider investigating resource-intensive processes.' END,
+    CASE WHEN h.status <> 'no_data' AND h.memory_average > 85 THEN 'High memory usage detected. Consider memory optimization or cleanup.' END,
+    CASE WHEN h.active_alerts > 0 THEN h.active_alerts || ' active alerts require attention.' END,
+    CASE WHEN a.high_severity > 0 THEN a.high_severity || ' high-severity anomalies detected.' END) AS recommendations
+FROM log_summary l, health h,
+  (SELECT count(*) AS total_anomalies, count(*) FILTER (WHERE severity = 'high') AS high_severity
+   FROM anomalies WHERE kind_order < 3) a""",
+                       LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
+                       SPIKES, VOLUME, MISSING, ALL_ANOMALIES),
+    "metrics_query": _w("""SELECT timestamp, metric_type, metric_data FROM (
+  SELECT * FROM metrics WHERE timestamp >= TIMESTAMP '2024-01-24 00:00:00' AND metric_type = 'service'
+  ORDER BY timestamp DESC, metric_type, metric_data LIMIT 1000) WHERE json_valid(metric_data)""", METRICS),
+    "metrics_query_latest": _w("""SELECT timestamp, metric_type, metric_data FROM (
+  SELECT * FROM metrics WHERE timestamp >= TIMESTAMP '2024-01-28 00:00:00'
+  ORDER BY timestamp DESC, metric_type, metric_data LIMIT 200) WHERE json_valid(metric_data)""", METRICS),
+    "metric_averages": _w(f"""SELECT metric_type, round(avg(v), 4) AS avg_value, count(*) AS points,
+  count(v) AS valued_points, arg_max_null(v, timestamp) AS latest_value, max(timestamp) AS latest_at
+FROM (SELECT *, {MVAL} AS v FROM metrics WHERE timestamp >= {D30}) GROUP BY metric_type""", METRICS),
+    "threshold_alerts": _w(stored_alerts("alerts_t"), METRICS, ALERTS_T),
+    "service_down": _w(stored_alerts("alerts_s"), METRICS, ALERTS_S),
+    "alerts_query": _w(f"""SELECT * FROM alert_table WHERE timestamp >= {D7} AND severity = 'warning'
+  AND NOT acknowledged AND json_valid(metric_data)""", METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE),
+    "health_summary": _w("SELECT * FROM health", METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH),
 }
