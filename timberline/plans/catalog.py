@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
-from timberline.operators import alerts, anomaly, ingest, metrics, query, report
+from timberline.operators import alerts, anomaly, ingest, metrics, query, report, vectors
 from timberline.sources import parsers
 from timberline.sources.registry import LogSource, read_all, read_source
-from timberline.params import AlertQuery, AnomalyParams, Discover, LogQuery, MetricQuery
+from timberline.params import (AlertQuery, AnomalyParams, Discover, IndexParams, LogQuery, MetricQuery,
+                               SearchParams)
 from timberline.session import prepare
 
 AS_OF = fx.AS_OF
@@ -197,6 +198,56 @@ def health_summary(spark, sf):
     return metrics.health_summary(_metrics(spark, sf), _alert_table(spark, sf), AS_OF, 30 * DAY)
 
 
+SEARCH_ALL = SearchParams(n_results=10)
+SEARCH_FILTERED = SearchParams(n_results=20, since=30 * DAY, source="journald")
+
+
+def _vector_table(spark, sf):
+    return vectors.vector_rows(fx.vectors(spark, sf), _logs(spark, sf))
+
+
+def _query_vector(spark, sf) -> list[float]:
+    """The one query vector (a single row of ``dim`` floats) fetched to the driver."""
+    rows = fx.query_vector(spark, sf).take(2)
+    if len(rows) != 1:
+        raise ValueError("expected exactly one query vector")
+    return list(rows[0]["embedding"])
+
+
+def index_candidates(spark, sf):
+    led = fx.index_ledger(spark, sf)
+    return vectors.index_candidates(_logs(spark, sf), led, AS_OF, IndexParams(since=30 * DAY, limit=None)) \
+        .select("id", "ts", "document")
+
+
+def index_build(spark, sf):
+    vec, led = vectors.index_logs(_logs(spark, sf), fx.index_ledger(spark, sf), AS_OF,
+                                  IndexParams(since=30 * DAY, limit=None))
+    return vec.select("log_id", "document", F.size("embedding").alias("dims"))
+
+
+def vector_topk(spark, sf):
+    return vectors.search(_vector_table(spark, sf), _query_vector(spark, sf), SEARCH_ALL, AS_OF)
+
+
+def vector_topk_filtered(spark, sf):
+    return vectors.search(_vector_table(spark, sf), _query_vector(spark, sf), SEARCH_FILTERED, AS_OF)
+
+
+def search_expand(spark, sf):
+    return vectors.expand_hits(vector_topk_filtered(spark, sf), _logs(spark, sf))
+
+
+def rag_context(spark, sf):
+    return vectors.rag_context(search_expand(spark, sf))
+
+
+def index_retention(spark, sf):
+    prepare(spark)
+    _, _, counts = vectors.retention(fx.index_ledger(spark, sf), fx.vectors(spark, sf), AS_OF, days=29)
+    return counts
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -240,4 +291,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "service_down": service_down,
     "alerts_query": alerts_query,
     "health_summary": health_summary,
+    # step 8: vector index and retrieval
+    "index_candidates": index_candidates,
+    "index_build": index_build,
+    "vector_topk": vector_topk,
+    "vector_topk_filtered": vector_topk_filtered,
+    "search_expand": search_expand,
+    "rag_context": rag_context,
+    "index_retention": index_retention,
 }

@@ -134,6 +134,29 @@ log_summary AS (
   FROM (SELECT count(*) AS total_logs FROM w) t,
        (SELECT coalesce(sum(c), 0) AS error_count FROM sev WHERE k IN ('err', 'crit', 'emerg')) e)"""
 
+DOC = ("CASE WHEN coalesce(hostname, '') <> '' THEN '[' || hostname || '] ' ELSE '' END || "
+       "coalesce(unit, 'None') || ': ' || coalesce(message, 'None')")
+DIST = ("list_sum(list_transform(generate_series(1, len(embedding)), lambda i: "
+        "(CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE))))")
+
+
+def _topk(where: str, k: int) -> str:
+    return f"""hits AS (
+  SELECT log_id, round(d, 6) AS distance, round(1 - d, 6) AS similarity,
+    CAST(row_number() OVER (ORDER BY d, log_id) AS INTEGER) AS rank
+  FROM (SELECT e.vec_id AS log_id, {DIST} AS d
+        FROM embeddings e JOIN logs l ON l.id = e.vec_id,
+             (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0) q
+        WHERE {where})
+  ORDER BY d, log_id LIMIT {k})"""
+
+
+HITS_ALL = _topk("TRUE", 10)
+HITS_FILTERED = _topk("l.ts >= TIMESTAMP '2024-01-01 00:00:00' AND l.source = 'journald'", 20)
+EXPANDED = """expanded AS (
+  SELECT l.id, l.ts, l.hostname, l.source, l.unit, l.severity, l.message, h.similarity, h.rank
+  FROM hits h JOIN logs l ON l.id = h.log_id)"""
+
 ORACLE: dict[str, str] = {
     "log_query_min_severity": _w(
         f"SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500", LOGS),
@@ -223,4 +246,19 @@ FROM (SELECT *, {MVAL} AS v FROM metrics WHERE timestamp >= {D30}) GROUP BY metr
     "alerts_query": _w(f"""SELECT * FROM alert_table WHERE timestamp >= {D7} AND severity = 'warning'
   AND NOT acknowledged AND json_valid(metric_data)""", METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE),
     "health_summary": _w("SELECT * FROM health", METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH),
+    "index_candidates": _w(f"SELECT id, ts, {DOC} AS document FROM logs WHERE ts >= {D30} "
+                           "AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM logs))", LOGS),
+    "index_build": _w(f"SELECT id AS log_id, {DOC} AS document, 64 AS dims FROM logs WHERE ts >= {D30} "
+                      "AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM logs))", LOGS),
+    "vector_topk": _w("SELECT * FROM hits", LOGS, HITS_ALL),
+    "vector_topk_filtered": _w("SELECT * FROM hits", LOGS, HITS_FILTERED),
+    "search_expand": _w("SELECT * FROM expanded", LOGS, HITS_FILTERED, EXPANDED),
+    "rag_context": _w(f"""SELECT CASE WHEN count(*) = 0 THEN 'No relevant logs found.' ELSE
+  'Relevant log entries:' || chr(10) || string_agg(n || '. [' || {ts_str('ts')} || '] ' || coalesce(unit, 'None') || ' (' ||
+    coalesce(severity, 'None') || '): ' || coalesce(message, 'None'), chr(10) ORDER BY n) END AS context,
+  CAST(count(*) AS INTEGER) AS n_logs
+FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, id) AS n FROM expanded)""", LOGS, HITS_FILTERED, EXPANDED),
+    "index_retention": _w("""SELECT count(*) FILTER (WHERE l.ts < TIMESTAMP '2024-01-02 00:00:00') AS deleted,
+  count(*) FILTER (WHERE l.ts >= TIMESTAMP '2024-01-02 00:00:00') AS kept
+FROM embeddings e JOIN logs l ON l.id = e.vec_id""", LOGS),
 }
