@@ -60,7 +60,7 @@ FROM events
 CHAT_HISTORY_SQL = f"""
 SELECT conv_id * 1000 + turn AS id,
   CAST(TIMESTAMP '{AS_OF}' - (conv_id * 60 + turn) * INTERVAL '1' SECOND AS TIMESTAMP) AS timestamp,
-  role, text AS content, CAST(conv_id AS VARCHAR) AS session_id
+  role, text AS content, CAST(conv_id AS STRING) AS session_id
 FROM conversations
 """
 

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
-from timberline.operators import alerts, anomaly, ingest, metrics, query, report, vectors
+import hashlib
+
+from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, query, report, vectors
 from timberline.sources import parsers
 from timberline.sources.registry import LogSource, read_all, read_source
-from timberline.params import (AlertQuery, AnomalyParams, Discover, IndexParams, LogQuery, MetricQuery,
-                               SearchParams)
+from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Discover, IndexParams, LogQuery,
+                               MetricQuery, SearchParams)
 from timberline.session import prepare
 
 AS_OF = fx.AS_OF
@@ -248,6 +250,57 @@ def index_retention(spark, sf):
     return counts
 
 
+AUDIT_TOOLS = ["auditd", "aide", "rkhunter", "chkrootkit", "clamav", "openscap", "lynis"]
+
+
+def _scan_lines(spark, sf):
+    prepare(spark)
+    return (fx.scan_lines(spark, sf).withColumnRenamed("is_error", "rc")
+            .withColumn("scan_time", F.col("scan_date").cast("timestamp_ntz")).drop("scan_date"))
+
+
+def _audit_tool(tool: str):
+    def run(spark, sf):
+        lines = _scan_lines(spark, sf).filter(F.col("tool") == tool)
+        return audit.scan_results(lines)
+    return run
+
+
+def _audit_records(spark, sf):
+    return audit.audit_records(audit.scan_results(_scan_lines(spark, sf)))
+
+
+def audit_rollup(spark, sf):
+    return audit.audit_rollup(_audit_records(spark, sf))
+
+
+def audit_history(spark, sf):
+    return audit.audit_history(_audit_records(spark, sf), AuditHistoryParams(tool="aide", limit=50))
+
+
+def _audit_id_param(tool: str, host: str, scan_time: str) -> int:
+    """The id of one audit, for a point lookup (same rule as audit.audit_id)."""
+    digest = hashlib.sha256(f"{tool}|{host}|{scan_time}".encode()).digest()
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def audit_details(spark, sf):
+    return audit.audit_details(_audit_records(spark, sf), _audit_id_param("clamav", "host3", "2024-01-15 00:00:00"))
+
+
+def _chat(spark, sf):
+    prepare(spark)
+    return fx.chat_history(spark, sf)
+
+
+def chat_history(spark, sf):
+    return chat.chat_history(_chat(spark, sf))
+
+
+def chat_stats(spark, sf):
+    return chat.chat_stats(_chat(spark, sf), AS_OF)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -299,4 +352,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_expand": search_expand,
     "rag_context": rag_context,
     "index_retention": index_retention,
+    # step 9: security scan analytics
+    **{f"audit_{t}": _audit_tool(t) for t in AUDIT_TOOLS},
+    "audit_rollup": audit_rollup,
+    "audit_history": audit_history,
+    "audit_details": audit_details,
+    # step 10: chat
+    "chat_history": chat_history,
+    "chat_stats": chat_stats,
 }

@@ -157,6 +157,102 @@ EXPANDED = """expanded AS (
   SELECT l.id, l.ts, l.hostname, l.source, l.unit, l.severity, l.message, h.similarity, h.rank
   FROM hits h JOIN logs l ON l.id = h.log_id)"""
 
+SCAN_LINES = f"sl AS ({fx.SCAN_LINES_SQL})"
+_NB = "trim(line) <> ''"
+_INF_N = r"coalesce(TRY_CAST(regexp_extract(line, 'Infected files: (\d+)', 1) AS BIGINT), 0)"
+
+
+def _occ(needle: str) -> str:
+    return f"CAST((length(line) - length(replace(line, '{needle}', ''))) // length('{needle}') AS BIGINT)"
+
+
+AUDIT_FLAGS = f"""fl AS (
+  SELECT CAST(scan_date AS TIMESTAMP) AS scan_time, host, tool, line_no, line, trim(line) AS text, is_error AS rc,
+    CASE WHEN tool = 'auditd' AND {_NB} THEN 1
+         WHEN tool = 'aide' AND {_NB} AND NOT starts_with(line, 'AIDE') THEN 1
+         WHEN tool = 'rkhunter' AND (contains(line, 'Warning:') OR contains(line, 'Suspicious:')) THEN 1
+         WHEN tool = 'chkrootkit' AND (contains(line, 'INFECTED') OR contains(line, 'Warning:')) THEN 1
+         WHEN tool = 'clamav' AND {_NB} AND contains(line, 'Infected files:') AND {_INF_N} > 0 THEN 1
+         WHEN tool = 'lynis' AND contains(line, '[WARN]') THEN 1
+         WHEN tool = 'lynis' AND contains(line, '[SUGGESTION]') THEN 2 END AS kind,
+    {_NB} AS nonblank,
+    {_NB} AND regexp_matches(line, '(?:type=EXECVE.*suid=)|(?:type=SYSCALL.*syscall=2)|(?:type=SYSCALL.*syscall=59)|(?:type=LOGIN.*res=failed)') AS suspicious,
+    CASE WHEN {_NB} AND NOT contains(line, 'Infected files:') AND contains(line, 'Scanned files:')
+         THEN TRY_CAST(regexp_extract(line, 'Scanned files: (\\d+)', 1) AS BIGINT) END AS scanned,
+    {_occ('result="pass"')} AS n_pass, {_occ('result="fail"')} AS n_fail, {_occ('result="error"')} AS n_error
+  FROM sl)"""
+AUDIT_RESULTS = """agg AS (
+  SELECT scan_time, host, tool, max(rc) AS rc, count(*) FILTER (WHERE nonblank) AS line_count,
+    count(*) FILTER (WHERE suspicious) AS n_susp, count(*) FILTER (WHERE kind = 1) AS n_prim,
+    CAST(sum(scanned) AS BIGINT) AS n_scanned, CAST(sum(n_pass) AS BIGINT) AS n_pass,
+    CAST(sum(n_fail) AS BIGINT) AS n_fail, CAST(sum(n_error) AS BIGINT) AS n_error
+  FROM fl GROUP BY scan_time, host, tool),
+samp AS (
+  SELECT scan_time, host, tool,
+    string_agg(text, chr(10) ORDER BY line_no) FILTER (WHERE kind = 1) AS s1,
+    string_agg(text, chr(10) ORDER BY line_no) FILTER (WHERE kind = 2) AS s2
+  FROM (SELECT *, row_number() OVER (PARTITION BY scan_time, host, tool, kind ORDER BY line_no) AS rn
+        FROM fl WHERE kind IS NOT NULL) WHERE rn <= 10 GROUP BY scan_time, host, tool),
+res AS (
+  SELECT a.scan_time, a.host, a.tool, a.rc,
+    CASE a.tool WHEN 'auditd' THEN 'running'
+      WHEN 'aide' THEN CASE a.rc WHEN 0 THEN 'clean' WHEN 1 THEN 'violations' ELSE 'error' END
+      WHEN 'rkhunter' THEN CASE a.rc WHEN 0 THEN 'clean' WHEN 1 THEN 'warnings' WHEN 2 THEN 'suspicious' ELSE 'error' END
+      WHEN 'chkrootkit' THEN CASE a.rc WHEN 0 THEN 'clean' WHEN 1 THEN 'suspicious' ELSE 'error' END
+      WHEN 'clamav' THEN CASE WHEN a.n_prim > 0 THEN 'infected' ELSE 'clean' END
+      WHEN 'openscap' THEN CASE a.rc WHEN 0 THEN 'completed' ELSE 'error' END
+      WHEN 'lynis' THEN CASE a.rc WHEN 0 THEN 'completed' ELSE 'error' END ELSE 'unknown' END AS status,
+    CASE a.tool WHEN 'auditd' THEN CASE WHEN a.rc = 0 AND a.n_susp > 0 THEN 'warning' ELSE 'info' END
+      WHEN 'aide' THEN CASE a.rc WHEN 0 THEN 'info' WHEN 1 THEN 'critical' ELSE 'error' END
+      WHEN 'rkhunter' THEN CASE a.rc WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'critical' ELSE 'error' END
+      WHEN 'chkrootkit' THEN CASE a.rc WHEN 0 THEN 'info' WHEN 1 THEN 'critical' ELSE 'error' END
+      WHEN 'clamav' THEN CASE WHEN a.n_prim > 0 THEN 'critical' ELSE 'info' END
+      WHEN 'openscap' THEN CASE WHEN a.rc <> 0 THEN 'error' WHEN a.n_fail > 0 THEN 'warning' ELSE 'info' END
+      WHEN 'lynis' THEN CASE WHEN a.rc <> 0 THEN 'error' WHEN a.n_prim > 0 THEN 'warning' ELSE 'info' END
+      ELSE 'info' END AS severity,
+    CASE a.tool
+      WHEN 'auditd' THEN 'auditd service is active' ||
+        CASE WHEN a.rc = 0 AND a.n_susp > 0 THEN ' - ' || a.n_susp || ' suspicious events detected' ELSE '' END
+      WHEN 'aide' THEN CASE a.rc WHEN 0 THEN 'No integrity violations detected'
+        WHEN 1 THEN 'File integrity violations detected' ELSE 'AIDE check failed: ' END
+      WHEN 'rkhunter' THEN CASE a.rc WHEN 0 THEN 'No rootkits detected' WHEN 1 THEN 'Some warnings found'
+        WHEN 2 THEN 'Suspicious files detected' ELSE 'rkhunter check failed: ' END
+      WHEN 'chkrootkit' THEN CASE a.rc WHEN 0 THEN 'No rootkits detected' WHEN 1 THEN 'Suspicious files detected'
+        ELSE 'chkrootkit check failed: ' END
+      WHEN 'clamav' THEN CASE WHEN a.n_prim > 0 THEN 'Virus detected in ' || a.n_prim || ' locations'
+        ELSE 'No viruses detected in ' || coalesce(a.n_scanned, 0) || ' scanned files' END
+      WHEN 'openscap' THEN CASE WHEN a.rc = 0 THEN 'OpenSCAP scan completed' ||
+        CASE WHEN a.n_fail > 0 THEN ' - ' || a.n_fail || ' compliance failures' ELSE '' END ELSE 'OpenSCAP scan failed: ' END
+      WHEN 'lynis' THEN CASE WHEN a.rc = 0 THEN 'Lynis audit completed' ||
+        CASE WHEN a.n_prim > 0 THEN ' - ' || a.n_prim || ' warnings found' ELSE '' END ELSE 'Lynis audit failed: ' END
+      ELSE '' END AS summary,
+    a.line_count,
+    CASE WHEN (a.tool IN ('auditd', 'openscap', 'lynis') AND a.rc <> 0) OR (a.tool = 'aide' AND a.rc <> 1) THEN NULL
+      WHEN a.tool = 'auditd' THEN a.n_susp WHEN a.tool = 'openscap' THEN a.n_fail ELSE a.n_prim END AS finding_count,
+    CASE WHEN a.tool = 'clamav' THEN coalesce(a.n_scanned, 0) END AS scanned_files,
+    CASE WHEN a.tool = 'openscap' AND a.rc = 0 THEN a.n_pass END AS pass_count,
+    CASE WHEN a.tool = 'openscap' AND a.rc = 0 THEN a.n_fail END AS fail_count,
+    CASE WHEN a.tool = 'openscap' AND a.rc = 0 THEN a.n_error END AS error_count,
+    CASE WHEN (a.tool IN ('auditd', 'openscap', 'lynis') AND a.rc <> 0) OR (a.tool = 'aide' AND a.rc <> 1) THEN NULL
+      ELSE s.s1 END AS details,
+    CASE WHEN a.tool = 'lynis' AND a.rc = 0 THEN coalesce(s.s2, '') END AS details2
+  FROM agg a LEFT JOIN samp s ON s.scan_time = a.scan_time AND s.host = a.host AND s.tool = a.tool)"""
+AUDIT_RECORDS = ("records AS (SELECT " + x2(f"sha256(tool || '|' || host || '|' || {ts_str('scan_time')})")
+                 + " AS id, tool, host, scan_time, status, summary, severity, "
+                 "rc, finding_count, scanned_files, details FROM res)")
+
+
+def _audit(tool: str) -> str:
+    return _w(f"SELECT * FROM res WHERE tool = '{tool}'", SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS)
+
+
+def _audit_id(tool: str, host: str, scan_time: str) -> int:
+    import hashlib
+    return int.from_bytes(hashlib.sha256(f"{tool}|{host}|{scan_time}".encode()).digest()[:8], "big", signed=True)
+
+
+CHAT = f"chat AS ({fx.CHAT_HISTORY_SQL})"
+
 ORACLE: dict[str, str] = {
     "log_query_min_severity": _w(
         f"SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500", LOGS),
@@ -261,4 +357,21 @@ FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, id) AS n FROM expanded)""",
     "index_retention": _w("""SELECT count(*) FILTER (WHERE l.ts < TIMESTAMP '2024-01-02 00:00:00') AS deleted,
   count(*) FILTER (WHERE l.ts >= TIMESTAMP '2024-01-02 00:00:00') AS kept
 FROM embeddings e JOIN logs l ON l.id = e.vec_id""", LOGS),
+    **{f"audit_{t}": _audit(t) for t in ["auditd", "aide", "rkhunter", "chkrootkit", "clamav", "openscap", "lynis"]},
+    "audit_rollup": _w("""SELECT host, count(*) AS total_audits, count(*) FILTER (WHERE severity = 'info') AS passed,
+  count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'critical') AS critical,
+  count(*) FILTER (WHERE severity = 'error') AS errors
+FROM (SELECT host, tool, arg_max(severity, scan_time) AS severity FROM records GROUP BY host, tool) GROUP BY host""",
+                       SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS, AUDIT_RECORDS),
+    "audit_history": _w("""SELECT id, tool, host, scan_time, status, summary, severity FROM records WHERE tool = 'aide'
+ORDER BY scan_time DESC, id LIMIT 50""", SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS, AUDIT_RECORDS),
+    "audit_details": _w(f"""SELECT id, tool, host, scan_time, status, severity, summary, rc, finding_count, scanned_files, details
+FROM records WHERE id = {_audit_id('clamav', 'host3', '2024-01-15 00:00:00')}""",
+                        SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS, AUDIT_RECORDS),
+    "chat_history": _w("SELECT id, timestamp, role, content, session_id FROM chat ORDER BY timestamp DESC, id DESC LIMIT 50",
+                       CHAT),
+    "chat_stats": _w("""SELECT (SELECT count(*) FROM chat) AS total_messages,
+  (SELECT string_agg(coalesce(role, 'None') || ': ' || n, ', ' ORDER BY role NULLS LAST)
+   FROM (SELECT role, count(*) AS n FROM chat GROUP BY role)) AS messages_by_role,
+  (SELECT count(*) FROM chat WHERE timestamp >= TIMESTAMP '2024-01-30 23:00:00') AS recent_messages_1h""", CHAT),
 }
