@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
 import hashlib
+import uuid
 
 from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, query, report, vectors
 from timberline.sources import parsers
 from timberline.sources.registry import LogSource, read_all, read_source
 from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Discover, IndexParams, LogQuery,
                                MetricQuery, SearchParams)
-from timberline.session import prepare
+from timberline.schema import METRICS as METRICS_SCHEMA
+from timberline.session import prepare, scratch_path
+from timberline.sources import files as file_sources
+from timberline.streaming import ingest as stream_ingest_mod
+from timberline.streaming import monitor, spikes
+from timberline.streaming.sinks import read_table
 
 AS_OF = fx.AS_OF
 DAY = 86400
@@ -301,6 +307,72 @@ def chat_stats(spark, sf):
     return chat.chat_stats(_chat(spark, sf), AS_OF)
 
 
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint dir."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+STREAM_COLS = ["id", "fingerprint", "ts", "unit", "severity", "message"]
+
+
+def stream_ingest(spark, sf):
+    """journald lines land as text files (every info line twice, in later
+    files); the ingest stream stores each entry once."""
+    prepare(spark)
+    base = _scratch(spark, "stream-ingest")
+    lines = fx.journald_lines(spark, sf).select("value")
+    lines.write.text(f"{base}/landing")
+    lines.filter(F.col("value").contains('"PRIORITY":"6"')).write.mode("append").text(f"{base}/landing")
+    q = stream_ingest_mod.start_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint",
+                                       max_files_per_trigger=4)
+    q.awaitTermination()
+    return read_table(spark, f"{base}/table").select(*STREAM_COLS)
+
+
+def stream_error_spike(spark, sf):
+    prepare(spark)
+    base = _scratch(spark, "stream-spikes")
+    fx.journald_lines(spark, sf).select("value").write.text(f"{base}/landing")
+    parsed = stream_ingest_mod.parsed_stream(spark, f"{base}/landing", max_files_per_trigger=4)
+    q = spikes.start_error_spikes(parsed, f"{base}/table", f"{base}/checkpoint", window="1 day", threshold=10)
+    q.awaitTermination()
+    return read_table(spark, f"{base}/table")
+
+
+def stream_alerts(spark, sf):
+    prepare(spark)
+    base = _scratch(spark, "stream-monitor")
+    fx.metrics(spark, sf).write.parquet(f"{base}/landing")
+    stream = spark.readStream.schema(METRICS_SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{base}/landing")
+    q = monitor.start_monitor(stream, f"{base}/metrics", f"{base}/alerts", f"{base}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return read_table(spark, f"{base}/alerts")
+
+
+def file_ingest(spark, sf):
+    """Syslog files per host are discovered by glob under a folder tree, pruned
+    by size, read line by line and parsed; rows per host."""
+    prepare(spark)
+    base = _scratch(spark, "files")
+    fx.syslog_lines(spark, sf).join(fx.logs(spark, sf).select(F.col("id"), "hostname"),
+                                    F.col("seq") == F.col("id") * 2, "left") \
+        .select("value", "hostname").write.partitionBy("hostname").text(f"{base}/logs")
+    fx.metrics(spark, sf).write.parquet(f"{base}/logs/not-logs")
+    lines = file_sources.read_lines(spark, f"{base}/logs", patterns=["*.txt"], max_size_mb=100, recursive=True)
+    parsed = parsers.parse_syslog(lines, year=2024)
+    return parsed.groupBy("hostname").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"),
+                                          F.max("ts").alias("last_ts"))
+
+
+def report_list(spark, sf):
+    prepare(spark)
+    base = _scratch(spark, "reports")
+    for day in ("2024-01-29 00:00:00", "2024-01-30 00:00:00", AS_OF):
+        rep = report.daily_report(_logs(spark, sf), _metrics(spark, sf), _alert_table(spark, sf), day, DAY)
+        report.save_report(report.format_text(rep), base, day)
+    return report.list_reports(spark, base, limit=10).select("name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -360,4 +432,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 10: chat
     "chat_history": chat_history,
     "chat_stats": chat_stats,
+    # step 11: streaming
+    "stream_ingest": stream_ingest,
+    "stream_error_spike": stream_error_spike,
+    "stream_alerts": stream_alerts,
+    # step 12: files
+    "file_ingest": file_ingest,
+    "report_list": report_list,
 }

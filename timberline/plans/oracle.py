@@ -374,4 +374,12 @@ FROM records WHERE id = {_audit_id('clamav', 'host3', '2024-01-15 00:00:00')}"""
   (SELECT string_agg(coalesce(role, 'None') || ': ' || n, ', ' ORDER BY role NULLS LAST)
    FROM (SELECT role, count(*) AS n FROM chat GROUP BY role)) AS messages_by_role,
   (SELECT count(*) FROM chat WHERE timestamp >= TIMESTAMP '2024-01-30 23:00:00') AS recent_messages_1h""", CHAT),
+    "stream_ingest": _w(f"SELECT {x2('fp')} AS id, fp AS fingerprint, ts, unit, severity, message "
+                        f"FROM (SELECT *, {FP} AS fp FROM logs)", LOGS),
+    "stream_error_spike": _w("""SELECT time_bucket(INTERVAL '1 day', ts) AS window_start,
+  time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, unit, count(*) AS error_count
+FROM logs WHERE severity IN ('err', 'crit', 'emerg') GROUP BY ALL HAVING count(*) > 10""", LOGS),
+    "stream_alerts": _w(stored_alerts("alerts_t"), METRICS, ALERTS_T),
+    "file_ingest": _w("""SELECT hostname, count(*) AS rows, min(date_trunc('second', ts)) AS first_ts,
+  max(date_trunc('second', ts)) AS last_ts FROM logs GROUP BY hostname""", LOGS),
 }
