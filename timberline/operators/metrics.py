@@ -52,10 +52,14 @@ def flatten_snapshot(snapshots: DataFrame) -> DataFrame:
         if name in snapshots.columns:
             items.append(F.array(F.struct(F.lit(name).alias("metric_type"),
                                           F.to_json(F.col(name), opts).alias("metric_data"))))
+    def as_row(kind: str):
+        return lambda x: F.struct(F.lit(kind).alias("metric_type"), F.to_json(x, opts).alias("metric_data"))
+
     for name, stored in (("disk", "disk"), ("network", "network"), ("services", "service")):
         if name in snapshots.columns:
-            items.append(F.transform(F.coalesce(F.col(name), F.array()), lambda x, s=stored: F.struct(
-                F.lit(s).alias("metric_type"), F.to_json(x, opts).alias("metric_data"))))
+            # A NULL list contributes no rows (an empty list of its own type).
+            listed = F.coalesce(F.col(name), F.array().cast(snapshots.schema[name].dataType))
+            items.append(F.transform(listed, as_row(stored)))
     rows = snapshots.select("timestamp", F.explode(F.flatten(F.array(*items))).alias("m"))
     return rows.select("timestamp", "m.metric_type", "m.metric_data")
 

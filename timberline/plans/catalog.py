@@ -21,6 +21,8 @@ from timberline.sources import parsers
 from timberline.sources.registry import LogSource, read_all, read_source
 from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Discover, IndexParams, LogQuery,
                                MetricQuery, SearchParams)
+from timberline.schema import ALERTS as ALERTS_SCHEMA
+from timberline.schema import LOGS as LOGS_SCHEMA
 from timberline.schema import METRICS as METRICS_SCHEMA
 from timberline.session import prepare, scratch_path
 from timberline.sources import files as file_sources
@@ -326,7 +328,7 @@ def stream_ingest(spark, sf):
     q = stream_ingest_mod.start_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint",
                                        max_files_per_trigger=4)
     q.awaitTermination()
-    return read_table(spark, f"{base}/table").select(*STREAM_COLS)
+    return read_table(spark, f"{base}/table", LOGS_SCHEMA).select(*STREAM_COLS)
 
 
 def stream_error_spike(spark, sf):
@@ -336,7 +338,7 @@ def stream_error_spike(spark, sf):
     parsed = stream_ingest_mod.parsed_stream(spark, f"{base}/landing", max_files_per_trigger=4)
     q = spikes.start_error_spikes(parsed, f"{base}/table", f"{base}/checkpoint", window="1 day", threshold=10)
     q.awaitTermination()
-    return read_table(spark, f"{base}/table")
+    return read_table(spark, f"{base}/table", spikes.SPIKE_SCHEMA)
 
 
 def stream_alerts(spark, sf):
@@ -346,7 +348,7 @@ def stream_alerts(spark, sf):
     stream = spark.readStream.schema(METRICS_SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{base}/landing")
     q = monitor.start_monitor(stream, f"{base}/metrics", f"{base}/alerts", f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
-    return read_table(spark, f"{base}/alerts")
+    return read_table(spark, f"{base}/alerts", ALERTS_SCHEMA).select(*ALERTS_SCHEMA.fieldNames())
 
 
 def file_ingest(spark, sf):

@@ -23,12 +23,12 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """The table written by an epoch sink (without the epoch column), or None
-    if nothing was written yet."""
+    """The table written by an epoch sink (without the epoch column). When
+    nothing was written yet: an empty frame of ``schema``, or None."""
     try:
         df = spark.read.parquet(path)
     except Exception:  # noqa: BLE001 - the table does not exist yet
-        return None
+        return spark.createDataFrame([], schema) if schema is not None else None
     return df.drop(EPOCH)
 
 

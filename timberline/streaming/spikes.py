@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from timberline.functions import is_error_severity
 from timberline.streaming.sinks import write_epoch
 
+SPIKE_SCHEMA = "window_start timestamp_ntz, window_end timestamp_ntz, unit string, error_count long"
+
 
 def windowed_errors(parsed: DataFrame, window: str = "1 hour") -> DataFrame:
     """Error rows per tumbling ``window`` and unit (batch or streaming input)."""
