@@ -163,6 +163,16 @@ def test_vector_search_and_context(spark):
     assert ctx.splitlines()[2].endswith("None (info): m")
     empty = vectors.rag_context(vectors.expand_hits(spark.createDataFrame(hits).limit(0), logs)).first()
     assert empty.context == "No relevant logs found."
-    emb = spark.createDataFrame([("disk full on sda",), (None,)], "t string").select(
-        vectors.embed_column(F.col("t")).alias("e")).collect()
+    emb = vectors.with_embedding(spark.createDataFrame([("disk full on sda",), (None,)], "t string"),
+                                 "t", "e").collect()
     assert len(emb[0].e) == 64 and emb[1].e is None
+    assert abs(sum(x * x for x in emb[0].e) - 1.0) < 1e-5
+
+    class Halves:
+        def embed(self, texts):
+            import numpy as np
+            return np.array([[0.5, 0.5] if t else [np.nan, np.nan] for t in texts])
+
+    custom = vectors.with_embedding(spark.createDataFrame([("a",), ("",)], "t string"), "t", "e",
+                                    model=Halves()).collect()
+    assert custom[0].e == [0.5, 0.5] and custom[1].e is None

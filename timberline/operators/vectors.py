@@ -31,9 +31,10 @@ META_COLUMNS = ["ts", "hostname", "source", "unit", "severity"]
 
 
 class HashingEmbedder:
-    """Offline, deterministic default model: word tokens hashed (CRC-32) into
-    ``dim`` signed buckets, L2-normalised. Any object with the same
-    ``embed(list[str]) -> np.ndarray`` method can replace it."""
+    """Offline, deterministic default model: lower-cased blank-separated tokens
+    hashed (CRC-32) into ``dim`` signed buckets, L2-normalised. Any object with
+    the same ``embed(list[str]) -> np.ndarray`` method (NaN row = failure) can
+    replace it, e.g. an ONNX model session."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -44,25 +45,32 @@ class HashingEmbedder:
             if text is None:
                 out[row] = np.nan
                 continue
-            for tok in text.lower().split():
-                h = zlib.crc32(tok.encode("utf-8"))
-                out[row, h % self.dim] += 1.0 if (h >> 31) & 1 == 0 else -1.0
-            n = np.linalg.norm(out[row])
-            if n > 0:
-                out[row] /= n
+            h = np.fromiter((zlib.crc32(t.encode("utf-8")) for t in text.lower().split()), dtype=np.uint32)
+            if h.size:
+                np.add.at(out[row], h % self.dim, np.where(h >> 31, -1.0, 1.0).astype(np.float32))
+                n = np.linalg.norm(out[row])
+                if n > 0:
+                    out[row] /= n
         return out
 
 
-def embed_column(text: Column, model=None) -> Column:
-    """V2: an Arrow-batched iterator pandas UDF computing ``model.embed`` over
-    whole batches; a text the model cannot embed gives NULL (dropped later)."""
-    model = model or HashingEmbedder()
+def with_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", model=None) -> DataFrame:
+    """V2: add ``out_col`` = ``model.embed`` of ``text_col`` (default: the
+    hashing model). The model runs on executors on whole Arrow batches; NULL
+    text or a model failure gives NULL."""
+    return df.withColumn(out_col, model_embedding(F.col(text_col), model or HashingEmbedder()))
+
+
+def model_embedding(text: Column, model) -> Column:
+    """V2/P2 for a pluggable model: any object with ``embed(list[str]) ->
+    np.ndarray`` (rows of NaN = failure), called on whole Arrow batches by an
+    iterator pandas UDF. A text the model cannot embed gives NULL."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            vecs = model.embed(texts.tolist())
-            yield pd.Series([None if v is None or np.isnan(v).any() else v.tolist() for v in vecs])
+            vecs = np.asarray(model.embed(texts.tolist()), dtype=np.float32)
+            yield pd.Series([None if np.isnan(v).any() else v.tolist() for v in vecs])
 
     return _embed(text)
 
@@ -101,8 +109,7 @@ def index_logs(logs: DataFrame, ledger: DataFrame, as_of, p: IndexParams, model=
     """V1: embed the pending rows; rows the model fails on are left out.
     Returns (new vector rows, new ledger rows ``(log_id, indexed_at)``)."""
     cand = index_candidates(logs, ledger, as_of, p)
-    emb = cand.withColumn("embedding", embed_column(F.col("document"), model)) \
-              .filter(F.col("embedding").isNotNull())
+    emb = with_embedding(cand, "document", "embedding", model).filter(F.col("embedding").isNotNull())
     vec = emb.select(F.col("id").alias("log_id"), "embedding", "ts",
                      *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in META_COLUMNS[1:]], "document")
     led = emb.select(F.col("id").alias("log_id"), ts_lit(as_of).alias("indexed_at"))
