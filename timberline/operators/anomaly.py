@@ -14,6 +14,7 @@ from timberline.functions import is_error_severity, py_str
 from timberline.operators.window import in_window
 from timberline.params import AnomalyParams
 from timberline.schema import EXPECTED_UNITS
+from timberline.session import materialize
 
 ANOMALY_COLUMNS = ["kind_order", "type", "unit", "source", "count", "severity", "description"]
 
@@ -22,8 +23,13 @@ def error_spikes(logs: DataFrame, p: AnomalyParams, as_of) -> DataFrame:
     """A2: units with more than ``error_spike_threshold`` err/crit/emerg rows."""
     counts = (in_window(logs, as_of, p.since)
               .filter(is_error_severity(F.col("severity")))
-              .groupBy("unit").agg(F.count(F.lit(1)).alias("count"))
-              .filter(F.col("count") > p.error_spike_threshold))
+              .groupBy("unit").agg(F.count(F.lit(1)).alias("count")))
+    return spikes_from_counts(counts, p)
+
+
+def spikes_from_counts(unit_errors: DataFrame, p: AnomalyParams) -> DataFrame:
+    """A2 from precomputed ``(unit, count)`` error counts."""
+    counts = unit_errors.filter(F.col("count") > p.error_spike_threshold)
     return counts.select(
         F.lit("error_spike").alias("type"),
         F.coalesce(F.col("unit"), F.lit("")).alias("unit"),
@@ -36,8 +42,13 @@ def error_spikes(logs: DataFrame, p: AnomalyParams, as_of) -> DataFrame:
 def high_volume(logs: DataFrame, p: AnomalyParams, as_of) -> DataFrame:
     """A3: sources with more than ``high_volume_threshold`` rows."""
     counts = (in_window(logs, as_of, p.since)
-              .groupBy("source").agg(F.count(F.lit(1)).alias("count"))
-              .filter(F.col("count") > p.high_volume_threshold))
+              .groupBy("source").agg(F.count(F.lit(1)).alias("count")))
+    return volume_from_counts(counts, p)
+
+
+def volume_from_counts(source_counts: DataFrame, p: AnomalyParams) -> DataFrame:
+    """A3 from precomputed ``(source, count)`` row counts."""
+    counts = source_counts.filter(F.col("count") > p.high_volume_threshold)
     return counts.select(
         F.lit("high_volume").alias("type"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
@@ -86,17 +97,22 @@ def anomaly_order() -> list[Column]:
             F.coalesce(F.col("unit"), F.col("source")).asc_nulls_last()]
 
 
-def anomaly_summary_parts(logs: DataFrame, p: AnomalyParams, as_of, recent: int = 5) -> DataFrame:
+def anomaly_summary_parts(logs: DataFrame, p: AnomalyParams, as_of, recent: int = 5,
+                          counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """A8 as one row: totals over error spikes and high volume (missing_logs is
     not part of the report's summary), counts per type and the first ``recent``
     anomalies in list order as an array.
 
     Join-free: the totals and the top-k (TakeOrderedAndProject, so only
     ``recent`` rows reach the final step) are unioned and folded by one global
-    aggregate.
+    aggregate. ``counts`` = precomputed ((unit, error count), (source, count))
+    lets a caller that already grouped the window reuse that scan.
     """
-    rows = error_spikes(logs, p, as_of).withColumn("kind_order", F.lit(1)).unionByName(
-        high_volume(logs, p, as_of).withColumn("kind_order", F.lit(2)), allowMissingColumns=True)
+    spikes = spikes_from_counts(counts[0], p) if counts else error_spikes(logs, p, as_of)
+    volume = volume_from_counts(counts[1], p) if counts else high_volume(logs, p, as_of)
+    # One row per anomalous unit / source: small, read by two branches.
+    rows = materialize(spikes.withColumn("kind_order", F.lit(1)).unionByName(
+        volume.withColumn("kind_order", F.lit(2)), allowMissingColumns=True))
     totals = rows.agg(
         F.count(F.lit(1)).alias("total_anomalies"),
         F.count_if(F.col("severity") == "high").alias("high_severity"),

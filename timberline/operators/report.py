@@ -18,6 +18,7 @@ from timberline.operators.anomaly import anomaly_summary_parts
 from timberline.operators.metrics import health_parts
 from timberline.operators.window import in_window
 from timberline.params import AnomalyParams, as_timestamp
+from timberline.session import materialize
 
 TOP_UNITS = 10
 TOP_SOURCES = 5
@@ -66,18 +67,33 @@ def _strip_order(c: Column) -> Column:
                        lambda x: F.struct(x["key"].alias("key"), x["count"].alias("count")))
 
 
-def log_summary_parts(logs: DataFrame, as_of, since_seconds: int = 86400) -> DataFrame:
-    """A6 as one row: total, severity distribution, top units and sources (as
-    ordered arrays of (key, count); NULL is a key), error count and rate.
+def log_counts(logs: DataFrame, as_of, since_seconds: int) -> DataFrame:
+    """Row and error counts of the window by severity, by unit, by source and in
+    total: one ``GROUPING SETS`` aggregation over a single scan (``Expand`` +
+    partial aggregation, so each task ships at most one row per group).
+    ``gid`` tells the sets apart (bit order severity, unit, source; 1 = rolled up).
 
-    The grouped counts for severity, unit and source come from one
-    ``GROUPING SETS`` aggregation over a single scan of the window; the top-k
-    lists are TakeOrderedAndProject over that small result.
+    The result (one row per distinct severity, unit and source) is checkpointed:
+    the summary reads it from several branches, and a filter on ``gid`` would
+    otherwise be pushed into each branch's own scan of the window.
     """
     w = in_window(logs, as_of, since_seconds).select("severity", "unit", "source")
     g = (w.groupingSets([["severity"], ["unit"], ["source"], []], "severity", "unit", "source")
-         .agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("gid")))
-    # grouping_id bit order follows (severity, unit, source): 1 = aggregated away.
+         .agg(F.count(F.lit(1)).alias("count"),
+              F.count_if(is_error_severity(F.col("severity"))).alias("errors"),
+              F.grouping_id().alias("gid")))
+    return materialize(g)
+
+
+def log_summary_parts(logs: DataFrame, as_of, since_seconds: int = 86400,
+                      counts: DataFrame | None = None) -> DataFrame:
+    """A6 as one row: total, severity distribution, top units and sources (as
+    ordered arrays of (key, count); NULL is a key), error count and rate.
+
+    Built on ``log_counts`` (pass ``counts`` to reuse an existing one); the
+    top-k lists are TakeOrderedAndProject over that small result.
+    """
+    g = counts if counts is not None else log_counts(logs, as_of, since_seconds)
     sev = g.filter(F.col("gid") == 3).select(F.col("severity").alias("k"), "count")
     unit = g.filter(F.col("gid") == 5).select(F.col("unit").alias("k"), "count")
     src = g.filter(F.col("gid") == 6).select(F.col("source").alias("k"), "count")
@@ -117,9 +133,14 @@ def daily_report(logs: DataFrame, metrics: DataFrame, alerts: DataFrame, as_of,
     system_health, anomalies}, recommendations[]``. ``as_of`` plays the role of
     the generation time."""
     ts = as_timestamp(as_of)
-    la = log_summary_parts(logs, as_of, since_seconds)
+    # One scan of the log window feeds both the log summary and the anomaly rules.
+    g = log_counts(logs, as_of, since_seconds)
+    unit_errors = g.filter(F.col("gid") == 5).select("unit", F.col("errors").alias("count"))
+    source_rows = g.filter(F.col("gid") == 6).select("source", "count")
+    la = log_summary_parts(logs, as_of, since_seconds, counts=g)
     sh = health_parts(metrics, alerts, as_of, since_seconds)
-    an = anomaly_summary_parts(logs, AnomalyParams(since=min(since_seconds, 30 * 86400)), as_of)
+    an = anomaly_summary_parts(logs, AnomalyParams(since=min(since_seconds, 30 * 86400)), as_of,
+                               counts=(unit_errors, source_rows))
     row = _fold([la.select(F.struct(*la.columns).alias("log_analytics")),
                  sh.select(F.struct(*sh.columns).alias("system_health")),
                  an.select(F.struct(*an.columns).alias("anomalies"))])

@@ -75,3 +75,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def materialize(df):
+    """Compute a small intermediate result once and cut its lineage: a reliable
+    checkpoint into the shared checkpoint folder (survives executor loss, unlike
+    a local checkpoint). Used where several branches read the same aggregate."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
