@@ -205,3 +205,20 @@ def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     (as parsed rows, seq = 2·id)."""
     return logs(spark, sf_dir).filter(F.col("id") % 10 == 0).withColumn("seq", F.col("id") * 2) \
         .withColumnRenamed("source", "source_name")
+
+
+def service_capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``systemctl list-units`` captures, one per hour of metric rows: a header
+    line (line_no 0) and one line per service row; a payload that is not JSON
+    renders as a one-word line. Columns: capture, line_no, value."""
+    m = metrics(spark, sf_dir).filter(F.col("metric_type") == "service")
+    capture = F.date_trunc("hour", F.col("timestamp")).cast("timestamp_ntz")
+    name = F.get_json_object(F.col("metric_data"), "$.service_name")
+    rows = m.select(capture.alias("capture"),
+                    F.unix_micros(F.col("timestamp").cast("timestamp")).alias("line_no"),
+                    F.when(name.isNotNull(), F.concat(name, F.lit("   loaded active running  Some service")))
+                     .otherwise(F.lit("broken")).alias("value"))
+    header = rows.select("capture").distinct().select(
+        "capture", F.lit(0).cast("long").alias("line_no"),
+        F.lit("  UNIT   LOAD   ACTIVE SUB     DESCRIPTION").alias("value"))
+    return header.unionByName(rows)

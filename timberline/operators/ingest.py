@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.functions import fingerprint, id_from_fingerprint, json_or_wrap, with_fingerprint
+from timberline.functions import fingerprint, id_from_fingerprint, json_or_wrap, py_ts_str, with_fingerprint
 from timberline.operators.window import PARTITION_COLUMN, ts_lit
 from timberline.schema import INGEST_STATE, LOGS
 
@@ -138,11 +138,13 @@ def clear_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
 
 
 def to_ndjson(df: DataFrame) -> DataFrame:
-    """K7: one JSON object per row in a ``value`` column; NULL fields are kept
-    and timestamps are written ``yyyy-MM-dd HH:mm:ss[.SSSSSS]``."""
-    opts = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-            "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
-    return df.select(F.to_json(F.struct(*df.columns), opts).alias("value"))
+    """K7: one JSON object per row in a ``value`` column, fields in column
+    order; NULL fields are kept; timestamps are written ``YYYY-MM-DD
+    HH:MM:SS`` with ``.ffffff`` only when the microseconds are not zero."""
+    cols = [py_ts_str(F.col(f.name)).alias(f.name)
+            if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)) else F.col(f.name)
+            for f in df.schema.fields]
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def utc_now() -> dt.datetime:

@@ -24,7 +24,7 @@ from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Di
 from timberline.schema import ALERTS as ALERTS_SCHEMA
 from timberline.schema import LOGS as LOGS_SCHEMA
 from timberline.schema import METRICS as METRICS_SCHEMA
-from timberline.session import prepare, scratch_path
+from timberline.session import materialize, prepare, scratch_path
 from timberline.sources import files as file_sources
 from timberline.streaming import ingest as stream_ingest_mod
 from timberline.streaming import monitor, spikes
@@ -326,7 +326,7 @@ def stream_ingest(spark, sf):
     lines.write.text(f"{base}/landing")
     lines.filter(F.col("value").contains('"PRIORITY":"6"')).write.mode("append").text(f"{base}/landing")
     q = stream_ingest_mod.start_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint",
-                                       max_files_per_trigger=4)
+                                       max_files_per_trigger=16)
     q.awaitTermination()
     return read_table(spark, f"{base}/table", LOGS_SCHEMA).select(*STREAM_COLS)
 
@@ -335,7 +335,7 @@ def stream_error_spike(spark, sf):
     prepare(spark)
     base = _scratch(spark, "stream-spikes")
     fx.journald_lines(spark, sf).select("value").write.text(f"{base}/landing")
-    parsed = stream_ingest_mod.parsed_stream(spark, f"{base}/landing", max_files_per_trigger=4)
+    parsed = stream_ingest_mod.parsed_stream(spark, f"{base}/landing", max_files_per_trigger=16)
     q = spikes.start_error_spikes(parsed, f"{base}/table", f"{base}/checkpoint", window="1 day", threshold=10)
     q.awaitTermination()
     return read_table(spark, f"{base}/table", spikes.SPIKE_SCHEMA)
@@ -369,12 +369,27 @@ def file_ingest(spark, sf):
 def report_list(spark, sf):
     prepare(spark)
     base = _scratch(spark, "reports")
-    for day in ("2024-01-29 00:00:00", "2024-01-30 00:00:00", AS_OF):
-        rep = report.daily_report(_logs(spark, sf), _metrics(spark, sf), _alert_table(spark, sf), day, DAY)
-        report.save_report(report.format_text(rep), base, day)
+    rep = report.daily_report(_logs(spark, sf), _metrics(spark, sf), _alert_table(spark, sf), AS_OF, DAY)
+    text = materialize(report.format_text(rep))  # one row, rendered once
+    for stamp in ("2024-01-29 00:00:00", "2024-01-30 00:00:00", AS_OF):
+        report.save_report(text, base, stamp)
     return report.list_reports(spark, base, limit=10).select("name")
 
 
+def fetch_by_ids(spark, sf):
+    ids = fx.vectors(spark, sf).select(F.col("log_id").alias("id"))
+    return query.fetch_logs_by_ids(_logs(spark, sf), ids).select("id", "ts", "unit", "severity", "message")
+
+
+def log_ndjson(spark, sf):
+    return ingest.to_ndjson(query.query_logs(_logs(spark, sf), Q_MIN_SEV, AS_OF))
+
+
+def service_status(spark, sf):
+    prepare(spark)
+    return parsers.parse_service_status(fx.service_capture_lines(spark, sf), ["capture"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -441,4 +456,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 12: files
     "file_ingest": file_ingest,
     "report_list": report_list,
+    # more sources / sinks
+    "fetch_by_ids": fetch_by_ids,
+    "log_ndjson": log_ndjson,
+    "service_status": service_status,
 }

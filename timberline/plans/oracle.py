@@ -382,4 +382,13 @@ FROM logs WHERE severity IN ('err', 'crit', 'emerg') GROUP BY ALL HAVING count(*
     "stream_alerts": _w(stored_alerts("alerts_t"), METRICS, ALERTS_T),
     "file_ingest": _w("""SELECT hostname, count(*) AS rows, min(date_trunc('second', ts)) AS first_ts,
   max(date_trunc('second', ts)) AS last_ts FROM logs GROUP BY hostname""", LOGS),
+    "fetch_by_ids": _w("SELECT id, ts, unit, severity, message FROM logs WHERE id IN (SELECT vec_id FROM embeddings)",
+                       LOGS),
+    "log_ndjson": _w(f"""SELECT CAST(json_object('id', id, 'ts', {ts_str('ts')}, 'hostname', hostname, 'source', source,
+  'unit', unit, 'severity', severity, 'pid', pid, 'message', message) AS VARCHAR) AS value
+FROM (SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500)""", LOGS),
+    "service_status": _w(f"""SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS capture,
+  epoch_us(timestamp) AS line_no, {jfield('service_name')} AS service_name, 'loaded' AS load_state,
+  'active' AS active_state, 'running' AS sub_state
+FROM metrics WHERE metric_type = 'service' AND json_valid(metric_data)""", METRICS),
 }
