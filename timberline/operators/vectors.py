@@ -10,7 +10,6 @@ TakeOrderedAndProject, so each task keeps only its own k best rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,26 +31,27 @@ META_COLUMNS = ["ts", "hostname", "source", "unit", "severity"]
 
 class HashingEmbedder:
     """Offline, deterministic default model: lower-cased blank-separated tokens
-    hashed (CRC-32) into ``dim`` signed buckets, L2-normalised. Any object with
-    the same ``embed(list[str]) -> np.ndarray`` method (NaN row = failure) can
+    hashed (pandas' fixed-key SipHash) into ``dim`` signed buckets,
+    L2-normalised; vectorised over the whole Arrow batch. Any object with the
+    same ``embed(list[str]) -> np.ndarray`` method (NaN row = failure) can
     replace it, e.g. an ONNX model session."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for row, text in enumerate(texts):
-            if text is None:
-                out[row] = np.nan
-                continue
-            h = np.fromiter((zlib.crc32(t.encode("utf-8")) for t in text.lower().split()), dtype=np.uint32)
-            if h.size:
-                np.add.at(out[row], h % self.dim, np.where(h >> 31, -1.0, 1.0).astype(np.float32))
-                n = np.linalg.norm(out[row])
-                if n > 0:
-                    out[row] /= n
-        return out
+        s = pd.Series(texts, dtype=object).reset_index(drop=True)
+        out = np.zeros((len(s), self.dim), dtype=np.float64)
+        toks = s.str.lower().str.split().explode().dropna()
+        toks = toks[toks != ""]
+        if len(toks):
+            h = pd.util.hash_pandas_object(toks, index=False).to_numpy()
+            sign = np.where((h >> np.uint64(32)) & np.uint64(1), -1.0, 1.0)
+            np.add.at(out, (toks.index.to_numpy(), (h % np.uint64(self.dim)).astype(np.int64)), sign)
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        out = np.divide(out, norms, out=out, where=norms > 0)
+        out[s.isna().to_numpy()] = np.nan
+        return out.astype(np.float32)
 
 
 def with_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", model=None) -> DataFrame:

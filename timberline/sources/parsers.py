@@ -26,6 +26,23 @@ CONTAINER_PATTERN = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z)\s+(stdout|std
 SYSLOG_PATTERN = r"^<(\d+)>(\w+\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+([^\s\[]+?)(?:\[(\d+)\])?:\s*(.*)$"
 
 
+# Characters Python's str.strip() removes from log lines (ASCII whitespace).
+_WHITESPACE = " \t\n\r\x0b\x0c"
+
+
+def _strip(c: Column) -> Column:
+    return F.trim(c, F.lit(_WHITESPACE))
+
+
+def _groups(line: Column, pattern: str, order: list[int]) -> tuple[Column, Column]:
+    """One regex pass for several capture groups: rewrite a matching line to
+    ``\n<g1>\n<g2>...`` and split it. Returns (matched, parts); a stripped
+    line never starts with a newline, so the leading one marks a match. The
+    last group may itself hold newlines (the split has a limit)."""
+    rewritten = F.regexp_replace(line, pattern, "\n" + "\n".join(f"${g}" for g in order))
+    return rewritten.startswith("\n"), F.split(rewritten, "\n", len(order) + 1)
+
+
 def _to_int(c: Column) -> Column:
     """Empty -> NULL; a value that is not an integer -> NULL."""
     return F.when(F.trim(c) == "", F.lit(None)).otherwise(c).try_cast("int")
@@ -61,7 +78,8 @@ def parse_journald(lines: DataFrame, text_col: str = "value", keep: list[str] |
         _to_int(F.col("j._UID")).alias("uid"),
         _to_int(F.col("j._GID")).alias("gid"),
         F.col("j.MESSAGE").alias("message"),
-        json_or_wrap(F.col("_line")).alias("raw"),
+        # A line that yields a timestamp parsed as a JSON object: keep it as is.
+        F.col("_line").alias("raw"),
         F.nullif(F.col("j.__CURSOR"), F.lit("")).alias("cursor"),
         *[F.col(k) for k in keep])
     return _finish(df.filter(F.col("ts").isNotNull()), keep)
@@ -78,23 +96,22 @@ def parse_syslog(lines: DataFrame, year: int, text_col: str = "value",
     keep = keep or []
     # (?s): the message tail may hold any character, as Python's "." would.
     pat = "(?s)" + (SYSLOG_PATTERN_COMPAT if strict_compat else SYSLOG_PATTERN)
-    line = F.trim(F.col(text_col))
-    df = lines.select(line.alias("_line"), *[F.col(k) for k in keep])
-    ok = F.col("_line").rlike(pat)
-
-    def g(i: int) -> Column:
-        return F.regexp_extract(F.col("_line"), pat, i)
-
-    stamp = F.concat(F.lit(f"{int(year)} "), F.regexp_replace(g(2), r"\s+", " "))
-    pid = g(5)
-    df = df.filter(ok).select(
+    line = _strip(F.col(text_col))
+    matched, parts = _groups(line, pat, [1, 3, 4, 5, 6])
+    df = lines.select(line.alias("_line"), matched.alias("_ok"), parts.alias("_p"), *[F.col(k) for k in keep])
+    df = df.filter(F.col("_ok"))
+    p = F.col("_p")
+    # The date part is the only group that may contain blanks: its own extract.
+    stamp = F.concat(F.lit(f"{int(year)} "),
+                     F.regexp_replace(F.regexp_extract(F.col("_line"), pat, 2), r"\s+", " "))
+    df = df.select(
         F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
-        g(3).alias("hostname"),
+        p[2].alias("hostname"),
         F.lit("file").alias("source"),
-        g(4).alias("unit"),
-        priority_to_severity(g(1).try_cast("long").bitwiseAND(F.lit(7))).alias("severity"),
-        F.when(pid == "", F.lit(None)).otherwise(pid).try_cast("int").alias("pid"),
-        g(6).alias("message"),
+        p[3].alias("unit"),
+        priority_to_severity(p[1].try_cast("long").bitwiseAND(F.lit(7))).alias("severity"),
+        F.when(p[4] == "", F.lit(None)).otherwise(p[4]).try_cast("int").alias("pid"),
+        p[5].alias("message"),
         json_or_wrap(F.col("_line")).alias("raw"),
         *[F.col(k) for k in keep])
     return _finish(df.filter(F.col("ts").isNotNull()), keep)
@@ -105,22 +122,19 @@ def parse_container(lines: DataFrame, container_col: str = "container", text_col
     """S3: ``<RFC3339 ts> stdout|stderr msg`` -> log rows; stdout is info, stderr
     warning (X8); ``unit`` is the container name. Fractions beyond µs truncate."""
     keep = keep or []
-    line = F.trim(F.col(text_col))
+    line = _strip(F.col(text_col))
     host = hostname if isinstance(hostname, Column) else F.lit(hostname)
-    df = lines.select(line.alias("_line"), F.col(container_col).alias("_container"),
-                      host.alias("_host"), *[F.col(k) for k in keep])
-
-    def g(i: int) -> Column:
-        return F.regexp_extract(F.col("_line"), "(?s)" + CONTAINER_PATTERN, i)
-
-    stream = g(2)
-    df = df.filter(F.col("_line").rlike("(?s)" + CONTAINER_PATTERN)).select(
-        F.regexp_replace(g(1), "Z$", "").try_cast("timestamp_ntz").alias("ts"),
+    matched, parts = _groups(line, "(?s)" + CONTAINER_PATTERN, [1, 2, 3])
+    df = lines.select(line.alias("_line"), matched.alias("_ok"), parts.alias("_p"),
+                      F.col(container_col).alias("_container"), host.alias("_host"), *[F.col(k) for k in keep])
+    p = F.col("_p")
+    df = df.filter(F.col("_ok")).select(
+        F.regexp_replace(p[1], "Z$", "").try_cast("timestamp_ntz").alias("ts"),
         F.col("_host").alias("hostname"),
         F.lit("container").alias("source"),
         F.coalesce(F.col("_container"), F.lit("unknown")).alias("unit"),
-        F.when(stream == "stdout", F.lit("info")).otherwise(F.lit("warning")).alias("severity"),
-        g(3).alias("message"),
+        F.when(p[2] == "stdout", F.lit("info")).otherwise(F.lit("warning")).alias("severity"),
+        p[3].alias("message"),
         json_or_wrap(F.col("_line")).alias("raw"),
         *[F.col(k) for k in keep])
     return _finish(df.filter(F.col("ts").isNotNull()), keep)
