@@ -18,10 +18,11 @@ from timberline.operators.window import PARTITION_COLUMN, ts_lit
 from timberline.schema import INGEST_STATE, LOGS
 
 
-def prepare_batch(parsed: DataFrame) -> DataFrame:
-    """Wrap ``raw`` as JSON when it is not (X6) and attach fingerprint and id."""
+def prepare_batch(parsed: DataFrame, wrap_raw: bool = False) -> DataFrame:
+    """Attach fingerprint and id (X1, X2). Parsers already deliver ``raw`` as
+    JSON text; ``wrap_raw`` applies X6 to rows from any other origin."""
     df = parsed
-    if "raw" in df.columns:
+    if wrap_raw and "raw" in df.columns:
         df = df.withColumn("raw", json_or_wrap(F.col("raw")))
     return with_fingerprint(df, overwrite_id=True)
 

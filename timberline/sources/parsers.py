@@ -2,6 +2,8 @@
 
 Each parser maps a DataFrame with a text column (``value`` by default) to the
 parsed log columns of ``schema.PARSED``; lines that do not parse are dropped.
+``raw`` is always JSON text (X6): the journald line itself, or
+``{"raw": line}`` for formats that are not JSON.
 All parsing is built-in expressions (``from_json``, ``regexp_extract``,
 ``try_to_timestamp``), so it stays inside whole-stage codegen.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions import json_or_wrap, priority_to_severity
+from timberline.functions import priority_to_severity
 from timberline.schema import JOURNALD, PARSED
 
 # --- fixed values (patterns the reference's parsers use) ----------------------
@@ -43,6 +45,12 @@ def _groups(line: Column, pattern: str, order: list[int]) -> tuple[Column, Colum
     return rewritten.startswith("\n"), F.split(rewritten, "\n", len(order) + 1)
 
 
+def _wrapped(line: Column) -> Column:
+    """X6 for a matched syslog / container line: such a line (``<pri>...`` or
+    ``YYYY-MM-DDT...``) is never valid JSON, so it is always wrapped."""
+    return F.to_json(F.struct(line.alias("raw")))
+
+
 def _to_int(c: Column) -> Column:
     """Empty -> NULL; a value that is not an integer -> NULL."""
     return F.when(F.trim(c) == "", F.lit(None)).otherwise(c).try_cast("int")
@@ -112,7 +120,7 @@ def parse_syslog(lines: DataFrame, year: int, text_col: str = "value",
         priority_to_severity(p[1].try_cast("long").bitwiseAND(F.lit(7))).alias("severity"),
         F.when(p[4] == "", F.lit(None)).otherwise(p[4]).try_cast("int").alias("pid"),
         p[5].alias("message"),
-        json_or_wrap(F.col("_line")).alias("raw"),
+        _wrapped(F.col("_line")).alias("raw"),
         *[F.col(k) for k in keep])
     return _finish(df.filter(F.col("ts").isNotNull()), keep)
 
@@ -135,7 +143,7 @@ def parse_container(lines: DataFrame, container_col: str = "container", text_col
         F.coalesce(F.col("_container"), F.lit("unknown")).alias("unit"),
         F.when(p[2] == "stdout", F.lit("info")).otherwise(F.lit("warning")).alias("severity"),
         p[3].alias("message"),
-        json_or_wrap(F.col("_line")).alias("raw"),
+        _wrapped(F.col("_line")).alias("raw"),
         *[F.col(k) for k in keep])
     return _finish(df.filter(F.col("ts").isNotNull()), keep)
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.functions import json_or_wrap
 from timberline.schema import PARSED
 from timberline.sources import files as files_mod
 from timberline.sources import filters, parsers
@@ -51,6 +52,7 @@ def parser_for(source_type: str) -> ParserFn:
 def python_line_parser(fn: Callable[[str], dict | None]) -> ParserFn:
     """P1 slow path: wrap a per-line Python function (line -> dict of parsed
     fields, or None to drop) as a vectorised pandas UDF returning a struct.
+    ``raw`` defaults to the line; it is kept when JSON, else wrapped (X6).
 
     Only for formats the built-in expressions cannot express; it runs on the
     executors in Arrow batches.
@@ -71,9 +73,11 @@ def python_line_parser(fn: Callable[[str], dict | None]) -> ParserFn:
 
     def run(lines: DataFrame, config: dict) -> DataFrame:
         keep = [c for c in lines.columns if c != "value"]
-        out = lines.select(_parse(F.col("value")).alias("p"), *keep).filter(F.col("p._ok"))
-        return out.select(*[F.col(f"p.{f.name}").alias(f.name) for f in PARSED.fields], *keep) \
-                  .filter(F.col("ts").isNotNull())
+        out = lines.select(_parse(F.col("value")).alias("p"), F.col("value").alias("_line"), *keep) \
+                   .filter(F.col("p._ok"))
+        out = out.select(*[F.col(f"p.{f.name}").alias(f.name) for f in PARSED.fields], "_line", *keep)
+        return out.withColumn("raw", json_or_wrap(F.coalesce(F.col("raw"), F.col("_line")))) \
+                  .drop("_line").filter(F.col("ts").isNotNull())
 
     return run
 
