@@ -70,6 +70,18 @@ def uptime_fields(boot: Column, at: Column) -> tuple[Column, Column]:
     return secs.cast("double"), F.floor(secs / 86400).cast("long")
 
 
+def uptime_rows(metrics: DataFrame) -> DataFrame:
+    """X15 over stored uptime metrics: boot time (metric time minus the uptime
+    in the payload) and the uptime again in seconds and whole days from it."""
+    up = metrics.filter(F.col("metric_type") == "uptime").select(
+        "timestamp", F.get_json_object("metric_data", "$.uptime_seconds").try_cast("double").alias("_s"))
+    up = up.filter(F.col("_s").isNotNull()).withColumn(
+        "boot_time", (F.col("timestamp").cast("timestamp") - F.make_interval(secs=F.col("_s")))
+        .cast("timestamp_ntz"))
+    secs, days = uptime_fields(F.col("boot_time"), F.col("timestamp"))
+    return up.select("timestamp", "boot_time", secs.alias("uptime_seconds"), days.alias("uptime_days"))
+
+
 def query_metrics(metrics: DataFrame, q: MetricQuery, as_of) -> DataFrame:
     """newest first, optional type, limit; rows whose payload is not valid
     JSON are dropped after the limit, as the reference does."""

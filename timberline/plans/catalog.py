@@ -390,6 +390,17 @@ def service_status(spark, sf):
     return parsers.parse_service_status(fx.service_capture_lines(spark, sf), ["capture"])
 
 
+def source_newest_n(spark, sf):
+    """journald source limited to two units, newest 200 entries."""
+    prepare(spark)
+    src = LogSource("journal", "journald", config={"lines": fx.journald_lines(spark, sf), "units": ["sshd", "cron"]})
+    return read_source(spark, src, AS_OF, since_seconds=30 * DAY, limit=200).select(*PARSED_COLS, "cursor")
+
+
+def uptime_summary(spark, sf):
+    return metrics.uptime_rows(_metrics(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -460,4 +471,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fetch_by_ids": fetch_by_ids,
     "log_ndjson": log_ndjson,
     "service_status": service_status,
+    "source_newest_n": source_newest_n,
+    "uptime_summary": uptime_summary,
 }

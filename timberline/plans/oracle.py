@@ -391,4 +391,10 @@ FROM (SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC
   epoch_us(timestamp) AS line_no, {jfield('service_name')} AS service_name, 'loaded' AS load_state,
   'active' AS active_state, 'running' AS sub_state
 FROM metrics WHERE metric_type = 'service' AND json_valid(metric_data)""", METRICS),
+    "source_newest_n": _w(f"""SELECT ts, hostname, unit, severity, pid, message, cursor FROM logs
+WHERE ts >= {D30} AND unit IN ('sshd', 'cron') ORDER BY ts DESC, cursor DESC LIMIT 200""", LOGS),
+    "uptime_summary": _w("""SELECT timestamp, boot_time, CAST(datediff('second', boot_time, timestamp) AS DOUBLE) AS uptime_seconds,
+  CAST(floor(datediff('second', boot_time, timestamp) / 86400) AS BIGINT) AS uptime_days
+FROM (SELECT timestamp, timestamp - to_seconds(CAST(json_extract_string(metric_data, '$.uptime_seconds') AS DOUBLE)) AS boot_time
+      FROM metrics WHERE metric_type = 'uptime')""", METRICS),
 }
