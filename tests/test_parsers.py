@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
 
 from timberline.sources import filters, parsers
 from timberline.sources.registry import LogSource, python_line_parser, read_all, register_parser
