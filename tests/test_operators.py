@@ -176,3 +176,15 @@ def test_vector_search_and_context(spark):
     custom = vectors.with_embedding(spark.createDataFrame([("a",), ("",)], "t string"), "t", "e",
                                     model=Halves()).collect()
     assert custom[0].e == [0.5, 0.5] and custom[1].e is None
+
+
+def test_ingest_into_table_twice(spark, tmp_path):
+    batch = _logs(spark, [_row(1, msg="a"), _row(2, msg="b"), _row(1, msg="a")]) \
+        .withColumnRenamed("source", "source_name").withColumn("seq", F.monotonically_increasing_id())
+    table, state = str(tmp_path / "logs"), str(tmp_path / "state")
+    first = ingest.ingest_into(batch, table, state, AS_OF, ["src1"])
+    again = ingest.ingest_into(batch, table, state, AS_OF, ["src1"])
+    assert first == {"src1": (3, 2)} and again == {"src1": (3, 0)}
+    stored = spark.read.parquet(table)
+    assert stored.count() == 2 and "day" in stored.columns
+    assert spark.read.parquet(state).first().source == "src1"

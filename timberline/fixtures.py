@@ -121,7 +121,15 @@ def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rendered raw lines ---------------------------------------------------------
 # These rebuild the text a host would have produced for each ``logs`` row so the
 # parsers can be checked against the row they came from. They only render text;
-# all parsing happens in timberline.sources.
+# all parsing happens in timberline.sources. Raw lines arrive as files: the
+# rendered lines are written once into the shared checkpoint folder, spread over
+# the session's cores, so the parsers read a plain column like a landing folder
+# (and the optimizer cannot push parser predicates into the rendering).
+
+
+def _as_landed(df: DataFrame) -> DataFrame:
+    from timberline.session import materialize
+    return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
 
 def _sev_index() -> "F.Column":
     from timberline.schema import SEVERITY_ORDER
@@ -150,7 +158,7 @@ def journald_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad_ts = lg.filter(F.col("severity") == "notice").select(
         F.to_json(obj.withField("__REALTIME_TIMESTAMP", F.lit("not-a-time"))).alias("value"),
         (F.col("id") * 3 + 2).alias("seq"))
-    return good.unionByName(truncated).unionByName(bad_ts)
+    return _as_landed(good.unionByName(truncated).unionByName(bad_ts))
 
 
 def syslog_lines(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
@@ -170,7 +178,7 @@ def syslog_lines(spark: SparkSession, sf_dir: str, where: str | None = None) ->
     good = lg.select(line.alias("value"), (F.col("id") * 2).alias("seq"))
     junk = lg.filter(F.col("severity") == "err").select(
         F.concat(F.lit("garbage line "), F.col("message")).alias("value"), (F.col("id") * 2 + 1).alias("seq"))
-    return good.unionByName(junk)
+    return _as_landed(good.unionByName(junk))
 
 
 def container_lines(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
@@ -184,7 +192,7 @@ def container_lines(spark: SparkSession, sf_dir: str, where: str | None = None)
     stream = F.when(severity_rank(F.col("severity")) <= 4, F.lit("stderr")).otherwise(F.lit("stdout"))
     line = F.concat(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z "),
                     stream, F.lit(" "), F.col("message"))
-    return lg.select(F.col("hostname").alias("container"), line.alias("value"), F.col("id").alias("seq"))
+    return _as_landed(lg.select(F.col("hostname").alias("container"), line.alias("value"), F.col("id").alias("seq")))
 
 
 def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

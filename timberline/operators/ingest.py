@@ -60,21 +60,23 @@ def _recent_partitions(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.join(days, PARTITION_COLUMN, "left_semi")
 
 
-def new_rows(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
+def new_rows(batch: DataFrame, existing: DataFrame | None, days_from: DataFrame | None = None) -> DataFrame:
     """K1 against the table: drop rows whose id, fingerprint or (non-NULL)
-    cursor is already stored. Anti joins, so stored NULLs never match."""
+    cursor is already stored. Anti joins, so stored NULLs never match.
+    ``days_from`` (default: the batch) supplies the dates used to prune the table."""
     if existing is None:
         return batch
-    ex = _recent_partitions(existing, batch)
+    ex = _recent_partitions(existing, batch if days_from is None else days_from)
     out = batch.join(ex.select("id").filter(F.col("id").isNotNull()), "id", "left_anti")
     out = out.join(ex.select("fingerprint").filter(F.col("fingerprint").isNotNull()), "fingerprint", "left_anti")
     out = out.join(ex.select("cursor").filter(F.col("cursor").isNotNull()), "cursor", "left_anti")
     return out
 
 
-def ingest_rows(parsed: DataFrame, existing: DataFrame | None, order_col: str = "seq") -> DataFrame:
+def ingest_rows(parsed: DataFrame, existing: DataFrame | None, order_col: str = "seq",
+                days_from: DataFrame | None = None) -> DataFrame:
     """K1 end to end: the rows an insert with ON CONFLICT DO NOTHING would add."""
-    return new_rows(dedup_batch(prepare_batch(parsed), order_col), existing)
+    return new_rows(dedup_batch(prepare_batch(parsed), order_col), existing, days_from)
 
 
 def to_table_rows(df: DataFrame) -> DataFrame:
@@ -151,3 +153,69 @@ def to_ndjson(df: DataFrame) -> DataFrame:
 def utc_now() -> dt.datetime:
     """Wall clock for callers that want ``as_of = now`` (operators never call it)."""
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def _read_parquet(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - the table does not exist yet
+        return None
+
+
+_EMPTY_RELATION_RULE = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+
+
+class _keep_observations:
+    """While writing, stop adaptive execution from folding an empty result into
+    an empty relation: that rewrite drops the plan's metric collectors, and the
+    batch's counts would be lost exactly when nothing new was inserted. The
+    rest of AQE (partition coalescing, skew-join splits) stays on."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.key = "spark.sql.adaptive.optimizer.excludedRules"
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.key, None)
+        rules = [r for r in (self.old or "").split(",") if r]
+        self.spark.conf.set(self.key, ",".join(rules + [_EMPTY_RELATION_RULE]))
+
+    def __exit__(self, *exc):
+        if self.old is None:
+            self.spark.conf.unset(self.key)
+        else:
+            self.spark.conf.set(self.key, self.old)
+        return False
+
+
+def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_of,
+                sources: list[str], order_col: str = "seq", source_col: str = "source_name") -> dict:
+    """INGEST end to end (K1, K2, A12): append the new rows of ``parsed`` to the
+    ``day``-partitioned Parquet table at ``table_path``, advance the cursor
+    state at ``state_path`` and return ``{source: (parsed_rows, inserted_rows)}``.
+
+    The counts are Spark ``Observation`` metrics collected by the same job that
+    writes the rows, so the batch is not read a second time to count it. The
+    state table is rewritten through a fresh folder and swapped by path (no
+    in-place overwrite of a table that is being read).
+    """
+    from pyspark.sql import Observation
+
+    spark = parsed.sparkSession
+    seen, kept = Observation("parsed_rows"), Observation("inserted_rows")
+    counts = lambda: [F.count_if(F.col(source_col) == s).alias(s) for s in sources]
+    observed = parsed.observe(seen, *counts())
+    # The table is pruned by the batch's dates taken from the un-observed input,
+    # so each observation appears once in the plan.
+    rows = ingest_rows(observed, _read_parquet(spark, table_path), order_col, days_from=parsed) \
+        .observe(kept, *counts())
+    with _keep_observations(spark):
+        append(rows, table_path)
+    result = {s: (seen.get.get(s, 0), kept.get.get(s, 0)) for s in sources}
+    if state_path is not None:
+        prior = _read_parquet(spark, state_path)
+        state = cursor_state(parsed, prior, as_of, order_col, source_col)
+        tmp = f"{state_path.rstrip('/')}.next"
+        state.write.mode("overwrite").parquet(tmp)
+        spark.read.parquet(tmp).write.mode("overwrite").parquet(state_path)
+    return result

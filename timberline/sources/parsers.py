@@ -33,7 +33,7 @@ _WHITESPACE = " \t\n\r\x0b\x0c"
 
 
 def _strip(c: Column) -> Column:
-    return F.trim(c, F.lit(_WHITESPACE))
+    return F.btrim(c, F.lit(_WHITESPACE))
 
 
 def _groups(line: Column, pattern: str, order: list[int]) -> tuple[Column, Column]:
