@@ -17,6 +17,9 @@ SESSION_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Delete a reliable checkpoint's files once its DataFrame is gone, so
+    # materialized intermediates do not pile up in the shared folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
