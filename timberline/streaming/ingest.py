@@ -47,18 +47,25 @@ def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                  source_type: str = "journald", available_now: bool = True,
                  processing_time: str | None = None, dedup_window: str = "1 hour",
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Run the ingest stream into ``table`` (Parquet, one partition per
-    micro-batch). Each batch keeps its first row per cursor and loses rows
-    whose id / fingerprint / cursor is already in an earlier batch."""
+    """Run the ingest stream into ``table`` (Parquet partitioned by ``day``
+    and micro-batch ``epoch``). Each batch keeps its first row per cursor and
+    loses rows whose id / fingerprint / cursor is already in an earlier batch."""
     stream = dedup_stream(parsed_stream(spark, landing, source_type,
                                         max_files_per_trigger=max_files_per_trigger), dedup_window)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
+        # Earlier batches, pruned to the days of this one (the table is
+        # partitioned by day, then epoch), so the check does not grow with history.
         existing = read_other_epochs(batch.sparkSession, table, epoch_id)
-        # Arrival order inside the micro-batch (the batch is a static DataFrame here).
-        batch = batch.withColumn("seq", F.monotonically_increasing_id())
-        rows = ingest.new_rows(ingest.dedup_batch(batch, "seq"), existing)
-        write_epoch(ingest.to_table_rows(rows).drop("day"), table, epoch_id)
+        # Arrival order inside the micro-batch (the batch is a static DataFrame
+        # here). It is read twice (rows, and the days that prune the table), so
+        # it is kept for the length of this call; its size is one trigger's worth.
+        batch = batch.withColumn("seq", F.monotonically_increasing_id()).persist()
+        try:
+            rows = ingest.new_rows(ingest.dedup_batch(batch, "seq"), existing)
+            write_epoch(ingest.to_table_rows(rows), table, epoch_id, partition_by=["day"])
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else \

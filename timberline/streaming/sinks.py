@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 EPOCH = "epoch"
 
 
-def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+def write_epoch(df: DataFrame, path: str, epoch_id: int, partition_by: list[str] | None = None) -> None:
+    """Write one micro-batch under ``epoch=<id>`` (below any ``partition_by``
+    columns); dynamic overwrite replaces exactly the partitions of this batch."""
     (df.withColumn(EPOCH, F.lit(int(epoch_id)))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(EPOCH).parquet(path))
+       .partitionBy(*(partition_by or []), EPOCH).parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
