@@ -195,24 +195,33 @@ def container_lines(spark: SparkSession, sf_dir: str, where: str | None = None)
     return _as_landed(lg.select(F.col("hostname").alias("container"), line.alias("value"), F.col("id").alias("seq")))
 
 
+# Time windows that shape the ingest fixtures (fixed values of the test setup).
+STORED_BEFORE = "2024-01-05 00:00:00"     # an earlier ingest already stored these days
+RESENT_FROM, RESENT_TO = "2024-01-04 00:00:00", "2024-01-06 00:00:00"   # overlapping re-send
+REPLAYED_FROM, REPLAYED_TO = "2024-01-10 00:00:00", "2024-01-11 00:00:00"  # same cursor, new text
+
+
 def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch with duplicates: every log row (seq = 2·id), again every row with
-    ``id % 4 = 0`` under another cursor (same content), and every row with
-    ``id % 4 = 1`` with another message under the same cursor (seq = 2·id + 1)."""
+    """A batch with duplicates: every log row (seq = 2·id); the rows of an
+    overlapping window re-sent under new cursors (same content); and the
+    notice rows of another day re-sent with changed text under the same
+    cursor (seq = 2·id + 1)."""
     lg = logs(spark, sf_dir)
+    ts = F.col("ts")
     base = lg.withColumn("seq", F.col("id") * 2)
-    same_content = lg.filter(F.col("id") % 4 == 0).withColumn("cursor", F.concat("cursor", F.lit("-dup"))) \
-        .withColumn("seq", F.col("id") * 2 + 1)
-    same_cursor = lg.filter(F.col("id") % 4 == 1).withColumn("message", F.concat("message", F.lit(" (again)"))) \
-        .withColumn("seq", F.col("id") * 2 + 1)
-    return base.unionByName(same_content).unionByName(same_cursor).withColumnRenamed("source", "source_name")
+    resent = lg.filter((ts >= F.lit(RESENT_FROM).cast("timestamp_ntz")) & (ts < F.lit(RESENT_TO).cast("timestamp_ntz"))) \
+        .withColumn("cursor", F.concat("cursor", F.lit("-dup"))).withColumn("seq", F.col("id") * 2 + 1)
+    replayed = lg.filter((ts >= F.lit(REPLAYED_FROM).cast("timestamp_ntz")) & (ts < F.lit(REPLAYED_TO).cast("timestamp_ntz"))
+                         & (F.col("severity") == "notice")) \
+        .withColumn("message", F.concat("message", F.lit(" (again)"))).withColumn("seq", F.col("id") * 2 + 1)
+    return base.unionByName(resent).unionByName(replayed).withColumnRenamed("source", "source_name")
 
 
 def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows already in the table before the batch: log rows with ``id % 10 = 0``
-    (as parsed rows, seq = 2·id)."""
-    return logs(spark, sf_dir).filter(F.col("id") % 10 == 0).withColumn("seq", F.col("id") * 2) \
-        .withColumnRenamed("source", "source_name")
+    """Rows an earlier ingest already stored: the log rows before
+    ``STORED_BEFORE`` (as parsed rows, seq = 2·id)."""
+    return logs(spark, sf_dir).filter(F.col("ts") < F.lit(STORED_BEFORE).cast("timestamp_ntz")) \
+        .withColumn("seq", F.col("id") * 2).withColumnRenamed("source", "source_name")
 
 
 def service_capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

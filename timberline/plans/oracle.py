@@ -63,11 +63,13 @@ def x2(fp: str) -> str:
 BATCH = """batch AS (
   SELECT id, ts, hostname, source AS source_name, unit, severity, pid, message, raw, cursor, id * 2 AS seq FROM logs
   UNION ALL SELECT id, ts, hostname, source, unit, severity, pid, message, raw, cursor || '-dup', id * 2 + 1
-    FROM logs WHERE id % 4 = 0
+    FROM logs WHERE ts >= TIMESTAMP '2024-01-04 00:00:00' AND ts < TIMESTAMP '2024-01-06 00:00:00'
   UNION ALL SELECT id, ts, hostname, source, unit, severity, pid, message || ' (again)', raw, cursor, id * 2 + 1
-    FROM logs WHERE id % 4 = 1)"""
+    FROM logs WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'
+      AND severity = 'notice')"""
 FPB = f"fpb AS (SELECT * EXCLUDE (id), {FP} AS fingerprint FROM batch)"
-STORED = f"stored AS (SELECT *, {x2('fingerprint')} AS id FROM (SELECT *, {FP} AS fingerprint FROM logs WHERE id % 10 = 0))"
+STORED = (f"stored AS (SELECT *, {x2('fingerprint')} AS id FROM (SELECT *, {FP} AS fingerprint FROM logs "
+          "WHERE ts < TIMESTAMP '2024-01-05 00:00:00'))")
 DEDUP = """d1 AS (SELECT * FROM fpb QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY seq) = 1),
 d2 AS (SELECT * FROM d1 QUALIFY cursor IS NULL OR row_number() OVER (PARTITION BY cursor ORDER BY seq) = 1)"""
 RANK_LE4 = RANK + " <= 4"
@@ -303,7 +305,7 @@ WHERE fingerprint NOT IN (SELECT fingerprint FROM stored)
     "ingest_cursor_state": _w("""SELECT coalesce(n.source, p.source) AS source, coalesce(n.c, p.c) AS cursor,
   CASE WHEN n.c IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE p.u END AS updated_at
 FROM (SELECT source, arg_max(cursor, id * 2) AS c, TIMESTAMP '2024-01-15 00:00:00' AS u FROM logs
-      WHERE id % 10 = 0 AND cursor IS NOT NULL GROUP BY source) p
+      WHERE ts < TIMESTAMP '2024-01-05 00:00:00' AND cursor IS NOT NULL GROUP BY source) p
 FULL OUTER JOIN (SELECT source_name AS source, arg_max(cursor, seq) AS c FROM batch
       WHERE source_name <> 'container' AND cursor IS NOT NULL GROUP BY source_name) n ON n.source = p.source""",
                               LOGS, BATCH),
