@@ -37,3 +37,26 @@ def test_stream_ingest_dedups_across_batches_and_restarts(spark, tmp_path):
         q.awaitTermination()
         rows = read_table(spark, f"{base}/table").collect()
         assert sorted(r.message for r in rows) == ["m0", "m1", "m2", "m3", "m4", "m9"]
+
+
+def test_service_watch_judges_closed_snapshots(spark, tmp_path):
+    import datetime as dt
+    from timberline.schema import METRICS
+    from timberline.streaming import monitor
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 10)
+    land = tmp_path / "metrics"
+    batches = [
+        [(t0, "service", '{"service_name": "sshd.service"}'), (t0, "service", '{"service_name": "dbus.service"}')],
+        [(t0 + dt.timedelta(minutes=1), "service", f'{{"service_name": "{s}.service"}}') for s in ("sshd", "dbus", "systemd")],
+        [(t0 + dt.timedelta(minutes=10), "cpu", '{"cpu_percent": 5}')],  # moves the watermark past both snapshots
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, METRICS).write.parquet(str(land / f"b{i}"))
+    base = scratch_path(spark, f"test-watch-{uuid.uuid4().hex[:8]}")
+    stream = spark.readStream.schema(METRICS) \
+        .option("recursiveFileLookup", "true").parquet(str(land))
+    q = monitor.start_service_watch(stream, f"{base}/alerts", f"{base}/ckpt", snapshot="1 minute",
+                                    delay="1 minute", available_now=True)
+    q.awaitTermination()
+    got = sorted((r.timestamp, r.message) for r in read_table(spark, f"{base}/alerts").collect())
+    assert got == [(dt.datetime(2024, 1, 1, 12, 0), "Critical service systemd is not running")]

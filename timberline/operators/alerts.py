@@ -46,6 +46,38 @@ def threshold_alerts(metrics: DataFrame) -> DataFrame:
         F.col("metric_data"))
 
 
+def is_service_row() -> Column:
+    """A service metric row whose payload is valid JSON."""
+    return F.col("metric_type").isin("service", "services") & is_valid_json(F.col("metric_data"))
+
+
+def service_name() -> Column:
+    """The reported service, compared without a ``.service`` suffix."""
+    return F.regexp_replace(_field("service_name"), r"\.service$", "")
+
+
+def service_rows(metrics: DataFrame) -> DataFrame:
+    """Valid service metric rows with their normalised name in ``_service``."""
+    return metrics.filter(is_service_row()).withColumn("_service", service_name())
+
+
+def seen_critical(name: Column, critical: list[str]) -> Column:
+    """Aggregate: the set of critical services among ``name`` (at most len(critical))."""
+    return F.collect_set(F.when(name.isin(*critical), name))
+
+
+def missing_service_alerts(snapshots: DataFrame, critical: list[str]) -> DataFrame:
+    """``(timestamp, _seen)`` per snapshot -> one ``critical`` alert per missing service."""
+    missing = snapshots.select("timestamp", F.explode(
+        F.array_except(F.array(*[F.lit(s) for s in critical]), F.col("_seen"))).alias("service"))
+    return missing.select(
+        "timestamp",
+        F.lit("service_down").alias("alert_type"),
+        F.lit("critical").alias("severity"),
+        F.concat(F.lit("Critical service "), F.col("service"), F.lit(" is not running")).alias("message"),
+        F.to_json(F.struct(F.col("service"))).alias("metric_data"))
+
+
 def service_down(metrics: DataFrame, snapshot: str = "minute",
                  critical: list[str] | None = None) -> DataFrame:
     """For every snapshot (metric time truncated to ``snapshot``) that has
@@ -56,18 +88,10 @@ def service_down(metrics: DataFrame, snapshot: str = "minute",
     services seen (bounded by the critical list), then ``array_except``.
     """
     critical = list(critical or CRITICAL_SERVICES)
-    svc = metrics.filter(F.col("metric_type").isin("service", "services") & is_valid_json(F.col("metric_data")))
-    name = F.regexp_replace(_field("service_name"), r"\.service$", "")
-    seen = (svc.groupBy(F.date_trunc(snapshot, F.col("timestamp")).cast("timestamp_ntz").alias("timestamp"))
-            .agg(F.collect_set(F.when(name.isin(*critical), name)).alias("_seen")))
-    missing = seen.select("timestamp", F.explode(
-        F.array_except(F.array(*[F.lit(s) for s in critical]), F.col("_seen"))).alias("service"))
-    return missing.select(
-        "timestamp",
-        F.lit("service_down").alias("alert_type"),
-        F.lit("critical").alias("severity"),
-        F.concat(F.lit("Critical service "), F.col("service"), F.lit(" is not running")).alias("message"),
-        F.to_json(F.struct(F.col("service"))).alias("metric_data"))
+    seen = (service_rows(metrics)
+            .groupBy(F.date_trunc(snapshot, F.col("timestamp")).cast("timestamp_ntz").alias("timestamp"))
+            .agg(seen_critical(F.col("_service"), critical).alias("_seen")))
+    return missing_service_alerts(seen, critical)
 
 
 def alert_id(timestamp: Column, alert_type: Column, message: Column) -> Column:
