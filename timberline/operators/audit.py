@@ -3,10 +3,11 @@
 Input: captured tool output as lines ``(scan_time, host, tool, line_no, line,
 rc)``; one scan is one ``(scan_time, host, tool)`` and its exit code is the max
 ``rc`` of its lines. Every tool is classified by the same grouped aggregation
-(one shuffle, partial aggregation per task). The "first 10 lines" samples use
-``row_number() <= 10``, which Spark plans as a partial per-task group limit
-before the shuffle, so a scan holding a third of all lines never reaches one
-task whole; the full lists stay available as the filtered line DataFrame.
+(partial aggregation per task before its shuffle). The "first 10 lines"
+samples use ``row_number() <= 10``, which Spark plans as a partial per-task
+group limit before their shuffle, so a scan holding a third of all lines never
+reaches one task whole. Counts and samples (both one row per scan) are then
+joined on the scan key. The full lists stay available as the filtered lines.
 """
 
 from __future__ import annotations
