@@ -255,6 +255,43 @@ def _audit_id(tool: str, host: str, scan_time: str) -> int:
 
 CHAT = f"chat AS ({fx.CHAT_HISTORY_SQL})"
 
+RECS = """concat_ws(chr(10),
+    CASE WHEN l.error_rate > 5 THEN 'High error rate detected: ' || l.error_rate || '%. Review system logs for issues.' END,
+    CASE WHEN h.status <> 'no_data' AND h.cpu_average > 80 THEN 'High CPU usage detected. Consider investigating resource-intensive processes.' END,
+    CASE WHEN h.status <> 'no_data' AND h.memory_average > 85 THEN 'High memory usage detected. Consider memory optimization or cleanup.' END,
+    CASE WHEN h.active_alerts > 0 THEN h.active_alerts || ' active alerts require attention.' END,
+    CASE WHEN a.high_severity > 0 THEN a.high_severity || ' high-severity anomalies detected.' END)"""
+REPORT_TEXT = f"""report_lines AS (
+  SELECT l.*, h.*, a.*, {RECS} AS recs,
+    (SELECT string_agg('  ' || coalesce(k, 'None') || ': ' || format('{{:,}}', c), chr(10) ORDER BY c DESC, k ASC NULLS LAST)
+     FROM sev) AS sev_lines,
+    (SELECT string_agg('  ' || coalesce(k, 'None') || ': ' || format('{{:,}}', c), chr(10) ORDER BY c DESC, k ASC NULLS LAST)
+     FROM (SELECT * FROM unit_top ORDER BY c DESC, k ASC NULLS LAST LIMIT 5)) AS unit_lines,
+    (SELECT string_agg('  [' || severity || '] ' || description, chr(10) ORDER BY kind_order, count DESC, key)
+     FROM (SELECT *, coalesce(unit, source) AS key FROM anomalies WHERE kind_order < 3
+           ORDER BY kind_order, count DESC, key LIMIT 5)) AS anomaly_lines
+  FROM log_summary l, health h,
+    (SELECT count(*) AS total_anomalies, count(*) FILTER (WHERE severity = 'high') AS high_severity
+     FROM anomalies WHERE kind_order < 3) a)"""
+RULE, DASH = "repeat('=', 80)", "repeat('-', 40)"
+REPORT_TEXT_BODY = f"""SELECT 'daily_20240131' AS report_id, concat_ws(chr(10),
+  {RULE}, 'DAILY LOG REPORT', {RULE}, 'Generated: 2024-01-31T00:00:00', 'Period: 720 hours', '',
+  'LOG ANALYTICS', {DASH}, 'Total logs: ' || format('{{:,}}', total_logs), 'Error rate: ' || error_rate || '%', '',
+  'Severity Distribution:', sev_lines, '', 'Top Units by Volume:', unit_lines, '', 'SYSTEM HEALTH', {DASH},
+  CASE WHEN status = 'no_data' THEN 'No system metrics available' ELSE concat_ws(chr(10),
+    'CPU Average: ' || cpu_average || '%', 'Memory Average: ' || memory_average || '%',
+    'Disk Average: ' || disk_average || '%', 'Active Alerts: ' || active_alerts,
+    CASE WHEN recent_alerts IS NOT NULL AND recent_alerts <> '' THEN 'Recent Alerts:' || chr(10) ||
+      array_to_string(list_transform(string_split(recent_alerts, chr(10)), lambda x: '  ' || x), chr(10)) END) END,
+  '', 'ANOMALY DETECTION', {DASH}, 'Total Anomalies: ' || total_anomalies, 'High Severity: ' || high_severity,
+  CASE WHEN anomaly_lines IS NOT NULL THEN 'Recent Anomalies:' || chr(10) || anomaly_lines END,
+  '',
+  CASE WHEN recs <> '' THEN 'RECOMMENDATIONS' || chr(10) || {DASH} || chr(10) ||
+    array_to_string(list_transform(generate_series(1, len(string_split(recs, chr(10)))),
+      lambda i: i || '. ' || string_split(recs, chr(10))[i]), chr(10)) || chr(10) END,
+  {RULE}, 'End of Report', {RULE}) AS report
+FROM report_lines"""
+
 ORACLE: dict[str, str] = {
     "log_query_min_severity": _w(
         f"SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500", LOGS),
@@ -399,4 +436,6 @@ WHERE ts >= {D30} AND unit IN ('sshd', 'cron') ORDER BY ts DESC, cursor DESC LIM
   CAST(floor(datediff('second', boot_time, timestamp) / 86400) AS BIGINT) AS uptime_days
 FROM (SELECT timestamp, timestamp - to_seconds(CAST(json_extract_string(metric_data, '$.uptime_seconds') AS DOUBLE)) AS boot_time
       FROM metrics WHERE metric_type = 'uptime')""", METRICS),
+    "report_text": _w(REPORT_TEXT_BODY, LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
+                      SPIKES, VOLUME, MISSING, ALL_ANOMALIES, REPORT_TEXT),
 }
