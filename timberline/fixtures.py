@@ -239,3 +239,19 @@ def service_capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "capture", F.lit(0).cast("long").alias("line_no"),
         F.lit("  UNIT   LOAD   ACTIVE SUB     DESCRIPTION").alias("value"))
     return header.unionByName(rows)
+
+
+def metric_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collected snapshots as the host probe hands them over: one record per
+    metric row, its typed payload in the slot of its kind (cpu / memory /
+    uptime structs; disk / services lists). Rows whose payload is not JSON are
+    not collected. Columns: timestamp, cpu, memory, disk, services, uptime."""
+    m = metrics(spark, sf_dir).filter(F.try_parse_json(F.col("metric_data")).isNotNull())
+    t, d = F.col("metric_type"), F.col("metric_data")
+    return m.select(
+        "timestamp",
+        F.when(t == "cpu", F.from_json(d, "cpu_percent double")).alias("cpu"),
+        F.when(t == "memory", F.from_json(d, "memory_percent double")).alias("memory"),
+        F.when(t == "disk", F.array(F.from_json(d, "mountpoint string, percent double"))).alias("disk"),
+        F.when(t == "service", F.array(F.from_json(d, "service_name string"))).alias("services"),
+        F.when(t == "uptime", F.from_json(d, "uptime_seconds long")).alias("uptime"))

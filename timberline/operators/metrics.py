@@ -50,8 +50,10 @@ def flatten_snapshot(snapshots: DataFrame) -> DataFrame:
     items = []
     for name in ("cpu", "memory", "uptime"):
         if name in snapshots.columns:
-            items.append(F.array(F.struct(F.lit(name).alias("metric_type"),
-                                          F.to_json(F.col(name), opts).alias("metric_data"))))
+            # A kind the snapshot does not carry (NULL struct) contributes no row.
+            items.append(F.filter(F.array(F.struct(F.lit(name).alias("metric_type"),
+                                                   F.to_json(F.col(name), opts).alias("metric_data"))),
+                                  lambda x: x["metric_data"].isNotNull()))
     def as_row(kind: str):
         return lambda x: F.struct(F.lit(kind).alias("metric_type"), F.to_json(x, opts).alias("metric_data"))
 

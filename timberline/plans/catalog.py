@@ -405,6 +405,11 @@ def uptime_summary(spark, sf):
     return metrics.uptime_rows(_metrics(spark, sf))
 
 
+def snapshot_rows(spark, sf):
+    prepare(spark)
+    return metrics.flatten_snapshot(fx.metric_snapshots(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
@@ -477,4 +482,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "service_status": service_status,
     "source_newest_n": source_newest_n,
     "uptime_summary": uptime_summary,
+    "snapshot_rows": snapshot_rows,
 }

@@ -438,4 +438,13 @@ FROM (SELECT timestamp, timestamp - to_seconds(CAST(json_extract_string(metric_d
       FROM metrics WHERE metric_type = 'uptime')""", METRICS),
     "report_text": _w(REPORT_TEXT_BODY, LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
                       SPIKES, VOLUME, MISSING, ALL_ANOMALIES, REPORT_TEXT),
+    "snapshot_rows": _w("""SELECT timestamp, metric_type, CAST(CASE metric_type
+    WHEN 'cpu' THEN json_object('cpu_percent', CAST(json_extract_string(metric_data, '$.cpu_percent') AS DOUBLE))
+    WHEN 'memory' THEN json_object('memory_percent', CAST(json_extract_string(metric_data, '$.memory_percent') AS DOUBLE))
+    WHEN 'disk' THEN json_object('mountpoint', json_extract_string(metric_data, '$.mountpoint'),
+                                 'percent', CAST(json_extract_string(metric_data, '$.percent') AS DOUBLE))
+    WHEN 'service' THEN json_object('service_name', json_extract_string(metric_data, '$.service_name'))
+    WHEN 'uptime' THEN json_object('uptime_seconds', CAST(json_extract_string(metric_data, '$.uptime_seconds') AS BIGINT))
+  END AS VARCHAR) AS metric_data
+FROM metrics WHERE json_valid(metric_data)""", METRICS),
 }
