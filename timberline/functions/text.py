@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from timberline.functions.fingerprint import py_str
 
 
+def fill(template: str, **values: Column) -> Column:
+    """``template`` with each ``{name}`` replaced by the text of ``values[name]``
+    (a column expression; NULL makes the whole result NULL, as ``concat`` does)."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [F.lit(p) if i % 2 == 0 else values[p].cast("string") for i, p in enumerate(parts)]
+    return F.concat(*[p for i, p in enumerate(pieces) if i % 2 == 1 or parts[i] != ""])
+
+
 def glob_to_regex(pattern: str) -> str:
     """fnmatch-style glob (``*``, ``?``, ``[..]``, ``[!..]``) -> anchored Java regex.
 

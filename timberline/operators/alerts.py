@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions import id_from_fingerprint, py_ts_str
+from timberline.functions import fill, id_from_fingerprint, py_ts_str
 from timberline.operators.metrics import is_valid_json
 from timberline.operators.window import in_window
 from timberline.params import AlertQuery
@@ -15,6 +15,13 @@ from timberline.schema import CPU_ALERT_PERCENT, CRITICAL_SERVICES, DISK_ALERT_P
 
 ALERT_COLUMNS = ["timestamp", "alert_type", "severity", "message", "metric_data"]
 
+# --- fixed values: alert messages --------------------------------------------
+HIGH_CPU_TEXT = "High CPU usage: {value}%"
+HIGH_MEMORY_TEXT = "High memory usage: {value}%"
+HIGH_DISK_TEXT = "High disk usage on {mountpoint}: {value}%"
+SERVICE_DOWN_TEXT = "Critical service {service} is not running"
+# -----------------------------------------------------------------------------
+
 
 def _field(name: str) -> Column:
     return F.get_json_object(F.col("metric_data"), f"$.{name}")
@@ -34,10 +41,10 @@ def threshold_alerts(metrics: DataFrame) -> DataFrame:
     over = reduce(lambda a, b: a | b, [
         (t == k) & (F.coalesce(pct[k].try_cast("double"), F.lit(0.0)) > F.lit(v)) for k, v in limit.items()])
     df = metrics.filter(t.isin("cpu", "memory", "disk") & over).withColumn("_v", value)
-    message = (F.when(t == "cpu", F.concat(F.lit("High CPU usage: "), F.col("_v"), F.lit("%")))
-               .when(t == "memory", F.concat(F.lit("High memory usage: "), F.col("_v"), F.lit("%")))
-               .otherwise(F.concat(F.lit("High disk usage on "), F.coalesce(_field("mountpoint"), F.lit("None")),
-                                   F.lit(": "), F.col("_v"), F.lit("%"))))
+    message = (F.when(t == "cpu", fill(HIGH_CPU_TEXT, value=F.col("_v")))
+               .when(t == "memory", fill(HIGH_MEMORY_TEXT, value=F.col("_v")))
+               .otherwise(fill(HIGH_DISK_TEXT, mountpoint=F.coalesce(_field("mountpoint"), F.lit("None")),
+                               value=F.col("_v"))))
     return df.select(
         F.col("timestamp"),
         F.concat(F.lit("high_"), t).alias("alert_type"),
@@ -74,7 +81,7 @@ def missing_service_alerts(snapshots: DataFrame, critical: list[str]) -> DataFra
         "timestamp",
         F.lit("service_down").alias("alert_type"),
         F.lit("critical").alias("severity"),
-        F.concat(F.lit("Critical service "), F.col("service"), F.lit(" is not running")).alias("message"),
+        fill(SERVICE_DOWN_TEXT, service=F.col("service")).alias("message"),
         F.to_json(F.struct(F.col("service"))).alias("metric_data"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions import is_error_severity, py_str
+from timberline.functions import fill, is_error_severity, py_str
 from timberline.operators.window import in_window
 from timberline.params import AnomalyParams
 from timberline.schema import EXPECTED_UNITS
@@ -18,6 +18,12 @@ from timberline.session import materialize
 
 ANOMALY_COLUMNS = ["kind_order", "type", "unit", "source", "count", "severity", "description"]
 
+# --- fixed values: anomaly descriptions ----------------------------------------
+ERROR_SPIKE_TEXT = "High error rate in {unit}: {count} errors"
+HIGH_VOLUME_TEXT = "High log volume from {source}: {count} logs"
+MISSING_LOGS_TEXT = "Missing expected logs from {unit}"
+# -----------------------------------------------------------------------------
+
 
 def error_spikes(logs: DataFrame, p: AnomalyParams, as_of) -> DataFrame:
     """A2: units with more than ``error_spike_threshold`` err/crit/emerg rows."""
@@ -35,8 +41,7 @@ def spikes_from_counts(unit_errors: DataFrame, p: AnomalyParams) -> DataFrame:
         F.coalesce(F.col("unit"), F.lit("")).alias("unit"),
         F.col("count"),
         F.lit("high").alias("severity"),
-        F.concat(F.lit("High error rate in "), py_str(F.col("unit")), F.lit(": "),
-                 F.col("count").cast("string"), F.lit(" errors")).alias("description"))
+        fill(ERROR_SPIKE_TEXT, unit=py_str(F.col("unit")), count=F.col("count")).alias("description"))
 
 
 def high_volume(logs: DataFrame, p: AnomalyParams, as_of) -> DataFrame:
@@ -54,8 +59,7 @@ def volume_from_counts(source_counts: DataFrame, p: AnomalyParams) -> DataFrame:
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
         F.col("count"),
         F.lit("medium").alias("severity"),
-        F.concat(F.lit("High log volume from "), py_str(F.col("source")), F.lit(": "),
-                 F.col("count").cast("string"), F.lit(" logs")).alias("description"))
+        fill(HIGH_VOLUME_TEXT, source=py_str(F.col("source")), count=F.col("count")).alias("description"))
 
 
 def missing_logs(logs: DataFrame, p: AnomalyParams, as_of,
@@ -76,7 +80,7 @@ def missing_logs(logs: DataFrame, p: AnomalyParams, as_of,
         F.lit("missing_logs").alias("type"),
         F.col("unit"),
         F.lit("medium").alias("severity"),
-        F.concat(F.lit("Missing expected logs from "), F.col("unit")).alias("description"))
+        fill(MISSING_LOGS_TEXT, unit=F.col("unit")).alias("description"))
 
 
 def detect_anomalies(logs: DataFrame, p: AnomalyParams, as_of) -> DataFrame:

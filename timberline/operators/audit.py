@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.functions import id_from_fingerprint, py_ts_str
+from timberline.functions import fill, id_from_fingerprint, py_ts_str
 from timberline.params import AuditHistoryParams
 
 SCAN_KEYS = ["scan_time", "host", "tool"]
@@ -36,6 +36,32 @@ CLAMAV_SCANNED = r"Scanned files: (\d+)"
 OPENSCAP_PASS, OPENSCAP_FAIL, OPENSCAP_ERROR = 'result="pass"', 'result="fail"', 'result="error"'
 LYNIS_WARN = "[WARN]"
 LYNIS_SUGGESTION = "[SUGGESTION]"
+# Outcome (status, severity, summary) of the tools judged by exit code alone.
+RC_OUTCOMES = {
+    "aide": {0: ("clean", "info", "No integrity violations detected"),
+             1: ("violations", "critical", "File integrity violations detected")},
+    "rkhunter": {0: ("clean", "info", "No rootkits detected"),
+                 1: ("warnings", "warning", "Some warnings found"),
+                 2: ("suspicious", "critical", "Suspicious files detected")},
+    "chkrootkit": {0: ("clean", "info", "No rootkits detected"),
+                   1: ("suspicious", "critical", "Suspicious files detected")},
+}
+# Summary of a run whose exit code means failure (status and severity "error").
+RC_FAILED = {
+    "aide": "AIDE check failed: ",
+    "rkhunter": "rkhunter check failed: ",
+    "chkrootkit": "chkrootkit check failed: ",
+    "openscap": "OpenSCAP scan failed: ",
+    "lynis": "Lynis audit failed: ",
+}
+AUDITD_ACTIVE = "auditd service is active"
+AUDITD_SUSPICIOUS_TEXT = " - {n} suspicious events detected"
+CLAMAV_INFECTED_TEXT = "Virus detected in {n} locations"
+CLAMAV_CLEAN_TEXT = "No viruses detected in {n} scanned files"
+OPENSCAP_DONE = "OpenSCAP scan completed"
+OPENSCAP_FAILURES_TEXT = " - {n} compliance failures"
+LYNIS_DONE = "Lynis audit completed"
+LYNIS_WARNINGS_TEXT = " - {n} warnings found"
 # -----------------------------------------------------------------------------
 
 RESULT_COLUMNS = ["scan_time", "host", "tool", "rc", "status", "severity", "summary", "line_count",
@@ -99,16 +125,17 @@ def _samples(flags: DataFrame) -> DataFrame:
         F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no) FILTER (WHERE kind = 2)").alias("_s2"))
 
 
-def _by_rc(cases: dict[int, str], other: str) -> Column:
-    rc = F.col("rc")
-    out = None
-    for code, value in cases.items():
-        out = F.when(rc == code, F.lit(value)) if out is None else out.when(rc == code, F.lit(value))
-    return out.otherwise(F.lit(other))
+def _rc_table(tool: str, field: int, failed: str) -> Column:
+    """Field ``field`` of ``RC_OUTCOMES[tool]`` for the scan's exit code, else ``failed``."""
+    rc, out = F.col("rc"), None
+    for code, outcome in RC_OUTCOMES[tool].items():
+        value = F.lit(outcome[field])
+        out = F.when(rc == code, value) if out is None else out.when(rc == code, value)
+    return out.otherwise(F.lit(failed))
 
 
-def _suffix(cond: Column, head: str, n: Column, tail: str) -> Column:
-    return F.when(cond, F.concat(F.lit(head), n.cast("string"), F.lit(tail))).otherwise(F.lit(""))
+def _suffix(cond: Column, template: str, n: Column) -> Column:
+    return F.when(cond, fill(template, n=n)).otherwise(F.lit(""))
 
 
 def scan_results(lines: DataFrame) -> DataFrame:
@@ -117,42 +144,30 @@ def scan_results(lines: DataFrame) -> DataFrame:
     flags = _line_flags(lines)
     df = _aggregate(flags).join(_samples(flags), SCAN_KEYS, "left")
     t, rc = F.col("tool"), F.col("rc")
-    susp, prim = F.col("n_suspicious"), F.col("n_primary")
-    fail = F.col("n_fail")
-    status = (F.when(t == "auditd", F.lit("running"))
-              .when(t == "aide", _by_rc({0: "clean", 1: "violations"}, "error"))
-              .when(t == "rkhunter", _by_rc({0: "clean", 1: "warnings", 2: "suspicious"}, "error"))
-              .when(t == "chkrootkit", _by_rc({0: "clean", 1: "suspicious"}, "error"))
-              .when(t == "clamav", F.when(prim > 0, F.lit("infected")).otherwise(F.lit("clean")))
-              .when(t.isin("openscap", "lynis"), _by_rc({0: "completed"}, "error"))
+    susp, prim, fail = F.col("n_suspicious"), F.col("n_primary"), F.col("n_fail")
+    scanned = F.coalesce(F.col("n_scanned"), F.lit(0))
+    status, severity, summary = F.when(t == "auditd", F.lit("running")), \
+        F.when(t == "auditd", F.when((rc == 0) & (susp > 0), F.lit("warning")).otherwise(F.lit("info"))), \
+        F.when(t == "auditd", F.concat(F.lit(AUDITD_ACTIVE), _suffix((rc == 0) & (susp > 0), AUDITD_SUSPICIOUS_TEXT, susp)))
+    for tool in RC_OUTCOMES:
+        status = status.when(t == tool, _rc_table(tool, 0, "error"))
+        severity = severity.when(t == tool, _rc_table(tool, 1, "error"))
+        summary = summary.when(t == tool, _rc_table(tool, 2, RC_FAILED[tool]))
+    status = (status.when(t == "clamav", F.when(prim > 0, F.lit("infected")).otherwise(F.lit("clean")))
+              .when(t.isin("openscap", "lynis"), F.when(rc == 0, F.lit("completed")).otherwise(F.lit("error")))
               .otherwise(F.lit("unknown")))
-    severity = (F.when(t == "auditd", F.when((rc == 0) & (susp > 0), F.lit("warning")).otherwise(F.lit("info")))
-                .when(t == "aide", _by_rc({0: "info", 1: "critical"}, "error"))
-                .when(t == "rkhunter", _by_rc({0: "info", 1: "warning", 2: "critical"}, "error"))
-                .when(t == "chkrootkit", _by_rc({0: "info", 1: "critical"}, "error"))
-                .when(t == "clamav", F.when(prim > 0, F.lit("critical")).otherwise(F.lit("info")))
+    severity = (severity.when(t == "clamav", F.when(prim > 0, F.lit("critical")).otherwise(F.lit("info")))
                 .when(t == "openscap", F.when(rc != 0, F.lit("error"))
                       .when(fail > 0, F.lit("warning")).otherwise(F.lit("info")))
                 .when(t == "lynis", F.when(rc != 0, F.lit("error"))
                       .when(prim > 0, F.lit("warning")).otherwise(F.lit("info")))
                 .otherwise(F.lit("info")))
-    summary = (F.when(t == "auditd", F.concat(F.lit("auditd service is active"), _suffix(
-                   (rc == 0) & (susp > 0), " - ", susp, " suspicious events detected")))
-               .when(t == "aide", _by_rc({0: "No integrity violations detected",
-                                          1: "File integrity violations detected"}, "AIDE check failed: "))
-               .when(t == "rkhunter", _by_rc({0: "No rootkits detected", 1: "Some warnings found",
-                                              2: "Suspicious files detected"}, "rkhunter check failed: "))
-               .when(t == "chkrootkit", _by_rc({0: "No rootkits detected", 1: "Suspicious files detected"},
-                                               "chkrootkit check failed: "))
-               .when(t == "clamav", F.when(prim > 0, F.concat(F.lit("Virus detected in "), prim.cast("string"),
-                                                               F.lit(" locations")))
-                     .otherwise(F.concat(F.lit("No viruses detected in "),
-                                         F.coalesce(F.col("n_scanned"), F.lit(0)).cast("string"),
-                                         F.lit(" scanned files"))))
-               .when(t == "openscap", F.when(rc == 0, F.concat(F.lit("OpenSCAP scan completed"), _suffix(
-                   fail > 0, " - ", fail, " compliance failures"))).otherwise(F.lit("OpenSCAP scan failed: ")))
-               .when(t == "lynis", F.when(rc == 0, F.concat(F.lit("Lynis audit completed"), _suffix(
-                   prim > 0, " - ", prim, " warnings found"))).otherwise(F.lit("Lynis audit failed: ")))
+    summary = (summary.when(t == "clamav", F.when(prim > 0, fill(CLAMAV_INFECTED_TEXT, n=prim))
+                             .otherwise(fill(CLAMAV_CLEAN_TEXT, n=scanned)))
+               .when(t == "openscap", F.when(rc == 0, F.concat(F.lit(OPENSCAP_DONE), _suffix(
+                   fail > 0, OPENSCAP_FAILURES_TEXT, fail))).otherwise(F.lit(RC_FAILED["openscap"])))
+               .when(t == "lynis", F.when(rc == 0, F.concat(F.lit(LYNIS_DONE), _suffix(
+                   prim > 0, LYNIS_WARNINGS_TEXT, prim))).otherwise(F.lit(RC_FAILED["lynis"])))
                .otherwise(F.lit("")))
     # Which lists the reference parses depends on the exit code.
     parsed = (F.when(t.isin("auditd", "openscap", "lynis"), rc == 0).when(t == "aide", rc == 1)
@@ -162,7 +177,7 @@ def scan_results(lines: DataFrame) -> DataFrame:
         *SCAN_KEYS, "rc", status.alias("status"), severity.alias("severity"), summary.alias("summary"),
         "line_count",
         F.when(parsed, finding).alias("finding_count"),
-        F.when(t == "clamav", F.coalesce(F.col("n_scanned"), F.lit(0))).alias("scanned_files"),
+        F.when(t == "clamav", scanned).alias("scanned_files"),
         F.when((t == "openscap") & (rc == 0), F.col("n_pass")).alias("pass_count"),
         F.when((t == "openscap") & (rc == 0), fail).alias("fail_count"),
         F.when((t == "openscap") & (rc == 0), F.col("n_error")).alias("error_count"),
