@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.functions import html_escape, is_error_severity, percent, thousands
+from timberline.functions import fill, html_escape, is_error_severity, percent, thousands
 from timberline.operators.anomaly import anomaly_summary_parts
 from timberline.operators.metrics import health_parts
 from timberline.operators.window import in_window
@@ -22,7 +22,7 @@ from timberline.session import materialize
 
 TOP_UNITS = 10
 TOP_SOURCES = 5
-TEXT_UNITS = 5
+TEXT_UNITS_SHOWN = 5
 
 # --- fixed values: recommendation rules of the daily report ---------------------
 ERROR_RATE_LIMIT = 5
@@ -35,6 +35,34 @@ REC_ALERTS = "{} active alerts require attention."
 REC_ANOMALIES = "{} high-severity anomalies detected."
 # -----------------------------------------------------------------------------
 
+# --- fixed values: text report layout ---------------------------------------------
+TEXT_RULE = "=" * 80
+TEXT_DASH = "-" * 40
+TEXT_GENERATED = "Generated: {v}"
+TEXT_PERIOD = "Period: {v} hours"
+TEXT_LOG_ANALYTICS = "LOG ANALYTICS"
+TEXT_TOTAL_LOGS = "Total logs: {v}"
+TEXT_ERROR_RATE = "Error rate: {v}%"
+TEXT_SEVERITIES = "Severity Distribution:"
+TEXT_UNITS = "Top Units by Volume:"
+TEXT_PAIR = "  {key}: {count}"
+TEXT_SYSTEM_HEALTH = "SYSTEM HEALTH"
+TEXT_NO_METRICS = "No system metrics available"
+TEXT_CPU = "CPU Average: {v}%"
+TEXT_MEMORY = "Memory Average: {v}%"
+TEXT_DISK = "Disk Average: {v}%"
+TEXT_ACTIVE_ALERTS = "Active Alerts: {v}"
+TEXT_RECENT_ALERTS = "Recent Alerts:"
+TEXT_ITEM = "  [{severity}] {text}"
+TEXT_ANOMALY_DETECTION = "ANOMALY DETECTION"
+TEXT_TOTAL_ANOMALIES = "Total Anomalies: {v}"
+TEXT_HIGH_SEVERITY = "High Severity: {v}"
+TEXT_RECENT_ANOMALIES = "Recent Anomalies:"
+TEXT_RECOMMENDATIONS = "RECOMMENDATIONS"
+TEXT_NUMBERED = "{i}. {text}"
+TEXT_END = "End of Report"
+# -----------------------------------------------------------------------------
+
 REPORT_TITLE = "DAILY LOG REPORT"
 
 
@@ -184,54 +212,49 @@ def report_scalars(report: DataFrame) -> DataFrame:
 def format_text(report: DataFrame) -> DataFrame:
     """The report as plain text in a ``report`` column (fixed section order)."""
     la, sh, an = (F.col("summary.log_analytics"), F.col("summary.system_health"), F.col("summary.anomalies"))
-    rule, dash = F.lit("=" * 80), F.lit("-" * 40)
-    blank = F.lit("")
+    rule, dash, blank = F.lit(TEXT_RULE), F.lit(TEXT_DASH), F.lit("")
+    no_lines = F.array().cast("array<string>")
 
     def arr(*cols: Column) -> Column:
         return F.array(*cols)
 
-    pairs = lambda c: F.transform(c, lambda x: F.concat(
-        F.lit("  "), F.coalesce(x["key"], F.lit("None")), F.lit(": "), thousands(x["count"])))
-    no_data = sh["status"] == "no_data"
-    health_lines = F.when(no_data, arr(F.lit("No system metrics available"))).otherwise(F.concat(
-        arr(F.concat(F.lit("CPU Average: "), sh["cpu_average"].cast("string"), F.lit("%")),
-            F.concat(F.lit("Memory Average: "), sh["memory_average"].cast("string"), F.lit("%")),
-            F.concat(F.lit("Disk Average: "), sh["disk_average"].cast("string"), F.lit("%")),
-            F.concat(F.lit("Active Alerts: "), sh["active_alerts"].cast("string"))),
+    def pairs(c: Column) -> Column:
+        return F.transform(c, lambda x: fill(TEXT_PAIR, key=F.coalesce(x["key"], F.lit("None")),
+                                             count=thousands(x["count"])))
+
+    def items(c: Column, text_field: str) -> Column:
+        return F.transform(c, lambda a: fill(TEXT_ITEM, severity=a["severity"], text=a[text_field]))
+
+    health_lines = F.when(sh["status"] == "no_data", arr(F.lit(TEXT_NO_METRICS))).otherwise(F.concat(
+        arr(fill(TEXT_CPU, v=sh["cpu_average"]), fill(TEXT_MEMORY, v=sh["memory_average"]),
+            fill(TEXT_DISK, v=sh["disk_average"]), fill(TEXT_ACTIVE_ALERTS, v=sh["active_alerts"])),
         F.when(F.size(sh["alert_summary"]) > 0, F.concat(
-            arr(F.lit("Recent Alerts:")),
-            F.transform(sh["alert_summary"], lambda a: F.concat(
-                F.lit("  ["), a["severity"], F.lit("] "), a["message"])))).otherwise(F.array().cast("array<string>"))))
+            arr(F.lit(TEXT_RECENT_ALERTS)), items(sh["alert_summary"], "message"))).otherwise(no_lines)))
     anomaly_lines = F.concat(
-        arr(F.concat(F.lit("Total Anomalies: "), an["total_anomalies"].cast("string")),
-            F.concat(F.lit("High Severity: "), an["high_severity"].cast("string"))),
+        arr(fill(TEXT_TOTAL_ANOMALIES, v=an["total_anomalies"]), fill(TEXT_HIGH_SEVERITY, v=an["high_severity"])),
         F.when(F.size(an["recent"]) > 0, F.concat(
-            arr(F.lit("Recent Anomalies:")),
-            F.transform(an["recent"], lambda a: F.concat(
-                F.lit("  ["), a["severity"], F.lit("] "), a["description"])))).otherwise(F.array().cast("array<string>")))
+            arr(F.lit(TEXT_RECENT_ANOMALIES)), items(an["recent"], "description"))).otherwise(no_lines))
     recs = F.col("recommendations")
     rec_lines = F.when(F.size(recs) > 0, F.concat(
-        arr(F.lit("RECOMMENDATIONS"), dash),
-        F.transform(recs, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r)),
-        arr(blank))).otherwise(F.array().cast("array<string>"))
+        arr(F.lit(TEXT_RECOMMENDATIONS), dash),
+        F.transform(recs, lambda r, i: fill(TEXT_NUMBERED, i=i + 1, text=r)),
+        arr(blank))).otherwise(no_lines)
     lines = F.concat(
         arr(rule, F.lit(REPORT_TITLE), rule,
-            F.concat(F.lit("Generated: "), F.col("generated_at")),
-            F.concat(F.lit("Period: "), F.col("period_hours").cast("string"), F.lit(" hours")), blank,
-            F.lit("LOG ANALYTICS"), dash,
-            F.concat(F.lit("Total logs: "), thousands(la["total_logs"])),
-            F.concat(F.lit("Error rate: "), la["error_rate"].cast("string"), F.lit("%")), blank,
-            F.lit("Severity Distribution:")),
+            fill(TEXT_GENERATED, v=F.col("generated_at")), fill(TEXT_PERIOD, v=F.col("period_hours")), blank,
+            F.lit(TEXT_LOG_ANALYTICS), dash,
+            fill(TEXT_TOTAL_LOGS, v=thousands(la["total_logs"])), fill(TEXT_ERROR_RATE, v=la["error_rate"]), blank,
+            F.lit(TEXT_SEVERITIES)),
         pairs(la["severity_distribution"]),
-        arr(blank, F.lit("Top Units by Volume:")),
-        pairs(F.slice(la["top_units"], 1, TEXT_UNITS)),
-        arr(blank, F.lit("SYSTEM HEALTH"), dash),
+        arr(blank, F.lit(TEXT_UNITS)),
+        pairs(F.slice(la["top_units"], 1, TEXT_UNITS_SHOWN)),
+        arr(blank, F.lit(TEXT_SYSTEM_HEALTH), dash),
         health_lines,
-        arr(blank, F.lit("ANOMALY DETECTION"), dash),
+        arr(blank, F.lit(TEXT_ANOMALY_DETECTION), dash),
         anomaly_lines,
         arr(blank),
         rec_lines,
-        arr(rule, F.lit("End of Report"), rule))
+        arr(rule, F.lit(TEXT_END), rule))
     return report.select("report_id", F.array_join(lines, "\n").alias("report"))
 
 
