@@ -153,9 +153,10 @@ def _metrics(spark, sf):
 
 
 def _alert_table(spark, sf):
-    """Alerts as stored by the monitor: threshold rules and hourly service snapshots."""
+    """The stored alert table the monitor would have written (threshold rules and
+    hourly service snapshots over the metric rows), written once per call."""
     m = _metrics(spark, sf)
-    return alerts.store_alerts(alerts.threshold_alerts(m).unionByName(alerts.service_down(m, "hour")))
+    return materialize(alerts.store_alerts(alerts.threshold_alerts(m).unionByName(alerts.service_down(m, "hour"))))
 
 
 def log_summary(spark, sf):
