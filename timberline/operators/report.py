@@ -296,9 +296,10 @@ def format_html(report: DataFrame) -> DataFrame:
 
 
 def format_json(report: DataFrame) -> DataFrame:
-    """The report as one JSON document."""
-    return report.select("report_id", F.to_json(F.struct(*report.columns),
-                                                {"ignoreNullFields": "false"}).alias("report"))
+    """The report as one JSON document (NULL fields kept, times with µs)."""
+    opts = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+            "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return report.select("report_id", F.to_json(F.struct(*report.columns), opts).alias("report"))
 
 
 def save_report(rendered: DataFrame, directory: str, as_of, extension: str = "txt") -> str:

@@ -292,6 +292,36 @@ REPORT_TEXT_BODY = f"""SELECT 'daily_20240131' AS report_id, concat_ws(chr(10),
   {RULE}, 'End of Report', {RULE}) AS report
 FROM report_lines"""
 
+_PAIRS = "list({{'key': k, 'count': c}} ORDER BY c DESC, k ASC NULLS LAST)"
+REPORT_JSON_BODY = f"""SELECT 'daily_20240131' AS report_id, CAST(json_object(
+  'report_id', 'daily_20240131', 'generated_at', '2024-01-31T00:00:00', 'period_hours', 720,
+  'summary', json_object(
+    'log_analytics', json_object(
+      'total_logs', total_logs,
+      'severity_distribution', (SELECT {_PAIRS.format()} FROM sev),
+      'top_units', (SELECT {_PAIRS.format()} FROM unit_top),
+      'top_sources', (SELECT {_PAIRS.format()} FROM src_top),
+      'error_count', error_count, 'error_rate', error_rate, 'period_hours', 720),
+    'system_health', json_object(
+      'status', status, 'cpu_average', cpu_average, 'memory_average', memory_average,
+      'disk_average', disk_average, 'active_alerts', active_alerts,
+      'alert_summary', (SELECT list({{'severity': severity, 'message': message,
+                                       'timestamp': strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')}}
+                                      ORDER BY timestamp DESC, alert_type, message)
+                        FROM (SELECT * FROM alert_table WHERE timestamp >= {D30}
+                              ORDER BY timestamp DESC, alert_type, message LIMIT 5))),
+    'anomalies', json_object(
+      'total_anomalies', total_anomalies, 'high_severity', high_severity,
+      'medium_severity', (SELECT count(*) FILTER (WHERE severity = 'medium') FROM anomalies WHERE kind_order < 3),
+      'error_spike_count', (SELECT count(*) FILTER (WHERE type = 'error_spike') FROM anomalies WHERE kind_order < 3),
+      'high_volume_count', (SELECT count(*) FILTER (WHERE type = 'high_volume') FROM anomalies WHERE kind_order < 3),
+      'recent', (SELECT list({{'type': type, 'severity': severity, 'description': description}}
+                             ORDER BY kind_order, count DESC, key)
+                 FROM (SELECT *, coalesce(unit, source) AS key FROM anomalies WHERE kind_order < 3
+                       ORDER BY kind_order, count DESC, key LIMIT 5)))),
+  'recommendations', list_filter(string_split(recs, chr(10)), lambda x: x <> '')) AS VARCHAR) AS report
+FROM report_lines"""
+
 ORACLE: dict[str, str] = {
     "log_query_min_severity": _w(
         f"SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500", LOGS),
@@ -447,4 +477,6 @@ FROM (SELECT timestamp, timestamp - to_seconds(CAST(json_extract_string(metric_d
     WHEN 'uptime' THEN json_object('uptime_seconds', CAST(json_extract_string(metric_data, '$.uptime_seconds') AS BIGINT))
   END AS VARCHAR) AS metric_data
 FROM metrics WHERE json_valid(metric_data)""", METRICS),
+    "report_json": _w(REPORT_JSON_BODY, LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
+                      SPIKES, VOLUME, MISSING, ALL_ANOMALIES, REPORT_TEXT),
 }
