@@ -322,6 +322,46 @@ REPORT_JSON_BODY = f"""SELECT 'daily_20240131' AS report_id, CAST(json_object(
   'recommendations', list_filter(string_split(recs, chr(10)), lambda x: x <> '')) AS VARCHAR) AS report
 FROM report_lines"""
 
+def esc(x: str) -> str:
+    """HTML escaping of a SQL string expression (same order as functions.html_escape)."""
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), '''', '&#x27;')")
+
+
+def _html_rows(src: str) -> str:
+    key = esc("coalesce(k, 'None')")
+    return (f"(SELECT coalesce(string_agg('<tr><td>' || {key} || '</td><td>' || "
+            f"format('{{:,}}', c) || '</td></tr>', '' ORDER BY c DESC, k ASC NULLS LAST), '') FROM {src})")
+
+
+REPORT_HTML_BODY = f"""SELECT 'daily_20240131' AS report_id,
+  '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head><title>Daily Log Report</title></head>' || chr(10) ||
+  '<body>' || chr(10) || '<h1>Daily Log Report</h1>' || chr(10) ||
+  '<p>Generated: 2024-01-31T00:00:00 &middot; Period: 720 hours</p>' || chr(10) ||
+  '<h2>Log Analytics</h2>' || chr(10) || '<p>Total logs: ' || format('{{:,}}', total_logs) ||
+  ' &middot; Error rate: ' || error_rate || '%</p>' || chr(10) ||
+  '<h3>Severity Distribution</h3>' || chr(10) || '<table>' || {_html_rows('sev')} || '</table>' || chr(10) ||
+  '<h3>Top Units</h3>' || chr(10) || '<table>' || {_html_rows('unit_top')} || '</table>' || chr(10) ||
+  '<h2>System Health</h2>' || chr(10) ||
+  CASE WHEN status = 'no_data' THEN '<p>No system metrics available</p>' || chr(10) ELSE
+    '<p>CPU Average: ' || cpu_average || '% &middot; Memory Average: ' || memory_average ||
+    '% &middot; Disk Average: ' || disk_average || '% &middot; Active Alerts: ' || active_alerts || '</p>' || chr(10) ||
+    '<ul>' || (SELECT coalesce(string_agg('<li>[' || {esc('severity')} || '] ' || {esc('message')} || '</li>', ''
+                                          ORDER BY timestamp DESC, alert_type, message), '')
+               FROM (SELECT * FROM alert_table WHERE timestamp >= {D30}
+                     ORDER BY timestamp DESC, alert_type, message LIMIT 5)) || '</ul>' || chr(10) END ||
+  '<h2>Anomaly Detection</h2>' || chr(10) || '<p>Total Anomalies: ' || total_anomalies ||
+  ' &middot; High Severity: ' || high_severity || '</p>' || chr(10) || '<ul>' ||
+  (SELECT coalesce(string_agg('<li>[' || {esc('severity')} || '] ' || {esc('description')} || '</li>', ''
+                              ORDER BY kind_order, count DESC, key), '')
+   FROM (SELECT *, coalesce(unit, source) AS key FROM anomalies WHERE kind_order < 3
+         ORDER BY kind_order, count DESC, key LIMIT 5)) || '</ul>' || chr(10) ||
+  '<h2>Recommendations</h2>' || chr(10) || '<ol>' ||
+  coalesce(array_to_string(list_transform(list_filter(string_split(recs, chr(10)), lambda x: x <> ''),
+                                          lambda r: '<li>' || {esc('r')} || '</li>'), ''), '') ||
+  '</ol>' || chr(10) || '</body>' || chr(10) || '</html>' AS report
+FROM report_lines"""
+
 ORACLE: dict[str, str] = {
     "log_query_min_severity": _w(
         f"SELECT {QCOLS} FROM logs WHERE ts >= {D7} AND {RANK} <= 4 ORDER BY ts DESC, id DESC LIMIT 500", LOGS),
@@ -479,4 +519,6 @@ FROM (SELECT timestamp, timestamp - to_seconds(CAST(json_extract_string(metric_d
 FROM metrics WHERE json_valid(metric_data)""", METRICS),
     "report_json": _w(REPORT_JSON_BODY, LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
                       SPIKES, VOLUME, MISSING, ALL_ANOMALIES, REPORT_TEXT),
+    "report_html": _w(REPORT_HTML_BODY, LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
+                      SPIKES, VOLUME, MISSING, ALL_ANOMALIES, REPORT_TEXT),
 }
