@@ -188,3 +188,12 @@ def test_ingest_into_table_twice(spark, tmp_path):
     stored = spark.read.parquet(table)
     assert stored.count() == 2 and "day" in stored.columns
     assert spark.read.parquet(state).first().source == "src1"
+
+
+def test_clear_table_keeps_schema(spark, tmp_path):
+    from timberline.schema import CHAT_HISTORY
+    path = str(tmp_path / "chat")
+    spark.createDataFrame([(1, AS_OF, "user", "hi", "s")], CHAT_HISTORY).write.parquet(path)
+    ingest.clear_table(spark, path, CHAT_HISTORY)
+    cleared = spark.read.parquet(path)
+    assert cleared.count() == 0 and cleared.columns == [f.name for f in CHAT_HISTORY.fields]

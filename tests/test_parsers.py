@@ -103,3 +103,21 @@ def test_file_pruning_by_size(spark, tmp_path):
     names = sorted(r.file_path.rsplit("/", 1)[1] for r in list_files(spark, str(tmp_path), max_size_mb=1).collect())
     assert names == ["small.log"]
     assert read_lines(spark, str(tmp_path), max_size_mb=1).count() == 1
+
+
+def test_file_pruning_by_age_and_first_n(spark, tmp_path):
+    import os
+    import time
+    from timberline.sources.registry import read_source
+    old, new = tmp_path / "old.log", tmp_path / "new.log"
+    old.write_text("<14>Jan 01 12:00:00 h a: stale\n")
+    new.write_text("".join(f"<14>Jan 01 12:00:{i:02d} h a: line {i}\n" for i in range(5)))
+    week_ago = time.time() - 7 * 86400
+    os.utime(old, (week_ago, week_ago))
+    from timberline.sources.files import list_files
+    cutoff = dt.datetime.fromtimestamp(time.time() - 86400, dt.timezone.utc)
+    kept = [r.file_path.rsplit("/", 1)[1] for r in list_files(spark, str(tmp_path), modified_since=cutoff).collect()]
+    assert kept == ["new.log"]
+    src = LogSource("files", "file", config={"paths": [str(tmp_path)], "year": 2024, "modified_since": cutoff})
+    first = read_source(spark, src, "2024-01-02 00:00:00", since_seconds=86400 * 2, limit=3).collect()
+    assert [r.message for r in first] == ["line 0", "line 1", "line 2"]
