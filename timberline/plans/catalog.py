@@ -6,6 +6,8 @@ parameters are fixed here so the DuckDB texts in ``oracle.py`` can mirror them.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,7 @@ from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
-import hashlib
-import uuid
-
 from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, query, report, vectors
-from timberline.sources import parsers
-from timberline.sources.registry import LogSource, read_all, read_source
 from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Discover, IndexParams, LogQuery,
                                MetricQuery, SearchParams)
 from timberline.schema import ALERTS as ALERTS_SCHEMA
@@ -26,6 +23,8 @@ from timberline.schema import LOGS as LOGS_SCHEMA
 from timberline.schema import METRICS as METRICS_SCHEMA
 from timberline.session import materialize, prepare, scratch_path
 from timberline.sources import files as file_sources
+from timberline.sources import parsers
+from timberline.sources.registry import LogSource, read_all, read_source
 from timberline.streaming import ingest as stream_ingest_mod
 from timberline.streaming import monitor, spikes
 from timberline.streaming.sinks import read_table
