@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from timberline.operators import ingest
 from timberline.sources import parsers
-from timberline.streaming.sinks import EPOCH, read_other_epochs, write_epoch
+from timberline.streaming.sinks import read_other_epochs, write_epoch
 
 
 def parsed_stream(spark: SparkSession, landing: str, source_type: str = "journald",
@@ -32,6 +32,8 @@ def parsed_stream(spark: SparkSession, landing: str, source_type: str = "journal
     if source_type == "journald":
         return parsers.parse_journald(lines)
     if source_type == "file":
+        if year is None:
+            raise ValueError("syslog streams need the year (the lines carry none)")
         return parsers.parse_syslog(lines, year=year)
     raise ValueError(f"Unknown source type: {source_type}")
 
@@ -46,11 +48,11 @@ def dedup_stream(parsed: DataFrame, dedup_window: str = "1 hour") -> DataFrame:
 def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                  source_type: str = "journald", available_now: bool = True,
                  processing_time: str | None = None, dedup_window: str = "1 hour",
-                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 max_files_per_trigger: int | None = None, year: int | None = None) -> StreamingQuery:
     """Run the ingest stream into ``table`` (Parquet partitioned by ``day``
     and micro-batch ``epoch``). Each batch keeps its first row per cursor and
     loses rows whose id / fingerprint / cursor is already in an earlier batch."""
-    stream = dedup_stream(parsed_stream(spark, landing, source_type,
+    stream = dedup_stream(parsed_stream(spark, landing, source_type, year=year,
                                         max_files_per_trigger=max_files_per_trigger), dedup_window)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
@@ -72,5 +74,3 @@ def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
         writer.trigger(processingTime=processing_time or "1 minute")
     return writer.start()
 
-
-__all__ = ["parsed_stream", "dedup_stream", "start_ingest", "EPOCH"]
