@@ -92,7 +92,9 @@ def test_registry_isolates_failures_and_custom_parser(spark):
     off = LogSource("off", "kv", enabled=False, config={"lines": _lines(spark, ["c=3"])})
     df, errors = read_all(spark, [good, broken, off], "2024-01-02 00:00:00", since_seconds=86400 * 2, limit=None)
     assert set(errors) == {"broken"}
-    assert sorted(r.message for r in df.collect()) == ["1", "2"]
+    rows = sorted(df.collect(), key=lambda r: r.message)
+    assert [r.message for r in rows] == ["1", "2"]
+    assert [json.loads(r.raw) for r in rows] == [{"raw": "a=1"}, {"raw": "b=2"}]  # X6 applied to P1 output
 
 
 def test_file_pruning_by_size(spark, tmp_path):
