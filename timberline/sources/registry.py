@@ -8,11 +8,14 @@ config is reported, the other sources still run), and unions the rest.
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ class LogSource:
 
 
 ParserFn = Callable[[DataFrame, dict], DataFrame]
+
+# Python UDFs defined here are shipped to executors by value, so the workers
+# need numpy/pandas but not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _PARSERS: dict[str, ParserFn] = {}
 
 
