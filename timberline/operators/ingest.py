@@ -48,16 +48,20 @@ def dedup_batch(batch: DataFrame, order_col: str = "seq") -> DataFrame:
 
 
 def _recent_partitions(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Restrict a date-partitioned table to the dates the batch touches.
+    """Restrict a date-partitioned table to the day span of the batch.
 
     Exact because a conflicting stored row has the same content (hence the same
-    ``ts`` and date). The semi join on the partition column lets dynamic
-    partition pruning skip every other date at scan time.
+    ``ts`` and date). The span is two dates from one small aggregate over the
+    batch, applied as a static partition filter, so the scan lists and reads
+    only those days whatever the batch's plan looks like (dynamic pruning would
+    need a selective predicate on the batch side, which a parsed batch lacks).
     """
     if PARTITION_COLUMN not in existing.columns:
         return existing
-    days = batch.select(F.to_date("ts").alias(PARTITION_COLUMN)).distinct()
-    return existing.join(days, PARTITION_COLUMN, "left_semi")
+    span = batch.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).first()
+    if span is None or span["lo"] is None:
+        return existing.limit(0)
+    return existing.filter(F.col(PARTITION_COLUMN).between(F.lit(span["lo"]), F.lit(span["hi"])))
 
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, days_from: DataFrame | None = None) -> DataFrame:
