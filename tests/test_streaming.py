@@ -60,3 +60,27 @@ def test_service_watch_judges_closed_snapshots(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.timestamp, r.message) for r in read_table(spark, f"{base}/alerts").collect())
     assert got == [(dt.datetime(2024, 1, 1, 12, 0), "Critical service systemd is not running")]
+
+
+def test_error_spikes_append_mode_emits_closed_windows(spark, tmp_path):
+    from timberline.streaming import spikes
+    land = tmp_path / "landing"
+    land.mkdir()
+    hour = 3_600_000_000
+    base_us = 1_704_067_200_000_000  # 2024-01-01 00:00:00
+
+    def line(i, offset_us, prio="3"):
+        return json.dumps({"__REALTIME_TIMESTAMP": str(base_us + offset_us), "_SYSTEMD_UNIT": "u.service",
+                           "PRIORITY": prio, "MESSAGE": f"m{i}", "__CURSOR": f"c{i}"})
+
+    rows = [line(i, i * 1000) for i in range(12)]          # 12 errors in the first hour
+    rows += [line(100 + i, hour + i) for i in range(3)]     # 3 errors in the second hour
+    rows += [line(200, 5 * hour, prio="6")]                 # an info row moves the watermark on
+    (land / "a.log").write_text("\n".join(rows) + "\n")
+    base = scratch_path(spark, f"test-spikes-{uuid.uuid4().hex[:8]}")
+    parsed = stream_ingest.parsed_stream(spark, str(land))
+    q = spikes.start_error_spikes(parsed, f"{base}/table", f"{base}/ckpt", window="1 hour", threshold=10,
+                                  mode="append", lateness="1 hour")
+    q.awaitTermination()
+    got = [(r.unit, r.error_count) for r in read_table(spark, f"{base}/table", spikes.SPIKE_SCHEMA).collect()]
+    assert got == [("u.service", 12)]

@@ -1,9 +1,9 @@
 """Streaming error-spike detection (W2): error rows per (time window, unit).
 
-Runs in ``complete`` output mode through ``foreachBatch`` so every window is
-emitted with its final count (append mode would hold back windows the
-watermark has not passed, and an event-time watermark would drop late rows).
-The state is one counter per (window, unit).
+Two output modes through ``foreachBatch`` (see ``start_error_spikes``):
+``complete`` emits every window with its final count and drops nothing, at the
+price of state that grows with history; ``append`` bounds the state with an
+event-time watermark. The state is one counter per open (window, unit).
 """
 
 from __future__ import annotations
@@ -18,26 +18,55 @@ from timberline.streaming.sinks import write_epoch
 SPIKE_SCHEMA = "window_start timestamp_ntz, window_end timestamp_ntz, unit string, error_count long"
 
 
-def windowed_errors(parsed: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Error rows per tumbling ``window`` and unit (batch or streaming input)."""
-    errs = parsed.filter(is_error_severity(F.col("severity")))
-    w = F.window(F.col("ts").cast("timestamp"), window)
-    counts = errs.groupBy(w.alias("w"), F.col("unit")).agg(F.count(F.lit(1)).alias("error_count"))
+def windowed_errors(parsed: DataFrame, window: str = "1 hour", prefilter: bool = True) -> DataFrame:
+    """Error rows per tumbling ``window`` and unit (batch or streaming input).
+
+    ``prefilter=False`` counts with ``count_if`` over every row instead of
+    filtering first: under an event-time watermark, a severity filter would be
+    pushed below the watermark and only error rows could move event time on.
+    """
+    # Window on the column itself when it is already a timestamp, so an
+    # event-time watermark declared on it is seen by the aggregation.
+    ts = F.col("ts") if dict(parsed.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp")
+    w = F.window(ts, window)
+    if prefilter:
+        counts = parsed.filter(is_error_severity(F.col("severity"))).groupBy(w.alias("w"), F.col("unit")) \
+            .agg(F.count(F.lit(1)).alias("error_count"))
+    else:
+        counts = parsed.groupBy(w.alias("w"), F.col("unit")) \
+            .agg(F.count_if(is_error_severity(F.col("severity"))).alias("error_count"))
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                          F.col("w.end").cast("timestamp_ntz").alias("window_end"),
                          "unit", "error_count")
 
 
 def start_error_spikes(parsed_stream: DataFrame, table: str, checkpoint: str, window: str = "1 hour",
-                       threshold: int = 10, available_now: bool = True) -> StreamingQuery:
-    """Keep in ``table`` the (window, unit) groups with more than ``threshold``
-    errors; each micro-batch rewrites the table from the complete result."""
-    counts = windowed_errors(parsed_stream, window)
+                       threshold: int = 10, available_now: bool = True, mode: str = "complete",
+                       lateness: str = "2 hours") -> StreamingQuery:
+    """Keep in ``table`` the (window, unit) groups with more than ``threshold`` errors.
+
+    ``mode="complete"``: every micro-batch rewrites the table from the complete
+    result; no row is ever dropped, but the state holds every window seen, so
+    it grows with the stream's history (right for bounded replays and checks).
+    ``mode="append"``: for long-running streams. An event-time watermark
+    ``lateness`` behind the newest row closes windows; each closed window is
+    emitted once into its own epoch partition and its state is dropped, so the
+    state is bounded by the open windows. Error rows later than the watermark
+    are not counted (they are still stored by the ingest stream).
+    """
+    if mode not in ("complete", "append"):
+        raise ValueError("mode must be complete or append")
+    src = parsed_stream
+    if mode == "append":
+        src = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    counts = windowed_errors(src, window, prefilter=(mode == "complete"))
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        # The complete result replaces the previous one: write it to epoch 0.
-        write_epoch(batch.filter(F.col("error_count") > threshold), table, 0)
+        spikes_only = batch.filter(F.col("error_count") > threshold)
+        # complete: the whole result replaces the previous one (epoch 0);
+        # append: closed windows accumulate, one epoch partition per batch.
+        write_epoch(spikes_only, table, 0 if mode == "complete" else epoch_id)
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = counts.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
