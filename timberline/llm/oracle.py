@@ -14,7 +14,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(5) AS r(k) GRO
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-        coalesce(cov.n, 0) AS n_repeat_words,
+        coalesce(cov.n, 0) AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter,
         strlen(regexp_replace(text, '[^A-Za-z]', '', 'g')) + length(regexp_replace(text, '[\x00-\x{{BF}}]', '', 'g')) AS n_letters,
         strlen(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
       FROM d LEFT JOIN cov USING (doc_id)),
@@ -26,7 +26,8 @@ b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END
         + CASE WHEN word_chars > 25 * n_words THEN 16 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
         + CASE WHEN 10 * n_letters < 5 * word_chars THEN 64 ELSE 0 END
-        + CASE WHEN n_words >= 10 AND 10 * n_upper > 7 * n_letters THEN 128 ELSE 0 END AS fail_bits FROM f)
+        + CASE WHEN 100 * n_stutter > 30 * n_words THEN 128 ELSE 0 END
+        + CASE WHEN n_words >= 10 AND 10 * n_upper > 7 * n_letters THEN 256 ELSE 0 END AS fail_bits FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from timberline.llm.common import ROW, nest, small_batches
 from timberline.llm.words import SPACED, per_text, slices, split_words, spread, text_buffers
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter",
+            "n_letters", "n_upper")
 REPEAT_WINDOW = 5
 
 
@@ -37,6 +38,7 @@ def rules() -> dict[str, Column]:
         "long_words": F.col("word_chars") > 25 * n,
         "short_words": F.col("word_chars") < 2 * n,
         "few_letters": 10 * F.col("n_letters") < 5 * F.col("word_chars"),
+        "stutter": 100 * F.col("n_stutter") > 30 * n,
         "shouting": (n >= 10) & (10 * F.col("n_upper") > 7 * F.col("n_letters")),
     }
 
@@ -58,7 +60,7 @@ BASE_RULES = ("too_few_words", "repeated_windows")
 POLICIES = {
     "base-1": Policy("base-1", BASE_RULES),
     "full-1": Policy("full-1", (*BASE_RULES, "symbols", "duplicate_lines", "long_words", "short_words",
-                                "few_letters", "shouting")),
+                                "few_letters", "stutter", "shouting")),
 }
 DEFAULT_POLICY = "full-1"
 
@@ -94,6 +96,9 @@ def measure_texts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]
     w = split_words(data, bounds, SPACED)
     windows, ok = w.windows(REPEAT_WINDOW)
     covered = spread(_repeated(windows, ok, w.text_of_word()), REPEAT_WINDOW)
+    again = np.zeros(len(w.hash), dtype=bool)
+    again[1:] = w.hash[1:] == w.hash[:-1]
+    again[w.first[:-1][w.counts > 0]] = False
     body = data[bounds[0] : bounds[-1]]
     at = bounds - bounds[0]
     lines, dups = [], []
@@ -109,6 +114,7 @@ def measure_texts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]
         "n_lines": np.array(lines, dtype=np.int64),
         "n_dup_lines": np.array(dups, dtype=np.int64),
         "n_repeat_words": per_text(covered, w.first),
+        "n_stutter": per_text(again, w.first),
         "n_letters": per_text(_LETTER[body], at),
         "n_upper": per_text(_UPPER[body], at),
     }
