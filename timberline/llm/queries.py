@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontam, mixing, quality, simhash, tokenbin
+from timberline.llm import decontam, langid, mixing, quality, simhash, tokenbin, toxicity
 from timberline.llm.common import documents, table
 from timberline.llm.oracle import ORACLE  # noqa: F401
 
@@ -43,10 +43,33 @@ def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                          base.alias("base_failed"), "kept", "fail_bits")
 
 
+def _remainder(n: int):
+    """crc32 of the doc_id as text, modulo n: which rows are held out of learning."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, _remainder(4) != 2)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("row__.doc_id", "lang_pred", "score", "rejected").withColumn(
+        "held_out", _remainder(4).eqNullSafe(2))
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), _remainder(3) != 1)
+    found = toxicity.score(docs, model).select("row__.doc_id", "score")
+    return found.withColumn("held_out", _remainder(3).eqNullSafe(1)).withColumn(
+        "predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": decontamination,
+    "op5_toxicity": toxicity_scores,
     "op6_source_mixing": source_mix,
     "op7_simhash_near_dedup": simhash_components,
+    "op8_language_id": language_id,
     "op9_token_output": token_output,
     "op10_quality_rules": quality_ledger,
 }

@@ -209,3 +209,62 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     c = np.zeros(len(values) + 1, dtype=np.int64)
     np.cumsum(values, out=c[1:])
     return c[first[1:]] - c[first[:-1]]
+
+
+class HashIndex:
+    """Numbers distinct 64-bit hashes 0, 1, ... in the order they are added (open addressing)."""
+
+    def __init__(self) -> None:
+        self._resize(1 << 16)
+        self.hashes = np.zeros(0, dtype=np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def _resize(self, slots: int) -> None:
+        self.keys = np.zeros(slots, dtype=np.uint64)
+        self.number = np.full(slots, -1, dtype=np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 where it is unknown."""
+        mask = len(self.keys) - 1
+        at = (h & np.uint64(mask)).astype(np.int64)
+        out = self.number[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & mask
+            got = self.number[at[todo]]
+            out[todo] = got
+            todo = todo[(got >= 0) & (self.keys[at[todo]] != h[todo])]
+        return out
+
+    def _place(self, h: np.ndarray, number: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = (h & np.uint64(mask)).astype(np.int64)
+        while len(h):
+            free = self.number[at] < 0
+            self.keys[at[free]], self.number[at[free]] = h[free], number[free]
+            lost = self.number[at] != number
+            h, number, at = h[lost], number[lost], (at[lost] + 1) & mask
+
+    def add(self, fresh: np.ndarray) -> None:
+        """Add distinct hashes that are not known yet."""
+        start = len(self.hashes)
+        self.hashes = np.concatenate([self.hashes, fresh])
+        if 2 * len(self.hashes) > len(self.keys):
+            self._resize(4 << int(len(self.hashes)).bit_length())
+            self._place(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
+        else:
+            self._place(fresh, np.arange(start, len(self.hashes), dtype=np.int32))
+
+    def number_all(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each hash, adding the unknown ones; and the positions in ``h`` at which the
+        added ones first occur, in the order of their numbers."""
+        out = self.find(h)
+        spots = np.flatnonzero(out < 0)
+        if len(spots):
+            fresh, index = np.unique(h[spots], return_index=True)
+            self.add(fresh)
+            out[spots] = self.find(h[spots])
+            spots = spots[index]
+        return out, spots
