@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,58 +28,88 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.llm.common import nest, small_batches
-from timberline.llm.words import SPACED, slices, split_words, text_buffers
+from timberline.llm.words import SPACED, HashIndex, Words, slices, split_words, text_buffers
 from timberline.session import scratch_path
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-CACHE_WORDS = 400_000  # words whose ids a Python worker remembers
+BROADCAST_FILES = 100_000
+CACHE_WORDS = 2_000_000  # words whose ids a Python worker remembers (about 40 bytes each)
+CACHE_PIECES = 500_000
 
-_PLAIN = re.compile(rb"[!-&(-;=-~]+\Z")  # printable ASCII without ' and <
-_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_LETTERS = "a-zß-öø-ÿ"  # lower-case letters of Latin-1
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")  # these letters and printable ASCII without ' and <
+_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 class WordEncoder:
-    """Ids of white-space-separated words by the tokenizers library, remembered by word.
+    """Ids of white-space-separated words by the tokenizers library, remembered by word hash.
 
-    Valid for tokenizers that drop white space and split into pieces of letters, single digits
-    and others before BPE: a text's ids are then its words' ids in order. Words of plain ASCII
-    go to the BPE model piece by piece; all others through the whole tokenizer."""
+    Valid for tokenizers that drop white space, lower-case and split into pieces of letters,
+    single digits and others before byte-level BPE: a text's ids are then its words' ids in
+    order. Words of plain characters go to the BPE model piece by piece, all others through
+    the whole tokenizer. The memory is a hash index beside one pool of ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[bytes, np.ndarray] = {}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))}
         self.pieces: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.index = HashIndex()
+        self.first = self.size = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(1 << 16, dtype=np.int32)
+        self.used = 0
 
     def _piece(self, p: str) -> list[int]:
         ids = self.pieces.get(p)
         if ids is None:
-            ids = self.pieces[p] = [t.id for t in self.model.tokenize(p)]
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            ids = self.pieces[p] = [t.id for t in self.model.tokenize(p.translate(self.byte_level))]
         return ids
 
-    def lookup(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.words) + len(self.pieces) > CACHE_WORDS + len(words):
-            self.words, self.pieces = {}, {}
-        known = self.words
+    def encode(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
         hard = []
-        for w in words:
-            if w not in known:
-                if _PLAIN.match(w):
-                    ids: list[int] = []
-                    for p in _PIECES.findall(w.decode().lower()):
-                        ids += self._piece(p)
-                    known[w] = np.array(ids, dtype=np.int32)
-                else:
-                    hard.append(w)
-        if hard:
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype=np.int32)) for w, e in zip(hard, done, strict=True))
-        return [known[w] for w in words]
+        for i, w in enumerate(words):
+            ids: list[int] = []
+            if _PLAIN.fullmatch(w):
+                for p in _PIECES.findall(w.lower()):
+                    ids += self._piece(p)
+            else:
+                hard.append(i)
+            out.append(ids)
+        done = self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False) if hard else []
+        for i, e in zip(hard, done, strict=True):
+            out[i] = e.ids
+        return out
+
+    def runs(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, where its ids begin in ``pool`` and how many they are."""
+        if len(self.index) > CACHE_WORDS:
+            self.forget()
+        number, spots = self.index.number_all(w.hash)
+        if len(spots):
+            spans = zip(w.start[spots].tolist(), w.end[spots].tolist(), strict=True)
+            ids = self.encode([w.data[a:b].tobytes().decode() for a, b in spans])
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.used += len(flat)
+        return self.first[number], self.size[number]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -98,20 +129,13 @@ def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def encode_texts(encoder: WordEncoder, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of consecutive texts, an end id after each, and the ids of each text."""
     w = split_words(data, bounds, SPACED)
-    _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-    spans = zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)
-    ids = encoder.lookup([data[a:b].tobytes() for a, b in spans])
-    size = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.concatenate([*ids, np.array([end_id], dtype=np.int32)])
-    # Each text is its words' runs and then the end id's run.
-    texts = len(bounds) - 1
-    place = np.arange(len(w.hash)) + w.text_of_word()
-    run_first = np.full(len(w.hash) + texts, len(flat) - 1, dtype=np.int64)
-    run_size = np.ones(len(run_first), dtype=np.int64)
-    run_first[place] = (np.cumsum(size) - size)[inverse]
-    run_size[place] = size[inverse]
-    edge = np.concatenate([[0], np.cumsum(run_size)])[w.first + np.arange(texts + 1)]
-    return flat[ranges(run_first, run_size)], np.diff(edge)
+    first, size = encoder.runs(w)
+    total = np.concatenate([[0], np.cumsum(size)])
+    n = total[w.first[1:]] - total[w.first[:-1]]
+    out = np.full(int(n.sum()) + len(n), end_id, dtype=np.int32)
+    # Each text's ids move on by the end ids before it.
+    out[ranges(total[w.first[:-1]] + np.arange(len(n)), n)] = encoder.pool[ranges(first, size)]
+    return out, n + 1
 
 
 def _writer_task(path: str, end_id: int) -> Callable:
@@ -152,6 +176,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    if len(stored.inputFiles()) <= BROADCAST_FILES:  # one row for each file
+        parts = F.broadcast(parts)
     return stored.join(parts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"),
                                              "n_tokens", "tokens")
 
