@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontam, langid, mixing, quality, simhash, tokenbin, toxicity
+from timberline.llm import decontam, langid, lm, mixing, quality, simhash, tokenbin, toxicity
 from timberline.llm.common import documents, table
 from timberline.llm.oracle import ORACLE  # noqa: F401
 
@@ -64,8 +64,13 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), _remainder(5) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": decontamination,
+    "op4_lm_scoring": lm_scores,
     "op5_toxicity": toxicity_scores,
     "op6_source_mixing": source_mix,
     "op7_simhash_near_dedup": simhash_components,
