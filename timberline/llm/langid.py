@@ -3,7 +3,7 @@
 A text's subwords are its letter n-grams of one to three letters with word edges, lower-cased
 and hashed into a fixed number of buckets. Their embeddings are averaged and a linear softmax
 names the language; embeddings and weights are trained by stochastic gradient descent in numpy
-on a bounded sample of labelled rows (``SAMPLE_PER_LANG`` rows of each language by hash order,
+on a bounded sample of labelled rows (about ``SAMPLE_PER_LANG`` rows of each language by a hash of their id,
 texts up to ``SAMPLE_BYTES``). A held-back part of the sample calibrates the scores by one
 temperature; texts whose calibrated score is below ``min_score`` are marked ``rejected``.
 
@@ -23,7 +23,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.llm.common import ROW, nest, small_batches
@@ -163,11 +162,15 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
 
 
 def sample(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """Up to ``per_lang`` labelled rows of each language, by hash order."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()
-                      & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    """About ``per_lang`` labelled rows of each language, chosen by a hash of their id: a narrow
+    count of each language gives the share to take, so no language is gathered in one place."""
+    known = docs.where(learn & F.col("lang").isNotNull())
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if counts.count() <= 10_000:  # one row for each language
+        counts = F.broadcast(counts)
+    rows = known.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    taken = F.pmod(F.xxhash64("doc_id"), F.col("n")) < per_lang
+    return rows.select("doc_id", "text", "lang").join(counts, "lang").where(taken).drop("n")
 
 
 def _predictor(shared, min_score: float) -> Callable:
@@ -196,7 +199,8 @@ def _predictor(shared, min_score: float) -> Callable:
 
 def fit(docs: DataFrame, learn: Column) -> Model | None:
     """Train on the bounded sample of rows for which ``learn`` holds."""
-    rows = sample(docs, learn).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "lang").collect()
+    rows = sample(docs, learn).select("doc_id", "text", "lang").collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

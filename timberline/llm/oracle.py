@@ -69,7 +69,22 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
 FROM o GROUP BY doc_id, size, source_size, target
 """
 
+#: 13-word windows as joined words; the first document of each keeps it.
+SUBSTRING = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM pos),
+late AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM late, range(13) AS r(k)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRING,
     "op3_benchmark_decontamination": DECONTAMINATION,
     "op6_source_mixing": MIXING,
     "op10_quality_rules": QUALITY,

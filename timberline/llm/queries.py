@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontam, langid, lm, mixing, quality, simhash, tokenbin, toxicity
+from timberline.llm import decontam, langid, lm, mixing, quality, simhash, substring, tokenbin, toxicity
 from timberline.llm.common import documents, table
 from timberline.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.kept_digest(substring.dedup(documents(spark, sf_dir)))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.match(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("row__.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -69,6 +74,7 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring_dedup,
     "op3_benchmark_decontamination": decontamination,
     "op4_lm_scoring": lm_scores,
     "op5_toxicity": toxicity_scores,
