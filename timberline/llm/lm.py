@@ -38,6 +38,7 @@ DIM = 16
 NOISE = 32
 BATCH = 1024
 RATE = 0.15
+MIN_STEPS = 600  # minibatches of a block; a small block is read several times
 BLOCK_ROWS = 4096
 CLASSES = 1 + TOP + GROUPS
 _TRAIL = np.zeros(256, dtype=bool)
@@ -178,7 +179,7 @@ class Network:
         rng = np.random.default_rng(seed)
         net = cls(np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES.values()), dtype=np.float32))
         net.r[:] = rng.normal(0, 0.3, net.r.shape)
-        net.q[:] = rng.normal(0, 0.3, net.q.shape)
+        net.q[:] = rng.normal(0, 0.05, net.q.shape)
         net.c1[:] = np.eye(DIM) * 0.7
         net.c2[:] = np.eye(DIM) * 0.3
         net.b[:] = np.log(share)
@@ -188,9 +189,10 @@ class Network:
         return self.r[one] @ self.c1 + self.r[two] @ self.c2
 
     def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, share: np.ndarray, seed: int) -> None:
-        """One pass over the tokens in random minibatches: tell each token from shared noise."""
+        """Random minibatches over all tokens, once or to ``MIN_STEPS``: tell each from shared noise."""
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(target))
+        passes = max(1, -(-MIN_STEPS * BATCH // max(1, len(target))))
+        order = np.concatenate([rng.permutation(len(target)) for _ in range(passes)])
         log_noise = np.log(NOISE * share).astype(np.float32)
         reach = np.cumsum(share)
         seen = np.full_like(self.flat, 1e-2)

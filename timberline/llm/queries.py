@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontam, langid, lm, mixing, quality, simhash, substring, tokenbin, toxicity
+from timberline.llm import decontam, langid, lm, mixing, quality, secret_scan, simhash, substring, tokenbin, toxicity
 from timberline.llm.common import documents, table
 from timberline.llm.oracle import ORACLE  # noqa: F401
 
@@ -20,6 +20,12 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "at", F.length("value").cast("long").alias("length"), "name",
+                        F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.match(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("row__.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -75,6 +81,7 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
+    "op2_secret_scan": secrets,
     "op3_benchmark_decontamination": decontamination,
     "op4_lm_scoring": lm_scores,
     "op5_toxicity": toxicity_scores,
