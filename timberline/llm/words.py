@@ -252,7 +252,7 @@ class HashIndex:
         start = len(self.hashes)
         self.hashes = np.concatenate([self.hashes, fresh])
         if 2 * len(self.hashes) > len(self.keys):
-            self._resize(4 << int(len(self.hashes)).bit_length())
+            self._resize(2 << int(len(self.hashes)).bit_length())
             self._place(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
         else:
             self._place(fresh, np.arange(start, len(self.hashes), dtype=np.int32))
