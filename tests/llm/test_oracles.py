@@ -44,3 +44,14 @@ def test_awkward_rows_match_oracle(spark, odd, empty, tmp_path, key, kind):
     pq.write_table(bench if kind == "odd" else bench.slice(0, 0), tmp_path / "benchmark.parquet")
     df = QUERIES[key](spark, str(tmp_path))
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _duck(str(tmp_path), ORACLE[key])
+
+
+def test_benchmark_in_several_blocks(spark):
+    """A benchmark beyond one broadcast block gives the same result."""
+    from timberline.llm import decontam
+    from timberline.llm.common import documents, table
+    docs, items = documents(spark, SF), table(spark, SF, "benchmark")
+    columns = ["row__.doc_id", "n_words", "n_hit", "items", "contaminated"]
+    one = decontam.match(docs, items).select(*columns).collect()
+    many = decontam.match(docs, items, block_bytes=2500).select(*columns).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and any(r.contaminated for r in one)

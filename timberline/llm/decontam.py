@@ -152,36 +152,34 @@ def match_texts(tests: TestSuffixes, data: np.ndarray, bounds: np.ndarray):
     return w.counts, np.stack([t[first], item[first], item_at[first], start[first], n], axis=1)
 
 
+def _covered(spans: list[dict]) -> int:
+    """Words covered by any of the spans."""
+    total, reach = 0, 0
+    for at, end in sorted((m["at"], m["at"] + m["n"]) for m in spans):
+        total += max(0, end - max(at, reach))
+        reach = max(reach, end)
+    return total
+
+
 def _matcher(shared) -> Callable:
+    """Add the matches of one block of items to those found so far, and count the words hit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = shared.value
         for b in batches:
-            data, bounds = text_buffers(b.column("text__"))
-            counts, own = np.zeros(b.num_rows, dtype=np.int64), [list(x or ()) for x in b.column("matches__").to_pylist()]
+            data, bounds = text_buffers(b.column(ROW).field("text"))
+            counts, own = np.zeros(b.num_rows, dtype=np.int64), [list(x or ()) for x in b.column("matches").to_pylist()]
             for lo, hi in slices(bounds):
                 counts[lo:hi], rows = match_texts(tests, data, bounds[lo : hi + 1])
                 for t, item, item_at, at, n in rows.tolist():
                     own[lo + t].append({"item": tests.ids[item], "item_at": item_at, "at": at, "n": n})
             yield pa.RecordBatch.from_arrays(
-                [b.column(ROW), b.column("text__"), pa.array(counts, pa.int64()), pa.array(own, pa.list_(MATCH))],
-                names=[ROW, "text__", "n_words", "matches__"])
+                [b.column(ROW), pa.array(counts, pa.int64()), pa.array(own, pa.list_(MATCH)),
+                 pa.array([_covered(x) if x else 0 for x in own], pa.int64())], names=[ROW, "n_words", "matches", "n_hit"])
 
     return run
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hits = []
-        for spans in b.column("matches__").to_pylist():
-            total, reach = 0, 0
-            for at, end in sorted((m["at"], m["at"] + m["n"]) for m in spans):
-                total += max(0, end - max(at, reach))
-                reach = max(reach, end)
-            hits.append(total)
-        yield pa.RecordBatch.from_arrays([b.column(ROW), b.column("n_words"), b.column("matches__"),
-                                          pa.array(hits, pa.int64())], names=[ROW, "n_words", "matches", "n_hit"])
-
-
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of at most ``limit`` bytes of text (one item at least)."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"),
@@ -206,13 +204,11 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     small_batches(spark)
     rows = nest(docs)
     kind = rows.schema[ROW].dataType.simpleString()
-    rows = rows.select(ROW, F.col(f"{ROW}.text").cast("string").alias("text__"),
-                       F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCH_SQL).alias("matches__"))
-    step = f"{ROW} {kind}, text__ string, n_words long, matches__ {MATCH_SQL}"
+    step = f"{ROW} {kind}, n_words long, matches {MATCH_SQL}, n_hit long"
+    out = rows.withColumn("matches", F.array().cast(MATCH_SQL))
     for block in list(_blocks(benchmark, block_bytes)) or [[]]:
-        rows = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(TestSuffixes(block, window))), step)
-    out = rows.select(ROW, "n_words", "matches__").mapInArrow(
-        _covered, f"{ROW} {kind}, n_words long, matches {MATCH_SQL}, n_hit long")
+        tests = spark.sparkContext.broadcast(TestSuffixes(block, window))
+        out = out.select(ROW, "matches").mapInArrow(_matcher(tests), step)
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     return out.withColumn("items", items).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (MIN_SHARE * F.col("n_hit") >= F.col("n_words")))
