@@ -35,7 +35,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 BROADCAST_FILES = 100_000
-CACHE_WORDS = 800_000  # words whose ids a Python worker remembers (about 70 bytes each)
+CACHE_WORDS = 500_000  # words whose ids a Python worker remembers (about 70 bytes each)
 CACHE_PIECES = 200_000
 
 _LETTERS = "a-zß-öø-ÿ"  # lower-case letters of Latin-1

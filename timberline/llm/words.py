@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 18  # bytes hashed at once: keeps the work arrays in cache
-SLICE = 4 << 20  # bytes of text handled at once by the operators
+SLICE = 2 << 20  # bytes of text handled at once by the operators
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
