@@ -187,7 +187,7 @@ def test_ingest_into_table_twice(spark, tmp_path):
     assert first == {"src1": (3, 2)} and again == {"src1": (3, 0)}
     stored = spark.read.parquet(table)
     assert stored.count() == 2 and "day" in stored.columns
-    assert spark.read.parquet(state).first().source == "src1"
+    assert ingest.read_state(spark, state).first().source == "src1"
 
 
 def test_clear_table_keeps_schema(spark, tmp_path):

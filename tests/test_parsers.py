@@ -62,8 +62,8 @@ def test_syslog_impossible_date_dropped(spark):
 def test_container_lines_and_globs(spark):
     lines = _lines(spark, ["2024-06-01T10:20:30.123456789Z stdout hello",
                            "2024-06-01T10:20:31.5Z stderr warn", "2024-06-01T10:20:32.1Z stdout skipped"],
-                   container=["c1", "c1", "chimera-xyz"])
-    kept = filters.container_glob_filter(lines, ["*"], ["chimera-*"])
+                   container=["c1", "c1", "sidecar-xyz"])
+    kept = filters.container_glob_filter(lines, ["*"], ["sidecar-*"])
     out = parsers.parse_container(kept).orderBy("ts").collect()
     assert [(r.unit, r.severity, r.message) for r in out] == [("c1", "info", "hello"), ("c1", "warning", "warn")]
     assert out[0].ts == dt.datetime(2024, 6, 1, 10, 20, 30, 123456)

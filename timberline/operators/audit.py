@@ -7,7 +7,8 @@ rc)``; one scan is one ``(scan_time, host, tool)`` and its exit code is the max
 samples use ``row_number() <= 10``, which Spark plans as a partial per-task
 group limit before their shuffle, so a scan holding a third of all lines never
 reaches one task whole. Counts and samples (both one row per scan) are then
-joined on the scan key. The full lists stay available as the filtered lines.
+joined on the scan key. ``findings`` gives every finding as a row of its own; the
+AIDE and ClamAV lists are whole in the records too.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from timberline.params import AuditHistoryParams
 
 SCAN_KEYS = ["scan_time", "host", "tool"]
 SAMPLE_SIZE = 10
+WHOLE_LISTS = ("aide", "clamav")  # tools whose findings are never cut
 
 # --- fixed values (tool output markers the classification keys on) ------------
 AUDITD_SUSPICIOUS = [
@@ -115,11 +117,20 @@ def _aggregate(flags: DataFrame) -> DataFrame:
         F.sum("n_pass").alias("n_pass"), F.sum("n_fail").alias("n_fail"), F.sum("n_error").alias("n_error"))
 
 
+def findings(lines: DataFrame) -> DataFrame:
+    """Every finding of every scan, one row each: the scan, the list it belongs to (1: the
+    tool's own, 2: lynis suggestions), its line and text. A narrow pass without a shuffle."""
+    return _line_flags(lines).filter(F.col("kind").isNotNull()).select(*SCAN_KEYS, "kind", "line_no", "text")
+
+
 def _samples(flags: DataFrame) -> DataFrame:
-    """T4: the first ``SAMPLE_SIZE`` lines of each list, in line order."""
+    """T4: the first ``SAMPLE_SIZE`` lines of each list, in line order; the lists of
+    ``WHOLE_LISTS`` are kept whole."""
     w = Window.partitionBy(*SCAN_KEYS, "kind").orderBy("line_no")
-    first = flags.filter(F.col("kind").isNotNull()).withColumn("_rn", F.row_number().over(w)) \
-                 .filter(F.col("_rn") <= SAMPLE_SIZE)
+    listed = flags.filter(F.col("kind").isNotNull())
+    whole = F.col("tool").isin(*WHOLE_LISTS)
+    first = listed.filter(~whole).withColumn("_rn", F.row_number().over(w)) \
+                  .filter(F.col("_rn") <= SAMPLE_SIZE).drop("_rn").unionByName(listed.filter(whole))
     return first.groupBy(*SCAN_KEYS).agg(
         F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no) FILTER (WHERE kind = 1)").alias("_s1"),
         F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no) FILTER (WHERE kind = 2)").alias("_s2"))

@@ -7,7 +7,7 @@ loses every row whose id, fingerprint or cursor is already stored.
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from timberline.functions import fingerprint, id_from_fingerprint, json_or_wrap, py_ts_str, with_fingerprint
 from timberline.operators.window import PARTITION_COLUMN, ts_lit
 from timberline.schema import INGEST_STATE, LOGS
+from timberline.session import discard, file_system, land, scratch_path, stored
 
 
 def prepare_batch(parsed: DataFrame, wrap_raw: bool = False) -> DataFrame:
@@ -47,34 +48,41 @@ def dedup_batch(batch: DataFrame, order_col: str = "seq") -> DataFrame:
     return _first_by(by_fp, cursor_key, order_col)
 
 
-def _recent_partitions(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Restrict a date-partitioned table to the day span of the batch.
+MAX_DAYS = 1000
 
-    Exact because a conflicting stored row has the same content (hence the same
-    ``ts`` and date). The span is two dates from one small aggregate over the
-    batch, applied as a static partition filter, so the scan lists and reads
-    only those days whatever the batch's plan looks like (dynamic pruning would
-    need a selective predicate on the batch side, which a parsed batch lacks).
+
+def _days_of(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Restrict a date-partitioned table to the days of the batch.
+
+    Exact for content: a stored row with the same fingerprint has the same ``ts``, hence the
+    same day. The days come from one small aggregate over the batch and become a static
+    partition filter, so only their folders are listed and read; beyond ``MAX_DAYS`` days
+    the span from the first to the last stands for them.
     """
     if PARTITION_COLUMN not in existing.columns:
         return existing
+    days = [r["d"] for r in batch.select(F.to_date("ts").alias("d")).distinct().orderBy("d").limit(MAX_DAYS + 1).collect()]
+    day = F.col(PARTITION_COLUMN)
+    if len(days) <= MAX_DAYS:
+        return existing.filter(day.isin([d for d in days if d is not None]))
     span = batch.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).first()
-    if span is None or span["lo"] is None:
-        return existing.limit(0)
-    return existing.filter(F.col(PARTITION_COLUMN).between(F.lit(span["lo"]), F.lit(span["hi"])))
+    return existing.filter(day.between(F.lit(span["lo"]), F.lit(span["hi"])))
 
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, days_from: DataFrame | None = None) -> DataFrame:
-    """K1 against the table: drop rows whose id, fingerprint or (non-NULL)
-    cursor is already stored. Anti joins, so stored NULLs never match.
-    ``days_from`` (default: the batch) supplies the dates used to prune the table."""
+    """K1 against the table: drop rows whose fingerprint (and so id) or non-NULL cursor is
+    already stored. The fingerprint check reads the batch's days only; a cursor may have been
+    stored on any day, so that check reads the one cursor column of the whole table. Rows
+    without a cursor are keyed by their fingerprint there, so they spread over all tasks and
+    match nothing. ``days_from`` (default: the batch) supplies the days."""
     if existing is None:
         return batch
-    ex = _recent_partitions(existing, batch if days_from is None else days_from)
-    out = batch.join(ex.select("id").filter(F.col("id").isNotNull()), "id", "left_anti")
-    out = out.join(ex.select("fingerprint").filter(F.col("fingerprint").isNotNull()), "fingerprint", "left_anti")
-    out = out.join(ex.select("cursor").filter(F.col("cursor").isNotNull()), "cursor", "left_anti")
-    return out
+    recent = _days_of(existing, batch if days_from is None else days_from)
+    out = batch.join(recent.select("fingerprint").filter(F.col("fingerprint").isNotNull()), "fingerprint", "left_anti")
+    known = existing.select(F.struct(F.lit(True).alias("real"), F.col("cursor").alias("key")).alias("_ckey")) \
+        .filter(F.col("cursor").isNotNull())
+    key = F.struct(F.col("cursor").isNotNull().alias("real"), F.coalesce("cursor", "fingerprint").alias("key"))
+    return out.withColumn("_ckey", key).join(known, "_ckey", "left_anti").drop("_ckey")
 
 
 def ingest_rows(parsed: DataFrame, existing: DataFrame | None, order_col: str = "seq",
@@ -92,19 +100,12 @@ def to_table_rows(df: DataFrame) -> DataFrame:
 
 def append(df: DataFrame, path: str) -> None:
     """Append to a Parquet ``logs`` table partitioned by date and sorted by ts
-    inside files (the index the reference keeps on ts becomes row-group stats)."""
-    (to_table_rows(df).repartition(PARTITION_COLUMN).sortWithinPartitions("ts")
+    inside files (the index the reference keeps on ts becomes row-group stats).
+    Ranges of (day, ts) follow the data, so a large day is several tasks and files."""
+    (to_table_rows(df).repartitionByRange(PARTITION_COLUMN, "ts").sortWithinPartitions(PARTITION_COLUMN, "ts")
      .write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path))
 
 
-def ingest_counts(parsed: DataFrame, inserted: DataFrame, by: str = "source_name") -> DataFrame:
-    """A12 per source: rows parsed and rows actually inserted."""
-    a = parsed.groupBy(by).agg(F.count(F.lit(1)).alias("parsed_rows"))
-    b = inserted.groupBy(by).agg(F.count(F.lit(1)).alias("inserted_rows"))
-    return a.join(b, by, "left").select(by, "parsed_rows",
-                                        F.coalesce("inserted_rows", F.lit(0)).alias("inserted_rows"))
-
-
 def cursor_state(batch: DataFrame, prior: DataFrame | None, as_of, order_col: str = "seq",
                  source_col: str = "source_name") -> DataFrame:
     """K2: last non-NULL cursor per source (by ``order_col``) merged into the
@@ -154,42 +155,29 @@ def to_ndjson(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def utc_now() -> dt.datetime:
-    """Wall clock for callers that want ``as_of = now`` (operators never call it)."""
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-
-
-def _read_parquet(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist yet
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """K2: the newest complete version of the cursor state, or None before the first."""
+    fs, jpath = file_system(spark, path)
+    if not fs.exists(jpath):
         return None
-
-
-_EMPTY_RELATION_RULE = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
-
-
-class _keep_observations:
-    """While writing, stop adaptive execution from folding an empty result into
-    an empty relation: that rewrite drops the plan's metric collectors, and the
-    batch's counts would be lost exactly when nothing new was inserted. The
-    rest of AQE (partition coalescing, skew-join splits) stays on."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.key = "spark.sql.adaptive.optimizer.excludedRules"
-
-    def __enter__(self):
-        self.old = self.spark.conf.get(self.key, None)
-        rules = [r for r in (self.old or "").split(",") if r]
-        self.spark.conf.set(self.key, ",".join(rules + [_EMPTY_RELATION_RULE]))
-
-    def __exit__(self, *exc):
-        if self.old is None:
-            self.spark.conf.unset(self.key)
-        else:
-            self.spark.conf.set(self.key, self.old)
-        return False
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.getPath().getName().startswith("v-"))
+    return spark.read.schema(INGEST_STATE).parquet(f"{path.rstrip('/')}/{versions[-1]}") if versions else None
+
+
+def write_state(state: DataFrame, path: str) -> None:
+    """K2: write the state as a new version. It is written aside and renamed when complete, so a
+    crash at any point leaves the version before it in place. The last two versions are kept."""
+    spark, base = state.sparkSession, path.rstrip("/")
+    fs, jpath = file_system(spark, base)
+    old = sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.getPath().getName().startswith("v-")) \
+        if fs.exists(jpath) else []
+    number = int(old[-1].removeprefix("v-")) + 1 if old else 1
+    aside = f"{base}/_next-{uuid.uuid4().hex}"
+    state.write.parquet(aside)
+    if not fs.rename(file_system(spark, aside)[1], file_system(spark, f"{base}/v-{number:012d}")[1]):
+        raise OSError(f"the state version {number} could not be put in place under {base}")
+    for name in old[:-1]:
+        discard(spark, f"{base}/{name}")
 
 
 def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_of,
@@ -198,28 +186,24 @@ def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_o
     ``day``-partitioned Parquet table at ``table_path``, advance the cursor
     state at ``state_path`` and return ``{source: (parsed_rows, inserted_rows)}``.
 
-    The counts are Spark ``Observation`` metrics collected by the same job that
-    writes the rows, so the batch is not read a second time to count it. The
-    state table is rewritten through a fresh folder and swapped by path (no
-    in-place overwrite of a table that is being read).
+    The batch is written once into the shared folder, and so are its new rows: the input is
+    evaluated once, and the counts are those of the written rows, whatever tasks ran again.
     """
-    from pyspark.sql import Observation
-
     spark = parsed.sparkSession
-    seen, kept = Observation("parsed_rows"), Observation("inserted_rows")
-    counts = lambda: [F.count_if(F.col(source_col) == s).alias(s) for s in sources]
-    observed = parsed.observe(seen, *counts())
-    # The table is pruned by the batch's dates taken from the un-observed input,
-    # so each observation appears once in the plan.
-    rows = ingest_rows(observed, _read_parquet(spark, table_path), order_col, days_from=parsed) \
-        .observe(kept, *counts())
-    with _keep_observations(spark):
+    scratch = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
+    try:
+        batch = land(prepare_batch(parsed), f"{scratch}/batch")
+        rows = land(new_rows(dedup_batch(batch, order_col), stored(spark, table_path), days_from=batch), f"{scratch}/rows")
+
+        def count(df: DataFrame) -> dict:
+            return {r[0]: r[1] for r in df.filter(F.col(source_col).isin(sources)).groupBy(source_col)
+                    .agg(F.count(F.lit(1))).collect()}  # one row for each source asked for
+
+        seen, kept = count(batch), count(rows)
         append(rows, table_path)
-    result = {s: (seen.get.get(s, 0), kept.get.get(s, 0)) for s in sources}
-    if state_path is not None:
-        prior = _read_parquet(spark, state_path)
-        state = cursor_state(parsed, prior, as_of, order_col, source_col)
-        tmp = f"{state_path.rstrip('/')}.next"
-        state.write.mode("overwrite").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").parquet(state_path)
-    return result
+        if state_path is not None:
+            prior = read_state(spark, state_path)
+            write_state(cursor_state(batch, prior, as_of, order_col, source_col), state_path)
+    finally:
+        discard(spark, scratch)
+    return {s: (seen.get(s, 0), kept.get(s, 0)) for s in sources}

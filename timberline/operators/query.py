@@ -26,7 +26,8 @@ def log_filter(logs: DataFrame, q: LogQuery, as_of) -> DataFrame:
         if v is not None:
             preds.append(F.col(name) == F.lit(v))
     if q.contains is not None:
-        text = escape_like(q.contains) if q.literal_contains else q.contains
+        # A backslash is an ordinary character of the text, never an escape.
+        text = escape_like(q.contains) if q.literal_contains else q.contains.replace("\\", "\\\\")
         # ILIKE keeps % and _ inside the text as wildcards unless literal.
         preds.append(F.col("message").ilike(f"%{text}%"))
     if preds:

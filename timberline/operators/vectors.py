@@ -94,7 +94,7 @@ def model_embedding(text: Column, model) -> Column:
 def vector_rows(vectors: DataFrame, logs: DataFrame, dim: int = DEFAULT_EMBED_DIM) -> DataFrame:
     """K6: vector table rows from ``(log_id, embedding)`` and the log rows:
     metadata NULLs become ``''``, a missing vector becomes ``dim`` zeros, the
-    document is the search text (X11). Equi-join on the log id (shuffle, or
+    document is the message (the search text, X11, is what was embedded). Equi-join on the log id (shuffle, or
     broadcast when AQE sees a small side)."""
     meta = logs.select(F.col("id").alias("log_id"), *META_COLUMNS, "message")
     df = vectors.join(meta, "log_id", "inner")
@@ -103,7 +103,7 @@ def vector_rows(vectors: DataFrame, logs: DataFrame, dim: int = DEFAULT_EMBED_DI
         F.coalesce(F.col("embedding"), F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"),
         F.col("ts"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in META_COLUMNS[1:]],
-        search_text(F.col("hostname"), F.col("unit"), F.col("message")).alias("document"))
+        F.coalesce(F.col("message"), F.lit("")).alias("document"))
 
 
 def index_candidates(logs: DataFrame, ledger: DataFrame, as_of, p: IndexParams) -> DataFrame:
@@ -112,7 +112,7 @@ def index_candidates(logs: DataFrame, ledger: DataFrame, as_of, p: IndexParams)
     window = in_window(logs, as_of, p.since)
     pending = window.join(ledger.select(F.col("log_id").alias("id")), "id", "left_anti")
     pending = pending.select("id", *META_COLUMNS, "message",
-                             search_text(F.col("hostname"), F.col("unit"), F.col("message")).alias("document"))
+                             search_text(F.col("hostname"), F.col("unit"), F.col("message")).alias("search_text"))
     if p.limit is not None:
         pending = pending.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(p.limit)
     return pending
@@ -122,9 +122,10 @@ def index_logs(logs: DataFrame, ledger: DataFrame, as_of, p: IndexParams, model=
     """V1: embed the pending rows; rows the model fails on are left out.
     Returns (new vector rows, new ledger rows ``(log_id, indexed_at)``)."""
     cand = index_candidates(logs, ledger, as_of, p)
-    emb = with_embedding(cand, "document", "embedding", model).filter(F.col("embedding").isNotNull())
+    emb = with_embedding(cand, "search_text", "embedding", model).filter(F.col("embedding").isNotNull())
     vec = emb.select(F.col("id").alias("log_id"), "embedding", "ts",
-                     *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in META_COLUMNS[1:]], "document")
+                     *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in META_COLUMNS[1:]],
+                     F.coalesce(F.col("message"), F.lit("")).alias("document"))
     led = emb.select(F.col("id").alias("log_id"), ts_lit(as_of).alias("indexed_at"))
     return vec, led
 
@@ -162,7 +163,10 @@ def search(vec_table: DataFrame, query: list[float], p: SearchParams, as_of) ->
         v = getattr(p, name)
         if v is not None:
             df = df.filter(F.col(name) == v)
+    # Vectors of another length (a zero fill of another model) have no distance and are no hits.
+    df = df.filter(F.size("embedding") == len(query))
     top = (df.select("log_id", squared_l2(F.col("embedding"), query).alias("_d"))
+           .filter(F.col("_d").isNotNull() & ~F.isnan("_d"))
            .orderBy(F.col("_d"), F.col("log_id")).limit(p.n_results))
     # ``top`` holds at most n_results (<= 100) rows: numbering them is local work.
     rank = F.row_number().over(Window.orderBy(F.col("_d"), F.col("log_id")))
@@ -194,16 +198,10 @@ def rag_context(expanded: DataFrame) -> DataFrame:
         F.size("_items").alias("n_logs"))
 
 
-PROMPT = ("You analyse system logs. Answer the question using the log entries below.\n\n"
-          "{context}\n\nQuestion: {question}\n\n"
-          "Answer clearly and briefly from the log data, and say so when the logs do not cover it. "
-          "Point out patterns or problems, what the entries indicate, likely causes or fixes, "
-          "and anything worrying.\n\nAnswer:")
-
-
-def rag_prompt(context: DataFrame, question: str) -> DataFrame:
-    """The text handed to a language model (the model call itself is outside Spark)."""
-    head, rest = PROMPT.split("{context}")
+def rag_prompt(context: DataFrame, question: str, template: str) -> DataFrame:
+    """The text handed to a language model (the model call itself is outside Spark): the
+    caller's ``template`` with ``{context}`` and, after it, ``{question}`` filled in."""
+    head, rest = template.split("{context}")
     mid, tail = rest.split("{question}")
     return context.select(F.concat(F.lit(head), F.col("context"), F.lit(mid), F.lit(question), F.lit(tail))
                           .alias("prompt"))

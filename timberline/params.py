@@ -143,8 +143,7 @@ class SearchParams:
 @dataclass(frozen=True)
 class IndexParams:
     since: int = DAY
-    # The reference embeds the newest 1000 pending rows per call; None = all pending.
-    limit: int | None = 1000
+    limit: int | None = None  # None: all pending rows; a caller's limit takes the newest
 
     def __post_init__(self):
         _check_int("since", self.since, 1, 365 * DAY)

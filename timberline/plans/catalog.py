@@ -138,6 +138,21 @@ def ingest_all_counts(spark, sf):
                                  "source_name string, parsed_rows long, inserted_rows long")
 
 
+def ingest_resume(spark, sf):
+    """Two ingests of one journal: the first ends in the middle of the month, the second looks
+    back one minute only and resumes after the stored cursor."""
+    prepare(spark)
+    lines = fx.journald_lines(spark, sf)
+    base = _scratch(spark, "ingest-resume")
+    middle = F.get_json_object("value", "$.__REALTIME_TIMESTAMP").try_cast("long") < 1705363200 * 10 ** 6
+    for part, since in ((lines.filter(middle), 400 * DAY), (lines, 60)):
+        state = ingest.read_state(spark, f"{base}/state")
+        parsed, _errors = read_all(spark, [LogSource("journal", "journald", config={"lines": part})], AS_OF,
+                                   since_seconds=since, state=state)
+        ingest.ingest_into(parsed, f"{base}/logs", f"{base}/state", AS_OF, ["journal"])
+    return spark.read.parquet(f"{base}/logs").select(*PARSED_COLS, "cursor")
+
+
 def migrate_ids(spark, sf):
     lg = _logs(spark, sf).withColumnRenamed("id", "event_id")
     with_fp = with_fingerprint(lg).withColumn("id", F.lit(None).cast("long"))
@@ -231,7 +246,7 @@ def _query_vector(spark, sf) -> list[float]:
 def index_candidates(spark, sf):
     led = fx.index_ledger(spark, sf)
     return vectors.index_candidates(_logs(spark, sf), led, AS_OF, IndexParams(since=30 * DAY, limit=None)) \
-        .select("id", "ts", "document")
+        .select("id", "ts", "search_text")
 
 
 def index_build(spark, sf):
@@ -256,6 +271,19 @@ def rag_context(spark, sf):
     return vectors.rag_context(search_expand(spark, sf))
 
 
+def index_retention_ledger(spark, sf):
+    prepare(spark)
+    kept, _, _ = vectors.retention(fx.index_ledger(spark, sf), fx.vectors(spark, sf), AS_OF, days=29)
+    return kept.select("log_id", "indexed_at")
+
+
+def index_retention_vectors(spark, sf):
+    prepare(spark)
+    ledger = fx.index_ledger(spark, sf)
+    rows = fx.vectors(spark, sf).join(ledger.select("log_id"), "log_id", "left_semi")
+    return vectors.retention(ledger, rows, AS_OF, days=29)[1].select("log_id")
+
+
 def index_retention(spark, sf):
     prepare(spark)
     _, _, counts = vectors.retention(fx.index_ledger(spark, sf), fx.vectors(spark, sf), AS_OF, days=29)
@@ -282,6 +310,10 @@ def _audit_records(spark, sf):
     return audit.audit_records(audit.scan_results(_scan_lines(spark, sf)))
 
 
+def audit_findings(spark, sf):
+    return audit.findings(_scan_lines(spark, sf))
+
+
 def audit_rollup(spark, sf):
     return audit.audit_rollup(_audit_records(spark, sf))
 
@@ -456,6 +488,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 8: vector index and retrieval
     "index_candidates": index_candidates,
     "index_build": index_build,
+    "index_retention_ledger": index_retention_ledger,
+    "index_retention_vectors": index_retention_vectors,
+    "ingest_resume": ingest_resume,
+    "audit_findings": audit_findings,
     "vector_topk": vector_topk,
     "vector_topk_filtered": vector_topk_filtered,
     "search_expand": search_expand,

@@ -194,7 +194,7 @@ samp AS (
     string_agg(text, chr(10) ORDER BY line_no) FILTER (WHERE kind = 1) AS s1,
     string_agg(text, chr(10) ORDER BY line_no) FILTER (WHERE kind = 2) AS s2
   FROM (SELECT *, row_number() OVER (PARTITION BY scan_time, host, tool, kind ORDER BY line_no) AS rn
-        FROM fl WHERE kind IS NOT NULL) WHERE rn <= 10 GROUP BY scan_time, host, tool),
+        FROM fl WHERE kind IS NOT NULL) WHERE rn <= 10 OR tool IN ('aide', 'clamav') GROUP BY scan_time, host, tool),
 res AS (
   SELECT a.scan_time, a.host, a.tool, a.rc,
     CASE a.tool WHEN 'auditd' THEN 'running'
@@ -451,9 +451,9 @@ FROM (SELECT *, {MVAL} AS v FROM metrics WHERE timestamp >= {D30}) GROUP BY metr
     "alerts_query": _w(f"""SELECT * FROM alert_table WHERE timestamp >= {D7} AND severity = 'warning'
   AND NOT acknowledged AND json_valid(metric_data)""", METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE),
     "health_summary": _w("SELECT * FROM health", METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH),
-    "index_candidates": _w(f"SELECT id, ts, {DOC} AS document FROM logs WHERE ts >= {D30} "
+    "index_candidates": _w(f"SELECT id, ts, {DOC} AS search_text FROM logs WHERE ts >= {D30} "
                            "AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM logs))", LOGS),
-    "index_build": _w(f"SELECT id AS log_id, {DOC} AS document, 64 AS dims FROM logs WHERE ts >= {D30} "
+    "index_build": _w(f"SELECT id AS log_id, coalesce(message, '') AS document, 64 AS dims FROM logs WHERE ts >= {D30} "
                       "AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM logs))", LOGS),
     "vector_topk": _w("SELECT * FROM hits", LOGS, HITS_ALL),
     "vector_topk_filtered": _w("SELECT * FROM hits", LOGS, HITS_FILTERED),
@@ -467,6 +467,13 @@ FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, id) AS n FROM expanded)""",
   count(*) FILTER (WHERE l.ts >= TIMESTAMP '2024-01-02 00:00:00') AS kept
 FROM embeddings e JOIN logs l ON l.id = e.vec_id""", LOGS),
     **{f"audit_{t}": _audit(t) for t in ["auditd", "aide", "rkhunter", "chkrootkit", "clamav", "openscap", "lynis"]},
+    "index_retention_ledger": _w("""SELECT l.id AS log_id, l.ts AS indexed_at FROM embeddings e JOIN logs l ON l.id = e.vec_id
+WHERE l.ts >= TIMESTAMP '2024-01-02 00:00:00'""", LOGS),
+    "index_retention_vectors": _w("""SELECT e.vec_id AS log_id FROM embeddings e JOIN logs l ON l.id = e.vec_id
+WHERE l.ts >= TIMESTAMP '2024-01-02 00:00:00'""", LOGS),
+    "ingest_resume": _w("SELECT ts, hostname, unit, severity, pid, message, cursor FROM logs", LOGS),
+    "audit_findings": _w("SELECT scan_time, host, tool, kind, line_no, text FROM fl WHERE kind IS NOT NULL",
+                         SCAN_LINES, AUDIT_FLAGS),
     "audit_rollup": _w("""SELECT host, count(*) AS total_audits, count(*) FILTER (WHERE severity = 'info') AS passed,
   count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'critical') AS critical,
   count(*) FILTER (WHERE severity = 'error') AS errors

@@ -59,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="timberline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -80,6 +82,34 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def land(df, path: str):
+    """Write ``df`` once under ``path`` (in the shared folder) and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path as it names it."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table."""
+    fs, jpath = file_system(spark, path)
+    fs.delete(jpath, True)
+
+
+def stored(spark: SparkSession, path: str):
+    """The Parquet table at ``path``, or None where there is none. Only a missing or empty
+    folder counts as none: any other failure to read is raised."""
+    fs, jpath = file_system(spark, path)
+    if not fs.exists(jpath) or not any(
+            not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(jpath)):
+        return None
+    return spark.read.parquet(path)
+
+
 def materialize(df):
     """Compute a small intermediate result once and cut its lineage: a reliable
     checkpoint into the shared checkpoint folder (survives executor loss, unlike

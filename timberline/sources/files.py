@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from timberline.operators.window import ts_lit
 from timberline.params import as_timestamp
 
 DEFAULT_PATTERNS = ("*.log",)
-DEFAULT_MAX_FILE_MB = 100
+DEFAULT_MAX_FILE_MB = None  # no file is left out unless the caller sets a limit; see skipped_files
 
 
 def read_lines(spark: SparkSession, paths, patterns=DEFAULT_PATTERNS,
@@ -66,5 +64,9 @@ def list_files(spark: SparkSession, paths, patterns=DEFAULT_PATTERNS,
     return df
 
 
-def cutoff_from(as_of, since_seconds: int) -> dt.datetime:
-    return as_timestamp(as_of) - dt.timedelta(seconds=since_seconds)
+def skipped_files(spark: SparkSession, paths, patterns=DEFAULT_PATTERNS, max_size_mb: int | None = None) -> DataFrame:
+    """The files that ``max_size_mb`` leaves out, so that a caller who sets a limit sees
+    what was not read (no rows without a limit)."""
+    every = list_files(spark, paths, patterns)
+    over = F.lit(False) if max_size_mb is None else F.col("file_size") > F.lit(int(max_size_mb) * 1024 * 1024)
+    return every.filter(over)

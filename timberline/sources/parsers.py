@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timberline.functions import priority_to_severity
 from timberline.schema import JOURNALD, PARSED
@@ -71,7 +72,11 @@ def parse_journald(lines: DataFrame, text_col: str = "value", keep: list[str] |
     ``SYSLOG_IDENTIFIER`` when that is empty or absent.
     """
     keep = keep or []
-    j = F.from_json(F.col(text_col), JOURNALD)
+    # from_json stops at the end of the first object. Inside an array and inside another object,
+    # text after it is an error in at least one of the two, so only whole lines pass both.
+    one = F.from_json(F.concat(F.lit("["), F.col(text_col), F.lit("]")), T.ArrayType(JOURNALD))
+    held = F.from_json(F.concat(F.lit('{"v":'), F.col(text_col), F.lit("}")), T.StructType([T.StructField("v", JOURNALD)]))
+    j = F.when((F.size(one) == 1) & held["v"].isNotNull(), F.get(one, 0))
     df = lines.select(F.col(text_col).alias("_line"), j.alias("j"), *[F.col(k) for k in keep])
     micros = F.col("j.__REALTIME_TIMESTAMP").try_cast("long")
     df = df.select(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import json_or_wrap
 from timberline.schema import PARSED
+from timberline.operators.window import ts_lit
 from timberline.sources import files as files_mod
 from timberline.sources import filters, parsers
 
@@ -126,13 +127,27 @@ def source_lines(spark: SparkSession, source: LogSource) -> DataFrame:
 
 
 def read_source(spark: SparkSession, source: LogSource, as_of, since_seconds: int | None = 3600,
-                limit: int | None = None) -> DataFrame:
+                limit: int | None = None, after_cursor: str | None = None) -> DataFrame:
     """Parsed rows of one source, tagged ``source_name``; look-back ``since`` and
-    an optional row limit (journald: newest N; other types: first N in input order)."""
+    an optional row limit (journald: newest N; other types: first N in input order).
+
+    With ``after_cursor`` (journald) the read resumes after the row that carries it,
+    whatever the look-back says; rows of the same instant are read again and left to the
+    dedup. A cursor that is no longer in the input resumes from the oldest row, so
+    nothing is lost. A limit then takes the oldest rows, so that the next cursor never
+    moves past rows that were not read."""
     parsed = parser_for(source.type)(source_lines(spark, source), source.config)
-    parsed = filters.since_filter(parsed, as_of, since_seconds)
+    if after_cursor is None:
+        parsed = filters.since_filter(parsed, as_of, since_seconds)
+    else:
+        reached = parsed.filter(F.col("cursor") == F.lit(after_cursor)).agg(F.max("ts").alias("ts")).first()["ts"]
+        parsed = parsed.filter(~F.col("cursor").eqNullSafe(F.lit(after_cursor)))
+        if reached is not None:
+            parsed = parsed.filter(F.col("ts") >= ts_lit(reached))
     if limit is not None:
-        if source.type == "journald":
+        if after_cursor is not None:
+            parsed = parsed.orderBy("ts", "cursor").limit(limit)
+        elif source.type == "journald":
             parsed = filters.newest(parsed, limit, tie_col="cursor")
         else:
             order = [c for c in ("file_path", "line_pos", "seq") if c in parsed.columns] or ["ts"]
@@ -141,16 +156,20 @@ def read_source(spark: SparkSession, source: LogSource, as_of, since_seconds: in
 
 
 def read_all(spark: SparkSession, sources: list[LogSource], as_of, since_seconds: int = 3600,
-             limit: int | None = 1000) -> tuple[DataFrame | None, dict[str, str]]:
-    """Every enabled source (defaults: last hour, 1000 rows per source, as the
-    reference's ingest-all). Returns the union and ``{source_name: error}`` for
-    sources that could not be planned. Unknown types are errors."""
+             limit: int | None = None, state: DataFrame | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Every enabled source (default: the last hour, all its rows). With the cursor
+    ``state`` of earlier runs (K2), a journald source resumes after its stored cursor.
+    Returns the union and ``{source_name: error}`` for sources that could not be planned.
+    Unknown types are errors."""
     frames, errors = [], {}
+    names = [s.name for s in sources if s.enabled and s.type == "journald"]
+    cursors = {} if state is None else {r["source"]: r["cursor"] for r in state.filter(
+        F.col("source").isin(names)).select("source", "cursor").collect()}  # one row for each source asked for
     for src in sources:
         if not src.enabled:
             continue
         try:
-            df = read_source(spark, src, as_of, since_seconds, limit)
+            df = read_source(spark, src, as_of, since_seconds, limit, cursors.get(src.name))
             df.schema  # noqa: B018 - forces analysis so a bad path fails here
             frames.append(df)
         except Exception as exc:  # noqa: BLE001 - one source must not stop the others

@@ -8,11 +8,11 @@ the replay replaces that partition instead of appending a second copy.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.session import stored
+
 EPOCH = "epoch"
 
 
@@ -27,24 +27,16 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int, partition_by: list[str]
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table written by an epoch sink (without the epoch column). When
     nothing was written yet: an empty frame of ``schema``, or None."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist yet
+    df = stored(spark, path)
+    if df is None:
         return spark.createDataFrame([], schema) if schema is not None else None
     return df.drop(EPOCH)
 
 
 def read_other_epochs(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
     """Rows of all *other* epochs: what a replayed epoch must be checked against."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001
+    df = stored(spark, path)
+    if df is None:
         return None
     return df.filter(F.col(EPOCH) != F.lit(int(epoch_id))).drop(EPOCH)
 
-
-def epoch_sink(path: str, transform: Callable[[DataFrame, int], DataFrame]):
-    """``foreachBatch`` function: ``transform(batch, epoch_id)`` written idempotently."""
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        write_epoch(transform(batch, epoch_id), path, epoch_id)
-    return run
