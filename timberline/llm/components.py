@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each step takes the least neighbour of every node by a partially aggregated ``min`` and joins
-it back, so a node with very many links is pre-aggregated and its join side can be split;
+it back, so a node with very many links is pre-aggregated and, as the minima are written
+first, its join side can be split;
 links, nodes and labels stay in Spark. Steps are checkpointed into the shared folder.
 """
 
@@ -20,13 +21,13 @@ def _state(links: DataFrame):
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
     own = least.select("a", F.col("m").alias("b"))
     rest = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return own.unionByName(rest).distinct()

@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     roots = components(links(distinct, max_bits))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join below shuffles both sides and can split a large component.
+    least = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
