@@ -405,7 +405,7 @@ def file_ingest(spark, sf):
 def report_list(spark, sf):
     prepare(spark)
     base = _scratch(spark, "reports")
-    rep = report.daily_report(_logs(spark, sf), _metrics(spark, sf), _alert_table(spark, sf), AS_OF, DAY)
+    rep = report.daily_report(_logs(spark, sf), _metrics(spark, sf), _alert_table(spark, sf), AS_OF, 30 * DAY)
     text = materialize(report.format_text(rep))  # one row, rendered once
     for stamp in ("2024-01-29 00:00:00", "2024-01-30 00:00:00", AS_OF):
         report.save_report(text, base, stamp)

@@ -21,9 +21,13 @@ from timberline.streaming.sinks import write_epoch
 def start_monitor(metrics_stream: DataFrame, metrics_table: str, alerts_table: str, checkpoint: str,
                   interval: str = "60 seconds", available_now: bool = False) -> StreamingQuery:
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.select("timestamp", "metric_type", "metric_data")
-        write_epoch(batch, metrics_table, epoch_id)
-        write_epoch(alerts.store_alerts(alerts.threshold_alerts(batch)), alerts_table, epoch_id)
+        # Written twice (metrics, alerts) but read once; one trigger's worth.
+        batch = batch.select("timestamp", "metric_type", "metric_data").persist()
+        try:
+            write_epoch(batch, metrics_table, epoch_id)
+            write_epoch(alerts.store_alerts(alerts.threshold_alerts(batch)), alerts_table, epoch_id)
+        finally:
+            batch.unpersist()
 
     writer = metrics_stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
