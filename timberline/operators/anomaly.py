@@ -83,17 +83,48 @@ def missing_logs(logs: DataFrame, p: AnomalyParams, as_of,
         fill(MISSING_LOGS_TEXT, unit=F.col("unit")).alias("description"))
 
 
-def detect_anomalies(logs: DataFrame, p: AnomalyParams, as_of) -> DataFrame:
-    """A5: the three rules concatenated in rule order. ``kind_order`` and the
-    (count desc, key asc) order inside a rule give the reference's list order."""
-    parts = [
-        error_spikes(logs, p, as_of).withColumn("kind_order", F.lit(1)),
-        high_volume(logs, p, as_of).withColumn("kind_order", F.lit(2)),
-        missing_logs(logs, p, as_of).withColumn("kind_order", F.lit(3)),
-    ]
-    out = parts[0].unionByName(parts[1], allowMissingColumns=True) \
-                  .unionByName(parts[2], allowMissingColumns=True)
-    return out.select(*ANOMALY_COLUMNS)
+def detect_anomalies(logs: DataFrame, p: AnomalyParams, as_of,
+                     expected: list[str] | None = None) -> DataFrame:
+    """A5: the three rules in one scan and one shuffle. ``kind_order`` and the
+    (count desc, key asc) order inside a rule give the reference's list order.
+
+    The window is counted by unit and by source in one ``GROUPING SETS`` aggregation. Each
+    expected unit (``[]`` = none; default: the fixed list) joins the scan as one row that
+    counts nothing, so a unit without logs is a group of its own with count 0.
+    """
+    spark = logs.sparkSession
+    units = EXPECTED_UNITS if expected is None else expected
+    rows = in_window(logs, as_of, p.since).select(
+        "unit", "source", F.lit(1).alias("_n"), is_error_severity(F.col("severity")).alias("_err"),
+        F.lit(False).alias("_expected"))
+    if units:
+        rows = rows.unionByName(spark.range(1).select(
+            F.explode(F.array(*[F.lit(u) for u in sorted(set(units))])).alias("unit"),
+            F.lit(None).cast("string").alias("source"), F.lit(0).alias("_n"), F.lit(False).alias("_err"),
+            F.lit(True).alias("_expected")))
+    g = rows.groupingSets([["unit"], ["source"]], "unit", "source").agg(
+        F.sum("_n").alias("_rows"), F.count_if("_err").alias("_errors"), F.max("_expected").alias("_exp"),
+        F.grouping("source").alias("_by_unit"))
+    by_unit = F.col("_by_unit") == 1
+    g = g.withColumn("kind_order", F.when(by_unit & (F.col("_errors") > p.error_spike_threshold), 1)
+                     .when(~by_unit & (F.col("_rows") > p.high_volume_threshold), 2)
+                     .when(by_unit & F.col("_exp") & (F.col("_rows") == 0), 3)).filter("kind_order IS NOT NULL")
+    kind = F.col("kind_order")
+
+    def pick(spike: Column, volume: Column, missing: Column) -> Column:
+        return F.when(kind == 1, spike).when(kind == 2, volume).otherwise(missing)
+
+    found = g.select(
+        "kind_order",
+        pick(F.lit("error_spike"), F.lit("high_volume"), F.lit("missing_logs")).alias("type"),
+        F.when(kind != 2, F.coalesce("unit", F.lit(""))).alias("unit"),
+        F.when(kind == 2, F.coalesce("source", F.lit(""))).alias("source"),
+        F.when(kind == 1, F.col("_errors")).when(kind == 2, F.col("_rows")).alias("count"),
+        pick(F.lit("high"), F.lit("medium"), F.lit("medium")).alias("severity"),
+        pick(fill(ERROR_SPIKE_TEXT, unit=py_str(F.col("unit")), count=F.col("_errors")),
+             fill(HIGH_VOLUME_TEXT, source=py_str(F.col("source")), count=F.col("_rows")),
+             fill(MISSING_LOGS_TEXT, unit=F.col("unit"))).alias("description"))
+    return found.select(*ANOMALY_COLUMNS)
 
 
 def anomaly_order() -> list[Column]:
@@ -112,11 +143,13 @@ def anomaly_summary_parts(logs: DataFrame, p: AnomalyParams, as_of, recent: int
     aggregate. ``counts`` = precomputed ((unit, error count), (source, count))
     lets a caller that already grouped the window reuse that scan.
     """
-    spikes = spikes_from_counts(counts[0], p) if counts else error_spikes(logs, p, as_of)
-    volume = volume_from_counts(counts[1], p) if counts else high_volume(logs, p, as_of)
+    if counts:
+        found = spikes_from_counts(counts[0], p).withColumn("kind_order", F.lit(1)).unionByName(
+            volume_from_counts(counts[1], p).withColumn("kind_order", F.lit(2)), allowMissingColumns=True)
+    else:
+        found = detect_anomalies(logs, p, as_of, expected=[])
     # One row per anomalous unit / source: small, read by two branches.
-    rows = materialize(spikes.withColumn("kind_order", F.lit(1)).unionByName(
-        volume.withColumn("kind_order", F.lit(2)), allowMissingColumns=True))
+    rows = materialize(found)
     totals = rows.agg(
         F.count(F.lit(1)).alias("total_anomalies"),
         F.count_if(F.col("severity") == "high").alias("high_severity"),
