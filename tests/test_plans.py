@@ -56,3 +56,12 @@ def test_table_conflict_check_prunes_partitions(spark, tmp_path):
     by_content = next(s for s in scans if "ReadSchema: struct<fingerprint:string>" in s)
     assert re.search(r"PartitionFilters: \[[^\]]*day#\d+ IN", by_content), by_content
     assert any("ReadSchema: struct<cursor:string>" in s for s in scans) and not any("struct<id" in s and "prun" in s for s in scans)
+
+
+def test_all_anomaly_rules_read_the_window_once(spark):
+    plan = _plan(E.queries()["anomalies_all"](spark, SF)).split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and "BatchEvalPython" not in plan
+
+
+def test_default_embedding_runs_without_python(spark):
+    assert "ArrowEvalPython" not in _plan(E.queries()["index_build"](spark, SF))

@@ -135,3 +135,23 @@ def test_long_finding_lists_are_whole(spark):
 def test_prompt_needs_a_template(spark):
     context = spark.createDataFrame([("lines",)], "context string")
     assert vectors.rag_prompt(context, "why?", "<{context}|{question}>").first()[0] == "<lines|why?>"
+
+
+def test_a_source_that_fails_while_read_does_not_stop_the_others(spark, tmp_path):
+    import gzip
+    from timberline.sources.registry import LogSource, ingest_all
+    line = "<14>Jan  5 10:00:00 h cron[1]: ran"
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    good.mkdir()
+    bad.mkdir()
+    (good / "a.log").write_text(line + "\n")
+    whole = gzip.compress("\n".join(f"{line} {i}" for i in range(5000)).encode())
+    (bad / "b.log.gz").write_bytes(whole[:len(whole) // 2])
+    table = str(tmp_path / "logs")
+    sources = [LogSource("bad", "file", config={"paths": str(bad), "patterns": ["*.gz"], "year": 2024}),
+               LogSource("good", "file", config={"paths": str(good), "year": 2024}),
+               LogSource("unknown", "no-such-type")]
+    counts, errors = ingest_all(spark, sources, table, str(tmp_path / "state"), "2024-01-06 00:00:00",
+                                since_seconds=7 * 86400)
+    assert counts == {"good": (1, 1)} and sorted(errors) == ["bad", "unknown"]
+    assert [r.message for r in spark.read.parquet(table).collect()] == ["ran"]

@@ -84,3 +84,16 @@ def test_error_spikes_append_mode_emits_closed_windows(spark, tmp_path):
     q.awaitTermination()
     got = [(r.unit, r.error_count) for r in read_table(spark, f"{base}/table", spikes.SPIKE_SCHEMA).collect()]
     assert got == [("u.service", 12)]
+
+
+def test_container_stream_names_rows_by_their_file(spark, tmp_path):
+    land = tmp_path / "containers"
+    land.mkdir()
+    (land / "web-json.log").write_text("2024-01-01T00:00:00.5Z stdout up\n")
+    (land / "db.log").write_text("2024-01-01T00:00:01.0Z stderr slow\nnot a container line\n")
+    base = scratch_path(spark, f"test-containers-{uuid.uuid4().hex[:8]}")
+    for patterns, units in ((["*"], ["db", "web"]), (["w*"], ["web"])):
+        out = f"{base}/{len(units)}"
+        stream_ingest.start_ingest(spark, str(land), f"{out}/table", f"{out}/ckpt", source_type="container",
+                                   config={"include_patterns": patterns}).awaitTermination()
+        assert sorted(r.unit for r in read_table(spark, f"{out}/table").collect()) == units

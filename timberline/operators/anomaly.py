@@ -144,12 +144,11 @@ def anomaly_summary_parts(logs: DataFrame, p: AnomalyParams, as_of, recent: int
     lets a caller that already grouped the window reuse that scan.
     """
     if counts:
-        found = spikes_from_counts(counts[0], p).withColumn("kind_order", F.lit(1)).unionByName(
+        rows = spikes_from_counts(counts[0], p).withColumn("kind_order", F.lit(1)).unionByName(
             volume_from_counts(counts[1], p).withColumn("kind_order", F.lit(2)), allowMissingColumns=True)
     else:
-        found = detect_anomalies(logs, p, as_of, expected=[])
-    # One row per anomalous unit / source: small, read by two branches.
-    rows = materialize(found)
+        # One row per anomalous unit / source: small, read by two branches.
+        rows = materialize(detect_anomalies(logs, p, as_of, expected=[]))
     totals = rows.agg(
         F.count(F.lit(1)).alias("total_anomalies"),
         F.count_if(F.col("severity") == "high").alias("high_severity"),

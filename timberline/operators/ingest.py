@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,6 +182,10 @@ def write_state(state: DataFrame, path: str) -> None:
         discard(spark, f"{base}/{name}")
 
 
+class UnreadableBatch(RuntimeError):
+    """The input of an ingest could not be read to its end; nothing of it was stored."""
+
+
 def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_of,
                 sources: list[str], order_col: str = "seq", source_col: str = "source_name") -> dict:
     """INGEST end to end (K1, K2, A12): append the new rows of ``parsed`` to the
@@ -192,7 +198,12 @@ def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_o
     spark = parsed.sparkSession
     scratch = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
     try:
-        batch = land(prepare_batch(parsed), f"{scratch}/batch")
+        try:
+            batch = land(prepare_batch(parsed), f"{scratch}/batch")
+        except PySparkException as exc:
+            raise UnreadableBatch(str(exc)) from exc
+        except Py4JJavaError as exc:  # failures of tasks that PySpark has no class for
+            raise UnreadableBatch(exc.java_exception.getMessage()) from exc
         rows = land(new_rows(dedup_batch(batch, order_col), stored(spark, table_path), days_from=batch), f"{scratch}/rows")
 
         def count(df: DataFrame) -> dict:

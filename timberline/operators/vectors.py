@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,40 +38,46 @@ CONTEXT_LINE = "{n}. [{ts}] {unit} ({severity}): {message}"
 NO_CONTEXT = "No relevant logs found."
 # -----------------------------------------------------------------------------
 
+HASHING_DIM = 64  # length of the default model's vectors
+
 
 # --- embedding models (P2) ---------------------------------------------------
 
 
-class HashingEmbedder:
-    """Offline, deterministic default model: lower-cased blank-separated tokens
-    hashed (pandas' fixed-key SipHash) into ``dim`` signed buckets,
-    L2-normalised; vectorised over the whole Arrow batch. Any object with the
-    same ``embed(list[str]) -> np.ndarray`` method (NaN row = failure) can
-    replace it, e.g. an ONNX model session."""
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def hashing_embedding(text: Column, dim: int = HASHING_DIM) -> Column:
+    """The default model, in built-in functions: each lower-cased blank-separated token adds
+    +1 or -1 to one of ``dim`` buckets (MD5 digits 1-8: bucket, digit 9: odd = -1); the sums
+    are L2-normalised. NULL text gives NULL, text without tokens zeros."""
+    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+
+    def code(digest: Column) -> Column:  # bucket number from 1, with the sign
+        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim + 1
+        odd = F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1
+        return F.when(odd, -bucket).otherwise(bucket).cast("int")
+
+    def sums(codes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.aggregate(
+            codes, F.lit(0), lambda n, c: F.when(c == i, n + 1).when(c == -i, n - 1).otherwise(n)))
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda n, c: n + c * c))
+        return _let(norm, lambda length: F.transform(counts, lambda c: F.when(
+            length > 0, c / length).otherwise(0.0).cast("float")))
 
-    def embed(self, texts: list[str]) -> np.ndarray:
-        s = pd.Series(texts, dtype=object).reset_index(drop=True)
-        out = np.zeros((len(s), self.dim), dtype=np.float64)
-        toks = s.str.lower().str.split().explode().dropna()
-        toks = toks[toks != ""]
-        if len(toks):
-            h = pd.util.hash_pandas_object(toks, index=False).to_numpy()
-            sign = np.where((h >> np.uint64(32)) & np.uint64(1), -1.0, 1.0)
-            np.add.at(out, (toks.index.to_numpy(), (h % np.uint64(self.dim)).astype(np.int64)), sign)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        out = np.divide(out, norms, out=out, where=norms > 0)
-        out[s.isna().to_numpy()] = np.nan
-        return out.astype(np.float32)
+    codes = F.transform(tokens, lambda t: _let(F.md5(t.cast("binary")), code))
+    return F.when(text.isNotNull(), _let(_let(codes, sums), scaled))
 
 
 def with_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", model=None) -> DataFrame:
-    """V2: add ``out_col`` = ``model.embed`` of ``text_col`` (default: the
-    hashing model). The model runs on executors on whole Arrow batches; NULL
-    text or a model failure gives NULL."""
-    return df.withColumn(out_col, model_embedding(F.col(text_col), model or HashingEmbedder()))
+    """V2: add ``out_col``, the embedding of ``text_col``: by ``hashing_embedding``, or by a
+    ``model`` of the caller (``model_embedding``). NULL text or a model failure gives NULL."""
+    text = F.col(text_col)
+    return df.withColumn(out_col, hashing_embedding(text) if model is None else model_embedding(text, model))
 
 
 def model_embedding(text: Column, model) -> Column:
@@ -122,7 +128,9 @@ def index_logs(logs: DataFrame, ledger: DataFrame, as_of, p: IndexParams, model=
     """V1: embed the pending rows; rows the model fails on are left out.
     Returns (new vector rows, new ledger rows ``(log_id, indexed_at)``)."""
     cand = index_candidates(logs, ledger, as_of, p)
-    emb = with_embedding(cand, "search_text", "embedding", model).filter(F.col("embedding").isNotNull())
+    # The default model fails on NULL text alone: asking the text spares a second evaluation.
+    done = F.col("search_text" if model is None else "embedding").isNotNull()
+    emb = with_embedding(cand, "search_text", "embedding", model).filter(done)
     vec = emb.select(F.col("id").alias("log_id"), "embedding", "ts",
                      *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in META_COLUMNS[1:]],
                      F.coalesce(F.col("message"), F.lit("")).alias("document"))
@@ -174,6 +182,21 @@ def search(vec_table: DataFrame, query: list[float], p: SearchParams, as_of) ->
                       rank.alias("rank"))
 
 
+def embed_query(spark: SparkSession, text: str, model=None) -> list[float] | None:
+    """The vector of one query text by the model that embeds the log rows; None on failure."""
+    row = with_embedding(spark.createDataFrame([(text,)], "t string"), "t", "e", model).first()
+    return None if row["e"] is None else list(row["e"])
+
+
+def search_by_text(vec_table: DataFrame, text: str, p: SearchParams, as_of, model=None) -> DataFrame:
+    """V3 from a text: embed it with the model of the index, then the nearest rows of the
+    index. A text the model cannot embed is an error."""
+    vector = embed_query(vec_table.sparkSession, text, model)
+    if vector is None:
+        raise ValueError("the query text could not be embedded")
+    return search(vec_table, vector, p, as_of)
+
+
 def expand_hits(hits: DataFrame, logs: DataFrame) -> DataFrame:
     """Full log rows of the hits, newest first, each with its own score
     (paired by id, D3). ``hits`` is bounded by ``n_results`` <= 100, so it is

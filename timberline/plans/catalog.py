@@ -21,10 +21,10 @@ from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Di
 from timberline.schema import ALERTS as ALERTS_SCHEMA
 from timberline.schema import LOGS as LOGS_SCHEMA
 from timberline.schema import METRICS as METRICS_SCHEMA
-from timberline.session import materialize, prepare, scratch_path
+from timberline.session import land, materialize, prepare, scratch_path
 from timberline.sources import files as file_sources
 from timberline.sources import parsers
-from timberline.sources.registry import LogSource, read_all, read_source
+from timberline.sources.registry import LogSource, ingest_all, read_all, read_source
 from timberline.streaming import ingest as stream_ingest_mod
 from timberline.streaming import monitor, spikes
 from timberline.streaming.sinks import read_table
@@ -138,6 +138,23 @@ def ingest_all_counts(spark, sf):
                                  "source_name string, parsed_rows long, inserted_rows long")
 
 
+def ingest_isolated(spark, sf):
+    """Four sources into one table, one after the other: the second repeats the first and adds
+    nothing, the third fails while it is read and does not stop the fourth."""
+    prepare(spark)
+    journal = fx.journald_lines(spark, sf)
+    broken = fx.journald_lines(spark, sf).select(
+        F.when(F.col("seq") >= 0, F.raise_error(F.lit("input lost"))).cast("string").alias("value"))
+    sources = [LogSource("journal", "journald", config={"lines": journal}),
+               LogSource("again", "journald", config={"lines": journal}),
+               LogSource("broken", "journald", config={"lines": broken}),
+               LogSource("apps", "container", config={"lines": fx.container_lines(spark, sf)})]
+    base = _scratch(spark, "ingest-isolated")
+    counts, errors = ingest_all(spark, sources, f"{base}/logs", f"{base}/state", AS_OF, since_seconds=30 * DAY)
+    rows = [(k, int(a), int(b), False) for k, (a, b) in counts.items()] + [(k, 0, 0, True) for k in errors]
+    return spark.createDataFrame(rows, "source_name string, parsed_rows long, inserted_rows long, failed boolean")
+
+
 def ingest_resume(spark, sf):
     """Two ingests of one journal: the first ends in the middle of the month, the second looks
     back one minute only and resumes after the stored cursor."""
@@ -166,11 +183,15 @@ def _metrics(spark, sf):
     return fx.metrics(spark, sf)
 
 
-def _alert_table(spark, sf):
-    """The stored alert table the monitor would have written (threshold rules and
-    hourly service snapshots over the metric rows), written once per call."""
+def _alerts(spark, sf):
+    """The alerts of the monitor: threshold rules and hourly service snapshots over the metric rows."""
     m = _metrics(spark, sf)
-    return materialize(alerts.store_alerts(alerts.threshold_alerts(m).unionByName(alerts.service_down(m, "hour"))))
+    return alerts.store_alerts(alerts.threshold_alerts(m).unionByName(alerts.service_down(m, "hour")))
+
+
+def _alert_table(spark, sf):
+    """The alerts as the stored Parquet table that reports and summaries read, written once per call."""
+    return land(_alerts(spark, sf), _scratch(spark, "alerts"))
 
 
 def log_summary(spark, sf):
@@ -219,7 +240,7 @@ def service_down(spark, sf):
 
 
 def alerts_query(spark, sf):
-    return alerts.query_alerts(_alert_table(spark, sf), AlertQuery(since=7 * DAY, severity="warning",
+    return alerts.query_alerts(_alerts(spark, sf), AlertQuery(since=7 * DAY, severity="warning",
                                                                    acknowledged=False), AS_OF)
 
 
@@ -252,7 +273,32 @@ def index_candidates(spark, sf):
 def index_build(spark, sf):
     vec, led = vectors.index_logs(_logs(spark, sf), fx.index_ledger(spark, sf), AS_OF,
                                   IndexParams(since=30 * DAY, limit=None))
-    return vec.select("log_id", "document", F.size("embedding").alias("dims"))
+    return vec.select("log_id", "document", F.size("embedding").alias("dims"), _micros("embedding"))
+
+
+def _micros(embedding: str):
+    """An embedding as text: its values in millionths, rounded down."""
+    values = F.transform(embedding, lambda x: F.floor(x.cast("double") * 1000000).cast("string"))
+    return F.array_join(values, ",").alias("embedding_micros")
+
+
+SEARCH_TEXT = "error by user 12"
+SEARCH_BY_TEXT = SearchParams(n_results=20, since=30 * DAY, source="journald")
+
+
+def search_text(spark, sf):
+    """Query text to hits: the index of the logs is built and stored, the text embedded by the
+    same model and its nearest rows returned."""
+    vec, _ledger = vectors.index_logs(_logs(spark, sf), fx.index_ledger(spark, sf), AS_OF,
+                                      IndexParams(since=30 * DAY, limit=None))
+    index = land(vec, _scratch(spark, "index"))
+    return vectors.search_by_text(index, SEARCH_TEXT, SEARCH_BY_TEXT, AS_OF)
+
+
+def index_ledger_new(spark, sf):
+    """The ledger rows of an index build."""
+    return vectors.index_logs(_logs(spark, sf), fx.index_ledger(spark, sf), AS_OF,
+                              IndexParams(since=30 * DAY, limit=None))[1]
 
 
 def vector_topk(spark, sf):
@@ -372,11 +418,48 @@ def stream_error_spike(spark, sf):
     base = _scratch(spark, "stream-spikes")
     fx.journald_lines(spark, sf).select("value").write.text(f"{base}/landing")
     parsed = stream_ingest_mod.parsed_stream(spark, f"{base}/landing", max_files_per_trigger=16)
-    q = spikes.start_error_spikes(parsed, f"{base}/table", f"{base}/checkpoint", window="1 day", threshold=10)
+    q = spikes.start_error_spikes(parsed, f"{base}/table", f"{base}/checkpoint", window="1 day", threshold=10,
+                                  mode="complete")
     q.awaitTermination()
     return read_table(spark, f"{base}/table", spikes.SPIKE_SCHEMA)
 
 
+def stream_error_spike_closed(spark, sf):
+    """Spikes of the windows that the event-time watermark has closed (append mode)."""
+    prepare(spark)
+    base = _scratch(spark, "stream-spikes-closed")
+    fx.journald_lines(spark, sf).select("value").write.text(f"{base}/landing")
+    q = spikes.start_error_spikes(stream_ingest_mod.parsed_stream(spark, f"{base}/landing"), f"{base}/table",
+                                  f"{base}/checkpoint", window="1 day", threshold=2, lateness="2 hours")
+    q.awaitTermination()
+    return read_table(spark, f"{base}/table", spikes.SPIKE_SCHEMA)
+
+
+def stream_service_down(spark, sf):
+    """Critical services missing from the hourly snapshots that the watermark has closed."""
+    prepare(spark)
+    base = _scratch(spark, "stream-services")
+    fx.metrics(spark, sf).write.parquet(f"{base}/landing")
+    stream = spark.readStream.schema(METRICS_SCHEMA).parquet(f"{base}/landing")
+    q = monitor.start_service_watch(stream, f"{base}/alerts", f"{base}/checkpoint", snapshot="1 hour",
+                                    delay="2 hours", available_now=True)
+    q.awaitTermination()
+    return read_table(spark, f"{base}/alerts", ALERTS_SCHEMA).select(*ALERTS_SCHEMA.fieldNames())
+
+
+def stream_container(spark, sf):
+    """Container lines land in one folder a container; the ingest stream names each row's
+    container by its file's path."""
+    prepare(spark)
+    base = _scratch(spark, "stream-container")
+    fx.container_lines(spark, sf).select("value", F.col("container").alias("name")) \
+        .write.partitionBy("name").text(f"{base}/landing")
+    q = stream_ingest_mod.start_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint",
+                                       source_type="container", container_pattern=r"name=([^/]+)/")
+    q.awaitTermination()
+    return read_table(spark, f"{base}/table", LOGS_SCHEMA).select(*STREAM_COLS)
+
+
 def stream_alerts(spark, sf):
     prepare(spark)
     base = _scratch(spark, "stream-monitor")
@@ -409,7 +492,7 @@ def report_list(spark, sf):
     text = materialize(report.format_text(rep))  # one row, rendered once
     for stamp in ("2024-01-29 00:00:00", "2024-01-30 00:00:00", AS_OF):
         report.save_report(text, base, stamp)
-    return report.list_reports(spark, base, limit=10).select("name")
+    return report.list_reports(spark, base, limit=10).select("name", "size")
 
 
 def fetch_by_ids(spark, sf):
@@ -491,6 +574,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_retention_ledger": index_retention_ledger,
     "index_retention_vectors": index_retention_vectors,
     "ingest_resume": ingest_resume,
+    "ingest_isolated": ingest_isolated,
+    "search_text": search_text,
+    "index_ledger_new": index_ledger_new,
     "audit_findings": audit_findings,
     "vector_topk": vector_topk,
     "vector_topk_filtered": vector_topk_filtered,
@@ -508,7 +594,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 11: streaming
     "stream_ingest": stream_ingest,
     "stream_error_spike": stream_error_spike,
+    "stream_error_spike_closed": stream_error_spike_closed,
     "stream_alerts": stream_alerts,
+    "stream_service_down": stream_service_down,
+    "stream_container": stream_container,
     # step 12: files
     "file_ingest": file_ingest,
     "report_list": report_list,

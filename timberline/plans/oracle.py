@@ -142,6 +142,31 @@ DIST = ("list_sum(list_transform(generate_series(1, len(embedding)), lambda i: "
         "(CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE))))")
 
 
+# The default embedding: signed token buckets (MD5 digits), L2-normalised.
+def embedding(text: str) -> str:
+    codes = (f"list_transform(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda t: t <> ''), lambda t: "
+             "(CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64 + 1) * "
+             "CASE WHEN CAST(('0x' || substr(md5(t), 9, 1)) AS BIGINT) % 2 = 1 THEN -1 ELSE 1 END)")
+    sums = ("(SELECT list_transform(generate_series(1, 64), lambda i: "
+            "len(list_filter(cs, lambda c: c = i)) - len(list_filter(cs, lambda c: c = -i))) "
+            f"FROM (SELECT {codes} AS cs))")
+    return (f"(SELECT list_transform(s, lambda x: CAST(CASE WHEN n > 0 THEN x / n ELSE 0 END AS FLOAT)) FROM "
+            f"(SELECT s, sqrt(CAST(list_sum(list_transform(s, lambda x: x * x)) AS DOUBLE)) AS n FROM (SELECT {sums} AS s)))")
+
+
+INDEX = f"""cand AS (SELECT *, {DOC} AS doc FROM logs WHERE ts >= {D30}
+  AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM logs))),
+idx AS (SELECT id AS log_id, ts, source, coalesce(message, '') AS document, {embedding('doc')} AS embedding FROM cand)"""
+SEARCH_TEXT = f"""hits AS (
+  SELECT log_id, round(d, 6) AS distance, round(1 - d, 6) AS similarity,
+    CAST(row_number() OVER (ORDER BY d, log_id) AS INTEGER) AS rank
+  FROM (SELECT log_id, list_reduce(list_transform(generate_series(1, 64), lambda i:
+      (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE))),
+      lambda a, b: a + b) AS d
+    FROM idx, (SELECT {embedding("'error by user 12'")} AS qv) q WHERE source = 'journald')
+  ORDER BY d, log_id LIMIT 20)"""
+
+
 def _topk(where: str, k: int) -> str:
     return f"""hits AS (
   SELECT log_id, round(d, 6) AS distance, round(1 - d, 6) AS similarity,
@@ -453,8 +478,10 @@ FROM (SELECT *, {MVAL} AS v FROM metrics WHERE timestamp >= {D30}) GROUP BY metr
     "health_summary": _w("SELECT * FROM health", METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH),
     "index_candidates": _w(f"SELECT id, ts, {DOC} AS search_text FROM logs WHERE ts >= {D30} "
                            "AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM logs))", LOGS),
-    "index_build": _w(f"SELECT id AS log_id, coalesce(message, '') AS document, 64 AS dims FROM logs WHERE ts >= {D30} "
-                      "AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM logs))", LOGS),
+    "index_build": _w("""SELECT log_id, document, 64 AS dims, array_to_string(list_transform(embedding, lambda x:
+  CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',') AS embedding_micros FROM idx""", LOGS, INDEX),
+    "index_ledger_new": _w("SELECT log_id, TIMESTAMP '2024-01-31 00:00:00' AS indexed_at FROM idx", LOGS, INDEX),
+    "search_text": _w("SELECT * FROM hits", LOGS, INDEX, SEARCH_TEXT),
     "vector_topk": _w("SELECT * FROM hits", LOGS, HITS_ALL),
     "vector_topk_filtered": _w("SELECT * FROM hits", LOGS, HITS_FILTERED),
     "search_expand": _w("SELECT * FROM expanded", LOGS, HITS_FILTERED, EXPANDED),
@@ -496,6 +523,27 @@ FROM records WHERE id = {_audit_id('clamav', 'host3', '2024-01-15 00:00:00')}"""
   time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, unit, count(*) AS error_count
 FROM logs WHERE severity IN ('err', 'crit', 'emerg') GROUP BY ALL HAVING count(*) > 10""", LOGS),
     "stream_alerts": _w(stored_alerts("alerts_t"), METRICS, ALERTS_T),
+    "stream_error_spike_closed": _w("""SELECT * FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS window_start,
+  time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, unit, count(*) AS error_count
+  FROM logs WHERE severity IN ('err', 'crit', 'emerg') GROUP BY ALL)
+WHERE error_count > 2 AND window_end <= (SELECT max(ts) FROM logs) - INTERVAL '2 hours'""", LOGS),
+    "stream_service_down": _w(stored_alerts("""(SELECT * FROM alerts_s WHERE timestamp + INTERVAL '1 hour' <=
+  (SELECT max(timestamp) FROM metrics) - INTERVAL '2 hours')"""), METRICS, ALERTS_S),
+    "stream_container": _w(f"""SELECT {x2('fp')} AS id, fp AS fingerprint, ts, unit, severity, message FROM (
+  SELECT DISTINCT sha256({TS_STR} || '|localhost|' || unit || '|' || severity || '|None|' || message) AS fp,
+    ts, unit, severity, message
+  FROM (SELECT ts, hostname AS unit, CASE WHEN {RANK_LE4} THEN 'warning' ELSE 'info' END AS severity, message FROM logs))""",
+                           LOGS),
+    "ingest_isolated": _w(f"""SELECT 'journal' AS source_name, count(*) AS parsed_rows, count(DISTINCT {FP}) AS inserted_rows,
+  false AS failed FROM logs WHERE ts >= {D30}
+UNION ALL SELECT 'again', count(*), 0, false FROM logs WHERE ts >= {D30}
+UNION ALL SELECT 'broken', 0, 0, true
+UNION ALL SELECT 'apps', count(*), count(DISTINCT concat_ws('|', ts, hostname, {RANK_LE4}, message)), false
+  FROM logs WHERE ts >= {D30}""", LOGS),
+    "report_list": _w(f"""SELECT name, CAST(strlen(report) + 1 AS BIGINT) AS size FROM ({REPORT_TEXT_BODY}),
+  (VALUES ('report_20240129_000000.txt'), ('report_20240130_000000.txt'), ('report_20240131_000000.txt')) n(name)""",
+                      LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
+                      SPIKES, VOLUME, MISSING, ALL_ANOMALIES, REPORT_TEXT),
     "file_ingest": _w("""SELECT hostname, count(*) AS rows, min(date_trunc('second', ts)) AS first_ts,
   max(date_trunc('second', ts)) AS last_ts FROM logs GROUP BY hostname""", LOGS),
     "fetch_by_ids": _w("SELECT id, ts, unit, severity, message FROM logs WHERE id IN (SELECT vec_id FROM embeddings)",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import json_or_wrap
 from timberline.schema import PARSED
+from timberline.operators import ingest
 from timberline.operators.window import ts_lit
 from timberline.sources import files as files_mod
 from timberline.sources import filters, parsers
@@ -45,6 +46,9 @@ ParserFn = Callable[[DataFrame, dict], DataFrame]
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _PARSERS: dict[str, ParserFn] = {}
 
+# The name of a container in the path of its log file.
+CONTAINER_FILE = r"([^/]+?)(?:-json)?\.log$"
+
 
 def register_parser(source_type: str, fn: ParserFn) -> None:
     """Make ``fn(lines_df, config) -> parsed_df`` the parser of ``source_type``."""
@@ -105,7 +109,7 @@ def _file(lines: DataFrame, config: dict) -> DataFrame:
 
 def _container(lines: DataFrame, config: dict) -> DataFrame:
     if "container" not in lines.columns:
-        lines = lines.withColumn("container", F.regexp_extract("file_path", r"([^/]+?)(?:-json)?\.log$", 1))
+        lines = lines.withColumn("container", F.regexp_extract("file_path", CONTAINER_FILE, 1))
     lines = filters.container_glob_filter(lines, config.get("include_patterns", ["*"]),
                                           config.get("exclude_patterns", []))
     return parsers.parse_container(lines, hostname=config.get("hostname", "localhost"),
@@ -177,3 +181,28 @@ def read_all(spark: SparkSession, sources: list[LogSource], as_of, since_seconds
     if not frames:
         return None, errors
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), errors
+
+
+def ingest_all(spark: SparkSession, sources: list[LogSource], table_path: str, state_path: str | None, as_of,
+               since_seconds: int | None = 3600, limit: int | None = None) -> tuple[dict, dict[str, str]]:
+    """Ingest every enabled source into one table, one after the other in the
+    order given, each resuming after its stored cursor. A source that cannot be planned or
+    fails while it is read is reported and adds no row; the others are stored all the same.
+    Failures of the table or the state itself are raised.
+    Returns ``{source: (parsed_rows, inserted_rows)}`` and ``{source: error}``."""
+    counts, errors = {}, {}
+    for src in sources:
+        if not src.enabled:
+            continue
+        state = ingest.read_state(spark, state_path) if state_path is not None else None
+        parsed, failed = read_all(spark, [src], as_of, since_seconds, limit, state)
+        if parsed is None:
+            errors.update(failed)
+            continue
+        if "seq" not in parsed.columns:
+            parsed = parsed.withColumn("seq", F.monotonically_increasing_id())
+        try:
+            counts.update(ingest.ingest_into(parsed, table_path, state_path, as_of, [src.name]))
+        except ingest.UnreadableBatch as exc:
+            errors[src.name] = str(exc).splitlines()[0][:500]
+    return counts, errors

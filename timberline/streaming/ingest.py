@@ -17,25 +17,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from timberline.operators import ingest
-from timberline.sources import parsers
+from timberline.sources.registry import CONTAINER_FILE, parser_for
 from timberline.streaming.sinks import read_other_epochs, write_epoch
 
 
 def parsed_stream(spark: SparkSession, landing: str, source_type: str = "journald",
-                  year: int | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+                  year: int | None = None, max_files_per_trigger: int | None = None,
+                  config: dict | None = None, container_pattern: str = CONTAINER_FILE) -> DataFrame:
     """A streaming DataFrame of parsed log rows from text files landing in
-    ``landing``."""
+    ``landing``, by the parser registered for ``source_type`` with its ``config`` (units,
+    patterns; ``year`` for syslog). A container is named by group 1 of ``container_pattern``
+    in the path of its file."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.load(landing)
-    if source_type == "journald":
-        return parsers.parse_journald(lines)
-    if source_type == "file":
-        if year is None:
-            raise ValueError("syslog streams need the year (the lines carry none)")
-        return parsers.parse_syslog(lines, year=year)
-    raise ValueError(f"Unknown source type: {source_type}")
+    lines = reader.load(landing).select("value", F.col("_metadata.file_path").alias("_path"))
+    if source_type == "container":
+        lines = lines.withColumn("container", F.regexp_extract("_path", container_pattern, 1))
+    config = dict(config or {}, **({} if year is None else {"year": year}))
+    return parser_for(source_type)(lines.drop("_path"), config)
 
 
 def dedup_stream(parsed: DataFrame, dedup_window: str = "1 hour") -> DataFrame:
@@ -48,12 +48,14 @@ def dedup_stream(parsed: DataFrame, dedup_window: str = "1 hour") -> DataFrame:
 def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                  source_type: str = "journald", available_now: bool = True,
                  processing_time: str | None = None, dedup_window: str = "1 hour",
-                 max_files_per_trigger: int | None = None, year: int | None = None) -> StreamingQuery:
+                 max_files_per_trigger: int | None = None, year: int | None = None,
+                 config: dict | None = None, container_pattern: str = CONTAINER_FILE) -> StreamingQuery:
     """Run the ingest stream into ``table`` (Parquet partitioned by ``day``
     and micro-batch ``epoch``). Each batch keeps its first row per cursor and
     loses rows whose id / fingerprint / cursor is already in an earlier batch."""
     stream = dedup_stream(parsed_stream(spark, landing, source_type, year=year,
-                                        max_files_per_trigger=max_files_per_trigger), dedup_window)
+                                        max_files_per_trigger=max_files_per_trigger, config=config,
+                                        container_pattern=container_pattern), dedup_window)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         # Earlier batches, pruned to the days of this one (the table is

@@ -1,9 +1,9 @@
 """Streaming error-spike detection (W2): error rows per (time window, unit).
 
 Two output modes through ``foreachBatch`` (see ``start_error_spikes``):
+``append`` (the default) bounds the state with an event-time watermark;
 ``complete`` emits every window with its final count and drops nothing, at the
-price of state that grows with history; ``append`` bounds the state with an
-event-time watermark. The state is one counter per open (window, unit).
+price of state that grows with history. The state is one counter per open (window, unit).
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def windowed_errors(parsed: DataFrame, window: str = "1 hour", prefilter: bool =
 
 
 def start_error_spikes(parsed_stream: DataFrame, table: str, checkpoint: str, window: str = "1 hour",
-                       threshold: int = 10, available_now: bool = True, mode: str = "complete",
+                       threshold: int = 10, available_now: bool = True, mode: str = "append",
                        lateness: str = "2 hours") -> StreamingQuery:
     """Keep in ``table`` the (window, unit) groups with more than ``threshold`` errors.
 
