@@ -168,3 +168,13 @@ def test_secret_candidates_and_odd_rows(spark, odd, empty):
     assert secret_scan.scan(empty).count() == 0
     assert secret_scan.scan(odd).count() >= 0
     assert secret_scan.scan(df).where("is_secret").count() >= 3
+
+
+def test_secret_candidates_keep_base64_padding():
+    """16 bytes in base64 end in '==': quoted, after a blank, assigned, and without a name."""
+    key = "q83vEjRWeJCrze8SNFZ4kA=="
+    for text, name in ((f'token = "{key}"', "token"), (f"secret: {key}", "secret"), (f"api_key={key} x", "api_key"),
+                       (f"x {key}.", ""), (f"key==={key}", "key")):
+        at = text.index(key)
+        assert [f[:3] for f in secret_scan.find(text.encode())] == [(at, name, key)], text
+    assert [f[2] for f in secret_scan.find(b"token = 'A1bcdefghijk='")] == ["A1bcdefghijk="]

@@ -37,7 +37,8 @@ DEPTH = 8
 MIN_LENGTH = 8
 _RUN = re.compile(rb"[A-Za-z0-9+/_=.@:\-]{8,}")
 _DIGIT = re.compile(rb"\d")
-_ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.\-]{1,40})[=:]+(.+)", re.S)
+#: A value holds more than marks: the '=' that end a base64 run are its padding.
+_ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.\-]{1,40})[=:]+(.*[^=:].*)", re.S)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Names whose assigned values are credentials, and formats that are (fixed values).
 NAMES = r"(?i).*(password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential).*"
