@@ -1,7 +1,11 @@
 """Secret scan: high-recall candidates, and a random forest that removes false positives.
 
-``candidates`` finds every run of key-like characters that could be a credential, with the name
-it is assigned to and its neighbouring words. The forest judges a candidate by its length, its
+``candidates`` finds what a credential name is assigned (a whole quoted string or non-blank word,
+at any length), links with a password, and runs of 8 or more key-like characters that hold a
+digit, mix their cases or are assigned; with the name a value is assigned to and its neighbouring
+words. An unquoted value that ends in sentence marks is found with and without them. Runs without
+a digit and of one case, and values with other marks and no credential name before them, are not
+candidates as a whole. The forest judges a candidate by its length, its
 character mix and transitions, how much of it dictionary words cover, and how often its path and
 its neighbours came with real secrets. It is trained on labelled findings: any table of
 candidates with a ``label``; ``rule_labels`` makes one from formats that leave no doubt.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -34,17 +39,36 @@ from timberline.llm.words import text_buffers
 SAMPLE = 4000
 TREES = 40
 DEPTH = 8
-MIN_LENGTH = 8
+MIN_LENGTH = 8  # of runs that no credential name is assigned
+DEEPEST = 8
 _RUN = re.compile(rb"[A-Za-z0-9+/_=.@:\-]{8,}")
 _DIGIT = re.compile(rb"\d")
 #: A value holds more than marks: the '=' that end a base64 run are its padding.
-_ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.\-]{1,40})[=:]+(.*[^=:].*)", re.S)
+_ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.\-]{1,40})[=:]++(.+)", re.S)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_LOWER = re.compile(rb"[a-z]")
+_UPPER = re.compile(rb"[A-Z]")
+#: A credential name and what assigns it: '=', ':', '=>', or a type and '='.
+_NAMED = re.compile(rb"((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)"
+                    rb"[A-Za-z0-9_.\-]{0,100}+)(?:\\*[\"'`])?\]?[ \t]*+"
+                    rb"(?::[ \t]*[A-Za-z_][A-Za-z0-9_.\[\]]{0,100}[ \t]+=[ \t]+|:?=+>?|:+)[ \t]*+", re.I)
+_NAME_LEFT = re.compile(rb"[A-Za-z0-9_.\-]+\Z")
+_QUOTED = re.compile(rb"(\\*[\"'`])((?:(?!\1)(?:\\[^\n]|[^\n]))+)\1")
+#: An unquoted value: to the next blank, or to a mark behind which another name is assigned.
+_BARE = re.compile(rb"(?:(?![&;,][\"']?[A-Za-z_][A-Za-z0-9_.\-]{0,100}[\"']?[=:])[^\x20\x09-\x0D])+")
+_OPEN = re.compile(rb"[\[{(]+(?:[\\\"'`]|\s)")
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_NESTED = re.compile(rb"[\"'`{}\[\]()<>=]")
+#: A link with a password before its host.
+_URL = re.compile(rb"[A-Za-z][A-Za-z0-9+.\-]{1,30}://[^\x00-\x20/?#@:\"'<>`]*:[^\x00-\x20/\"'<>`]+@[^\x00-\x20\"'<>`]*")
 #: Names whose assigned values are credentials, and formats that are (fixed values).
 NAMES = r"(?i).*(password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential).*"
 KEY_FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})$"
 #: Formats that are not: addresses, numbers, mail, links, versions (fixed values).
 HARMLESS = r"^([0-9 .:+\-/]+|[^@]+@[^@]+\.[A-Za-z]+\.?|(https?:|www\.).*)$"
+#: Links that hold a password are not harmless.
+URL_PASSWORD = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^\s/?#@:]*:[^\s/]+@.*$"
+URL_SECRET = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^\s/?#@:]*:[^\s/]*\d[^\s/]*@.*$"
 #: Words that make a value readable; a parameter of ``fit`` and ``scan``.
 DICTIONARY = ("password", "example", "sample", "test", "your", "change", "secret", "token", "value", "user", "admin", "name",
               "file", "data", "http", "www", "com", "org", "net", "mail", "version", "license", "the", "and", "this", "that",
@@ -70,23 +94,89 @@ def _neighbours(text: bytes, a: int, b: int) -> tuple[str, str, str]:
     return name, words[-1] if words else "", right[0] if right else ""
 
 
+def _named_values(text: bytes) -> Iterator[tuple[int, int, int, str, bool]]:
+    """(begin of the name, begin and end of the value, name, whether runs inside are pieces of it)
+    of each value that a credential name is assigned."""
+    pos, inside, depth = 0, 0, 0
+    while m := _NAMED.search(text, pos):
+        pos = m.end()
+        depth = depth + 1 if m.start() < inside else 0
+        if depth > DEEPEST:  # names in values in values: no more than a fixed number of times
+            pos = inside
+            continue
+        if _OPEN.match(text, m.end()):  # a list or an object: its own names and runs are found
+            continue
+        lead = _NAME_LEFT.search(text, max(0, m.start() - 200), m.start())
+        begin = lead.start() if lead else m.start()
+        name = (text[begin : m.start()] + m[1]).decode().lower().lstrip("_.-")
+        quoted = _QUOTED.match(text, m.end())
+        if quoted:
+            yield begin, *quoted.span(2), name, not _GAP.search(quoted[2])
+        elif word := _BARE.match(text, m.end()):
+            whole = not _NESTED.search(word.group())
+            inside = max(inside, word.end())
+            yield begin, *word.span(), name, whole
+            short = word.group().rstrip(b".,;:)]}>\"'`")
+            if short and len(short) < len(word.group()):
+                yield begin, word.start(), word.start() + len(short), name, whole
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans with overlapping ones joined, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _mixed(value: bytes) -> bool:
+    """Whether a run without a digit has lower-case letters, and upper-case ones after its first."""
+    return bool(_LOWER.search(value) and _UPPER.search(value, 1))
+
+
 def find(text: bytes) -> Iterator[tuple[int, str, str, str, str]]:
     """(byte offset, name, value, word before, word after) of each candidate in a text."""
+    whole: list[tuple[int, int]] = []  # spans inside which runs are pieces of a candidate
+    done: set[tuple[int, int]] = set()
+    for begin, a, b, name, covers in _named_values(text):
+        _, before, after = _neighbours(text, begin, b)
+        done.add((a, b))
+        if covers:
+            whole.append((begin, b))
+        yield a, name, text[a:b].decode("utf-8", "replace"), before, after
+    named = _union(whole)
+    for m in _URL.finditer(text):
+        a, b = m.start(), m.end() - (len(m.group()) - len(m.group().rstrip(b".:,;)")))
+        k = bisect(named, (a, len(text))) - 1
+        if k >= 0 and b <= named[k][1]:
+            continue
+        name, before, after = _neighbours(text, a, b)
+        whole.append((a, m.end()))
+        yield a, name, text[a:b].decode("utf-8", "replace"), before, after
+    whole = _union(whole)
     for m in _RUN.finditer(text):
         run = m.group()
         value = run.rstrip(b".:")
         assigned = _ASSIGNED.fullmatch(value.decode())
         name, before, after = "", "", ""
-        if not assigned and not _DIGIT.search(value):
+        at = m.start()
+        if assigned:
+            at += len(value) - len(assigned[2].encode())
+        elif not _DIGIT.search(value) and not _mixed(value):
             gap = text[max(0, m.start() - 8) : m.start()].rstrip(b" \t\"'")
             if not gap.endswith((b"=", b":")):
                 continue
+        if assigned:
+            value = assigned[2].encode()
+        k = bisect(whole, (at, len(text))) - 1
+        if (k >= 0 and at + len(value) <= whole[k][1]) or (at, at + len(value)) in done:
+            continue
         name, before, after = _neighbours(text, m.start(), m.end())
-        at = m.start()
         if assigned:
             name = assigned[1].lower()
-            at += len(value) - len(assigned[2].encode())
-            value = assigned[2].encode()
         if len(value) >= MIN_LENGTH:
             yield at, name, value.decode(), before, after
 
@@ -117,7 +207,9 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 def rule_labels() -> Column:
     """1: a format or name that leaves no doubt; 0: a harmless format; null: not labelled."""
-    return F.when(F.col("value").rlike(KEY_FORMATS), 1).when(F.col("value").rlike(HARMLESS), 0).when(
+    bare = F.regexp_replace("value", r"[.,;:)\]}>\"'`]+$", "")
+    return F.when(F.col("value").rlike(KEY_FORMATS) | F.col("value").rlike(URL_SECRET), 1).when(
+        (F.col("value").rlike(HARMLESS) | bare.rlike(HARMLESS)) & ~F.col("value").rlike(URL_PASSWORD), 0).when(
         F.col("name").rlike(NAMES) & F.col("value").rlike(r"\d"), 1)
 
 
