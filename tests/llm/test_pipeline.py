@@ -91,3 +91,15 @@ def test_entry_without_the_subpackage(monkeypatch):
     keys = E.queries()
     assert "pipeline" not in keys and not any(k.startswith("op") for k in keys) and len(keys) > 50
     assert not any(k.startswith("op") for k in E.oracle_sql())
+
+
+def test_pipeline_keeps_unsegmented_scripts(spark):
+    """Clauses of scripts without blanks are no long words; long runs of other scripts are."""
+    clause = {"zh": "我们在这个城市里住了很多年并且每天早上都去公园散步和朋友们聊天喝茶", "ja": "わたしたちはこのまちにながくすんでいてまいあさこうえんをさんぽします",
+              "th": "เราอาศัยอยู่ในเมืองนี้มาหลายปีและไปเดินเล่นในสวนสาธารณะทุกเช้า", "my": "ကျွန်ုပ်တို့သည်ဤမြို့တွင်နှစ်ပေါင်းများစွာနေထိုင်ခဲ့သည်",
+              "ext": "\U00020000" * 30, "en": "abcdefghijklmnopqrstuvwxyzabcdefgh", "ko": "가나다라마바사아자차카타파하" * 3}
+    texts = {k: " ".join(f"{v}{chr(97 + i)}" for i in range(12)) for k, v in clause.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()} == {"zh", "ja", "th", "my", "ext"}
+    old = quality.apply_policy(quality.ledger(docs), quality.POLICIES["full-1"])
+    assert old.where("kept").count() == 0

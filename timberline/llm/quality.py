@@ -23,7 +23,7 @@ from timberline.llm.common import ROW, nest, small_batches
 from timberline.llm.words import SPACED, per_text, slices, split_words, spread, text_buffers
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter",
-            "n_letters", "n_upper")
+            "n_letters", "n_upper", "n_unsegmented")
 REPEAT_WINDOW = 5
 
 
@@ -40,6 +40,8 @@ def rules() -> dict[str, Column]:
         "few_letters": 10 * F.col("n_letters") < 5 * F.col("word_chars"),
         "stutter": 100 * F.col("n_stutter") > 30 * n,
         "shouting": (n >= 10) & (10 * F.col("n_upper") > 7 * F.col("n_letters")),
+        # Scripts without blanks between words: their blank-separated words are clauses.
+        "long_segmented_words": (F.col("word_chars") > 25 * n) & (2 * F.col("n_unsegmented") <= F.col("n_letters")),
     }
 
 
@@ -61,8 +63,10 @@ POLICIES = {
     "base-1": Policy("base-1", BASE_RULES),
     "full-1": Policy("full-1", (*BASE_RULES, "symbols", "duplicate_lines", "long_words", "short_words",
                                 "few_letters", "stutter", "shouting")),
+    "full-2": Policy("full-2", (*BASE_RULES, "symbols", "duplicate_lines", "long_segmented_words", "short_words",
+                                "few_letters", "stutter", "shouting")),
 }
-DEFAULT_POLICY = "full-1"
+DEFAULT_POLICY = "full-2"
 
 
 def _byte_set(chars: str) -> np.ndarray:
@@ -78,6 +82,27 @@ _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
 _LETTER[0xC0:] = True  # first bytes of code points beyond ASCII
+#: First and last code points of scripts written without blanks between words: Thai, Lao and
+#: Tibetan; Myanmar; Khmer; Tai Le and New Tai Lue; Tai Tham; Balinese; kana, Bopomofo, ideographs
+#: and Yi; Javanese and Myanmar; Tai Viet; ideographs; halfwidth kana; kana; ideographs.
+_UNSEGMENTED = np.array([
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+    (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)])
+
+
+def _unsegmented(body: np.ndarray) -> np.ndarray:
+    """Where a code point of a script without blanks between words begins."""
+    out = np.zeros(len(body), dtype=bool)
+    at = np.flatnonzero(body >= 0xE0)
+    if not len(at):
+        return out
+    b = [body[np.minimum(at + k, len(body) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+    point = np.where(body[at] < 0xF0, (b[0] & 0x0F) << 12 | b[1] << 6 | b[2], (b[0] & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3])
+    k = np.searchsorted(_UNSEGMENTED[:, 0], point, side="right") - 1
+    out[at] = (k >= 0) & (point <= _UNSEGMENTED[k, 1])
+    return out
 
 
 def _repeated(windows: np.ndarray, ok: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -117,6 +142,7 @@ def measure_texts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]
         "n_stutter": per_text(again, w.first),
         "n_letters": per_text(_LETTER[body], at),
         "n_upper": per_text(_UPPER[body], at),
+        "n_unsegmented": per_text(_unsegmented(body), at),
     }
 
 

@@ -48,10 +48,12 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), quality.POLICIES[quality.DEFAULT_POLICY])
+    # The policy and the bits that the query's SQL defines; the pipeline keeps by the default policy.
+    policy = quality.POLICIES["full-1"]
+    judged = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), policy)
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base-1"].mask)) != 0
     return judged.select("row__.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         base.alias("base_failed"), "kept", "fail_bits")
+                         base.alias("base_failed"), "kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)).alias("fail_bits"))
 
 
 def _remainder(n: int):
