@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from timberline.llm import langid, lm, secret_scan, toxicity
 from timberline.llm.common import documents, table
 from timberline.llm.queries import QUERIES
-from timberline.llm.words import text_buffers
+from timberline.llm.words import text_buffers, words_of
 
 SF = "/root/testdata/sf0.001"
 SF1 = "/root/testdata/sf0.01"
@@ -53,6 +53,36 @@ def test_lm_probabilities_sum_to_one():
         assert sum((c + 0.5) / (group_n[g] + 0.5 * (group_v[g] + 1)) for c in [*seen, 0]) == pytest.approx(1)
 
 
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def _trained(texts):
+    """Class probabilities after two ends, from a block of these training texts."""
+    n = np.full(lm.GROUPS, 1000)
+    voc = lm.Vocabulary(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), n, n, 1000, int(n.sum()) + 1000, 1)
+    share = voc.class_share()
+    out = lm._trainer(_Shared((voc, lm.Network.start(share).flat, share)))(
+        pa.table({"block": pa.array([0] * len(texts), pa.int32()), "text": texts, "train": [True] * len(texts)}))
+    net = lm.Network(np.frombuffer(out["net"][0].as_py(), dtype=np.float32).copy())
+    z = net.context(np.zeros(1, dtype=int), np.zeros(1, dtype=int)) @ net.q.T + net.b
+    p = np.exp(z[0].astype(float))
+    return out["n"][0].as_py(), p / p.sum()
+
+
+def test_lm_short_text_beyond_a_slice():
+    """A block one short text larger than a slice: the text is read as often as the others."""
+    word = "x" * 255
+    texts = [" ".join([word] * 4096)] * 15 + [" ".join([word] * 4095) + " " + "x" * 254]
+    n, before = _trained(texts)
+    more, after = _trained([*texts, "zq" + " zq" * 9])
+    where = lm.Vocabulary(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, 0, 0, 0).classes(
+        lm.keys_of(words_of(["zq"], lm.SPACED_LOWER)))[0]
+    assert more == n + 11 and after[where] < 10 * before[where] + 0.01
+    assert [len(b[0]) for b in lm._minibatches([(*[np.arange(k)] * 3, 1) for k in (1500, 3, 600)], np.random.default_rng(0))] == [1024, 1024, 55]
+
+
 def test_lm_odd_rows(odd, empty, spark):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
     rows = lm.score(odd, held, block_rows=2).collect()

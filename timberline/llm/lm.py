@@ -8,9 +8,9 @@ vector, and a bias. A word's probability is its class's probability times its sm
 of the class, which leaves room for one unseen word in each class, so the probabilities of all
 words sum to one.
 
-Training covers every training text once: each block of documents trains a copy from the same
-start by minibatches with shared noise samples, and the copies are averaged by their tokens, in
-two levels. Class probabilities are exact: one batched matrix product over all class contexts
+Training covers every training text once, or all texts of a small block equally often: each
+block of documents trains a copy from the same start by minibatches with shared noise samples,
+and the copies are averaged by their tokens, in two levels. Class probabilities are exact: one batched matrix product over all class contexts
 gives the normaliser of each (at most ``(TOP + 258)**2`` numbers), and scoring adds them up.
 
 Defined results: null and empty texts are their end token alone; without training rows the base
@@ -20,7 +20,7 @@ repeated rows are scored one by one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +39,7 @@ NOISE = 32
 BATCH = 1024
 RATE = 0.15
 MIN_STEPS = 600  # minibatches of a block; a small block is read several times
+TRAIN_SLICE = 16 << 20  # bytes of a block's training texts split into words at once
 BLOCK_ROWS = 4096
 CLASSES = 1 + TOP + GROUPS
 _TRAIL = np.zeros(256, dtype=bool)
@@ -161,6 +162,27 @@ def vocabulary(totals: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(keys, counts, n, v, texts, tokens, types)
 
 
+def _minibatches(parts: Iterator[tuple], rng: np.random.Generator) -> Iterator[list[np.ndarray]]:
+    """``BATCH`` tokens at a time of parts ``(target, one, two, passes)``, each part in random
+    order; what a part leaves over begins the next one's first minibatch."""
+    rest = [np.zeros(0, dtype=np.int64)] * 3
+    for *tokens, passes in parts:
+        order = np.concatenate([rng.permutation(len(tokens[0])) for _ in range(passes)])
+        lo = 0
+        if len(rest[0]):
+            lo = min(len(order), BATCH - len(rest[0]))
+            rest = [np.concatenate([r, x[order[:lo]]]) for r, x in zip(rest, tokens, strict=True)]
+            if len(rest[0]) < BATCH:
+                continue
+            yield rest
+        for lo in range(lo, len(order) - BATCH + 1, BATCH):
+            yield [x[order[lo : lo + BATCH]] for x in tokens]
+        lo = len(order) - (len(order) - lo) % BATCH
+        rest = [x[order[lo:]] for x in tokens]
+    if len(rest[0]):
+        yield rest
+
+
 class Network:
     """Log-bilinear network over classes; all parameters in one float32 array."""
 
@@ -188,11 +210,9 @@ class Network:
     def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.r[one] @ self.c1 + self.r[two] @ self.c2
 
-    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, share: np.ndarray, seed: int) -> None:
-        """Random minibatches over all tokens, once or to ``MIN_STEPS``: tell each from shared noise."""
+    def train(self, parts: Iterator[tuple], share: np.ndarray, seed: int) -> None:
+        """Random minibatches over the tokens of all parts: tell each from shared noise."""
         rng = np.random.default_rng(seed)
-        passes = max(1, -(-MIN_STEPS * BATCH // max(1, len(target))))
-        order = np.concatenate([rng.permutation(len(target)) for _ in range(passes)])
         log_noise = np.log(NOISE * share).astype(np.float32)
         reach = np.cumsum(share)
         seen = np.full_like(self.flat, 1e-2)
@@ -201,16 +221,14 @@ class Network:
         def scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
             return np.stack([np.bincount(at, weights=rows[:, d], minlength=CLASSES) for d in range(DIM)], axis=1)
 
-        for lo in range(0, len(order), BATCH):
-            i = order[lo : lo + BATCH]
-            w, a, b = target[i], one[i], two[i]
+        for w, a, b in _minibatches(parts, rng):
             noise = np.minimum(np.searchsorted(reach, rng.random(NOISE)), CLASSES - 1)
             ra, rb = self.r[a], self.r[b]
             u = ra @ self.c1 + rb @ self.c2
             qw, qn = self.q[w], self.q[noise]
             real = 1 / (1 + np.exp(-((u * qw).sum(axis=1) + self.b[w] - log_noise[w])))
             fake = 1 / (1 + np.exp(-(u @ qn.T + self.b[noise] - log_noise[noise])))
-            m = np.float32(1 / len(i))
+            m = np.float32(1 / len(w))
             g = ((real - 1) * m).astype(np.float32)
             h = (fake * m).astype(np.float32)
             du = g[:, None] * qw + h @ qn
@@ -251,15 +269,36 @@ def _tokens(w: Words, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return target, one, two, place, first
 
 
+def _parts(data: np.ndarray, bounds: np.ndarray, voc: Vocabulary) -> tuple[int, Iterator[tuple]]:
+    """The number of a block's tokens, and the parts ``Network.train`` reads: all texts once, or as often as the whole block
+    needs for ``MIN_STEPS``. A block of several slices is cut into equal ones."""
+    texts, size = len(bounds) - 1, int(bounds[-1] - bounds[0])
+    n = max(1, -(-size // TRAIN_SLICE))
+    cuts = np.unique(np.searchsorted(bounds, bounds[0] + np.arange(1, n) * (size / n))).tolist()
+    edges = [0, *[c for c in cuts if 0 < c < texts], texts]
+    spans = list(zip(edges[:-1], edges[1:], strict=True)) if texts else []
+
+    def words(lo: int, hi: int) -> Words:
+        return split_words(data, bounds[lo : hi + 1], SPACED_LOWER)
+
+    def passes(total: int) -> int:
+        return max(1, -(-MIN_STEPS * BATCH // max(1, total)))
+
+    if len(spans) == 1:
+        tokens = _tokens(words(*spans[0]), voc)[:3]
+        total = len(tokens[0])
+        return total, iter([(*tokens, passes(total))])
+    total = sum(len(words(*s).hash) + s[1] - s[0] for s in spans)
+    return total, ((*_tokens(words(*s), voc)[:3], 1) for _ in range(passes(total)) for s in spans)
+
+
 def _trainer(shared) -> Callable:
     def run(t: pa.Table) -> pa.Table:
         voc, start, share = shared.value
-        net, n, block = Network(start.copy()), 0, t["block"][0].as_py()
+        net, block = Network(start.copy()), t["block"][0].as_py()
         data, bounds = text_buffers(t.filter(t["train"])["text"])
-        for lo, hi in slices(bounds, 16 << 20):
-            target, one, two, _, _ = _tokens(split_words(data, bounds[lo : hi + 1], SPACED_LOWER), voc)
-            net.train(target, one, two, share, seed=block * 1009 + lo)
-            n += len(target)
+        n, parts = _parts(data, bounds, voc)
+        net.train(parts, share, seed=block * 1009)
         return pa.table({"block": pa.array([block], pa.int32()), "n": pa.array([n], pa.int64()),
                          "net": pa.array([packed(net.flat.astype(np.float32))], pa.binary())})
 
