@@ -66,3 +66,15 @@ def test_components_of_long_chain(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 101)}, 500: 400, 600: 400}
     assert components(links.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_a_row_of_each_group_under_repeated_ids(spark):
+    """Unrelated texts of one doc_id are two groups; a copy of another doc_id's text goes."""
+    a, b, c = (" ".join(f"{w}{i * i}" for i in range(60)) for w in ("left", "up", "mid"))
+    rows = [(5, a, 1), (5, b, 2), (6, b, 3), (3, c, 4), (7, c, 5), (7, "other " + a[::-1], 6), (None, " ".join(f"no{i ** 3}" for i in range(60)), 7), (9, b.upper(), 8)]
+    for order in (rows, rows[::-1]):
+        got = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, n long")).collect()
+        assert sorted(r.n for r in got) == [1, 2, 4, 6, 7]
+    same = spark.createDataFrame([(1, a, 1), (1, a, 2), (2, a, 3)], "doc_id long, text string, n long")
+    got = {tuple(simhash.keep_one(same.repartition(k)).collect()) for k in (1, 3)}
+    assert len(got) == 1 and [len(g) for g in got] == [1]

@@ -24,10 +24,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from timberline.llm.common import land, nest, small_batches
+from timberline.llm.common import land, nest, small_batches, unnest
 from timberline.llm.components import components
 from timberline.llm.words import SPACED_LOWER, slices, split_words, text_buffers
 from timberline.session import materialize
@@ -217,9 +218,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, cell_variants: int = CE
     return routed.groupBy("cell", "extra", "sub").applyInArrow(_linker(bits, max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fp, component_id`` for every document: its fingerprint and the smallest doc_id
-    reachable over fingerprints at most ``max_bits`` apart."""
+def _rooted(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """``doc_id, fp, root, component_id`` for every document."""
     prints = land(fingerprints(docs, shingle), "simhash")
     # Exact copies become one row here, with the smallest doc_id of each fingerprint.
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
@@ -229,15 +229,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
         "fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     # Written first, so that the join below shuffles both sides and can split a large component.
     least = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    of_print = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, fp, component_id`` for every document: its fingerprint and the smallest doc_id
+    reachable over fingerprints at most ``max_bits`` apart."""
+    return _rooted(docs, shingle, max_bits).drop("root")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each near-duplicate component (the smallest doc_id), with its own columns.
-    Rows that share a doc_id count as one document: one of them stays."""
-    found = near_duplicates(docs, shingle, max_bits)
-    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
-    ids = keep.distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if keep.count() > ids.count() else out
+    Of a component's rows that share that doc_id, the one with the least text hash stays; rows of
+    one doc_id in different components are different documents."""
+    found = land(_rooted(docs, shingle, max_bits), "simhash-rooted")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        ids = keep.select("doc_id")
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    once = keep.join(repeated, keep["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").select("doc_id")
+    out = docs.join(once, docs["doc_id"].eqNullSafe(once["doc_id"]), "left_semi")
+    # Rows of repeated doc_ids are told apart by their fingerprints.
+    some = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
+    rows = nest(some).select("row__", F.col("row__.text").cast("string").alias("text"))
+    kind = StructType([StructField("doc_id", rows.schema["row__"].dataType), StructField("fp", LongType())])
+    rows = rows.mapInArrow(_fingerprinter(shingle), kind).withColumnRenamed("doc_id", "row__")
+    keys = keep.select("doc_id", "fp", "root").distinct()
+    rows = rows.join(keys, (rows["fp"] == keys["fp"]) & F.col("row__.doc_id").eqNullSafe(keys["doc_id"]))
+    plain = [F.col(f"row__.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = [F.sha2(F.col("row__.text").cast("string"), 256), F.xxhash64(*plain)]
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("k = 1")
+    return out.unionByName(unnest(first.select("row__")))
