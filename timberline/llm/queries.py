@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontam, langid, lm, mixing, quality, secret_scan, simhash, substring, tokenbin, toxicity
+from timberline.llm import (decontam, fim, langid, lm, mixing, quality, secret_scan, sharding, simhash, substring,
+                            tokenbin, toxicity)
 from timberline.llm.common import documents, table
 from timberline.llm.oracle import ORACLE  # noqa: F401
 
@@ -81,6 +82,19 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir), _remainder(5) == 1)
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row__.doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(documents(spark, sf_dir), 16, carry=["doc_id"])
+    return found.select("row__.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
     "op2_secret_scan": secrets,
@@ -92,4 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id,
     "op9_token_output": token_output,
     "op10_quality_rules": quality_ledger,
+    "op11_fill_in_middle": fill_in_middle,
+    "op12_sharding": shards,
 }
