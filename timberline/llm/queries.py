@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import (decontam, fim, langid, lm, mixing, quality, secret_scan, sharding, simhash, substring,
+from timberline.llm import (collocation, decontam, fim, langid, lm, mixing, quality, secret_scan, sharding, simhash, substring,
                             tokenbin, toxicity)
 from timberline.llm.common import documents, table
 from timberline.llm.oracle import ORACLE  # noqa: F401
@@ -95,6 +95,11 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocation.collocations(documents(spark, sf_dir))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
     "op2_secret_scan": secrets,
@@ -108,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality_ledger,
     "op11_fill_in_middle": fill_in_middle,
     "op12_sharding": shards,
+    "op13_collocations": collocations,
 }
