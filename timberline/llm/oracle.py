@@ -104,11 +104,15 @@ FROM o
 COLLOCATIONS = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
-at AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-grams AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM at, range(1, 6) AS x(k) WHERE i + k - 1 <= len(w)),
-f AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+runs AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:], w[4:], w[5:])) AS x FROM w),
+at1 AS (SELECT lang, x[1] AS p1, x[1] || ' ' || x[2] AS p2, x[1] || ' ' || x[2] || ' ' || x[3] AS p3,
+          x[1] || ' ' || x[2] || ' ' || x[3] || ' ' || x[4] AS p4, x[1] || ' ' || x[2] || ' ' || x[3] || ' ' || x[4] || ' ' || x[5] AS p5 FROM runs),
+grams AS (SELECT lang, 1 AS k, p1 AS phrase FROM at1 UNION ALL SELECT lang, 2, p2 FROM at1 UNION ALL SELECT lang, 3, p3 FROM at1
+          UNION ALL SELECT lang, 4, p4 FROM at1 UNION ALL SELECT lang, 5, p5 FROM at1),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f, [lang, phrase] AS key FROM grams WHERE phrase IS NOT NULL GROUP BY lang, phrase, k),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k >= 2 AND f >= 100),
 inner_parts AS (SELECT lang, a AS longer, array_to_string(list_slice(p, s, s + m - 1), ' ') AS phrase
@@ -116,10 +120,10 @@ inner_parts AS (SELECT lang, a AS longer, array_to_string(list_slice(p, s, s + m
 held AS (SELECT lang, phrase, max(longer) AS longer FROM inner_parts GROUP BY ALL),
 kept AS (SELECT c.* FROM c LEFT JOIN held USING (lang, phrase) WHERE 100 * coalesce(longer, 0) < 100 * a),
 cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
-parts AS (SELECT *, array_to_string(list_slice(p, 1, cut), ' ') AS head, array_to_string(list_slice(p, cut + 1, k), ' ') AS tail FROM cuts),
+parts AS MATERIALIZED (SELECT *, [lang, array_to_string(list_slice(p, 1, cut), ' ')] AS head, [lang, array_to_string(list_slice(p, cut + 1, k), ' ')] AS tail FROM cuts),
 scored AS (SELECT parts.lang, parts.phrase, a, fl.f AS l, fr.f AS r, n, cut,
              CAST(1000 * a::HUGEINT * n::HUGEINT // (fl.f::HUGEINT * fr.f::HUGEINT) AS BIGINT) AS score
-           FROM parts JOIN f fl ON fl.lang = parts.lang AND fl.phrase = head JOIN f fr ON fr.lang = parts.lang AND fr.phrase = tail
+           FROM parts JOIN f fl ON fl.key = head JOIN f fr ON fr.key = tail
            JOIN n ON n.lang = parts.lang),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
