@@ -13,8 +13,8 @@ one flag at LF(i) tells, as intervals of longer phrases lie inside those of thei
 Neighbouring places that came from one interval by one word are the interval of cP and their
 number is its count in the shard. Shards send the counts of their phrases to buckets by the phrase's
 hash, once for each shard however often a phrase occurs; a bucket sums them and answers the
-shards that asked with the phrases that reach ``min_count``. Lengths up to ``STEPWISE`` words are
-answered one after the other, the longer ones together. One shard for each frequent phrase
+shards that asked with the phrases that reach ``min_count``. Words, pairs and lengths up to ``STEPWISE`` words
+are answered one after the other, the longer ones together. One shard for each frequent phrase
 spells it at last, following the inverse of LF.
 
 Scores, left and right extensions (longer phrases that begin or end with a phrase) and ranks
@@ -47,7 +47,7 @@ from timberline.llm.common import land, nest, small_batches
 from timberline.llm.decontam import suffix_array
 from timberline.llm.words import SLICE, SPACED_LOWER, HashIndex, WordRule, mix, slices, split_words, text_buffers
 
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 20
 STEPWISE = 3
 NO_LANG = "und"
@@ -122,27 +122,38 @@ class _Shard:
         seq = joined(self.seq, np.int32)
         n = np.bincount(seq, minlength=len(self.index) + 1)[1:]
         words = pa.concat_arrays(self.words) if self.words else pa.array([], pa.string())
-        langs = pa.concat_arrays(self.langs) if self.langs else pa.array([], pa.string())
-        one = pa.array([0, len(n)], pa.int32())
-        entries = pa.StructArray.from_arrays([langs, words, pa.array(n, pa.int64())], names=["lang", "word", "n"])
+        langs = (pa.concat_arrays(self.langs) if self.langs else pa.array([], pa.string())).dictionary_encode()
+        code = langs.indices.to_numpy()
+        of_lang = np.bincount(code, weights=n, minlength=len(langs.dictionary)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int64()), pa.array([len(seq)], pa.int64()), pa.array([_narrow(seq)], pa.binary()),
-             pa.array([packed(self.index.hashes)], pa.binary()), pa.ListArray.from_arrays(one, entries)],
-            names=["shard", "size", "seq", "keys", "words"])
+            [pa.array([shard], pa.int64()), pa.array([len(seq)], pa.int64()), pa.array([_pack(seq)], pa.binary()),
+             pa.array([packed(self.index.hashes)], pa.binary()), pa.array([_pack(n)], pa.binary()), _one_list(words),
+             pa.array([_pack(code)], pa.binary()), _one_list(langs.dictionary), _one_list(pa.array(of_lang))],
+            names=["shard", "size", "seq", "keys", "n", "words", "lang", "langs", "n_lang"])
 
 
-_SHARD_SQL = "shard long, size long, seq binary, keys binary, words array<struct<lang:string,word:string,n:long>>"
+_SHARD_SQL = ("shard long, size long, seq binary, keys binary, n binary, words array<string>, lang binary, "
+              "langs array<string>, n_lang array<long>")
 
 
-def _narrow(a: np.ndarray) -> bytes:
-    """Non-negative numbers in 2 bytes each if they fit, else in 4; the last byte says which."""
-    kind = np.uint16 if a.max(initial=0) < 1 << 16 else np.uint32
-    return packed(a.astype(kind)) + bytes([kind().itemsize])
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _wide(column: pa.ChunkedArray) -> np.ndarray:
-    raw = np.frombuffer(column[0].as_buffer(), dtype=np.uint8)
-    return raw[:-1].view(np.uint16 if raw[-1] == 2 else np.uint32).astype(np.int64)
+def _pack(a: np.ndarray) -> bytes:
+    """Non-negative numbers below 2**32, compressed."""
+    raw = packed(a.astype(np.uint32))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(value: pa.Scalar) -> np.ndarray:
+    raw = value.as_py()
+    size = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), dtype=np.uint32).astype(np.int64)
+
+
+def _keys(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
 
 def _fill_shards(shard_tokens: int):
@@ -226,25 +237,23 @@ class FMIndex:
 
 def _build_index(shards: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
     """The index row of a shard over its frequent words."""
-    if not answers.num_rows or not shards.num_rows:
+    frequent, _ = _answered(answers)
+    if not frequent or not shards.num_rows:
         return _INDEX.empty_table()
-    seq = _wide(shards["seq"])
-    keep = np.sort(joined([a.values.to_numpy() for a in answers["ids"]], np.int64))
-    number = np.zeros(len(np.frombuffer(shards["keys"][0].as_buffer(), dtype=np.uint64)) + 1, dtype=np.int64)
+    keys = _keys(shards["keys"][0])
+    keep = np.flatnonzero(np.isin(keys, frequent[1]))
+    number = np.zeros(len(keys) + 1, dtype=np.int64)
     number[keep + 1] = np.arange(1, len(keep) + 1)
-    seq = np.concatenate([number[seq], [0]])
+    seq = np.concatenate([number[_unpack(shards["seq"][0])], [0]])
     seq = seq[np.concatenate([[True], (seq[1:] > 0) | (seq[:-1] > 0)])]
-    entries = shards["words"].combine_chunks().values.take(pa.array(keep))
-    keys = np.frombuffer(shards["keys"][0].as_buffer(), dtype=np.uint64)[keep]
-    return pa.table([shards["shard"], pa.array([_narrow(FMIndex.column(seq, depth))], pa.binary()),
-                     pa.array([packed(keys)], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array([0, len(keep)], pa.int32()), entries.field("lang")),
-                     pa.ListArray.from_arrays(pa.array([0, len(keep)], pa.int32()), entries.field("word"))], schema=_INDEX)
+    words, code = shards["words"].combine_chunks().values, _unpack(shards["lang"][0])[keep]
+    return pa.table([shards["shard"], pa.array([_pack(FMIndex.column(seq, depth))], pa.binary()), pa.array([packed(keys[keep])], pa.binary()),
+                     _one_list(words.take(pa.array(keep))), pa.array([_pack(code)], pa.binary()), shards["langs"]], schema=_INDEX)
 
 
-_INDEX = pa.schema([("shard", pa.int64()), ("bwt", pa.binary()), ("keys", pa.binary()),
-                    ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string()))])
-_INDEX_SQL = "shard long, bwt binary, keys binary, langs array<string>, words array<string>"
+_INDEX = pa.schema([("shard", pa.int64()), ("bwt", pa.binary()), ("keys", pa.binary()), ("words", pa.list_(pa.string())),
+                    ("lang", pa.binary()), ("langs", pa.list_(pa.string()))])
+_INDEX_SQL = "shard long, bwt binary, keys binary, words array<string>, lang binary, langs array<string>"
 _SENT = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("k", pa.int32()), ("hashes", pa.binary()), ("n", pa.binary())])
 _SENT_SQL = "bucket long, shard long, k int, hashes binary, n binary"
 _ANSWER = pa.schema([("shard", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))])
@@ -254,7 +263,7 @@ _PHRASE = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.in
 
 
 def _index_of(row: pa.Table) -> FMIndex:
-    return FMIndex(_wide(row["bwt"]), np.frombuffer(row["keys"][0].as_buffer(), dtype=np.uint64))
+    return FMIndex(_unpack(row["bwt"][0]), _keys(row["keys"][0]))
 
 
 def _answered(answers: pa.Table) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
@@ -267,18 +276,42 @@ def _answered(answers: pa.Table) -> tuple[dict[int, np.ndarray], dict[int, np.nd
     return {k: np.concatenate(v) for k, v in ids.items()}, {k: np.concatenate(v) for k, v in f.items()}
 
 
+def _sent(shard: int, k: int, hashes: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The counts of the phrases of k words of a shard, dealt to buckets. Lengths have buckets of their own."""
+    rows = [(k * buckets + b, shard, k, h, _pack(np.frombuffer(c, dtype=np.uint32))) for b, h, c in deal(hashes, buckets, n.astype(np.uint32))]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_SENT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
+
+
+def _send_words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield _sent(b["shard"][i].as_py(), 1, _keys(b["keys"][i]), _unpack(b["n"][i]), buckets)
+
+    return run
+
+
+def _send_pairs(buckets: int):
+    """Phrases of two words: all words of an index are frequent, so no answer is needed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = pa.Table.from_batches([b.slice(i, 1)])
+                for k, _, n, hashes in _index_of(row).levels({}, 2):
+                    yield _sent(b["shard"][i].as_py(), k, hashes, n, buckets)
+
+    return run
+
+
 def _send(lengths: range, buckets: int):
-    """The phrases of these lengths in a shard, dealt to buckets."""
+    """The phrases of these lengths in a shard whose shorter frequent phrases are known."""
     def run(index: pa.Table, answers: pa.Table) -> pa.Table:
-        if not index.num_rows:
-            return _SENT.empty_table()
         frequent, _ = _answered(answers)
-        rows: list[tuple] = []
-        for k, _, n, hashes in _index_of(index).levels(frequent, lengths[-1]):
-            if k in lengths:
-                rows += [(k * buckets + b, index["shard"][0].as_py(), k, h, c) for b, h, c in deal(hashes, buckets, n.astype(np.uint32))]
-        columns = zip(*rows, strict=True) if rows else [[]] * len(_SENT)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
+        if not index.num_rows or lengths[0] - 1 not in frequent:
+            return _SENT.empty_table()
+        return pa.Table.from_batches([_sent(index["shard"][0].as_py(), k, hashes, n, buckets)
+                                      for k, _, n, hashes in _index_of(index).levels(frequent, lengths[-1]) if k in lengths], schema=_SENT)
 
     return run
 
@@ -288,7 +321,7 @@ def _sum(min_count: int):
     is to spell a phrase gets its count, the others 0."""
     def run(sent: pa.Table) -> pa.Table:
         parts = unpacked(sent["hashes"], np.uint64)
-        hashes, n = np.concatenate(parts), joined(unpacked(sent["n"], np.uint32), np.uint32).astype(np.int64)
+        hashes, n = np.concatenate(parts), np.concatenate([_unpack(x) for x in sent["n"]])
         row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
@@ -316,19 +349,19 @@ def _spell(index: pa.Table, answers: pa.Table) -> pa.Table:
     if not index.num_rows or not frequent:
         return _PHRASE.empty_table()
     fm = _index_of(index)
-    langs, words = (index[c].combine_chunks().values for c in ("langs", "words"))
+    words, langs = index["words"].combine_chunks().values, index["langs"].combine_chunks().values
+    lang = _unpack(index["lang"][0])
+    places = [(1, np.arange(len(fm.keys)), fm.keys)]
     out = []
-    for k, lo, _, hashes in fm.levels(frequent, max(frequent)):
-        if k not in frequent:
-            continue
+    for k, lo, hashes in places + [(k, lo, h) for k, lo, _, h in fm.levels(frequent, max(frequent)) if k in frequent]:
         mine = counts[k] > 0
-        wanted, f = frequent[k][mine], counts[k][mine]
         order = np.argsort(hashes)
-        numbers = fm.spell(lo[order[np.searchsorted(hashes, wanted, sorter=order)]], k)
-        spelt = [words.take(pa.array(x - 1)) for x in numbers]
-        out.append(pa.table([langs.take(pa.array(numbers[0] - 1)), pc.binary_join_element_wise(*spelt, " "),
-                             pa.array(np.full(len(f), k, np.int32)), pa.array(f)], schema=_PHRASE))
-    return pa.concat_tables(out) if out else _PHRASE.empty_table()
+        at = lo[order[np.searchsorted(hashes, frequent[k][mine], sorter=order)]]
+        numbers = [at] if k == 1 else [x - 1 for x in fm.spell(at, k)]
+        spelt = [words.take(pa.array(x)) for x in numbers]
+        out.append(pa.table([langs.take(pa.array(lang[numbers[0]])), pc.binary_join_element_wise(*spelt, " "),
+                             pa.array(np.full(len(at), k, np.int32)), pa.array(counts[k][mine])], schema=_PHRASE))
+    return pa.concat_tables(out)
 
 
 # --- the corpus -------------------------------------------------------------------------
@@ -342,25 +375,25 @@ def phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, shard_tok
     rows = nest(docs).select(F.coalesce(F.col("row__.text").cast("string"), F.lit("")).alias("text"),
                              F.coalesce(F.col("row__.lang").cast("string"), F.lit(NO_LANG)).alias("lang"))
     shards = land(rows.mapInArrow(_fill_shards(shard_tokens), _SHARD_SQL), "phrase-shards")
-    local = shards.select("shard", F.posexplode("words").alias("id", "w")).select("shard", "id", "w.*")
-    words = land(local.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
-    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.where(F.col("f") >= min_count)
-    known = land(local.join(frequent.select("lang", "word"), ["lang", "word"]).groupBy("shard").agg(
-        F.collect_list(F.col("id").cast("long")).alias("ids")), "phrase-known")  # a list: distinct words of one shard
-    index = land(shards.select("shard", "seq", "keys", "words").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
-        lambda a, b: _build_index(a, b, max_words), _INDEX_SQL), "phrase-index")
+    sizes = shards.select(F.explode(F.arrays_zip("langs", "n_lang")).alias("x")).groupBy(F.col("x.langs").alias("lang")) \
+        .agg(F.sum("x.n_lang").alias("n"))
     buckets = max(1, (shards.agg(F.sum("size")).first()[0] or 0) // bucket_keys)
-    answers = docs.sparkSession.createDataFrame([], _ANSWER_SQL)
-    steps = [range(k, k + 1) for k in range(2, min(STEPWISE, max_words) + 1)]
+
+    def answer(sent: DataFrame) -> DataFrame:
+        return land(sent.groupBy("bucket").applyInArrow(_sum(min_count), _ANSWER_SQL), "phrase-answers")
+
+    answers = answer(shards.select("shard", "keys", "n").mapInArrow(_send_words(buckets), _SENT_SQL))
+    index = land(shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        lambda a, b: _build_index(a, b, max_words), _INDEX_SQL), "phrase-index")
+    places = index.select("shard", "bwt", "keys")
+    answers = answers.union(answer(places.mapInArrow(_send_pairs(buckets), _SENT_SQL)))
+    steps = [range(k, k + 1) for k in range(3, min(STEPWISE, max_words) + 1)]
     steps += [range(STEPWISE + 1, max_words + 1)] if max_words > STEPWISE else []
     for lengths in steps:
-        sent = index.select("shard", "bwt", "keys").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-            _send(lengths, buckets), _SENT_SQL)
-        answers = answers.union(land(sent.groupBy("bucket").applyInArrow(_sum(min_count), _ANSWER_SQL), "phrase-answers"))
+        sent = places.groupBy("shard").cogroup(answers.where("k > 1").groupBy("shard")).applyInArrow(_send(lengths, buckets), _SENT_SQL)
+        answers = answers.union(answer(sent))
     spelt = index.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_spell, _PHRASE_SQL)
-    single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
-    return land(single.union(spelt), "phrases"), sizes
+    return land(spelt, "phrases"), sizes
 
 
 def _part(words: Column, start: Column, size: Column) -> Column:
