@@ -181,6 +181,19 @@ def syslog_lines(spark: SparkSession, sf_dir: str, where: str | None = None) ->
     return _as_landed(good.unionByName(junk))
 
 
+def application_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a format of an application's own: ``<ISO time>Z host LEVEL unit[pid]: message`` (``[pid]``
+    left out on warning rows, NULL unit as ``kernel``), plus one line without a time per error row.
+    Columns: value, seq."""
+    lg = logs(spark, sf_dir)
+    pid = F.when(F.col("severity") == "warning", F.lit("")).otherwise(F.concat(F.lit("["), F.col("pid").cast("string"), F.lit("]")))
+    tail = F.concat(F.lit(" "), "hostname", F.lit(" "), F.upper("severity"), F.lit(" "), F.coalesce("unit", F.lit("kernel")), pid,
+                    F.lit(": "), "message")
+    good = lg.select(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), tail).alias("value"), (F.col("id") * 2).alias("seq"))
+    junk = lg.filter(F.col("severity") == "err").select(F.concat(F.lit("soon"), tail).alias("value"), (F.col("id") * 2 + 1).alias("seq"))
+    return _as_landed(good.unionByName(junk))
+
+
 def container_lines(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
     """Container runtime lines ``<ts with 9-digit fraction>Z stdout|stderr msg``;
     stderr for warning-or-worse rows; the container is named after the host.

@@ -124,13 +124,12 @@ def findings(lines: DataFrame) -> DataFrame:
 
 
 def _samples(flags: DataFrame) -> DataFrame:
-    """T4: the first ``SAMPLE_SIZE`` lines of each list, in line order; the lists of
-    ``WHOLE_LISTS`` are kept whole."""
-    w = Window.partitionBy(*SCAN_KEYS, "kind").orderBy("line_no")
-    listed = flags.filter(F.col("kind").isNotNull())
-    whole = F.col("tool").isin(*WHOLE_LISTS)
-    first = listed.filter(~whole).withColumn("_rn", F.row_number().over(w)) \
-                  .filter(F.col("_rn") <= SAMPLE_SIZE).drop("_rn").unionByName(listed.filter(whole))
+    """T4: the first ``SAMPLE_SIZE`` lines of each list, in line order, in one pass; a line of
+    ``WHOLE_LISTS`` has a number of its own, so each is the first of its group and all are kept."""
+    listed = flags.filter(F.col("kind").isNotNull()).withColumn(
+        "_own", F.when(F.col("tool").isin(*WHOLE_LISTS), F.monotonically_increasing_id()))
+    w = Window.partitionBy(*SCAN_KEYS, "kind", "_own").orderBy("line_no")
+    first = listed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= SAMPLE_SIZE)
     return first.groupBy(*SCAN_KEYS).agg(
         F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no) FILTER (WHERE kind = 1)").alias("_s1"),
         F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY line_no) FILTER (WHERE kind = 2)").alias("_s2"))
@@ -236,11 +235,12 @@ def audit_history(records: DataFrame, p: AuditHistoryParams) -> DataFrame:
              .orderBy(F.col("scan_time").desc(), F.col("id")).limit(p.limit)
 
 
+#: The tool-specific figures of an audit, as they are stored and read back.
+PAYLOAD = ("rc int, line_count bigint, finding_count bigint, scanned_files bigint, pass_count bigint, "
+           "fail_count bigint, error_count bigint, details string, details2 string")
+
+
 def audit_details(records: DataFrame, audit_id_value: int) -> DataFrame:
-    """one audit by id with its payload parsed into typed fields."""
-    row = records.filter(F.col("id") == F.lit(audit_id_value))
-    schema = "rc int, line_count bigint, finding_count bigint, scanned_files bigint, details string"
-    parsed = F.from_json(F.col("result_data"), schema)
-    return row.select("id", "tool", "host", "scan_time", "status", "severity", "summary",
-                      parsed["rc"].alias("rc"), parsed["finding_count"].alias("finding_count"),
-                      parsed["scanned_files"].alias("scanned_files"), parsed["details"].alias("details"))
+    """one audit by id with its whole payload parsed into typed fields."""
+    row = records.filter(F.col("id") == F.lit(audit_id_value)).withColumn("p", F.from_json("result_data", PAYLOAD))
+    return row.select("id", "tool", "host", "scan_time", "status", "severity", "summary", "p.*")

@@ -7,18 +7,23 @@ loses every row whose id, fingerprint or cursor is already stored.
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from collections.abc import Callable
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline import versions
 from timberline.functions import fingerprint, id_from_fingerprint, json_or_wrap, py_ts_str, with_fingerprint
+from timberline.operators.cursor_keys import CursorKeys
 from timberline.operators.window import PARTITION_COLUMN, ts_lit
 from timberline.schema import INGEST_STATE, LOGS
-from timberline.session import discard, file_system, land, scratch_path, stored
+from timberline.session import discard, land, scratch_path, stored
 
 
 def prepare_batch(parsed: DataFrame, wrap_raw: bool = False) -> DataFrame:
@@ -71,20 +76,34 @@ def _days_of(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.filter(day.between(F.lit(span["lo"]), F.lit(span["hi"])))
 
 
-def new_rows(batch: DataFrame, existing: DataFrame | None, days_from: DataFrame | None = None) -> DataFrame:
+def new_rows(batch: DataFrame, existing: DataFrame | None, days_from: DataFrame | None = None,
+             keys: CursorKeys | None = None) -> DataFrame:
     """K1 against the table: drop rows whose fingerprint (and so id) or non-NULL cursor is
     already stored. The fingerprint check reads the batch's days only; a cursor may have been
-    stored on any day, so that check reads the one cursor column of the whole table. Rows
+    stored on any day: ``keys`` (synced with the table) answers from the buckets of the batch's
+    possible conflicts; without it the check reads the one cursor column of the whole table. Rows
     without a cursor are keyed by their fingerprint there, so they spread over all tasks and
     match nothing. ``days_from`` (default: the batch) supplies the days."""
     if existing is None:
         return batch
-    recent = _days_of(existing, batch if days_from is None else days_from)
+    days_from = batch if days_from is None else days_from
+    recent = _days_of(existing, days_from)
     out = batch.join(recent.select("fingerprint").filter(F.col("fingerprint").isNotNull()), "fingerprint", "left_anti")
-    known = existing.select(F.struct(F.lit(True).alias("real"), F.col("cursor").alias("key")).alias("_ckey")) \
-        .filter(F.col("cursor").isNotNull())
+    if keys is not None:
+        return without_held(out, days_from, keys)
+    return _without_cursors(out, existing.select("cursor"))
+
+
+def _without_cursors(rows: DataFrame, cursors: DataFrame) -> DataFrame:
+    known = cursors.filter(F.col("cursor").isNotNull()) \
+        .select(F.struct(F.lit(True).alias("real"), F.col("cursor").alias("key")).alias("_ckey"))
     key = F.struct(F.col("cursor").isNotNull().alias("real"), F.coalesce("cursor", "fingerprint").alias("key"))
-    return out.withColumn("_ckey", key).join(known, "_ckey", "left_anti").drop("_ckey")
+    return rows.withColumn("_ckey", key).join(known, "_ckey", "left_anti").drop("_ckey")
+
+
+def without_held(rows: DataFrame, batch: DataFrame, keys: CursorKeys) -> DataFrame:
+    """``rows`` of ``batch`` without those whose cursor the key table holds."""
+    return _without_cursors(rows, keys.held(batch))
 
 
 def ingest_rows(parsed: DataFrame, existing: DataFrame | None, order_col: str = "seq",
@@ -159,39 +178,53 @@ def to_ndjson(df: DataFrame) -> DataFrame:
 
 def read_state(spark: SparkSession, path: str) -> DataFrame | None:
     """K2: the newest complete version of the cursor state, or None before the first."""
-    fs, jpath = file_system(spark, path)
-    if not fs.exists(jpath):
-        return None
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.getPath().getName().startswith("v-"))
-    return spark.read.schema(INGEST_STATE).parquet(f"{path.rstrip('/')}/{versions[-1]}") if versions else None
+    newest = versions.latest(spark, path)
+    return None if newest is None else spark.read.schema(INGEST_STATE).parquet(newest)
+
+
+def update_state(spark: SparkSession, path: str, merge: Callable[[DataFrame | None], DataFrame]) -> None:
+    """K2: publish ``merge(newest state)`` as a new version. A second writer waits for the first
+    and merges into its result; a crash at any point leaves the version before it in place."""
+    def make(newest: str | None) -> DataFrame:
+        return merge(None if newest is None else spark.read.schema(INGEST_STATE).parquet(newest))
+
+    versions.publish(spark, path, make)
 
 
 def write_state(state: DataFrame, path: str) -> None:
-    """K2: write the state as a new version. It is written aside and renamed when complete, so a
-    crash at any point leaves the version before it in place. The last two versions are kept."""
-    spark, base = state.sparkSession, path.rstrip("/")
-    fs, jpath = file_system(spark, base)
-    old = sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.getPath().getName().startswith("v-")) \
-        if fs.exists(jpath) else []
-    number = int(old[-1].removeprefix("v-")) + 1 if old else 1
-    aside = f"{base}/_next-{uuid.uuid4().hex}"
-    state.write.parquet(aside)
-    if not fs.rename(file_system(spark, aside)[1], file_system(spark, f"{base}/v-{number:012d}")[1]):
-        raise OSError(f"the state version {number} could not be put in place under {base}")
-    for name in old[:-1]:
-        discard(spark, f"{base}/{name}")
+    """K2: replace the state by ``state``, as a new version."""
+    update_state(state.sparkSession, path, lambda prior: state)
 
 
 class UnreadableBatch(RuntimeError):
     """The input of an ingest could not be read to its end; nothing of it was stored."""
 
 
+def _kept_as(state: DataFrame, key: str, value: str, as_of) -> DataFrame:
+    """The state with one row replaced."""
+    row = state.sparkSession.range(1).select(F.lit(key).alias("source"), F.lit(value).alias("cursor"), ts_lit(as_of).alias("updated_at"))
+    return state.filter(F.col("source") != F.lit(key)).unionByName(row)
+
+
+def _positions_before(batch: DataFrame, order_col: str, reached, known: dict, end: dict) -> dict:
+    """The positions to resume from when rows after ``reached`` were left for the next run."""
+    done = {r["file_path"]: r["p"] for r in batch.filter(F.col(order_col) <= F.lit(reached)).groupBy("file_path")
+            .agg(F.max("next_at").alias("p")).collect()}  # one row a file, as in the positions themselves
+    return {f: done.get(f, min(known.get(f, 0), p)) for f, p in end.items()}
+
+
 def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_of,
-                sources: list[str], order_col: str = "seq", source_col: str = "source_name") -> dict:
+                sources: list[str], order_col: str = "seq", source_col: str = "source_name",
+                limit: int | None = None, keys: CursorKeys | None = None,
+                positions: tuple[str, dict, dict] | None = None) -> dict:
     """INGEST end to end (K1, K2, A12): append the new rows of ``parsed`` to the
     ``day``-partitioned Parquet table at ``table_path``, advance the cursor
     state at ``state_path`` and return ``{source: (parsed_rows, inserted_rows)}``.
 
+    ``limit`` (S11) stores the first rows, in input order, of those that are new. The cursor then
+    stops at the last row stored, and so do ``positions`` (state key, where the input began
+    and where it ends, by file): what was left is read by the next run. ``keys`` is the table's cursor key table.
+
     The batch is written once into the shared folder, and so are its new rows: the input is
     evaluated once, and the counts are those of the written rows, whatever tasks ran again.
     """
@@ -204,7 +237,13 @@ def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_o
             raise UnreadableBatch(str(exc)) from exc
         except Py4JJavaError as exc:  # failures of tasks that PySpark has no class for
             raise UnreadableBatch(exc.java_exception.getMessage()) from exc
-        rows = land(new_rows(dedup_batch(batch, order_col), stored(spark, table_path), days_from=batch), f"{scratch}/rows")
+        existing = stored(spark, table_path)
+        if keys is not None:
+            keys.sync(existing)
+        fresh = new_rows(dedup_batch(batch, order_col), existing, days_from=batch, keys=keys)
+        if limit is not None:
+            fresh = fresh.orderBy(order_col).limit(limit)
+        rows = land(fresh, f"{scratch}/rows")
 
         def count(df: DataFrame) -> dict:
             return {r[0]: r[1] for r in df.filter(F.col(source_col).isin(sources)).groupBy(source_col)
@@ -213,8 +252,18 @@ def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_o
         seen, kept = count(batch), count(rows)
         append(rows, table_path)
         if state_path is not None:
-            prior = read_state(spark, state_path)
-            write_state(cursor_state(batch, prior, as_of, order_col, source_col), state_path)
+            done, end = batch, positions and positions[2]
+            if limit is not None:
+                last = rows.agg(F.count(F.lit(1)).alias("n"), F.max(order_col).alias("reached")).first()
+                if last["n"] >= limit:
+                    done = batch.filter(F.col(order_col) <= F.lit(last["reached"]))
+                    end = positions and _positions_before(batch, order_col, last["reached"], positions[1], positions[2])
+
+            def merged(prior: DataFrame | None) -> DataFrame:
+                state = cursor_state(done, prior, as_of, order_col, source_col)
+                return state if positions is None else _kept_as(state, positions[0], json.dumps(end, sort_keys=True), as_of)
+
+            update_state(spark, state_path, merged)
     finally:
         discard(spark, scratch)
     return {s: (seen.get(s, 0), kept.get(s, 0)) for s in sources}

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
-from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, query, report, vectors
+from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, neighbours, query, report, vectors
+from timberline.operators.cursor_keys import CursorKeys
 from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Discover, IndexParams, LogQuery,
                                MetricQuery, SearchParams)
 from timberline.schema import ALERTS as ALERTS_SCHEMA
@@ -24,10 +25,11 @@ from timberline.schema import METRICS as METRICS_SCHEMA
 from timberline.session import land, materialize, prepare, scratch_path
 from timberline.sources import files as file_sources
 from timberline.sources import parsers
+from timberline.sources.patterns import pattern_parser
 from timberline.sources.registry import LogSource, ingest_all, read_all, read_source
 from timberline.streaming import ingest as stream_ingest_mod
 from timberline.streaming import monitor, spikes
-from timberline.streaming.sinks import read_table
+from timberline.streaming.sinks import compact, read_table, vacuum
 
 AS_OF = fx.AS_OF
 DAY = 86400
@@ -170,6 +172,65 @@ def ingest_resume(spark, sf):
     return spark.read.parquet(f"{base}/logs").select(*PARSED_COLS, "cursor")
 
 
+def ingest_late_rows(spark, sf):
+    """Journal files resumed by byte position: between two runs, files appear with rows older than
+    the stored cursor; the second run looks back one minute and reads them and nothing again."""
+    prepare(spark)
+    base = _scratch(spark, "ingest-late")
+    lines = fx.journald_lines(spark, sf)
+    sources = [LogSource("journal", "journald", config={"paths": [f"{base}/journal"], "patterns": ["*.txt"], "by_position": True})]
+    for part, since in ((F.col("seq") % 2 == 0, 400 * DAY), (F.col("seq") % 2 == 1, 60)):
+        lines.filter(part).select("value").write.mode("append").text(f"{base}/journal")
+        ingest_all(spark, sources, f"{base}/logs", f"{base}/state", AS_OF, since_seconds=since)
+    return spark.read.parquet(f"{base}/logs").select(*PARSED_COLS, "cursor")
+
+
+def ingest_limited(spark, sf):
+    """Two runs that may store half of the journal's rows each: together they store them all."""
+    prepare(spark)
+    base = _scratch(spark, "ingest-limited")
+    lines = fx.journald_lines(spark, sf)
+    half = -(-_logs(spark, sf).count() // 2)
+    for _ in range(2):
+        ingest_all(spark, [LogSource("journal", "journald", config={"lines": lines})], f"{base}/logs", f"{base}/state", AS_OF,
+                   since_seconds=400 * DAY, limit=half)
+    return spark.read.parquet(f"{base}/logs").select(*PARSED_COLS, "cursor")
+
+
+def ingest_keyed(spark, sf):
+    """The rows that an ingest adds to a table, its cursors checked by the key table."""
+    prepare(spark)
+    base = _scratch(spark, "ingest-keyed")
+    ingest.append(_stored(spark, sf), f"{base}/logs")
+    old = spark.read.parquet(f"{base}/logs").select("fingerprint").distinct()
+    old = land(old, f"{base}/old")
+    ingest.ingest_into(fx.ingest_batch(spark, sf), f"{base}/logs", None, AS_OF, [], keys=CursorKeys(spark, f"{base}/keys", 16))
+    return spark.read.parquet(f"{base}/logs").join(old, "fingerprint", "left_anti").select(*INGEST_COLS)
+
+
+def clear_table(spark, sf):
+    """Rows of a stored log table before and after it is cleared."""
+    prepare(spark)
+    path = f"{_scratch(spark, 'clear')}/logs"
+    before = land(ingest.ensure_columns(_logs(spark, sf), LOGS_SCHEMA).select(*LOGS_SCHEMA.fieldNames()), path).count()
+    ingest.clear_table(spark, path, LOGS_SCHEMA)
+    after = spark.read.parquet(path).select(*LOGS_SCHEMA.fieldNames())
+    return after.agg(F.lit(before).cast("long").alias("rows_before"), F.count(F.lit(1)).alias("rows_after"))
+
+
+def parse_raw(spark, sf):
+    """The stored raw line (X6) of container rows: JSON around the line as it came."""
+    prepare(spark)
+    return parsers.parse_container(fx.container_lines(spark, sf)).select("ts", "raw")
+
+
+def parse_pattern(spark, sf):
+    """A format of an application's own, parsed by a named-field pattern."""
+    prepare(spark)
+    parser = pattern_parser("{ts:iso} {hostname} {severity:level} {unit}[[[{pid:int}]]]: {message:text}")
+    return parser(fx.application_lines(spark, sf), {}).select(*PARSED_COLS)
+
+
 def migrate_ids(spark, sf):
     lg = _logs(spark, sf).withColumnRenamed("id", "event_id")
     with_fp = with_fingerprint(lg).withColumn("id", F.lit(None).cast("long"))
@@ -309,6 +370,26 @@ def vector_topk_filtered(spark, sf):
     return vectors.search(_vector_table(spark, sf), _query_vector(spark, sf), SEARCH_FILTERED, AS_OF)
 
 
+def _neighbour_queries(spark, sf):
+    """The stated query set: every vector whose id is divisible by 20."""
+    return fx.vectors(spark, sf).filter("log_id % 20 = 0").select(F.col("log_id").alias("query_id"), "embedding")
+
+
+def vector_neighbours_exact(spark, sf):
+    """The ten nearest of all vectors for every query of the set, exactly."""
+    prepare(spark)
+    found = neighbours.exact_many(_neighbour_queries(spark, sf), fx.vectors(spark, sf), 10)
+    return found.select("query_id", "log_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+def vector_neighbours(spark, sf):
+    """The same by the calibrated index: only the nearest cells of a query are read for it."""
+    prepare(spark)
+    index = neighbours.build(fx.vectors(spark, sf), _scratch(spark, "ann"))
+    found = neighbours.search_many(spark, index, _neighbour_queries(spark, sf), 10)
+    return found.select("query_id", "log_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 def search_expand(spark, sf):
     return vectors.expand_hits(vector_topk_filtered(spark, sf), _logs(spark, sf))
 
@@ -374,8 +455,10 @@ def _audit_id_param(tool: str, host: str, scan_time: str) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def audit_details(spark, sf):
-    return audit.audit_details(_audit_records(spark, sf), _audit_id_param("clamav", "host3", "2024-01-15 00:00:00"))
+def _audit_details(tool: str):
+    def run(spark, sf):
+        return audit.audit_details(_audit_records(spark, sf), _audit_id_param(tool, "host3", "2024-01-15 00:00:00"))
+    return run
 
 
 def _chat(spark, sf):
@@ -413,6 +496,34 @@ def stream_ingest(spark, sf):
     return read_table(spark, f"{base}/table", LOGS_SCHEMA).select(*STREAM_COLS)
 
 
+def stream_positions(spark, sf):
+    """Journal files read by position while they come, cursors checked by the key table, the small
+    files compacted and deleted between two runs; every info line comes twice, in later files."""
+    prepare(spark)
+    base = _scratch(spark, "stream-positions")
+    lines = fx.journald_lines(spark, sf).select("value", "seq")
+    keys = CursorKeys(spark, f"{base}/keys", 16)
+    parts = [lines.filter("seq % 2 = 0"), lines.filter("seq % 2 = 1"), lines.filter(F.col("value").contains('"PRIORITY":"6"'))]
+    for part in parts:
+        part.select("value").write.mode("append").text(f"{base}/landing")
+        stream_ingest_mod.start_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", keys=keys,
+                                       by_position=True, patterns=["*.txt"]).awaitTermination()
+        compact(spark, f"{base}/table")
+        vacuum(spark, f"{base}/table")
+    return read_table(spark, f"{base}/table", LOGS_SCHEMA).select(*STREAM_COLS)
+
+
+def stream_spike_trailing(spark, sf):
+    """Error spikes of the three days before every day's end, from panes of one day."""
+    prepare(spark)
+    base = _scratch(spark, "stream-trailing")
+    fx.journald_lines(spark, sf).select("value").write.text(f"{base}/landing")
+    q = spikes.start_trailing_spikes(stream_ingest_mod.parsed_stream(spark, f"{base}/landing"), f"{base}/panes", f"{base}/table",
+                                     f"{base}/checkpoint", pane_seconds=DAY, window_seconds=3 * DAY, threshold=5, lateness="2 hours")
+    q.awaitTermination()
+    return read_table(spark, f"{base}/table", spikes.TRAILING_SCHEMA)
+
+
 def stream_error_spike(spark, sf):
     prepare(spark)
     base = _scratch(spark, "stream-spikes")
@@ -554,6 +665,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_cursor_state": ingest_cursor_state,
     "ingest_all_counts": ingest_all_counts,
     "migrate_ids": migrate_ids,
+    "ingest_late_rows": ingest_late_rows,
+    "ingest_limited": ingest_limited,
+    "ingest_keyed": ingest_keyed,
+    "clear_table": clear_table,
+    "parse_raw": parse_raw,
+    "parse_pattern": parse_pattern,
     # step 6: reports
     "log_summary": log_summary,
     "daily_report": daily_report,
@@ -579,6 +696,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_ledger_new": index_ledger_new,
     "audit_findings": audit_findings,
     "vector_topk": vector_topk,
+    "vector_neighbours": vector_neighbours,
+    "vector_neighbours_exact": vector_neighbours_exact,
     "vector_topk_filtered": vector_topk_filtered,
     "search_expand": search_expand,
     "rag_context": rag_context,
@@ -587,7 +706,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"audit_{t}": _audit_tool(t) for t in AUDIT_TOOLS},
     "audit_rollup": audit_rollup,
     "audit_history": audit_history,
-    "audit_details": audit_details,
+    "audit_details": _audit_details("clamav"),
+    "audit_details_openscap": _audit_details("openscap"),
+    "audit_details_lynis": _audit_details("lynis"),
     # step 10: chat
     "chat_history": chat_history,
     "chat_stats": chat_stats,
@@ -598,6 +719,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_alerts": stream_alerts,
     "stream_service_down": stream_service_down,
     "stream_container": stream_container,
+    "stream_positions": stream_positions,
+    "stream_spike_trailing": stream_spike_trailing,
     # step 12: files
     "file_ingest": file_ingest,
     "report_list": report_list,

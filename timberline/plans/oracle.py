@@ -498,6 +498,21 @@ FROM embeddings e JOIN logs l ON l.id = e.vec_id""", LOGS),
 WHERE l.ts >= TIMESTAMP '2024-01-02 00:00:00'""", LOGS),
     "index_retention_vectors": _w("""SELECT e.vec_id AS log_id FROM embeddings e JOIN logs l ON l.id = e.vec_id
 WHERE l.ts >= TIMESTAMP '2024-01-02 00:00:00'""", LOGS),
+    **{key: _w("SELECT ts, hostname, unit, severity, pid, message, cursor FROM logs", LOGS) for key in ("ingest_late_rows", "ingest_limited")},
+    "clear_table": _w("SELECT count(*) AS rows_before, 0::BIGINT AS rows_after FROM logs", LOGS),
+    "parse_raw": _w(f"""SELECT ts, '{{"raw":' || to_json(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '789Z ' ||
+  CASE WHEN {RANK_LE4} THEN 'stderr' ELSE 'stdout' END || ' ' || message) || '}}' AS raw FROM logs""", LOGS),
+    "parse_pattern": _w("SELECT ts, hostname, coalesce(unit, 'kernel') AS unit, severity, "
+                        "CASE WHEN severity = 'warning' THEN NULL ELSE pid END AS pid, message FROM logs", LOGS),
+    "vector_neighbours_exact": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, vec_id AS log_id, round(pow(list_distance(a, embedding::DOUBLE[]), 2), 9) AS d FROM q, embeddings)
+SELECT query_id, log_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, log_id) AS rank
+FROM d QUALIFY rank <= 10""",
+    "stream_spike_trailing": _w("""SELECT window_end - INTERVAL '3 days' AS window_start, window_end, unit, CAST(sum(c) AS BIGINT) AS error_count
+FROM (SELECT pane_end + k * INTERVAL '1 day' AS window_end, unit, c FROM closed, range(3) AS t(k))
+WHERE window_end <= (SELECT max(pane_end) FROM closed) GROUP BY ALL HAVING sum(c) > 5""", LOGS, """closed AS (
+  SELECT time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS pane_end, unit, count(*) FILTER (WHERE severity IN ('err', 'crit', 'emerg')) AS c
+  FROM logs GROUP BY ALL HAVING pane_end <= (SELECT max(ts) FROM logs) - INTERVAL '2 hours')"""),
     "ingest_resume": _w("SELECT ts, hostname, unit, severity, pid, message, cursor FROM logs", LOGS),
     "audit_findings": _w("SELECT scan_time, host, tool, kind, line_no, text FROM fl WHERE kind IS NOT NULL",
                          SCAN_LINES, AUDIT_FLAGS),
@@ -508,9 +523,10 @@ FROM (SELECT host, tool, arg_max(severity, scan_time) AS severity FROM records G
                        SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS, AUDIT_RECORDS),
     "audit_history": _w("""SELECT id, tool, host, scan_time, status, summary, severity FROM records WHERE tool = 'aide'
 ORDER BY scan_time DESC, id LIMIT 50""", SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS, AUDIT_RECORDS),
-    "audit_details": _w(f"""SELECT id, tool, host, scan_time, status, severity, summary, rc, finding_count, scanned_files, details
-FROM records WHERE id = {_audit_id('clamav', 'host3', '2024-01-15 00:00:00')}""",
-                        SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS, AUDIT_RECORDS),
+    **{key: _w(f"""SELECT r.id, tool, host, scan_time, status, severity, summary, rc, line_count, finding_count, scanned_files,
+  pass_count, fail_count, error_count, details, details2 FROM res JOIN (SELECT id, tool, host, scan_time FROM records) r USING (tool, host, scan_time)
+WHERE r.id = {_audit_id(tool, 'host3', '2024-01-15 00:00:00')}""", SCAN_LINES, AUDIT_FLAGS, AUDIT_RESULTS, AUDIT_RECORDS)
+       for key, tool in (("audit_details", "clamav"), ("audit_details_openscap", "openscap"), ("audit_details_lynis", "lynis"))},
     "chat_history": _w("SELECT id, timestamp, role, content, session_id FROM chat ORDER BY timestamp DESC, id DESC LIMIT 50",
                        CHAT),
     "chat_stats": _w("""SELECT (SELECT count(*) FROM chat) AS total_messages,
@@ -577,3 +593,6 @@ FROM metrics WHERE json_valid(metric_data)""", METRICS),
     "report_html": _w(REPORT_HTML_BODY, LOGS, W30, LOG_SUMMARY, METRICS, ALERTS_T, ALERTS_S, ALERT_TABLE, HEALTH,
                       SPIKES, VOLUME, MISSING, ALL_ANOMALIES, REPORT_TEXT),
 }
+# The same results by other ways of checking and reading.
+ORACLE["ingest_keyed"] = ORACLE["ingest_dedup"]
+ORACLE["stream_positions"] = ORACLE["stream_ingest"]

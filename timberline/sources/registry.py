@@ -8,6 +8,7 @@ config is reported, the other sources still run), and unions the rest.
 
 from __future__ import annotations
 
+import json
 import sys
 
 from collections.abc import Callable
@@ -22,16 +23,18 @@ from pyspark.sql import functions as F
 from timberline.functions import json_or_wrap
 from timberline.schema import PARSED
 from timberline.operators import ingest
-from timberline.operators.window import ts_lit
+from timberline.operators.cursor_keys import CursorKeys
 from timberline.sources import files as files_mod
 from timberline.sources import filters, parsers
+from timberline.sources.positions import ends, read_between
 
 
 @dataclass
 class LogSource:
     """``type`` is a key of the parser registry (journald, file, container, or a
     registered custom type). ``config`` keys: ``lines`` (a DataFrame with a
-    ``value`` column) or ``paths``/``patterns``; ``units``, ``exclude_units``;
+    ``value`` column, and ``seq`` where the input has an order) or ``paths``/``patterns``;
+    ``by_position`` (files resumed by byte position in ``ingest_all``); ``units``, ``exclude_units``;
     ``year`` (syslog); ``include_patterns``/``exclude_patterns`` (containers)."""
     name: str
     type: str
@@ -135,22 +138,23 @@ def read_source(spark: SparkSession, source: LogSource, as_of, since_seconds: in
     """Parsed rows of one source, tagged ``source_name``; look-back ``since`` and
     an optional row limit (journald: newest N; other types: first N in input order).
 
-    With ``after_cursor`` (journald) the read resumes after the row that carries it,
-    whatever the look-back says; rows of the same instant are read again and left to the
-    dedup. A cursor that is no longer in the input resumes from the oldest row, so
-    nothing is lost. A limit then takes the oldest rows, so that the next cursor never
-    moves past rows that were not read."""
+    With ``after_cursor`` (journald) the read resumes after the row that carries it in the
+    input's order (``seq``), whatever the look-back and the rows' times say: a row that was
+    written later belongs to the next run even if its clock was behind. A cursor that is no
+    longer in the input, or an input without ``seq``, is read from its start, and the dedup leaves
+    out what is stored: nothing is lost. A limit then takes the first rows in input order; without an order
+    it is left to ``ingest_into``, which counts new rows only."""
     parsed = parser_for(source.type)(source_lines(spark, source), source.config)
+    ordered = "seq" in parsed.columns
     if after_cursor is None:
         parsed = filters.since_filter(parsed, as_of, since_seconds)
-    else:
-        reached = parsed.filter(F.col("cursor") == F.lit(after_cursor)).agg(F.max("ts").alias("ts")).first()["ts"]
-        parsed = parsed.filter(~F.col("cursor").eqNullSafe(F.lit(after_cursor)))
+    elif ordered:
+        reached = parsed.filter(F.col("cursor") == F.lit(after_cursor)).agg(F.max("seq").alias("at")).first()["at"]
         if reached is not None:
-            parsed = parsed.filter(F.col("ts") >= ts_lit(reached))
+            parsed = parsed.filter(F.col("seq") > F.lit(reached))
     if limit is not None:
         if after_cursor is not None:
-            parsed = parsed.orderBy("ts", "cursor").limit(limit)
+            parsed = filters.first_n(parsed, limit, ["seq"]) if ordered else parsed
         elif source.type == "journald":
             parsed = filters.newest(parsed, limit, tie_col="cursor")
         else:
@@ -183,26 +187,51 @@ def read_all(spark: SparkSession, sources: list[LogSource], as_of, since_seconds
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), errors
 
 
+def _positions(state: DataFrame | None, key: str) -> dict[str, int]:
+    row = None if state is None else state.filter(F.col("source") == F.lit(key)).first()
+    return json.loads(row["cursor"]) if row is not None else {}
+
+
 def ingest_all(spark: SparkSession, sources: list[LogSource], table_path: str, state_path: str | None, as_of,
-               since_seconds: int | None = 3600, limit: int | None = None) -> tuple[dict, dict[str, str]]:
-    """Ingest every enabled source into one table, one after the other in the
-    order given, each resuming after its stored cursor. A source that cannot be planned or
+               since_seconds: int | None = 3600, limit: int | None = None,
+               keys: CursorKeys | None = None) -> tuple[dict, dict[str, str]]:
+    """Ingest every enabled source into one table, one after the other in the
+    order given, each resuming after its stored cursor or positions. ``limit`` stores the first
+    rows of each source that are new; the next run goes on where this one stopped, so no row is lost.
+    A source with ``by_position`` reads only what its files got since the last run; the look-back
+    applies to its first run. A source that cannot be planned or
     fails while it is read is reported and adds no row; the others are stored all the same.
-    Failures of the table or the state itself are raised.
+    Failures of the table or the state itself are raised. ``keys``: the table's cursor key table.
     Returns ``{source: (parsed_rows, inserted_rows)}`` and ``{source: error}``."""
     counts, errors = {}, {}
     for src in sources:
         if not src.enabled:
             continue
         state = ingest.read_state(spark, state_path) if state_path is not None else None
-        parsed, failed = read_all(spark, [src], as_of, since_seconds, limit, state)
+        positions = None
+        try:
+            reading, since = src, since_seconds
+            if src.config.get("by_position"):
+                key = f"{src.name}#positions"
+                known = _positions(state, key)
+                patterns = src.config.get("patterns", files_mod.DEFAULT_PATTERNS)
+                end = {**known, **ends(src.config["paths"], known, patterns)}
+                positions, since = (key, known, end), None if known else since_seconds
+                config = {k: v for k, v in src.config.items() if k != "by_position"}
+                reading = LogSource(src.name, src.type, True, {**config, "lines": read_between(spark, known, end)})
+                state = None  # the positions say where to go on
+        except Exception as exc:  # noqa: BLE001 - one source must not stop the others
+            errors[src.name] = str(exc).splitlines()[0][:500]
+            continue
+        parsed, failed = read_all(spark, [reading], as_of, since, None, state)
         if parsed is None:
             errors.update(failed)
             continue
         if "seq" not in parsed.columns:
             parsed = parsed.withColumn("seq", F.monotonically_increasing_id())
         try:
-            counts.update(ingest.ingest_into(parsed, table_path, state_path, as_of, [src.name]))
+            counts.update(ingest.ingest_into(parsed, table_path, state_path, as_of, [src.name], limit=limit,
+                                             keys=keys, positions=positions))
         except ingest.UnreadableBatch as exc:
             errors[src.name] = str(exc).splitlines()[0][:500]
     return counts, errors
