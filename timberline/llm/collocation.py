@@ -31,6 +31,8 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +48,11 @@ from timberline.llm.blocks import deal, joined, packed, unpacked
 from timberline.llm.common import land, nest, small_batches
 from timberline.llm.decontam import suffix_array
 from timberline.llm.words import SLICE, SPACED_LOWER, HashIndex, WordRule, mix, slices, split_words, text_buffers
+from timberline.session import scratch_path
 
 SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 20
+MAX_BUCKETS = 50_000  # of the tables of shards
 STEPWISE = 3
 NO_LANG = "und"
 
@@ -374,17 +378,46 @@ def phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, shard_tok
     small_batches(docs.sparkSession)
     rows = nest(docs).select(F.coalesce(F.col("row__.text").cast("string"), F.lit("")).alias("text"),
                              F.coalesce(F.col("row__.lang").cast("string"), F.lit(NO_LANG)).alias("lang"))
-    shards = land(rows.mapInArrow(_fill_shards(shard_tokens), _SHARD_SQL), "phrase-shards")
-    sizes = shards.select(F.explode(F.arrays_zip("langs", "n_lang")).alias("x")).groupBy(F.col("x.langs").alias("lang")) \
-        .agg(F.sum("x.n_lang").alias("n"))
+    kept = _Buckets(docs)
+    try:
+        return _phrases(kept, rows, min_count, max_words, shard_tokens, bucket_keys)
+    finally:
+        kept.drop()
+
+
+class _Buckets:
+    """Tables bucketed by shard: what goes to a shard is shuffled to where its row lies, the row itself is
+    written once and never moves. The files are in the shared folder."""
+
+    def __init__(self, docs: DataFrame):
+        self.spark = docs.sparkSession
+        self.number = min(MAX_BUCKETS, max(8, 4 * docs.rdd.getNumPartitions()))
+        self.names: list[str] = []
+
+    def table(self, rows: DataFrame, name: str) -> DataFrame:
+        self.names.append(f"{name}_{uuid.uuid4().hex}")
+        rows.write.format("parquet").bucketBy(self.number, "shard").sortBy("shard") \
+            .option("path", scratch_path(self.spark, self.names[-1])).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _phrases(kept: _Buckets, rows: DataFrame, min_count: int, max_words: int, shard_tokens: int,
+             bucket_keys: int) -> tuple[DataFrame, DataFrame]:
+    shards = kept.table(rows.mapInArrow(_fill_shards(shard_tokens), _SHARD_SQL), "phrase_shards")
+    sizes = land(shards.select(F.explode(F.arrays_zip("langs", "n_lang")).alias("x")).groupBy(F.col("x.langs").alias("lang"))
+                 .agg(F.sum("x.n_lang").alias("n")), "phrase-sizes")
     buckets = max(1, (shards.agg(F.sum("size")).first()[0] or 0) // bucket_keys)
 
     def answer(sent: DataFrame) -> DataFrame:
         return land(sent.groupBy("bucket").applyInArrow(_sum(min_count), _ANSWER_SQL), "phrase-answers")
 
     answers = answer(shards.select("shard", "keys", "n").mapInArrow(_send_words(buckets), _SENT_SQL))
-    index = land(shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-        lambda a, b: _build_index(a, b, max_words), _INDEX_SQL), "phrase-index")
+    index = kept.table(shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        lambda a, b: _build_index(a, b, max_words), _INDEX_SQL), "phrase_index")
     places = index.select("shard", "bwt", "keys")
     answers = answers.union(answer(places.mapInArrow(_send_pairs(buckets), _SENT_SQL)))
     steps = [range(k, k + 1) for k in range(3, min(STEPWISE, max_words) + 1)]
