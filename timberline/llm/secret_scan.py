@@ -53,7 +53,10 @@ _NAMED = re.compile(rb"((?:password|passwd|pwd|secret|token|api[_-]?key|access[_
                     rb"[A-Za-z0-9_.\-]{0,100}+)(?:\\*[\"'`])?\]?[ \t]*+"
                     rb"(?::[ \t]*[A-Za-z_][A-Za-z0-9_.\[\]]{0,100}[ \t]+=[ \t]+|:?=+>?|:+)[ \t]*+", re.I)
 _NAME_LEFT = re.compile(rb"[A-Za-z0-9_.\-]+\Z")
-_QUOTED = re.compile(rb"(\\*[\"'`])((?:(?!\1)(?:\\[^\n]|[^\n]))+)\1")
+#: A quoted value, read once from left to right: a backslash takes the next character with it; if no
+#: quote closes the value that way, backslashes are characters like others.
+_QUOTED = re.compile(rb"(\\*[\"'`])((?:(?!\1)(?:\\[^\n]|[^\n\\]))++)\1")
+_QUOTED_PLAIN = re.compile(rb"(\\*[\"'`])((?:(?!\1)[^\n])++)\1")
 #: An unquoted value: to the next blank, or to a mark behind which another name is assigned.
 _BARE = re.compile(rb"(?:(?![&;,][\"']?[A-Za-z_][A-Za-z0-9_.\-]{0,100}[\"']?[=:])[^\x20\x09-\x0D])+")
 _OPEN = re.compile(rb"[\[{(]+(?:[\\\"'`]|\s)")
@@ -109,7 +112,7 @@ def _named_values(text: bytes) -> Iterator[tuple[int, int, int, str, bool]]:
         lead = _NAME_LEFT.search(text, max(0, m.start() - 200), m.start())
         begin = lead.start() if lead else m.start()
         name = (text[begin : m.start()] + m[1]).decode().lower().lstrip("_.-")
-        quoted = _QUOTED.match(text, m.end())
+        quoted = _QUOTED.match(text, m.end()) or _QUOTED_PLAIN.match(text, m.end())
         if quoted:
             yield begin, *quoted.span(2), name, not _GAP.search(quoted[2])
         elif word := _BARE.match(text, m.end()):
