@@ -1,10 +1,11 @@
 """Benchmark decontamination by suffix arrays over training shards.
 
-A shard is a slice of about 4 MB of training text inside a task. Its suffix array orders the
+A shard is a slice of about 2 MB of training text inside a task. Its suffix array orders the
 word sequences of the shard; every suffix of every benchmark item is binary-searched in it,
 all suffixes at once, one word deeper in each step. A suffix that stays alive for a window's
-length has a verbatim match at each position of its range; matches on the same diagonal are
-joined into the longest verbatim spans. Only runs of benchmark words at least as long as the
+length has a verbatim match at each position of its range. From the first matching place on, each match is
+followed to its longest verbatim span (at the item's first place with that window), and the next
+one is sought after it; so repeated words cost no pairs of places. Only runs of benchmark words at least as long as the
 shortest window enter the suffix array: a window cannot lie anywhere else.
 
 The benchmark is a stated query set. It is read in blocks of at most ``BLOCK_BYTES`` of text,
@@ -30,6 +31,7 @@ from timberline.llm.words import ALNUM_LOWER, slices, split_words, text_buffers,
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20  # benchmark text broadcast at once
+PLACES = 1 << 20  # matching places held at once, unless one item has more
 MIN_SHARE = 20  # contaminated if at least 1/20 of the words are hit
 MATCH = pa.struct([("item", pa.string()), ("item_at", pa.int32()), ("at", pa.int32()), ("n", pa.int32())])
 MATCH_SQL = "array<struct<item:string,item_at:int,at:int,n:int>>"
@@ -50,6 +52,7 @@ class TestSuffixes:
         live = at + need[item] <= n[item]
         self.start = np.flatnonzero(live)
         self.item, self.at, self.need = item[live], at[live], need[item][live]
+        self.end = w.first[1:][self.item]  # of the item's words
         self.shortest = int(need[n > 0].min()) if (n > 0).any() else 0
 
 
@@ -81,12 +84,12 @@ def _narrow(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, word: np.ndarray
     return lo
 
 
-def search(tests: TestSuffixes, seq: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(test suffix, position in seq) of every verbatim match of a whole window."""
+def search(tests: TestSuffixes, seq: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(test suffix, first, end) of every range of ``order`` whose places hold a whole window."""
     live = np.arange(len(tests.start))
     lo = np.zeros(len(live), dtype=np.int64)
     hi = np.full(len(live), len(order), dtype=np.int64)
-    found, where = [], []
+    found = []
     d = 0
     while len(live):
         column = seq[np.minimum(order + d, len(seq) - 1)]
@@ -98,13 +101,46 @@ def search(tests: TestSuffixes, seq: np.ndarray, order: np.ndarray) -> tuple[np.
         d += 1
         whole = tests.need[live] == d
         if whole.any():
-            n = (hi - lo)[whole]
-            found.append(np.repeat(live[whole], n))
-            skip = np.repeat(lo[whole] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            where.append(order[np.arange(n.sum()) + skip])
+            found.append((live[whole], lo[whole], hi[whole]))
             live, lo, hi = live[~whole], lo[~whole], hi[~whole]
     none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(found), np.concatenate(where)) if found else (none, none)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none, none)
+
+
+def places(tests: TestSuffixes, seq: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(test suffix, place in ``seq``) of the matches, some items at a time: for each item and place one suffix
+    only, the item's first with that window, however often the window recurs in the item."""
+    test, lo, hi = search(tests, seq, order)
+    item = tests.item[test]
+    by = np.lexsort((tests.at[test], lo, item))
+    test, lo, hi, item = test[by], lo[by], hi[by], item[by]
+    first = np.ones(len(test), dtype=bool)
+    first[1:] = (item[1:] != item[:-1]) | (lo[1:] != lo[:-1])
+    test, lo, n, item = test[first], lo[first], (hi - lo)[first], item[first]
+    total = np.cumsum(n)
+    begin = 0
+    while begin < len(test):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PLACES, side="right")))
+        while end < len(test) and item[end] == item[end - 1]:  # an item's places stay together
+            end += 1
+        size = n[begin:end]
+        skip = np.repeat(lo[begin:end] - (np.cumsum(size) - size), size)
+        yield np.repeat(test[begin:end], size), order[np.arange(int(size.sum())) + skip]
+        begin = end
+
+
+def _agree(a: np.ndarray, i: int, b: np.ndarray, j: int, most: int) -> int:
+    """How many words of ``a`` from i on equal those of ``b`` from j on, up to ``most``."""
+    n, step = 0, 64
+    while n < most:
+        size = min(step, most - n, len(a) - i - n, len(b) - j - n)
+        if size <= 0:
+            break
+        differ = np.flatnonzero(a[i + n : i + n + size] != b[j + n : j + n + size])
+        if len(differ):
+            return n + int(differ[0])
+        n, step = n + size, 2 * step
+    return n
 
 
 def match_texts(tests: TestSuffixes, data: np.ndarray, bounds: np.ndarray):
@@ -134,22 +170,20 @@ def match_texts(tests: TestSuffixes, data: np.ndarray, bounds: np.ndarray):
     origin = np.zeros(len(seq), dtype=np.int64)
     origin[place] = pos
     order = suffix_array(seq, int(tests.need.max()))
-    test, where = search(tests, seq, order[seq[order] > 0])
-    if not len(test):
-        return w.counts, none
-    hit = origin[where]
-    t, item = text[hit], tests.item[test]
-    start, item_at, need = hit - w.first[t], tests.at[test], tests.need[test]
-    # Windows that follow each other on a diagonal are one longer match.
-    by = np.lexsort((item_at, start - item_at, item, t))
-    t, item, start, item_at, need = t[by], item[by], start[by], item_at[by], need[by]
-    diag = start - item_at
-    head = np.ones(len(t), dtype=bool)
-    head[1:] = (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (item_at[1:] != item_at[:-1] + 1)
-    first = np.flatnonzero(head)
-    last = np.concatenate([first[1:], [len(t)]]) - 1
-    n = start[last] + need[last] - start[first]
-    return w.counts, np.stack([t[first], item[first], item_at[first], start[first], n], axis=1)
+    rows: list[tuple[int, int, int, int, int]] = []
+    for test, where in places(tests, seq, order[seq[order] > 0]):
+        by = np.lexsort((where, tests.item[test]))
+        test, where = test[by].tolist(), where[by].tolist()
+        reach = item = -1  # windows before ``reach`` lie inside the item's last span
+        for k, at in zip(test, where, strict=True):
+            if tests.item[k] == item and at < reach:
+                continue
+            item, begin = int(tests.item[k]), int(tests.start[k])
+            n = _agree(seq, at, tests.words, begin, int(tests.end[k]) - begin)
+            reach = at + n - int(tests.need[k]) + 1
+            hit = int(origin[at])
+            rows.append((int(text[hit]), item, int(tests.at[k]), hit - int(w.first[text[hit]]), n))
+    return w.counts, np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
 def _covered(spans: list[dict]) -> int:
