@@ -39,15 +39,21 @@ COVER = 8  # terms wanted in each toxic text of the sample
 STEMS = (4, 5, 6)  # letters of the stems tried
 WINDOW = 8  # words on either side that decide on quotation
 REMEMBER = 1_000_000  # distinct words a Python worker remembers
-QUOTES = "\"“”„«»‘’`"
+#: Quotation marks that open, with those that close them; straight marks do both.
+PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "”": "”", "\"": "\"", "`": "`"}
+STRAIGHT = "\"`”»"  # tell by the words they touch whether they open
+APOSTROPHES = "’‘`"  # no marks between two letters
 FEATURES = ("exact", "fuzzy", "quoted", "weight", "density", "distinct")
-_EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+_FIRST = regex.compile(r"[\p{L}\p{N}]")
+_LAST = regex.compile(r"(?r)[\p{L}\p{N}]")
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
 def core(word: str) -> str:
     """A word as the lexicon sees it: lower case, without punctuation at its ends."""
-    return _EDGE.sub("", word.lower())
+    word = word.lower()
+    first = _FIRST.search(word)
+    return word[first.start() : _LAST.search(word).end()] if first else ""
 
 
 def allowed(term: str) -> int:
@@ -259,8 +265,34 @@ class Scanner:
         before = w.data[w.start[lo] : w.start[i]].tobytes().decode()
         own = w.data[w.start[i] : w.end[i]].tobytes().decode()
         after = w.data[w.end[i] : w.end[hi - 1]].tobytes().decode()
-        opened = sum(before.count(q) for q in QUOTES) % 2 == 1 or own[0] in QUOTES
-        return opened and any(q in own[1:] + after for q in QUOTES)
+        first = _FIRST.search(own)
+        return quotation(before + own + after, len(before) + (first.start() if first else 0))
+
+
+def quotation(text: str, at: int) -> bool:
+    """Whether a quotation that opens before ``at`` closes after it."""
+    open_: list[str] = []  # what closes the quotations that are open at ``at``
+    for i, c in enumerate(text):
+        if c not in PAIRS and c != "’":
+            continue
+        left, right = i > 0 and text[i - 1].isalnum(), i + 1 < len(text) and text[i + 1].isalnum()
+        if left and right and c in APOSTROPHES:
+            continue
+        if i >= at:
+            if any(c in closes for closes in open_):
+                return True
+            continue
+        closes = bool(open_) and c in open_[-1]
+        if c in STRAIGHT and left != right:  # a mark that touches one word opens before and closes after it
+            closes = closes and left
+            opens = right
+        else:
+            opens = c in PAIRS and not closes
+        if closes:
+            open_.pop()
+        elif opens:
+            open_.append(PAIRS[c])
+    return False
 
 
 class Model:
@@ -310,6 +342,14 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
     return Model(lexicon, w, b)
 
 
+def span(text: Column, doc_id: Column) -> Column:
+    """What is learned from a text: all of it, or of one beyond SAMPLE_BYTES a part of a quarter as many
+    characters, at a place that a hash of the id chooses."""
+    size = SAMPLE_BYTES // 4
+    at = F.pmod(F.xxhash64(doc_id, F.lit(5)), F.greatest(F.char_length(text) - size, F.lit(0)) + 1) + 1
+    return F.when(F.octet_length(text) <= SAMPLE_BYTES, text).otherwise(F.substring(text, at.cast("int"), F.lit(size)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     """Train on a bounded sample of the labelled rows for which ``learn`` (of doc_id) holds."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
@@ -317,9 +357,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = marked.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(
         marked.where("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    # At most SAMPLE_TOXIC + SAMPLE_CLEAN ids are broadcast.
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", span(F.col("text"), F.col("doc_id")).alias("text"))
+    # At most SAMPLE_TOXIC + SAMPLE_CLEAN ids are broadcast, and one row of each id is learned from.
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     return train([r.text for r in rows], [r.toxic for r in rows])
 
