@@ -161,16 +161,24 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
     return model
 
 
+def span(text: Column, doc_id: Column) -> Column:
+    """A text of at most SAMPLE_BYTES itself, of a longer one a part of a quarter as many characters."""
+    size = SAMPLE_BYTES // 4
+    at = F.pmod(F.xxhash64(doc_id, F.lit(5)), F.greatest(F.char_length(text) - size, F.lit(0)) + 1) + 1
+    return F.when(F.octet_length(text) <= SAMPLE_BYTES, text).otherwise(F.substring(text, at.cast("int"), F.lit(size)))
+
+
 def sample(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     """About ``per_lang`` labelled rows of each language, chosen by a hash of their id: a narrow
-    count of each language gives the share to take, so no language is gathered in one place."""
-    known = docs.where(learn & F.col("lang").isNotNull())
+    count of each language gives the share to take, so no language is gathered in one place. Of a text beyond
+    SAMPLE_BYTES a part is learned from, at a place that a hash of the id chooses."""
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     if counts.count() <= 10_000:  # one row for each language
         counts = F.broadcast(counts)
-    rows = known.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
     taken = F.pmod(F.xxhash64("doc_id"), F.col("n")) < per_lang
-    return rows.select("doc_id", "text", "lang").join(counts, "lang").where(taken).drop("n")
+    rows = known.select("doc_id", "text", "lang").join(counts, "lang").where(taken).drop("n")
+    return rows.withColumn("text", span(F.col("text"), F.col("doc_id")))
 
 
 def _predictor(shared, min_score: float) -> Callable:
