@@ -78,3 +78,37 @@ def test_keep_one_keeps_a_row_of_each_group_under_repeated_ids(spark):
     same = spark.createDataFrame([(1, a, 1), (1, a, 2), (2, a, 3)], "doc_id long, text string, n long")
     got = {tuple(simhash.keep_one(same.repartition(k)).collect()) for k in (1, 3)}
     assert len(got) == 1 and [len(g) for g in got] == [1]
+
+
+@pytest.mark.parametrize("limit", [10**9, 5000, 300])
+def test_a_cell_done_in_parts_links_alike(limit):
+    rng = random.Random(8)
+    centre = rng.getrandbits(64)
+    prints = {centre} | {centre ^ sum(1 << p for p in rng.sample(range(40), rng.randrange(1, 7))) for _ in range(150)}
+    fp = np.array(sorted(prints), dtype=np.uint64)
+    a, b = simhash.link_cell(fp, np.zeros(len(fp), dtype=np.int32), tuple(range(64)), 4, limit)
+    index = {int(x): i for i, x in enumerate(fp)}
+    label = simhash._least(len(fp), np.array([index[int(x)] for x in a]), np.array([index[int(x)] for x in b]))
+    assert fp[label].tolist() == brute.groups([int(x) for x in fp], [int(x) for x in fp], 4)
+
+
+def test_fingerprints_of_one_template_are_divided(spark):
+    """Fingerprints that share their leading 40 bits crowd a few cells; the parts hold few variants each."""
+    rng = np.random.default_rng(3)
+    low = np.unique(rng.integers(0, 1 << 24, 6000, dtype=np.uint64))
+    prints = (np.uint64(0xABCDE12345) << np.uint64(24)) | low
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in components(simhash.links(table, 4, 20_000)).collect()}
+    near = {}
+    for i in range(0, len(prints), 500):
+        d = np.bitwise_count(prints[i : i + 500, None] ^ prints[None, :])
+        for x, y in zip(*np.nonzero(d <= 4), strict=True):
+            near.setdefault(i + int(x), []).append(int(y))
+    a = np.array([x for x, ys in near.items() for _ in ys])
+    b = np.array([y for ys in near.values() for y in ys])
+    label = simhash._least(len(prints), a, b)
+    signed = prints.view(np.int64)
+    groups = {}
+    for i, g in enumerate(label.tolist()):
+        groups.setdefault(g, set()).add(roots.get(int(signed[i]), int(signed[i])))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)

@@ -5,7 +5,8 @@ that distance of both. Every distinct fingerprint emits all variants within half
 variants meet in a shuffle and fingerprints that share one are checked and linked. The shuffle
 key is a variant's leading bits (a cell): a fingerprint is sent once to each cell that holds
 variants of it, and the variants themselves are laid out there, sorted and compared. Cells
-with many fingerprints (large near-copy groups) are cut into smaller cells by further bits.
+with many variants (one page template, large near-copy groups) are cut by further bits, those that divide their
+own members best, until their parts fit.
 
 Fingerprints in one variant group are all within ``max_bits`` of its inner members (those
 within the smaller half), so a link from each member to one inner member loses no connection
@@ -19,7 +20,9 @@ doc_id never becomes a component id unless the component has no other.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 CELL_VARIANTS = 2_000_000  # variants laid out in one cell, about
+TASK_VARIANTS = 12_000_000  # variants laid out in a task at once
+GROUP = ["cell", "mask", "sub"]  # a cell, and the bits and their values that a part of it has in common
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -103,32 +108,33 @@ def flips(positions: list[int], at_most: int) -> list[tuple[int, int]]:
     return [(sum(1 << p for p in c), r) for r in range(at_most + 1) for c in combinations(positions, r)]
 
 
-def _router(bits: int, more: dict[int, int], radius: int) -> Callable:
-    """Send each fingerprint to the cells that hold variants of it. A cell is the variants'
-    first ``bits`` bits, followed by ``more[cell]`` further bits where that cell is crowded."""
+def ball(free: int, at_most: int) -> int:
+    """Variants of up to ``at_most`` flips of ``free`` bits."""
+    return sum(comb(free, r) for r in range(at_most + 1))
+
+
+@lru_cache(maxsize=4096)
+def _flips_of(mask: int, at_most: int) -> list[tuple[int, int]]:
+    return flips([p for p in range(64) if mask >> p & 1], at_most)
+
+
+def _splitter(radius: int) -> Callable:
+    """Send the members of a crowded group on to the parts of it that hold variants of theirs: a part
+    is named by the variants' values of the bits in ``add`` as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = flips(list(range(bits)), radius)
-        crowded = np.array(sorted(more), dtype=np.int64)
-        extra_of = np.array([more[c] for c in crowded.tolist()], dtype=np.int64)
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            lead = (fp >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fp), dtype=np.int64)
-            for mask, used in top:
-                cell = lead ^ mask
-                extra = np.zeros(len(fp), dtype=np.int64)
-                if len(crowded):
-                    at = np.minimum(np.searchsorted(crowded, cell), len(crowded) - 1)
-                    extra = np.where(crowded[at] == cell, extra_of[at], 0)
-                for e in np.unique(extra).tolist():
-                    own = np.flatnonzero(extra == e)
-                    low = (fp[own] << np.uint64(bits)) >> np.uint64(64 - e) if e else np.zeros(len(own), np.uint64)
-                    for sub, u in flips(list(range(e)), radius - used):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(cell[own]), pa.array(np.full(len(own), e, np.int32)),
-                             pa.array((low ^ np.uint64(sub)).view(np.int64)),
-                             pa.array(np.full(len(own), used + u, np.int32)), pa.array(fp[own].view(np.int64))],
-                            names=["cell", "extra", "sub", "used", "fp"])
+            fp, add, sub = (b.column(c).to_numpy().view(np.uint64) for c in ("fp", "add", "sub"))
+            used, cell, mask = (b.column(c).to_numpy() for c in ("used", "cell", "mask"))
+            kinds, kind = np.unique(np.stack([add, used.astype(np.uint64)], axis=1), axis=0, return_inverse=True)
+            for i, (bits, u) in enumerate(kinds.tolist()):
+                own = np.flatnonzero(kind.ravel() == i)
+                for flip, r in _flips_of(bits, radius - u):
+                    value = sub[own] | ((fp[own] ^ np.uint64(flip)) & np.uint64(bits))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[own]), pa.array(mask[own] | np.uint64(bits).view(np.int64)), pa.array(value.view(np.int64)),
+                         pa.array(np.full(len(own), u + r, np.int32)), pa.array(fp[own].view(np.int64))],
+                        names=["cell", "mask", "sub", "used", "fp"])
 
     return run
 
@@ -149,19 +155,38 @@ def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_cell(fp: np.ndarray, used: np.ndarray, free: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one cell: lay out the variants over the ``free`` low bits, find fingerprints that
-    share one, check their distance, and return (fingerprint, least linked one in this cell)."""
-    radius, inner_radius = (max_bits + 1) // 2, max_bits // 2
+def link_cell(fp: np.ndarray, used: np.ndarray, free: tuple[int, ...], max_bits: int,
+              limit: int = TASK_VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one group: lay out the variants over the ``free`` bits, find fingerprints that share
+    one, check their distance, and return (fingerprint, a linked one). Beyond ``limit``
+    variants the two values of the most balanced bit are done one after the other."""
+    radius = (max_bits + 1) // 2
     fp, first = np.unique(fp, return_index=True)
     used = used[first]
-    low = fp & np.uint64((1 << free) - 1)
-    variants, owner, inner = [], [], []
+    if free and sum(int(n) * ball(len(free), radius - u) for u, n in enumerate(np.bincount(used))) > limit:
+        ones = np.array([np.count_nonzero(fp >> np.uint64(p) & np.uint64(1)) for p in free])
+        best = int(np.minimum(ones, len(fp) - ones).argmax())
+        if 0 < ones[best] < len(fp):
+            value = (fp >> np.uint64(free[best]) & np.uint64(1)).astype(np.int64)
+            parts = []
+            for v in (0, 1):
+                reach = used + (value != v)
+                own = reach <= radius
+                parts.append(link_cell(fp[own], reach[own], free[:best] + free[best + 1 :], max_bits, limit))
+            return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+    return _link_variants(fp, used, free, max_bits)
+
+
+def _link_variants(fp: np.ndarray, used: np.ndarray, free: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    radius, inner_radius = (max_bits + 1) // 2, max_bits // 2
+    room = sum(1 << p for p in free)
+    low = fp & np.uint64(room)
+    variants, owner, inner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
     for u in range(radius + 1):
         own = np.flatnonzero(used == u)
         if not len(own):
             continue
-        ways = flips(list(range(free)), radius - u)
+        ways = _flips_of(room, radius - u)
         masks = np.array([m for m, _ in ways], dtype=np.uint64)
         dist = np.array([r for _, r in ways]) + u
         variants.append((low[own][:, None] ^ masks[None, :]).ravel())
@@ -171,7 +196,7 @@ def link_cell(fp: np.ndarray, used: np.ndarray, free: int, max_bits: int) -> tup
     order = np.argsort(v)
     v = v[order]
     same = v[1:] == v[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(v) else np.zeros(0, bool)
     if not shared.any():
         return fp[:0], fp[:0]
     v, order = v[shared], order[shared]
@@ -192,30 +217,60 @@ def _linker(bits: int, max_bits: int) -> Callable:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
-        fp = t["fp"].to_numpy().view(np.uint64)
-        a, b = link_cell(fp, t["used"].to_numpy(), 64 - bits - t["extra"][0].as_py(), max_bits)
+        mask = t["mask"][0].as_py() & (1 << 64) - 1
+        free = tuple(p for p in range(64 - bits) if not mask >> p & 1)
+        a, b = link_cell(t["fp"].to_numpy().view(np.uint64), t["used"].to_numpy(), free, max_bits)
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
     return run
 
 
+def _bits_to_add(groups: DataFrame, crowded: DataFrame, bits: int, cell_variants: int) -> DataFrame:
+    """For each crowded group the bits that divide it best: the most balanced among its own members, as
+    many as its load asks for, and only such as at least an eighth of the members differ in."""
+    own = groups.join(crowded, GROUP)
+    ones = F.array(*[F.struct(F.sum(F.shiftrightunsigned("fp", p).bitwiseAND(1)).alias("ones"), F.lit(p).alias("p")) for p in range(64 - bits)])
+    held = own.groupBy(*GROUP).agg(F.first("load").alias("load"), F.count(F.lit(1)).alias("n"), ones.alias("bits"))
+    balanced = F.transform("bits", lambda x: F.struct(F.least(x["ones"], F.col("n") - x["ones"]).alias("b"), x["p"].alias("p")))
+    one_bit = F.array(*[F.lit(1 << p if p < 63 else -(1 << 63)) for p in range(64)])
+    open_ = F.filter(balanced, lambda x: (8 * x["b"] >= F.col("n")) & (F.col("mask").bitwiseAND(F.element_at(one_bit, x["p"] + 1)) == 0))
+    wanted = F.ceil(F.log2(F.col("load") / cell_variants)).cast("int")
+    chosen = F.slice(F.sort_array(open_, asc=False), 1, wanted)
+    add = F.aggregate(chosen, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.element_at(one_bit, x["p"] + 1)))
+    return held.select(*GROUP, add.alias("add")).where("add <> 0")
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, cell_variants: int = CELL_VARIANTS) -> DataFrame:
     """Links ``a, b`` that connect distinct fingerprints (column ``fp``) exactly as all pairs
-    within ``max_bits`` do. Only the crowded cells' numbers reach the driver: at most one cell
-    in four."""
+    within ``max_bits`` do.
+
+    A group holds the variants of one cell. Groups that would lay out more than four times
+    ``cell_variants`` are divided by further bits, chosen by their own members, and counted again until none of them
+    can be divided; nothing of this is gathered on the driver."""
     radius = (max_bits + 1) // 2
-    ball = sum(1 for _ in flips(list(range(64)), radius))
     n = distinct.count()
-    bits = min(24, max(0, int(np.ceil(np.log2(max(1, n * ball / cell_variants))))))
-    more: dict[int, int] = {}
-    if bits:
-        cells = distinct.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("cell")).count()
-        usual = max(1.0, n / 2**bits)
-        for r in cells.where(F.col("count") >= 4 * usual).collect():
-            more[r["cell"]] = min(24, int(np.ceil(np.log2(r["count"] / usual))) + 1)
-    routed = distinct.select("fp").mapInArrow(_router(bits, more, radius),
-                                              "cell long, extra int, sub long, used int, fp long")
-    return routed.groupBy("cell", "extra", "sub").applyInArrow(_linker(bits, max_bits), "a long, b long")
+    bits = min(24, max(0, int(np.ceil(np.log2(max(1, n * ball(64, radius) / cell_variants))))))
+    lead = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
+    top = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(u).alias("u")) for m, u in flips(list(range(bits)), radius)])
+    none = F.lit(0).cast("long")
+    groups = distinct.select("fp", F.explode(top).alias("t")).select(
+        lead.bitwiseXOR(F.col("t.m")).alias("cell"), none.alias("mask"), none.alias("sub"), F.col("t.u").alias("used"), "fp")
+    free = F.lit(64 - bits) - F.bit_count("mask")
+    ways = [sum((reduce(lambda a, j: a * (free - j) / (j + 1), range(r), F.lit(1.0)) for r in range(left + 1)), F.lit(0.0))
+            for left in range(radius + 1)]
+    weight = reduce(lambda w, left: w.when(F.col("used") == radius - left, ways[left]), range(1, radius + 1),
+                    F.when(F.col("used") == radius, ways[0]))
+    parts = []
+    while True:
+        crowded = land(groups.groupBy(*GROUP).agg(F.sum(weight).alias("load")).where(F.col("load") > 4 * cell_variants), "simhash-crowded")
+        adds = None if crowded.isEmpty() else land(_bits_to_add(groups, crowded, bits, cell_variants), "simhash-bits")
+        if adds is None or adds.isEmpty():
+            parts.append(groups)
+            break
+        parts.append(groups.join(adds, GROUP, "left_anti"))
+        groups = land(groups.join(adds, GROUP).mapInArrow(_splitter(radius), "cell long, mask long, sub long, used int, fp long"), "simhash-parts")
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return every.groupBy(*GROUP).applyInArrow(_linker(bits, max_bits), "a long, b long")
 
 
 def _rooted(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
