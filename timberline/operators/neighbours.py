@@ -18,6 +18,7 @@ On the driver: the centroids (``MAX_CELLS`` at most) and one count for each cell
 
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 
@@ -29,8 +30,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timberline.operators.vectors import search as exact_search
 from timberline.params import SearchParams
@@ -51,9 +54,10 @@ class VectorIndex:
     path: str
     centroids: np.ndarray
     probes: int
+    schema: T.StructType
 
     def vectors(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/vectors")
+        return spark.read.schema(self.schema).parquet(f"{self.path}/vectors")
 
     def nearest_cells(self, query: list[float], probes: int) -> list[int]:
         return np.argsort(_squared(np.asarray([query], dtype=np.float64), self.centroids)[0], kind="stable")[:probes].tolist()
@@ -102,6 +106,8 @@ def fit(vectors: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_
     drawn = usable.where(F.pmod(F.xxhash64("log_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
     if n <= cells or drawn.isEmpty():
         drawn = usable.limit(cells)
+    if cells == 1:  # k-means asks for two at least
+        return np.asarray([drawn.select(Summarizer.mean(array_to_vector("embedding"))).first()[0].toArray()])
     model = KMeans(k=cells, seed=seed, maxIter=12, initSteps=2).fit(drawn.select(array_to_vector("embedding").alias("features")))
     return np.asarray(model.clusterCenters(), dtype=np.float64)
 
@@ -118,15 +124,16 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, recall: float
     placed = usable.withColumn("cell", _cells(centroids, 1)("embedding")[0]) if len(centroids) else usable.limit(0).withColumn("cell", F.lit(0))
     # Ranges follow the data: a cell with many vectors becomes several tasks and files.
     placed.repartitionByRange("cell", F.xxhash64("log_id")).write.partitionBy("cell").parquet(f"{path}/vectors")
-    probes = calibrate(spark, VectorIndex(path, centroids, 1), recall, k) if len(centroids) else 1
-    spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.parquet(f"{path}/probes")
-    return VectorIndex(path, centroids, probes)
+    probes = calibrate(spark, VectorIndex(path, centroids, 1, placed.schema), recall, k) if len(centroids) else 1
+    spark.createDataFrame([(probes, placed.schema.json())], "probes int, columns string").coalesce(1).write.parquet(f"{path}/probes")
+    return VectorIndex(path, centroids, probes, placed.schema)
 
 
 def load(spark: SparkSession, path: str) -> VectorIndex:
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # MAX_CELLS at most
     centroids = np.asarray([r["centroid"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
-    return VectorIndex(path, centroids, spark.read.parquet(f"{path}/probes").first()["probes"])
+    stored = spark.read.parquet(f"{path}/probes").first()
+    return VectorIndex(path, centroids, stored["probes"], T.StructType.fromJson(json.loads(stored["columns"])))
 
 
 def search(spark: SparkSession, index: VectorIndex, query: list[float], p: SearchParams, as_of, probes: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from timberline.functions import fill, html_escape, is_error_severity, percent,
 from timberline.operators.anomaly import anomaly_summary_parts
 from timberline.operators.metrics import health_parts
 from timberline.operators.window import in_window
-from timberline.params import AnomalyParams, as_timestamp
+from timberline.params import AnomalyParams, ReportParams, as_timestamp
 from timberline.session import materialize
 
 TOP_UNITS = 10
@@ -302,6 +302,12 @@ def format_json(report: DataFrame) -> DataFrame:
     return report.select("report_id", F.to_json(F.struct(*report.columns), opts).alias("report"))
 
 
+def generate(logs: DataFrame, metrics: DataFrame, alerts: DataFrame, as_of, p: ReportParams) -> DataFrame:
+    """REPORT GENERATE: the daily report in the format asked for, within the contract's bounds."""
+    made = daily_report(logs, metrics, alerts, as_of, p.since)
+    return {"text": format_text, "html": format_html, "json": format_json}[p.fmt](made)
+
+
 def save_report(rendered: DataFrame, directory: str, as_of, extension: str = "txt") -> str:
     """K8: write a rendered report (one row, ``report`` column) as
     ``report_<YYYYmmdd_HHMMSS>.<ext>`` under ``directory``; returns the path.

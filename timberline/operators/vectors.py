@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from timberline.functions import fill, py_str, py_ts_str, search_text
 from timberline.operators.window import in_window, since_start, ts_lit
-from timberline.params import IndexParams, SearchParams
+from timberline.params import ChatParams, IndexParams, SearchParams
 from timberline.schema import DEFAULT_EMBED_DIM
+from timberline.session import materialize
 
 META_COLUMNS = ["ts", "hostname", "source", "unit", "severity"]
 
@@ -38,6 +39,7 @@ CONTEXT_LINE = "{n}. [{ts}] {unit} ({severity}): {message}"
 NO_CONTEXT = "No relevant logs found."
 # -----------------------------------------------------------------------------
 
+MAX_HITS = 10_000  # search hits that are broadcast
 HASHING_DIM = 64  # length of the default model's vectors
 
 
@@ -199,9 +201,10 @@ def search_by_text(vec_table: DataFrame, text: str, p: SearchParams, as_of, mode
 
 def expand_hits(hits: DataFrame, logs: DataFrame) -> DataFrame:
     """Full log rows of the hits, newest first, each with its own score
-    (paired by id, D3). ``hits`` is bounded by ``n_results`` <= 100, so it is
-    broadcast and the log table is only scanned, never shuffled."""
-    rows = logs.join(F.broadcast(hits.withColumnRenamed("log_id", "id")), "id", "inner")
+    (paired by id, D3). ``hits`` are counted before they are broadcast: up to MAX_HITS rows (a search
+    gives ``n_results`` <= 100) the log table is only scanned; more are joined as Spark sees fit."""
+    hits = materialize(hits.withColumnRenamed("log_id", "id"))
+    rows = logs.join(F.broadcast(hits) if hits.count() <= MAX_HITS else hits, "id", "inner")
     return rows.select("id", "ts", "hostname", "source", "unit", "severity", "message", "similarity", "rank") \
                .orderBy(F.col("ts").desc(), F.col("id"))
 
@@ -221,6 +224,13 @@ def rag_context(expanded: DataFrame) -> DataFrame:
         F.size("_items").alias("n_logs"))
 
 
+def chat_context(vec_table: DataFrame, logs: DataFrame, question: str, as_of, p: ChatParams, model=None) -> DataFrame:
+    """CHAT without the model's answer: the context of the ``context_size`` nearest log rows of the
+    window, within the contract's bounds."""
+    hits = search_by_text(vec_table, question, SearchParams(n_results=p.context_size, since=p.since), as_of, model)
+    return rag_context(expand_hits(hits, logs))
+
+
 def rag_prompt(context: DataFrame, question: str, template: str) -> DataFrame:
     """The text handed to a language model (the model call itself is outside Spark): the
     caller's ``template`` with ``{context}`` and, after it, ``{question}`` filled in."""

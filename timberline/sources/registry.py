@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import json_or_wrap
+from timberline.params import IngestParams
 from timberline.schema import PARSED
 from timberline.operators import ingest
 from timberline.operators.cursor_keys import CursorKeys
@@ -235,3 +236,15 @@ def ingest_all(spark: SparkSession, sources: list[LogSource], table_path: str, s
         except ingest.UnreadableBatch as exc:
             errors[src.name] = str(exc).splitlines()[0][:500]
     return counts, errors
+
+
+def ingest_journal(spark: SparkSession, source: LogSource, table_path: str, state_path: str, as_of, p: IngestParams,
+                   keys: CursorKeys | None = None) -> tuple[int, int]:
+    """INGEST_JOURNAL: one journald source within the contract's bounds (its unit lists come from
+    ``p``). Returns (parsed, inserted); a failure of the source is raised."""
+    config = {**source.config, "units": list(p.units), "exclude_units": list(p.exclude_units)}
+    counts, errors = ingest_all(spark, [LogSource(source.name, "journald", True, config)], table_path, state_path, as_of,
+                                p.since, p.limit, keys)
+    if errors:
+        raise ingest.UnreadableBatch(errors[source.name])
+    return counts[source.name]
