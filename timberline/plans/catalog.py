@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
-from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, neighbours, query, report, vectors
+from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, neighbours, query, report, trigrams, vectors
 from timberline.operators.cursor_keys import CursorKeys
 from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Discover, IndexParams, LogQuery,
                                MetricQuery, SearchParams)
@@ -52,6 +52,14 @@ def _log_query(q: LogQuery) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: query.query_logs(_logs(spark, sf), q, AS_OF)
 
 
+def log_query_contains_indexed(spark, sf):
+    """The same search over the stored table, by the trigram filters of its files."""
+    base = _scratch(spark, "trigrams")
+    ingest.append(_logs(spark, sf), f"{base}/logs")
+    trigrams.build(spark, f"{base}/logs", f"{base}/index")
+    return trigrams.search(spark, f"{base}/logs", f"{base}/index", Q_CONTAINS, AS_OF)
+
+
 def _discover(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: query.discover(_logs(spark, sf), Discover(kind=kind, since=30 * DAY), AS_OF)
 
@@ -640,6 +648,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # step 1: log search
     "log_query_min_severity": _log_query(Q_MIN_SEV),
     "log_query_contains": _log_query(Q_CONTAINS),
+    "log_query_contains_indexed": log_query_contains_indexed,
     "log_query_source_unit_host": _log_query(Q_SRC_UNIT_HOST),
     "log_query_asc": _log_query(Q_ASC),
     # step 2: discovery

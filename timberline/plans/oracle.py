@@ -596,3 +596,4 @@ FROM metrics WHERE json_valid(metric_data)""", METRICS),
 # The same results by other ways of checking and reading.
 ORACLE["ingest_keyed"] = ORACLE["ingest_dedup"]
 ORACLE["stream_positions"] = ORACLE["stream_ingest"]
+ORACLE["log_query_contains_indexed"] = ORACLE["log_query_contains"]
