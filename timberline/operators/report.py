@@ -146,9 +146,9 @@ def _render_pairs(c: Column, sep: str = ", ") -> Column:
         F.coalesce(x["key"], F.lit("None")), F.lit(": "), x["count"].cast("string"))), sep)
 
 
-def log_summary(logs: DataFrame, as_of, since_seconds: int = 86400) -> DataFrame:
-    """A6 flattened: the three lists rendered ``key: count`` joined by ``, ``."""
-    s = log_summary_parts(logs, as_of, since_seconds)
+def log_summary(logs: DataFrame | None, as_of, since_seconds: int = 86400, counts: DataFrame | None = None) -> DataFrame:
+    """A6 flattened: the three lists rendered ``key: count`` joined by ``, `` (from ``counts`` if given)."""
+    s = log_summary_parts(logs, as_of, since_seconds, counts)
     return s.select("total_logs", "error_count", "error_rate", "period_hours",
                     _render_pairs(F.col("severity_distribution")).alias("severity_distribution"),
                     _render_pairs(F.col("top_units")).alias("top_units"),

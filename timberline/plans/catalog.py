@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from timberline import fixtures as fx
 from timberline.functions import with_fingerprint
-from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, neighbours, query, report, trigrams, vectors
+from timberline.operators import alerts, anomaly, audit, chat, ingest, metrics, neighbours, query, report, totals, trigrams, vectors
 from timberline.operators.cursor_keys import CursorKeys
 from timberline.params import (AlertQuery, AnomalyParams, AuditHistoryParams, Discover, IndexParams, LogQuery,
                                MetricQuery, SearchParams)
@@ -521,6 +521,25 @@ def stream_positions(spark, sf):
     return read_table(spark, f"{base}/table", LOGS_SCHEMA).select(*STREAM_COLS)
 
 
+def _stream_totals(spark, sf) -> DataFrame:
+    """The totals of the report's window, as the ingest stream kept them."""
+    prepare(spark)
+    base = _scratch(spark, "stream-totals")
+    fx.journald_lines(spark, sf).select("value").write.text(f"{base}/landing")
+    stream_ingest_mod.start_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", max_files_per_trigger=16,
+                                   totals_table=f"{base}/totals").awaitTermination()
+    return totals.window_totals(read_table(spark, f"{base}/totals", totals.SCHEMA), read_table(spark, f"{base}/table", LOGS_SCHEMA),
+                                AS_OF, 30 * DAY)
+
+
+def totals_log_summary(spark, sf):
+    return totals.log_summary(_stream_totals(spark, sf), AS_OF, 30 * DAY)
+
+
+def totals_error_spike(spark, sf):
+    return totals.error_spikes(_stream_totals(spark, sf), ANOMALY)
+
+
 def stream_spike_trailing(spark, sf):
     """Error spikes of the three days before every day's end, from panes of one day."""
     prepare(spark)
@@ -729,6 +748,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_service_down": stream_service_down,
     "stream_container": stream_container,
     "stream_positions": stream_positions,
+    "totals_log_summary": totals_log_summary,
+    "totals_error_spike": totals_error_spike,
     "stream_spike_trailing": stream_spike_trailing,
     # step 12: files
     "file_ingest": file_ingest,

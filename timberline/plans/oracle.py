@@ -597,3 +597,5 @@ FROM metrics WHERE json_valid(metric_data)""", METRICS),
 ORACLE["ingest_keyed"] = ORACLE["ingest_dedup"]
 ORACLE["stream_positions"] = ORACLE["stream_ingest"]
 ORACLE["log_query_contains_indexed"] = ORACLE["log_query_contains"]
+ORACLE["totals_log_summary"] = ORACLE["log_summary"]
+ORACLE["totals_error_spike"] = ORACLE["anomaly_error_spike"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from timberline.operators import ingest
+from timberline.operators import ingest, totals
 from timberline.operators.cursor_keys import CursorKeys
 from timberline.session import file_system
 from timberline.sources import positions
@@ -58,15 +58,16 @@ def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                  processing_time: str | None = None, dedup_window: str = "1 hour",
                  max_files_per_trigger: int | None = None, year: int | None = None,
                  config: dict | None = None, container_pattern: str = CONTAINER_FILE,
-                 keys: CursorKeys | None = None, by_position: bool = False, patterns=("*",)) -> StreamingQuery:
+                 keys: CursorKeys | None = None, by_position: bool = False, patterns=("*",),
+                 totals_table: str | None = None) -> StreamingQuery:
     """Run the ingest stream into ``table`` (Parquet partitioned by ``day``
     and micro-batch ``epoch``). Each batch keeps its first row per cursor and
     loses rows whose id / fingerprint / cursor is already in an earlier batch.
 
     The content check lists and reads the batch's own days. With ``keys`` (the table's cursor key
     table) cursors are checked against the buckets that may hold them, so a micro-batch touches
-    nothing that grows with history; without it the cursor column of the whole table is read. ``sinks.compact``
-    may run beside the stream."""
+    nothing that grows with history; without it the cursor column of the whole table is read. ``totals_table``
+    gets each batch's hourly counts (``operators.totals``). ``sinks.compact`` may run beside the stream."""
     stream = dedup_stream(parsed_stream(spark, landing, source_type, year=year,
                                         max_files_per_trigger=max_files_per_trigger, config=config,
                                         container_pattern=container_pattern, by_position=by_position,
@@ -89,7 +90,13 @@ def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                 rows = ingest.new_rows(rows, existing, batch, keys)
             elif keys is not None:
                 rows = ingest.without_held(rows, batch, keys)
-            write_epoch(ingest.to_table_rows(rows), table, epoch_id, partition_by=["day"])
+            rows = ingest.to_table_rows(rows)
+            if totals_table is not None:
+                rows = rows.persist()  # written and counted; one trigger's new rows
+            write_epoch(rows, table, epoch_id, partition_by=["day"])
+            if totals_table is not None:
+                write_epoch(totals.hourly(rows), totals_table, epoch_id, partition_by=["day"])
+                rows.unpersist()
             if keys is not None:
                 folders = [f"{table.rstrip('/')}/day={d}/{EPOCH}={epoch_id}" for d in days if d is not None]
                 keys.note_epoch(epoch_id, [f for f in folders if (at := file_system(session, f))[0].exists(at[1])])
