@@ -7,13 +7,16 @@ Stages use only the columns doc_id, text and source; all others pass through unc
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm import decontam, mixing, quality, simhash, tokenbin
-from timberline.llm.common import documents, land, table, unnest
+from timberline.llm.common import documents, table, unnest
+from timberline.session import discard, land, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of ``sf_dir``, each written and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages in order over the documents of ``sf_dir``, each written and read again; a stage's
+    files go when its successor is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = land(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}-{uuid.uuid4().hex}")
+        docs = land(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs
