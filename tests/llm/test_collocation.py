@@ -73,7 +73,7 @@ def test_index_enumerates_all_phrases(depth):
             if i + k <= len(seq) and (seq[i : i + k] > 0).all():
                 want[tuple(seq[i : i + k].tolist())] += 1
     got, seen = {}, set()
-    for k, lo, n, hashes in fm.levels({}, depth):
+    for k, lo, n, hashes in fm.levels(lambda k, h: None, depth):
         words = np.stack(fm.spell(lo, k), axis=1).tolist()
         got.update({tuple(w): c for w, c in zip(words, n.tolist(), strict=True)})
         seen.update(hashes.tolist())
@@ -83,10 +83,10 @@ def test_index_enumerates_all_phrases(depth):
 def test_only_frequent_phrases_are_extended():
     seq = np.array([1, 2, 3, 0, 1, 2, 3, 0, 2, 3, 1, 0])
     fm = FMIndex(FMIndex.column(seq, 3), mix(np.arange(1, 4, dtype=np.uint64)))
-    two = next(fm.levels({}, 3))
+    two = next(fm.levels(lambda k, h: None, 3))
     spelt = [tuple(x) for x in np.stack(fm.spell(two[1], 2), axis=1).tolist()]
     frequent = {2: two[3][[s in ((1, 2), (2, 3)) for s in spelt]]}
-    k, lo, n, _ = list(fm.levels(frequent, 3))[1]
+    k, lo, n, _ = list(fm.levels(lambda k, h: np.isin(h, frequent[k]), 3))[1]
     assert np.stack(fm.spell(lo, k), axis=1).tolist() == [[1, 2, 3]] and n.tolist() == [2]
 
 
@@ -103,6 +103,16 @@ def test_matches_brute_force(spark, shape):
     assert result(collocation.collocations(table(spark, rows).repartition(3), min_count=5, **shape)) == want
 
 
+@pytest.mark.parametrize("min_count", [9, 25])
+def test_lengths_that_are_sent_together(spark, min_count):
+    """Some phrases of four words are frequent and some are not, and both have longer ones."""
+    rng = random.Random(min_count)
+    rows = [(" ".join(rng.choice("aabc") for _ in range(rng.randrange(3, 30))), "en") for _ in range(150)]
+    want = brute(rows, min_count)
+    assert {len(r[2].split()) for r in want} >= {4, 5}
+    assert result(collocation.collocations(table(spark, rows), min_count=min_count, shard_tokens=600, bucket_keys=100)) == want
+
+
 def test_other_parameters_and_extensions(spark):
     rows = [("a b c d e f", "en")] * 7 + [("b c d", "en")] * 5 + [("c d", "en")] * 2
     found = collocation.collocations(table(spark, rows), min_count=3, max_words=4, top=3, inside_percent=60)

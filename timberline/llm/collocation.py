@@ -13,7 +13,7 @@ one flag at LF(i) tells, as intervals of longer phrases lie inside those of thei
 Neighbouring places that came from one interval by one word are the interval of cP and their
 number is its count in the shard. Shards send the counts of their phrases to buckets by the phrase's
 hash, once for each shard however often a phrase occurs; a bucket sums them and answers the
-shards that asked with the phrases that reach ``min_count``. Words, pairs and lengths up to ``STEPWISE`` words
+shards with a bit for each phrase they sent: whether it reaches ``min_count``. Words, pairs and lengths up to ``STEPWISE`` words
 are answered one after the other, the longer ones together. One shard for each frequent phrase
 spells it at last, following the inverse of LF.
 
@@ -22,7 +22,7 @@ are joins and aggregates over the frequent phrases. A longer candidate as freque
 phrase inside it need only be sought one word to the left or right: all phrases between the two
 have at least the count of the longer one.
 
-Words and phrases are told apart by 64-bit hashes. Tasks hold one shard, or the keys of one bucket.
+Words are told apart by 64-bit hashes, phrases by their bucket and 48 bits of theirs. Tasks hold one shard, or the keys of one bucket.
 
 Defined results: a null text is empty, a null lang is ``und``; repeated rows count each time;
 empty tables give no phrases. Very long texts are cut into shards between pieces. Other
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import uuid
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.llm.blocks import deal, joined, packed, unpacked
+from timberline.llm.blocks import joined, packed
 from timberline.llm.common import land, nest, small_batches
 from timberline.llm.decontam import suffix_array
 from timberline.llm.words import SLICE, SPACED_LOWER, HashIndex, WordRule, mix, slices, split_words, text_buffers
@@ -144,16 +144,27 @@ def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _planes(a: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of the numbers, first bytes first, compressed; and how many they are."""
+    raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(a).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(value: pa.Scalar, width: int) -> np.ndarray:
+    raw = value.as_py()
+    n = int.from_bytes(raw[:8], "little")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[8:], n * width, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def _pack(a: np.ndarray) -> bytes:
-    """Non-negative numbers below 2**32, compressed."""
-    raw = packed(a.astype(np.uint32))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Non-negative numbers below 2**32."""
+    return _planes(a, 4)
 
 
 def _unpack(value: pa.Scalar) -> np.ndarray:
-    raw = value.as_py()
-    size = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), dtype=np.uint32).astype(np.int64)
+    return _from_planes(value, 4).astype(np.int64)
 
 
 def _keys(value: pa.Scalar) -> np.ndarray:
@@ -199,9 +210,9 @@ class FMIndex:
     def column(seq: np.ndarray, depth: int) -> np.ndarray:
         return seq[suffix_array(seq, depth) - 1]  # the sequence ends with a mark, which stands before its start
 
-    def levels(self, frequent: dict[int, np.ndarray], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(words, first place, count, hash) of the phrases of 2 to ``depth`` words. Where the
-        frequent hashes of a length are known, only these are extended."""
+    def levels(self, known: Callable[[int, np.ndarray], np.ndarray | None], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, first place, count, hash) of the phrases of 2 to ``depth`` words. Where it is
+        ``known`` which hashes of a length are frequent, only these are extended."""
         alive = self.first > 0
         run = np.zeros(len(alive), dtype=bool)
         run[:1] = True
@@ -226,8 +237,9 @@ class FMIndex:
             grown[found] = mix(self.keys[self.first[lo[found]] - 1] * _LEFT + hashes[origin[lo[found]]] + np.uint64(k))
             hashes = grown
             yield k, lo[found], n[found], hashes[found]
-            if k in frequent:
-                found &= np.isin(hashes, frequent[k])
+            flags = known(k, hashes[found]) if k < depth else None
+            if flags is not None:
+                found[found] = flags
             alive = found[label]
 
     def spell(self, lo: np.ndarray, k: int) -> list[np.ndarray]:
@@ -239,29 +251,75 @@ class FMIndex:
         return out
 
 
-def _build_index(shards: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
+def _dealt(hashes: np.ndarray, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How hashes are sent: their order, the buckets there are, where each begins in the order (and the
+    end), and the keys in order. The bucket and the key tell a phrase: words have all 64 bits as
+    their key, phrases 48, as the buckets add bits of their own, the more the larger the corpus."""
+    bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    key = hashes if k == 1 else hashes & np.uint64((1 << 48) - 1)
+    order = np.lexsort((key, bucket))
+    bucket = bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+    return order, bucket[edge[:-1]], edge, key[order]
+
+
+def _width(k: int) -> int:
+    return 8 if k == 1 else 6
+
+
+class _Answers:
+    """Which of a shard's phrases are frequent, for lengths up to ``upto``, and the counts of those that it is to spell."""
+
+    def __init__(self, table: pa.Table, buckets: int, upto: int):
+        self.buckets, self.upto = buckets, upto
+        self.rows: dict[int, dict[int, tuple]] = {}
+        columns = (table[c] for c in ("k", "bucket", "bits", "at", "f"))
+        for k, bucket, *rest in zip(*columns, strict=True):
+            self.rows.setdefault(k.as_py(), {})[bucket.as_py()] = tuple(rest)
+
+    def flags(self, k: int, hashes: np.ndarray) -> np.ndarray | None:
+        return None if k > self.upto else self.read(k, hashes)[0]
+
+    def read(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash whether it is frequent, and its count if this shard is to spell it (else 0)."""
+        flags, f = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+        mine = self.rows.get(k, {})
+        if mine:
+            order, bucket, edge, _ = _dealt(hashes, k, self.buckets)
+            for b, lo, hi in zip(bucket.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if b in mine:
+                    bits, at, counts = mine[b]
+                    own = order[lo:hi]
+                    flags[own] = np.unpackbits(np.frombuffer(bits.as_buffer(), dtype=np.uint8), count=hi - lo)
+                    f[own[at.values.to_numpy()]] = counts.values.to_numpy()
+        return flags, f
+
+
+def _build_index(shards: pa.Table, answers: pa.Table, depth: int, buckets: int) -> pa.Table:
     """The index row of a shard over its frequent words."""
-    frequent, _ = _answered(answers)
-    if not frequent or not shards.num_rows:
+    if not answers.num_rows or not shards.num_rows:
         return _INDEX.empty_table()
     keys = _keys(shards["keys"][0])
-    keep = np.flatnonzero(np.isin(keys, frequent[1]))
+    flags, f = _Answers(answers, buckets, 1).read(1, keys)
+    keep = np.flatnonzero(flags)
     number = np.zeros(len(keys) + 1, dtype=np.int64)
     number[keep + 1] = np.arange(1, len(keep) + 1)
     seq = np.concatenate([number[_unpack(shards["seq"][0])], [0]])
     seq = seq[np.concatenate([[True], (seq[1:] > 0) | (seq[:-1] > 0)])]
     words, code = shards["words"].combine_chunks().values, _unpack(shards["lang"][0])[keep]
     return pa.table([shards["shard"], pa.array([_pack(FMIndex.column(seq, depth))], pa.binary()), pa.array([packed(keys[keep])], pa.binary()),
-                     _one_list(words.take(pa.array(keep))), pa.array([_pack(code)], pa.binary()), shards["langs"]], schema=_INDEX)
+                     _one_list(words.take(pa.array(keep))), _one_list(pa.array(f[keep])), pa.array([_pack(code)], pa.binary()),
+                     shards["langs"]], schema=_INDEX)
 
 
 _INDEX = pa.schema([("shard", pa.int64()), ("bwt", pa.binary()), ("keys", pa.binary()), ("words", pa.list_(pa.string())),
-                    ("lang", pa.binary()), ("langs", pa.list_(pa.string()))])
-_INDEX_SQL = "shard long, bwt binary, keys binary, words array<string>, lang binary, langs array<string>"
+                    ("f", pa.list_(pa.int64())), ("lang", pa.binary()), ("langs", pa.list_(pa.string()))])
+_INDEX_SQL = "shard long, bwt binary, keys binary, words array<string>, f array<long>, lang binary, langs array<string>"
 _SENT = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("k", pa.int32()), ("hashes", pa.binary()), ("n", pa.binary())])
 _SENT_SQL = "bucket long, shard long, k int, hashes binary, n binary"
-_ANSWER = pa.schema([("shard", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))])
-_ANSWER_SQL = "shard long, k int, ids array<long>, f array<long>"
+_ANSWER = pa.schema([("shard", pa.int64()), ("k", pa.int32()), ("bucket", pa.int64()), ("bits", pa.binary()),
+                     ("at", pa.list_(pa.int32())), ("f", pa.list_(pa.int64()))])
+_ANSWER_SQL = "shard long, k int, bucket long, bits binary, at array<int>, f array<long>"
 _PHRASE_SQL = "lang string, phrase string, k int, f long"
 _PHRASE = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
 
@@ -270,19 +328,13 @@ def _index_of(row: pa.Table) -> FMIndex:
     return FMIndex(_unpack(row["bwt"][0]), _keys(row["keys"][0]))
 
 
-def _answered(answers: pa.Table) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-    """Frequent hashes of each length, and their counts where this shard is to spell them."""
-    ids: dict[int, list] = {}
-    f: dict[int, list] = {}
-    for k, a, b in zip(answers["k"].to_pylist(), answers["ids"], answers["f"], strict=True):
-        ids.setdefault(k, []).append(a.values.to_numpy().view(np.uint64))
-        f.setdefault(k, []).append(b.values.to_numpy())
-    return {k: np.concatenate(v) for k, v in ids.items()}, {k: np.concatenate(v) for k, v in f.items()}
-
-
 def _sent(shard: int, k: int, hashes: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The counts of the phrases of k words of a shard, dealt to buckets. Lengths have buckets of their own."""
-    rows = [(k * buckets + b, shard, k, h, _pack(np.frombuffer(c, dtype=np.uint32))) for b, h, c in deal(hashes, buckets, n.astype(np.uint32))]
+    """The counts of the phrases of k words of a shard, dealt to buckets. Lengths have buckets of their own.
+    The keys of a bucket are sorted, so their differences are what is sent."""
+    order, bucket, edge, key = _dealt(hashes, k, buckets)
+    n = n[order]
+    rows = [(k * buckets + b, shard, k, _planes(np.diff(key[lo:hi], prepend=np.uint64(0)), _width(k)), _pack(n[lo:hi]))
+            for b, lo, hi in zip(bucket.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
     columns = zip(*rows, strict=True) if rows else [[]] * len(_SENT)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
 
@@ -302,70 +354,75 @@ def _send_pairs(buckets: int):
         for b in batches:
             for i in range(b.num_rows):
                 row = pa.Table.from_batches([b.slice(i, 1)])
-                for k, _, n, hashes in _index_of(row).levels({}, 2):
+                for k, _, n, hashes in _index_of(row).levels(_nothing, 2):
                     yield _sent(b["shard"][i].as_py(), k, hashes, n, buckets)
 
     return run
 
 
+def _nothing(k: int, hashes: np.ndarray) -> None:
+    """Nothing is known yet: all phrases are extended."""
+
+
 def _send(lengths: range, buckets: int):
     """The phrases of these lengths in a shard whose shorter frequent phrases are known."""
     def run(index: pa.Table, answers: pa.Table) -> pa.Table:
-        frequent, _ = _answered(answers)
-        if not index.num_rows or lengths[0] - 1 not in frequent:
+        if not index.num_rows or not answers.num_rows:
             return _SENT.empty_table()
+        known = _Answers(answers, buckets, lengths[0] - 1)
         return pa.Table.from_batches([_sent(index["shard"][0].as_py(), k, hashes, n, buckets)
-                                      for k, _, n, hashes in _index_of(index).levels(frequent, lengths[-1]) if k in lengths], schema=_SENT)
+                                      for k, _, n, hashes in _index_of(index).levels(known.flags, lengths[-1]) if k in lengths], schema=_SENT)
 
     return run
 
 
-def _sum(min_count: int):
-    """Sums of a bucket; the frequent phrases go back to the shards that have them. The shard that
-    is to spell a phrase gets its count, the others 0."""
+def _sum(min_count: int, buckets: int):
+    """Sums of a bucket; each shard that has a frequent phrase gets a bit for every key it sent. The shard
+    that is to spell a phrase, one of those that have it by its hash, gets its count."""
     def run(sent: pa.Table) -> pa.Table:
-        parts = unpacked(sent["hashes"], np.uint64)
-        hashes, n = np.concatenate(parts), np.concatenate([_unpack(x) for x in sent["n"]])
-        row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        lo = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        size = np.diff(np.concatenate([lo, [len(hashes)]]))
+        k = sent["k"][0].as_py()
+        parts = [np.cumsum(_from_planes(x, _width(k)), dtype=np.uint64) for x in sent["hashes"]]
+        edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        keys, n = np.concatenate(parts), np.concatenate([_unpack(x) for x in sent["n"]])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        lo = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.concatenate([lo, [len(keys)]]))
         total = np.add.reduceat(n[order], lo)
-        spells = lo + (hashes[lo] % size.astype(np.uint64)).astype(np.int64)
-        f = np.zeros(len(hashes), dtype=np.int64)
-        f[spells] = total
-        keep = np.repeat(total >= min_count, size)
-        row, hashes, f = row[order][keep], hashes[keep], f[keep]
-        back = np.argsort(row, kind="stable")
-        row, hashes, f = row[back], hashes[back].view(np.int64), f[back]
-        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, dtype=np.int64)
-        who = pa.array(row[edge[:-1]])
-        lists = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(v)) for v in (hashes, f)]
-        return pa.table([sent["shard"].combine_chunks().take(who), sent["k"].combine_chunks().take(who), *lists], schema=_ANSWER)
+        frequent = total >= min_count
+        flags = np.zeros(len(keys), dtype=bool)
+        flags[order] = np.repeat(frequent, size)
+        spells = order[(lo + (mix(keys[lo]) % size.astype(np.uint64)).astype(np.int64))[frequent]]
+        f = np.zeros(len(keys), dtype=np.int64)
+        f[spells] = total[frequent]
+        rows = []
+        for i, shard in enumerate(sent["shard"].to_pylist()):
+            own = slice(edge[i], edge[i + 1])
+            if flags[own].any():
+                at = np.flatnonzero(f[own])
+                rows.append((shard, k, sent["bucket"][i].as_py() - k * buckets, np.packbits(flags[own]).tobytes(), at.tolist(), f[own][at].tolist()))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(_ANSWER)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ANSWER, strict=True)], schema=_ANSWER)
 
     return run
 
 
-def _spell(index: pa.Table, answers: pa.Table) -> pa.Table:
+def _spell(index: pa.Table, answers: pa.Table, depth: int, buckets: int) -> pa.Table:
     """The frequent phrases that this shard is to spell."""
-    frequent, counts = _answered(answers)
-    if not index.num_rows or not frequent:
+    if not index.num_rows:
         return _PHRASE.empty_table()
-    fm = _index_of(index)
     words, langs = index["words"].combine_chunks().values, index["langs"].combine_chunks().values
     lang = _unpack(index["lang"][0])
-    places = [(1, np.arange(len(fm.keys)), fm.keys)]
-    out = []
-    for k, lo, hashes in places + [(k, lo, h) for k, lo, _, h in fm.levels(frequent, max(frequent)) if k in frequent]:
-        mine = counts[k] > 0
-        order = np.argsort(hashes)
-        at = lo[order[np.searchsorted(hashes, frequent[k][mine], sorter=order)]]
-        numbers = [at] if k == 1 else [x - 1 for x in fm.spell(at, k)]
-        spelt = [words.take(pa.array(x)) for x in numbers]
-        out.append(pa.table([langs.take(pa.array(lang[numbers[0]])), pc.binary_join_element_wise(*spelt, " "),
-                             pa.array(np.full(len(at), k, np.int32)), pa.array(counts[k][mine])], schema=_PHRASE))
-    return pa.concat_tables(out)
+    f = index["f"].combine_chunks().values.to_numpy()
+    found = [(1, [np.flatnonzero(f)], f[f > 0])]
+    if answers.num_rows:
+        fm, known = _index_of(index), _Answers(answers, buckets, min(depth, STEPWISE))  # as they were sent
+        for k, lo, _, hashes in fm.levels(known.flags, depth):
+            f = known.read(k, hashes)[1]
+            found.append((k, [x - 1 for x in fm.spell(lo[f > 0], k)], f[f > 0]))
+    return pa.concat_tables(
+        pa.table([langs.take(pa.array(lang[numbers[0]])), pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in numbers], " "),
+                  pa.array(np.full(len(f), k, np.int32)), pa.array(f)], schema=_PHRASE) for k, numbers, f in found)
 
 
 # --- the corpus -------------------------------------------------------------------------
@@ -413,19 +470,20 @@ def _phrases(kept: _Buckets, rows: DataFrame, min_count: int, max_words: int, sh
     buckets = max(1, (shards.agg(F.sum("size")).first()[0] or 0) // bucket_keys)
 
     def answer(sent: DataFrame) -> DataFrame:
-        return land(sent.groupBy("bucket").applyInArrow(_sum(min_count), _ANSWER_SQL), "phrase-answers")
+        return land(sent.groupBy("bucket").applyInArrow(_sum(min_count, buckets), _ANSWER_SQL), "phrase-answers")
 
-    answers = answer(shards.select("shard", "keys", "n").mapInArrow(_send_words(buckets), _SENT_SQL))
-    index = kept.table(shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-        lambda a, b: _build_index(a, b, max_words), _INDEX_SQL), "phrase_index")
+    known = answer(shards.select("shard", "keys", "n").mapInArrow(_send_words(buckets), _SENT_SQL))
+    index = kept.table(shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
+        lambda a, b: _build_index(a, b, max_words, buckets), _INDEX_SQL), "phrase_index")
     places = index.select("shard", "bwt", "keys")
-    answers = answers.union(answer(places.mapInArrow(_send_pairs(buckets), _SENT_SQL)))
+    answers = answer(places.mapInArrow(_send_pairs(buckets), _SENT_SQL))
     steps = [range(k, k + 1) for k in range(3, min(STEPWISE, max_words) + 1)]
     steps += [range(STEPWISE + 1, max_words + 1)] if max_words > STEPWISE else []
     for lengths in steps:
-        sent = places.groupBy("shard").cogroup(answers.where("k > 1").groupBy("shard")).applyInArrow(_send(lengths, buckets), _SENT_SQL)
+        sent = places.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_send(lengths, buckets), _SENT_SQL)
         answers = answers.union(answer(sent))
-    spelt = index.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_spell, _PHRASE_SQL)
+    spelt = index.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        lambda a, b: _spell(a, b, max_words, buckets), _PHRASE_SQL)
     return land(spelt, "phrases"), sizes
 
 
