@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import ROW, nest, small_batches, unnest
+from timberline.llm.common import ROW, giving_back, nest, small_batches, unnest
 from timberline.llm.words import ALNUM_LOWER, slices, split_words, text_buffers, words_of
 
 WINDOW = 13
@@ -242,7 +242,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     out = rows.withColumn("matches", F.array().cast(MATCH_SQL))
     for block in list(_blocks(benchmark, block_bytes)) or [[]]:
         tests = spark.sparkContext.broadcast(TestSuffixes(block, window))
-        out = out.select(ROW, "matches").mapInArrow(_matcher(tests), step)
+        out = out.select(ROW, "matches").mapInArrow(giving_back(_matcher(tests)), step)
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     return out.withColumn("items", items).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (MIN_SHARE * F.col("n_hit") >= F.col("n_words")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import ROW, nest, small_batches
+from timberline.llm.common import ROW, giving_back, nest, small_batches
 from timberline.llm.words import SPACED, per_text, slices, split_words, spread, text_buffers
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter",
@@ -162,7 +162,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     rows = nest(docs).select(ROW, F.col(f"{ROW}.text").cast("string").alias("text"))
     kind = rows.schema[ROW].dataType.simpleString()
     schema = f"{ROW} {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
-    measured = rows.mapInArrow(_measure, schema)
+    measured = rows.mapInArrow(giving_back(_measure), schema)
     bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(rules().values())]
     return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 

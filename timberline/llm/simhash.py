@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from timberline.llm.common import land, nest, small_batches, unnest
+from timberline.llm.common import giving_back, land, nest, small_batches, unnest
 from timberline.llm.components import components
 from timberline.llm.words import SPACED_LOWER, slices, split_words, text_buffers
 from timberline.session import materialize
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp``: a row for each document, the fingerprint as a signed 64-bit number."""
     small_batches(docs.sparkSession)
     rows = nest(docs).select("row__.doc_id", F.col("row__.text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprinter(shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(giving_back(_fingerprinter(shingle)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def flips(positions: list[int], at_most: int) -> list[tuple[int, int]]:
@@ -310,7 +310,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     some = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
     rows = nest(some).select("row__", F.col("row__.text").cast("string").alias("text"))
     kind = StructType([StructField("doc_id", rows.schema["row__"].dataType), StructField("fp", LongType())])
-    rows = rows.mapInArrow(_fingerprinter(shingle), kind).withColumnRenamed("doc_id", "row__")
+    rows = rows.mapInArrow(giving_back(_fingerprinter(shingle)), kind).withColumnRenamed("doc_id", "row__")
     keys = keep.select("doc_id", "fp", "root").distinct()
     rows = rows.join(keys, (rows["fp"] == keys["fp"]) & F.col("row__.doc_id").eqNullSafe(keys["doc_id"]))
     plain = [F.col(f"row__.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
