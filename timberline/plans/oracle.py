@@ -597,5 +597,6 @@ FROM metrics WHERE json_valid(metric_data)""", METRICS),
 ORACLE["ingest_keyed"] = ORACLE["ingest_dedup"]
 ORACLE["stream_positions"] = ORACLE["stream_ingest"]
 ORACLE["log_query_contains_indexed"] = ORACLE["log_query_contains"]
-ORACLE["totals_log_summary"] = ORACLE["log_summary"]
+# Rows that came through the journal have that source.
+ORACLE["totals_log_summary"] = _w("SELECT * REPLACE ('journald: ' || total_logs AS top_sources) FROM log_summary", LOGS, W30, LOG_SUMMARY)
 ORACLE["totals_error_spike"] = ORACLE["anomaly_error_spike"]
