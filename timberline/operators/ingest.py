@@ -8,6 +8,7 @@ loses every row whose id, fingerprint or cursor is already stored.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from collections.abc import Callable
@@ -196,6 +197,73 @@ def write_state(state: DataFrame, path: str) -> None:
     update_state(state.sparkSession, path, lambda prior: state)
 
 
+ROW = "_row"  # the place of a row in a landed batch; unique, but not dense
+BROADCAST_ROWS = 1_000_000  # places of rows that are sent to every task
+RANGE_ROWS = 200_000  # rows whose order one task finds
+
+
+def fresh_places(batch: DataFrame, existing: DataFrame | None, order_col: str, source_col: str, keys: CursorKeys | None) -> DataFrame:
+    """``dedup_batch`` and ``new_rows`` of a written batch on its narrow columns: ``_row``, order and source
+    of the rows to add. ``keys`` stand for the table's cursors.
+
+    One grouping by fingerprint finds the first row of each and whether the table holds it, one by
+    cursor the same. A row whose fingerprint is held still stands for its cursor, as in ``dedup_batch``. Texts and raw
+    lines are not shuffled; fingerprints are as bytes."""
+    first = F.struct(F.col(order_col), ROW, F.col("cursor"), F.col(source_col))
+    rows = batch.select(F.unhex("fingerprint").alias("fp"), first.alias("r"), F.lit(False).alias("held"))
+    cursors = None
+    if existing is not None:
+        stored_fp = F.unhex("fingerprint")
+        rows = rows.unionByName(_days_of(existing, batch).filter(F.lower(F.hex(stored_fp)) == F.col("fingerprint"))
+                                .select(stored_fp.alias("fp"), F.lit(True).alias("held")), allowMissingColumns=True)
+        cursors = existing.select("cursor").filter(F.col("cursor").isNotNull())
+    if keys is not None:
+        cursors = keys.held(batch)
+    by_fp = rows.groupBy("fp").agg(F.min("r").alias("r"), F.bool_or("held").alias("held")).filter(F.col("r").isNotNull())
+    real = F.col("r.cursor").isNotNull()
+    key = F.struct(real.alias("real"), F.coalesce(F.col("r.cursor"), F.col(f"r.{ROW}").cast("string")).alias("key"))
+    r = F.struct(f"r.{order_col}", f"r.{ROW}", "held", f"r.{source_col}")
+    rows = by_fp.select(key.alias("key"), r.alias("r"), F.lit(False).alias("held"))
+    if cursors is not None:
+        rows = rows.unionByName(cursors.select(F.struct(F.lit(True).alias("real"), F.col("cursor").alias("key")).alias("key"),
+                                               F.lit(True).alias("held")), allowMissingColumns=True)
+    by_cursor = rows.groupBy("key").agg(F.min("r").alias("r"), F.bool_or("held").alias("held"))
+    return by_cursor.filter(F.col("r").isNotNull() & ~F.col("held") & ~F.col("r.held")).select(f"r.{ROW}", f"r.{order_col}", f"r.{source_col}")
+
+
+def _up_to(fresh: DataFrame, limit: int, n: int, order_col: str, scratch: str):
+    """The condition that holds for the first ``limit`` of the ``n`` landed rows ``fresh``, in input order.
+
+    The rows are divided by ranges of their order, and only the range that holds the last row is ordered: no task sees
+    all of them. Rows of one order value follow their place in the batch."""
+    order = [order_col, ROW]
+    ranged = fresh.select(*order).repartitionByRange(max(2, math.ceil(n / RANGE_ROWS)), *order)
+    ranged = land(ranged.withColumn("part", F.spark_partition_id()), f"{scratch}/order")
+    before = 0
+    for part in ranged.groupBy("part").count().orderBy("part").collect():  # one row a range
+        if before + part["count"] >= limit:
+            break
+        before += part["count"]
+    edge = ranged.filter(F.col("part") == part["part"]).orderBy(*order).limit(limit - before)
+    last = edge.agg(F.max(F.struct(*order)).alias("at")).first()["at"]
+    types = dict(fresh.select(*order).dtypes)
+    return F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order])
+
+
+def pick(batch: DataFrame, fresh: DataFrame, kept: int, n: int) -> DataFrame:
+    """The rows of a landed batch of ``n`` whose places are in ``fresh`` (``kept`` of them), with the smaller
+    of what is kept and what is left sent to all tasks where it is small."""
+    if kept == 0:
+        return batch.filter(F.lit(False))
+    if kept == n:
+        return batch
+    if n - kept <= BROADCAST_ROWS:
+        left = batch.select(ROW).join(fresh.select(ROW), ROW, "left_anti")
+        return batch.join(F.broadcast(left), ROW, "left_anti")
+    places = fresh.select(ROW)
+    return batch.join(F.broadcast(places) if kept <= BROADCAST_ROWS else places, ROW, "left_semi")
+
+
 class UnreadableBatch(RuntimeError):
     """The input of an ingest could not be read to its end; nothing of it was stored."""
 
@@ -225,14 +293,14 @@ def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_o
     stops at the last row stored, and so do ``positions`` (state key, where the input began
     and where it ends, by file): what was left is read by the next run. ``keys`` is the table's cursor key table.
 
-    The batch is written once into the shared folder, and so are its new rows: the input is
+    The batch is written once into the shared folder, and so are the places of its new rows: the input is
     evaluated once, and the counts are those of the written rows, whatever tasks ran again.
     """
     spark = parsed.sparkSession
     scratch = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
     try:
         try:
-            batch = land(prepare_batch(parsed), f"{scratch}/batch")
+            batch = land(prepare_batch(parsed).withColumn(ROW, F.monotonically_increasing_id()), f"{scratch}/batch", "zstd")
         except PySparkException as exc:
             raise UnreadableBatch(str(exc)) from exc
         except Py4JJavaError as exc:  # failures of tasks that PySpark has no class for
@@ -240,24 +308,24 @@ def ingest_into(parsed: DataFrame, table_path: str, state_path: str | None, as_o
         existing = stored(spark, table_path)
         if keys is not None:
             keys.sync(existing)
-        fresh = new_rows(dedup_batch(batch, order_col), existing, days_from=batch, keys=keys)
-        if limit is not None:
-            fresh = fresh.orderBy(order_col).limit(limit)
-        rows = land(fresh, f"{scratch}/rows")
+        fresh = land(fresh_places(batch, existing, order_col, source_col, None if existing is None else keys), f"{scratch}/fresh")
 
         def count(df: DataFrame) -> dict:
-            return {r[0]: r[1] for r in df.filter(F.col(source_col).isin(sources)).groupBy(source_col)
-                    .agg(F.count(F.lit(1))).collect()}  # one row for each source asked for
-
-        seen, kept = count(batch), count(rows)
+            return {r[0]: r[1] for r in df.groupBy(source_col).agg(F.count(F.lit(1))).collect()}  # one row for each source
+
+        seen, found = count(batch), count(fresh)
+        rows = pick(batch, fresh, sum(found.values()), sum(seen.values()))
+        kept, reached = found, None
+        if limit is not None and sum(found.values()) >= limit:
+            within = _up_to(fresh, limit, sum(found.values()), order_col, scratch) if limit else F.lit(False)
+            fresh, rows = fresh.filter(within), rows.filter(within)
+            kept, reached = count(fresh), fresh.agg(F.max(order_col)).first()[0]
         append(rows, table_path)
         if state_path is not None:
             done, end = batch, positions and positions[2]
-            if limit is not None:
-                last = rows.agg(F.count(F.lit(1)).alias("n"), F.max(order_col).alias("reached")).first()
-                if last["n"] >= limit:
-                    done = batch.filter(F.col(order_col) <= F.lit(last["reached"]))
-                    end = positions and _positions_before(batch, order_col, last["reached"], positions[1], positions[2])
+            if limit is not None and sum(found.values()) >= limit:
+                done = batch.filter(F.col(order_col) <= F.lit(reached))
+                end = positions and _positions_before(batch, order_col, reached, positions[1], positions[2])
 
             def merged(prior: DataFrame | None) -> DataFrame:
                 state = cursor_state(done, prior, as_of, order_col, source_col)
