@@ -153,7 +153,7 @@ def ingest_isolated(spark, sf):
     nothing, the third fails while it is read and does not stop the fourth."""
     prepare(spark)
     journal = fx.journald_lines(spark, sf)
-    broken = fx.journald_lines(spark, sf).select(
+    broken = journal.select(
         F.when(F.col("seq") >= 0, F.raise_error(F.lit("input lost"))).cast("string").alias("value"))
     sources = [LogSource("journal", "journald", config={"lines": journal}),
                LogSource("again", "journald", config={"lines": journal}),
