@@ -76,8 +76,10 @@ def parse_journald(lines: DataFrame, text_col: str = "value", keep: list[str] |
     # text after it is an error in at least one of the two, so only whole lines pass both.
     one = F.from_json(F.concat(F.lit("["), F.col(text_col), F.lit("]")), T.ArrayType(JOURNALD))
     held = F.from_json(F.concat(F.lit('{"v":'), F.col(text_col), F.lit("}")), T.StructType([T.StructField("v", JOURNALD)]))
-    j = F.when((F.size(one) == 1) & held["v"].isNotNull(), F.get(one, 0))
-    df = lines.select(F.col(text_col).alias("_line"), j.alias("j"), *[F.col(k) for k in keep])
+    lines = lines.select(F.col(text_col).alias("_line"), one.alias("_one"), held.alias("_held"), *[F.col(k) for k in keep])
+    # Filters are not pushed below an explode, so a line is read as JSON once by each of the two and no more.
+    j = F.explode_outer(F.when((F.size("_one") == 1) & F.col("_held.v").isNotNull(), F.col("_one")))
+    df = lines.select("_line", j.alias("j"), *[F.col(k) for k in keep])
     micros = F.col("j.__REALTIME_TIMESTAMP").try_cast("long")
     df = df.select(
         F.timestamp_micros(micros).cast("timestamp_ntz").alias("ts"),
