@@ -76,32 +76,32 @@ def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
     def sink(batch: DataFrame, epoch_id: int) -> None:
         session = batch.sparkSession
         # Arrival order inside the micro-batch (the batch is a static DataFrame
-        # here). It is read twice (rows, and the days that prune the table), so
-        # it is kept for the length of this call; its size is one trigger's worth.
-        batch = batch.withColumn("seq", F.monotonically_increasing_id()).persist()
+        # here). It is read several times (rows, their places, the days that prune the
+        # table), so it is kept for the length of this call; its size is one trigger's worth.
+        batch = batch.withColumn("seq", F.monotonically_increasing_id()).withColumn(ingest.ROW, F.col("seq")).persist()
+        fresh = None
         try:
             days = None
             if keys is not None:
                 keys.sync_epochs(epoch_id)
                 days = [r["d"] for r in batch.select(F.to_date("ts").alias("d")).distinct().collect()]  # one trigger's days
             existing = read_other_epochs(session, table, epoch_id, days)
-            rows = ingest.dedup_batch(batch, "seq")
-            if existing is not None:
-                rows = ingest.new_rows(rows, existing, batch, keys)
-            elif keys is not None:
-                rows = ingest.without_held(rows, batch, keys)
-            rows = ingest.to_table_rows(rows)
+            fresh = ingest.fresh_places(batch, existing, "seq", "source", keys).persist()
+            rows = ingest.to_table_rows(ingest.pick(batch, fresh, fresh.count(), batch.count()))
+            rows = rows.repartitionByRange("day", "ts")  # a task writes few days, so files are few
             if totals_table is not None:
                 rows = rows.persist()  # written and counted; one trigger's new rows
             write_epoch(rows, table, epoch_id, partition_by=["day"])
             if totals_table is not None:
-                write_epoch(totals.hourly(rows), totals_table, epoch_id, partition_by=["day"])
+                write_epoch(totals.hourly(rows).repartition("day"), totals_table, epoch_id, partition_by=["day"])
                 rows.unpersist()
             if keys is not None:
                 folders = [f"{table.rstrip('/')}/day={d}/{EPOCH}={epoch_id}" for d in days if d is not None]
                 keys.note_epoch(epoch_id, [f for f in folders if (at := file_system(session, f))[0].exists(at[1])])
         finally:
             batch.unpersist()
+            if fresh is not None:
+                fresh.unpersist()
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else \
