@@ -1,12 +1,17 @@
+import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
-from tokenizers import Tokenizer
+import pytest
+from tokenizers import Tokenizer, models
 
 from timberline.llm import tokenbin
 from timberline.llm.queries import QUERIES, TOKENIZER
+from timberline.llm.words import text_buffers
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +64,52 @@ def test_file_layout_and_selective_reads(spark, sample, tmp_path):
     plan = tokenbin.read(spark, path).select("doc_id", "n_tokens").where("doc_id = 7")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert ",tokens:" not in text and "<tokens:" not in text and "EqualTo(doc_id,7)" in text
+
+
+def _encoded(enc, texts):
+    ids, n = tokenbin.encode_texts(enc, *text_buffers(pa.array(texts)), 2)
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_new_words_take_no_python_call_each():
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcdefghijklmnop", k=8)) + rng.choice(["", ",", "7", ")!"]) for _ in range(20_000)}
+    column = pa.array([" ".join(sorted(words)).title()])
+    enc, calls = tokenbin.WordEncoder(public_tokenizers.path(TOKENIZER)), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        tokenbin.encode_texts(enc, *text_buffers(column), 2)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(words) / 10
+
+
+@pytest.mark.parametrize("limit", [0, 40, 10**6])
+def test_random_words_with_small_memories(monkeypatch, limit):
+    monkeypatch.setattr(tokenbin, "CACHE_WORDS", limit)
+    monkeypatch.setattr(tokenbin, "CACHE_PIECES", limit)
+    enc, rng = tokenbin.WordEncoder(public_tokenizers.path(TOKENIZER)), random.Random(11)
+    odd = "aZé Þß×÷ÿ09-_<'\x7f\x85\u0301漢İΣ\n½À"
+    for alphabet in ("abAB1,. ", "àÀéÉøØ ßþÞ.9", odd, "×÷ x", "<|endotx> "):
+        for _ in range(3):
+            _encoded(enc, ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(20)])
+
+
+def test_every_byte_pair_of_latin_1():
+    enc = tokenbin.WordEncoder(public_tokenizers.path(TOKENIZER))
+    chars = [chr(c) for c in range(256)]
+    _encoded(enc, [" ".join(a + b + "q" for b in chars) for a in chars])
+
+
+def test_model_without_end_of_word_suffix(tmp_path):
+    whole = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    letters = {c: i for i, c in enumerate([chr(c) for c in range(97, 123)] + ["ab"])}
+    whole.model = models.BPE(letters, [("a", "b")])
+    whole.save(str(tmp_path / "plain.json"))
+    _encoded(tokenbin.WordEncoder(str(tmp_path / "plain.json")), ["Abc cab ab", "", "b1 a'b"])

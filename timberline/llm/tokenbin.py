@@ -14,7 +14,6 @@ other in the order of their texts; a null doc_id comes first; an empty table wri
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,11 +35,37 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 BROADCAST_FILES = 100_000
 CACHE_WORDS = 500_000  # words whose ids a Python worker remembers (about 70 bytes each)
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000  # the same of pieces
 
-_LETTERS = "a-zß-öø-ÿ"  # lower-case letters of Latin-1
-_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")  # these letters and printable ASCII without ' and <
-_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_BYTES = np.arange(256)
+_LATIN = (_BYTES >= 0x80) & (_BYTES <= 0xBF) | (_BYTES == 0xC3)  # letters À to ÿ in UTF-8: C3 and a second byte
+_LATIN[[0x97, 0xB7]] = False  # but for × and ÷
+# Plain words: letters of ASCII and Latin-1, and printable ASCII without ' and <.
+_PLAIN = (_BYTES > 0x20) & (_BYTES < 0x7F) & (_BYTES != ord("'")) & (_BYTES != ord("<")) | _LATIN
+_UPPER = (_BYTES >= 0x41) & (_BYTES <= 0x5A) | (_BYTES >= 0x80) & (_BYTES <= 0x9E) & (_BYTES != 0x97)
+_LOWER = (_BYTES + 32 * _UPPER).astype(np.uint8)  # of a plain word's bytes
+_DIGIT = 1
+_KIND = np.where((_BYTES >= 0x30) & (_BYTES <= 0x39), _DIGIT, 0).astype(np.int8)  # of a lower-cased byte
+_KIND[(_BYTES >= 0x61) & (_BYTES <= 0x7A) | _LATIN] = 2
+
+
+class IdRuns:
+    """Runs of ids remembered by a 64-bit hash: a hash index beside one pool of ids."""
+
+    def __init__(self) -> None:
+        self.index = HashIndex()
+        self.first = self.size = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(1 << 16, dtype=np.int32)
+        self.used = 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Append the runs of the hashes that ``index`` numbered last."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used += len(ids)
 
 
 class WordEncoder:
@@ -48,68 +73,88 @@ class WordEncoder:
 
     Valid for tokenizers that drop white space, lower-case and split into pieces of letters,
     single digits and others before byte-level BPE: a text's ids are then its words' ids in
-    order. Words of plain characters go to the BPE model piece by piece, all others through
-    the whole tokenizer. The memory is a hash index beside one pool of ids."""
+    order. New words of plain characters are cut into pieces, which are remembered too; the
+    new pieces of a call go to the BPE model as one text, in which tokens with the
+    end-of-word suffix end the pieces. All other words, or all if the model has no such
+    suffix, go one by one through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))}
-        self.pieces: dict[str, list[int]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.index = HashIndex()
-        self.first = self.size = np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.used = 0
-
-    def _piece(self, p: str) -> list[int]:
-        ids = self.pieces.get(p)
-        if ids is None:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            ids = self.pieces[p] = [t.id for t in self.model.tokenize(p.translate(self.byte_level))]
-        return ids
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        hard = []
-        for i, w in enumerate(words):
-            ids: list[int] = []
-            if _PLAIN.fullmatch(w):
-                for p in _PIECES.findall(w.lower()):
-                    ids += self._piece(p)
-            else:
-                hard.append(i)
-            out.append(ids)
-        done = self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False) if hard else []
-        for i, e in zip(hard, done, strict=True):
-            out[i] = e.ids
-        return out
+        self.bare = Tokenizer(self.tokenizer.model)  # of pieces joined by blanks
+        self.bare.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.bare.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=-1) + 1, dtype=bool)
+        if self.suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(self.suffix)]] = True
+        self.words, self.pieces = IdRuns(), IdRuns()
+
+    def _new_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of pieces, each followed by another byte in ``data``."""
+        size = end - start + 1
+        text = data[ranges(start, size)]
+        text[np.cumsum(size) - 1] = 0x20
+        ids = np.array(self.bare.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, dtype=np.int32)
+        edge = np.flatnonzero(self.ends[ids]) + 1
+        if len(edge) != len(size) or edge[-1] != len(ids):
+            raise ValueError(f"{len(size)} pieces got {len(edge)} tokens ending in {self.suffix}")
+        return ids, np.diff(edge, prepend=0)
+
+    def _plain(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of plain words that begin at ``first`` of ``text``."""
+        text = _LOWER[text]
+        kind = _KIND[text]
+        cut = kind == _DIGIT
+        cut[1:] |= kind[1:] != kind[:-1]
+        cut[first] = True
+        cut = np.flatnonzero(cut)
+        text = np.append(np.insert(text, cut, 0x20), np.uint8(0x20))
+        w = split_words(text, np.array([0, len(text)]), SPACED)
+        if len(self.pieces.index) > CACHE_PIECES:
+            self.pieces = IdRuns()
+        p = self.pieces
+        number, spots = p.index.number_all(w.hash)
+        if len(spots):
+            p.add(*self._new_pieces(text, w.start[spots], w.end[spots]))
+        size = p.size[number]
+        total = np.concatenate([[0], np.cumsum(size)])
+        n = np.diff(total[np.searchsorted(cut, np.append(first, len(kind)))])
+        return p.pool[ranges(p.first[number], size)], n
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these bytes one after another, and the ids of each word."""
+        length = end - start
+        first = np.cumsum(length) - length
+        text = data[ranges(start, length)]
+        plain = np.logical_and.reduceat(_PLAIN[text], first) if self.suffix else np.zeros(len(start), dtype=bool)
+        if plain.all():
+            return self._plain(text, first)
+        hard = [data[a:b].tobytes().decode() for a, b in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]
+        done = [e.ids for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
+        size = np.zeros(len(start), dtype=np.int64)
+        size[~plain] = np.fromiter(map(len, done), dtype=np.int64, count=len(done))
+        if plain.any():
+            kept = length[plain]
+            easy, size[plain] = self._plain(text[np.repeat(plain, length)], np.cumsum(kept) - kept)
+        ids = np.zeros(int(size.sum()), dtype=np.int32)
+        at = np.cumsum(size) - size
+        ids[ranges(at[~plain], size[~plain])] = np.fromiter(chain.from_iterable(done), dtype=np.int32)
+        if plain.any():
+            ids[ranges(at[plain], size[plain])] = easy
+        return ids, size
 
     def runs(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """For each word, where its ids begin in ``pool`` and how many they are."""
-        if len(self.index) > CACHE_WORDS:
-            self.forget()
-        number, spots = self.index.number_all(w.hash)
+        """For each word, where its ids begin in the pool of ``words`` and how many they are."""
+        if len(self.words.index) > CACHE_WORDS:
+            self.words = IdRuns()
+        number, spots = self.words.index.number_all(w.hash)
         if len(spots):
-            spans = zip(w.start[spots].tolist(), w.end[spots].tolist(), strict=True)
-            ids = self.encode([w.data[a:b].tobytes().decode() for a, b in spans])
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.used += len(flat)
-        return self.first[number], self.size[number]
+            self.words.add(*self.encode(w.data, w.start[spots], w.end[spots]))
+        return self.words.first[number], self.words.size[number]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -134,7 +179,7 @@ def encode_texts(encoder: WordEncoder, data: np.ndarray, bounds: np.ndarray, end
     n = total[w.first[1:]] - total[w.first[:-1]]
     out = np.full(int(n.sum()) + len(n), end_id, dtype=np.int32)
     # Each text's ids move on by the end ids before it.
-    out[ranges(total[w.first[:-1]] + np.arange(len(n)), n)] = encoder.pool[ranges(first, size)]
+    out[ranges(total[w.first[:-1]] + np.arange(len(n)), n)] = encoder.words.pool[ranges(first, size)]
     return out, n + 1
 
 
